@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: modules with QUERIES and ORACLE_SQL
-MODULES = ("rendezvous",)
+MODULES = ("simhash", "rendezvous")
 
 
 def _all(name: str) -> dict:
