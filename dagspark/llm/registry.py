@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: modules with QUERIES and ORACLE_SQL
-MODULES = ("ngram_lm", "quality", "toxicity", "sentencepiece_codec", "decontaminate", "simhash", "rendezvous", "licenses")
+MODULES = ("warc", "ngram_lm", "quality", "toxicity", "sentencepiece_codec", "decontaminate", "simhash", "rendezvous", "licenses")
 
 
 def _all(name: str) -> dict:
