@@ -222,6 +222,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
 
+def screened(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs whose text scores below threshold, with all their columns."""
+    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mild = pa.array([model.score(t.as_py()) < threshold for t in batch["text"]], pa.bool_())
+            yield batch.select(["row"]).filter(mild)
+
+    return packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}").select("row.*")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), doc_key("doc_id") % 5 != 0)
