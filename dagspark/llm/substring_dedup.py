@@ -258,7 +258,7 @@ def repeated_ranges(docs: DataFrame, shard_bytes: int = SHARD_BYTES, hot: int =
     repeated = stored(occurrences.join(twice, "h", "left_semi"), "repeated_occurrences")
     place = F.struct("d", "t", "lo", "len")
     fragments = stored(repeated.groupBy("h", "f").agg(F.sum("n").alias("n"), F.min(place).alias("place")), "fragments")
-    kinds = fragments.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
+    kinds = stored(fragments.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "mixed_anchors")
     mixed = stored(fragments.join(kinds, "h").select("h", "f", "n", "k", "place.*"), "mixed_fragments")
     size = mixed.agg(F.coalesce(F.sum(F.col("len") + LENGTH - 1), F.lit(0))).first()[0]
     shards = max(1, -(-size // shard_bytes))
