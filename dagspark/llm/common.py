@@ -13,6 +13,18 @@ UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 LOWER_TABLE = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
+#: bytes of an Arrow batch; whole texts go to Python, so rows say little of a batch's size
+BATCH_BYTES = 4 << 20
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """The session, with the Arrow batches that its tasks exchange with Python bounded in bytes."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) != str(BATCH_BYTES):
+        spark.conf.set(key, str(BATCH_BYTES))
+    return spark
+
+
 def scratch(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir; set only where unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
@@ -30,7 +42,7 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     Cuts the lineage: a lost executor costs no more than a reread, and plan
     branches that use the table twice don't compute it twice.
     """
-    spark = df.sparkSession
+    spark = bounded(df.sparkSession)
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if partition_by:
@@ -40,7 +52,7 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return bounded(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def ascii_lower(c: Column) -> Column:

@@ -29,6 +29,8 @@ from urllib.parse import urljoin
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import bounded
+
 #: pages have no date of their own
 DATE = "2026-01-01T00:00:00Z"
 CRLF = "\r\n"
@@ -229,7 +231,7 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(pages_as_responses(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    return derive(pages_as_responses(bounded(spark).read.parquet(f"{sf_dir}/pages.parquet")))
 
 
 QUERIES = {"op3_warc": op3_warc}
