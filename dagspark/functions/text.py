@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,13 +63,17 @@ def winnowed(hashes: Column, window: int = WINNOW_WINDOW) -> Column:
     return F.slice(distinct, 1, F.greatest(F.size(distinct) - (window - 1), F.lit(1)))
 
 
+def _holds(part: str) -> Callable[[Column], Column]:
+    return lambda x: F.contains(x, F.lit(part))
+
+
 def data_kinds(words: Column) -> Column:
     """Kinds whose hints the tokens hold, in the order of KIND_HINTS."""
     found = []
     for kind, hints in KIND_HINTS.items():
         hit = F.arrays_overlap(words, F.array(*(F.lit(h) for h in hints)))
         for h in (h for h in hints if len(h) > 3):
-            hit = hit | F.exists(words, lambda x, h=h: F.contains(x, F.lit(h)))
+            hit = hit | F.exists(words, _holds(h))
         found.append(F.when(F.coalesce(hit, F.lit(False)), F.lit(kind)))
     return F.array_compact(F.array(*found))
 

@@ -107,14 +107,14 @@ def hierarchical(df: DataFrame, k: int = 3) -> DataFrame:
     df = with_row_id(df)
     cols = numeric(df)
     rows = clean(df).select(ROW, *cols).na.drop("any")
-    if (n := rows.limit(MAX_HIERARCHICAL_ROWS + 1).count()) > MAX_HIERARCHICAL_ROWS:
+    if rows.limit(MAX_HIERARCHICAL_ROWS + 1).count() > MAX_HIERARCHICAL_ROWS:
         raise ValueError(f"hierarchical clustering takes {MAX_HIERARCHICAL_ROWS} rows at most; use kmeans or dbscan")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(ROW)
         return pd.DataFrame({ROW: pdf[ROW], "label": ward(pdf[cols].to_numpy(float), k).astype("int32")})
 
-    return rows.groupBy(F.lit(n)).applyInPandas(run, f"{ROW} long, label int")
+    return rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, f"{ROW} long, label int")
 
 
 def _solve(df: DataFrame, terms: list[Column], y: Column, ridge: float) -> Column:
