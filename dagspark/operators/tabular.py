@@ -93,7 +93,7 @@ def forward_fill(df: DataFrame, block: int = FILL_BLOCK) -> DataFrame:
     """Blocks of rows are filled in parallel; what each block hands on is found from one row a block."""
     names = df.columns
     cols = [c for c in names if c != ROW]
-    df = with_row_id(df).withColumn("_block", F.floor(F.col(ROW) / block))
+    df = clean(with_row_id(df)).withColumn("_block", F.floor(F.col(ROW) / block))
     last = df.groupBy("_block").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col(ROW))).alias(f"_c{i}") for i, c in enumerate(cols)))
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carried = last.select("_block", *(F.last(f"_c{i}", True).over(before).alias(f"_c{i}") for i in range(len(cols))))

@@ -25,7 +25,7 @@ ALIASES = {"numpy": "np", "pandas": "pd", "seaborn": "sns", "scipy.signal": "sig
 SCHEMA = """name string, qualified_name string, module string, source_path string, library_root string, lineno int, end_lineno int, docstring string,
 docstring_first_line string, args array<struct<name:string,annotation:string,default:string,has_default:boolean>>, return_annotation string, class_name string,
 tags array<string>, has_data_input boolean, starred boolean, repository_id string, chunk_kind string, preview string, source_hash string, leading_comment string, calls array<string>"""
-FIELDS = [x.strip().split(" ", 1)[0] for x in re.sub(r"<.*>", "", SCHEMA.replace("\n", " ")).split(",")]
+FIELDS = re.findall(r"(\w+) (?:string|int|boolean|array)", SCHEMA)
 _WORD = re.compile(r"[^a-z0-9]+")
 
 
