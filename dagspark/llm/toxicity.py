@@ -175,18 +175,18 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, fit_rows: int = F
     often = {r.mark: r.n for r in _counts(toxic).where(F.col("n") >= MIN_TOXIC).orderBy(F.desc("n"), "mark").limit(20 * CANDIDATES).collect()}
     other = {r.mark: r.n for r in _counts(clean, frozenset(often)).collect()}
     share = {m: (n / n1) / (n / n1 + (other.get(m, 0) + 0.5) / n0) for m, n in often.items()}
-    candidates = sorted((m for m in often if often[m] >= MIN_SHARE * (often[m] + other.get(m, 0)) and share[m] >= MIN_SHARE), key=lambda m: (-often[m] * share[m], len(m), m))[:CANDIDATES]
+    candidates = sorted((m for m in often if often[m] >= MIN_SHARE * (often[m] + other.get(m, 0)) and share[m] >= MIN_SHARE), key=lambda m: (-often[m] * share[m], m.endswith("-"), -len(m), m))[:CANDIDATES]
     number = {m: i for i, m in enumerate(candidates)}
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = number.keys()
         for batch in batches:
             ids = [[number[m] for m in _marks(_WORD.findall((t or "").lower())) & wanted] for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32()))], names=["marks"])
+            yield pa.RecordBatch.from_arrays([batch["digest"], pa.array(ids, pa.list_(pa.int32()))], names=["digest", "marks"])
 
-    sets = [frozenset(r.marks) for r in toxic.select("text").mapInArrow(held, "marks array<int>").collect()]
     # copies of one text say no more than one of them
-    groups = list(set(sets))
+    sets = toxic.select(F.xxhash64("text").alias("digest"), "text").mapInArrow(held, "digest long, marks array<int>")
+    groups = list({r.digest: frozenset(r.marks) for r in sets.collect()}.values())
     mined, uncovered = [], set(range(len(groups)))
     holders: list[set[int]] = [set() for _ in candidates]
     for g, marks in enumerate(groups):
