@@ -4,11 +4,11 @@ The documents' words that occur in any benchmark item are stored as postings
 (document, term, position). Each benchmark window (`window` consecutive words;
 a shorter item is one window) is looked up from its rarest term: that term's
 postings, less the term's offset in the item, are the alignments at which the
-item may stand in a document. The lists of the item's other terms are then
-intersected with these offset-adjusted positions, which leaves for each
-alignment the item words that stand where they should: runs as long as a
-window are exact phrase matches, windows with at least `near` of their words
-in place (the rarest one included) are proximity matches.
+item may stand in a document. They are intersected with the next rarest term's
+offset-adjusted postings, and what is left with those of all the item's terms.
+This gives for each alignment the item words that stand where they should: runs
+as long as a window are exact phrase matches, windows with at least `near` of
+their words in place (the two rarest included) are proximity matches.
 
 Null and empty texts have no words and no hits. Null item_ids aren't reported,
 though their words are hit. Repeated documents each give a row; repeated
@@ -56,9 +56,16 @@ def alignments(postings: DataFrame, items: DataFrame, window: int = WINDOW) -> D
     df = postings.where(F.col("term") != _END).groupBy("term").agg(F.count("*").alias("df"))
     starts = F.sequence(F.greatest(F.lit(0), F.col("pos") - window + 1), F.greatest(F.lit(0), F.least(F.col("pos"), F.col("length") - window)))
     of_window = items.join(df, "term").select("iid", F.explode(starts).alias("start"), F.struct("df", "pos", "term").alias("by_rarity"))
-    # a window with a term that no document has can't match, and then its rarest term doesn't matter
-    rarest = stored(of_window.groupBy("iid", "start").agg(F.min("by_rarity").alias("r")).select("iid", "r.pos", "r.term").distinct(), "rarest_terms")
-    candidates = postings.select("rid", "term", F.col("pos").alias("at")).join(rarest, "term").select("rid", "iid", (F.col("at") - F.col("pos")).alias("delta")).distinct()
+    # a window with a term that no document has can't match, and then it doesn't matter which terms are looked up
+    two = F.slice(F.array_sort(F.collect_list("by_rarity")), 1, 2)
+    pairs = of_window.groupBy("iid", "start").agg(two.alias("r")).select("iid", F.col("r")[0]["pos"].alias("pos"), F.col("r")[0]["term"].alias("term"), F.get("r", 1)["pos"].alias("pos2"), F.get("r", 1)["term"].alias("term2"))
+    rarest = stored(pairs.distinct(), "rarest_terms")
+    delta = F.col("at") - F.col("pos")
+    first = postings.select("rid", "term", F.col("pos").alias("at")).join(rarest, "term").select("rid", "iid", delta.alias("delta"), F.col("term2").alias("term"), (F.col("pos2") + delta).alias("pos")).distinct()
+    first = stored(first, "first_alignments")
+    second = postings.join(rarest.select(F.col("term2").alias("term")).distinct(), "term", "left_semi").select("rid", "term", "pos")
+    both = first.join(second, ["rid", "term", "pos"], "left_semi").select("rid", "iid", "delta")
+    candidates = both.union(first.where("term IS NULL").select("rid", "iid", "delta")).distinct()
     wanted = stored(candidates, "alignments").join(items.select("iid", "pos", "term", "length"), "iid")
     wanted = wanted.select("rid", "iid", "delta", "length", "term", F.col("pos").alias("item_pos"), (F.col("pos") + F.col("delta")).alias("pos"))
     lists = postings.select("rid", "term", "pos")
