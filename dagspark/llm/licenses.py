@@ -29,33 +29,33 @@ from .common import documents, padded_words, spaces, stored
 # The phrases that always count, and their labels.
 BASE_PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: label, regex of the name in words, keyword that every match of the name holds
+#: label, regex of the name in words, keywords (one begins a word in every match of the name)
 LICENSES = (
     ("mit", "mit(?: x11)?", "mit"), ("apache-2", "apache(?: software)?(?: license)?(?: version| v)? 2(?: 0)?", "apache"),
-    ("apache-1.1", "apache(?: software)?(?: license)?(?: version| v)? 1 1", "apache"), ("bsd-2-clause", "(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd)", "bsd"),
+    ("apache-1.1", "apache(?: software)?(?: license)?(?: version| v)? 1 1", "apache"), ("bsd-2-clause", "(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd)", "bsd|freebsd"),
     ("bsd-3-clause", "(?:modified bsd|new bsd|revised bsd|bsd 3 clause|3 clause bsd)", "bsd"), ("bsd-4-clause", "(?:original bsd|bsd 4 clause|4 clause bsd)", "bsd"),
-    ("0bsd", "(?:zero clause bsd|bsd zero clause|0bsd)", "bsd"), ("isc", "isc", "isc"), ("zlib", "zlib(?: libpng)?", "zlib"), ("boost-1", "boost(?: software)?(?: license)?(?: version)?(?: 1 0)?", "boost"),
-    ("unlicense", "(?:the )?unlicense", "unlicense"), ("wtfpl", "(?:wtfpl|do what the fuck you want to public)", "w"), ("mpl-1.1", "(?:mozilla public(?: license)?(?: version| v)?|mpl) 1 1", "m"),
-    ("mpl-2", "(?:mozilla public(?: license)?(?: version| v)?|mpl) 2(?: 0)?", "m"), ("epl-1", "(?:eclipse public(?: license)?(?: version| v)?|epl) 1(?: 0)?", "e"), ("epl-2", "(?:eclipse public(?: license)?(?: version| v)?|epl) 2(?: 0)?", "e"),
-    ("gpl-2", "(?:gnu general public(?: license)?|gnu gpl|gpl)(?: version| v)? ?2(?: 0)?(?: only| or later)?", "g"), ("gpl-3", "(?:gnu general public(?: license)?|gnu gpl|gpl)(?: version| v)? ?3(?: 0)?(?: only| or later)?", "g"),
-    ("lgpl-2.1", "(?:gnu lesser general public(?: license)?|gnu lgpl|lgpl)(?: version| v)? ?2 1(?: only| or later)?", "g"), ("lgpl-3", "(?:gnu lesser general public(?: license)?|gnu lgpl|lgpl)(?: version| v)? ?3(?: 0)?(?: only| or later)?", "g"),
-    ("agpl-3", "(?:gnu affero general public(?: license)?|gnu agpl|agpl)(?: version| v)? ?3(?: 0)?(?: only| or later)?", "g"), ("gfdl", "(?:gnu free documentation|gfdl)(?: license)?(?: version)?(?: 1 [123])?", "f"),
-    ("cddl-1", "(?:common development and distribution|cddl)(?: license)?(?: version)?(?: 1 0)?", "d"), ("artistic-2", "artistic(?: license)?(?: version)? 2(?: 0)?", "artistic"), ("artistic-1", "artistic(?: license)?(?: version)? 1(?: 0)?", "artistic"),
-    ("eupl-1.2", "(?:european union public|eupl)(?: license| licence)?(?: version| v)? ?1 2", "eu"), ("ofl-1.1", "(?:sil open font|ofl)(?: license)?(?: version)? 1 1", "f"), ("postgresql", "postgresql", "postgresql"),
-    ("python-2", "(?:python software foundation|psf)(?: license)?(?: version)?(?: 2)?", "p"), ("ruby", "ruby", "ruby"), ("php-3", "php(?: license)?(?: version)? 3(?: 01)?", "php"), ("openssl", "openssl", "openssl"), ("ms-pl", "(?:microsoft public|ms pl)", "m"),
-    ("ms-rl", "(?:microsoft reciprocal|ms rl)", "m"), ("odbl", "(?:open database|odbl)(?: license)?(?: version| v)?(?: 1 0)?", "o"), ("odc-by", "(?:open data commons attribution|odc by)", "o"), ("pddl", "(?:public domain dedication and|pddl)", "pd"),
-    ("cc0", "(?:cc0|creative commons zero)(?: 1 0)?(?: universal)?", "c"), ("cc-by", "(?:cc by|creative commons attribution)(?: [1234] 0)?(?: international| unported)?", "c"), ("cc-by-sa", "(?:cc by sa|creative commons attribution share ?alike)(?: [1234] 0)?(?: international| unported)?", "c"),
-    ("cc-by-nc", "(?:cc by nc|creative commons attribution non ?commercial)(?: [1234] 0)?(?: international| unported)?", "c"), ("cc-by-nd", "(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s)(?: [1234] 0)?(?: international| unported)?", "c"),
-    ("cc-by-nc-sa", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1234] 0)?(?: international| unported)?", "c"), ("cc-by-nc-nd", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s)(?: [1234] 0)?(?: international| unported)?", "c"),
-    ("bsl-1.1", "(?:business source|bsl)(?: license)?(?: version)? 1 1", "b"), ("sspl-1", "(?:server side public|sspl)(?: license)?(?: version| v)?(?: 1)?", "s"), ("elastic-2", "elastic(?: license)? 2(?: 0)?", "elastic"), ("upl-1", "(?:universal permissive|upl)(?: license)?(?: version| v)?(?: 1 0)?", "u"),
-    ("ncsa", "(?:university of illinois ncsa(?: open source)?|ncsa)", "ncsa"), ("afl-3", "(?:academic free|afl)(?: license)?(?: version| v)? 3(?: 0)?", "a"), ("osl-3", "(?:open software|osl)(?: license)?(?: version| v)? 3(?: 0)?", "o"), ("cpl-1", "(?:common public|cpl)(?: license)?(?: version)? 1 0", "c"),
-    ("vim", "vim", "vim"), ("w3c", "w3c(?: software)?", "w3c"), ("unicode", "unicode(?: inc)?", "unicode"), ("json", "json", "json"), ("beerware", "beer ?ware", "beer"), ("llama-2", "llama 2(?: community)?", "llama"), ("openrail", "(?:open ?rail|bigscience rail)(?: m)?", "rail"),
+    ("0bsd", "(?:zero clause bsd|bsd zero clause|0bsd)", "bsd|0bsd"), ("isc", "isc", "isc"), ("zlib", "zlib(?: libpng)?", "zlib"), ("boost-1", "boost(?: software)?(?: license)?(?: version)?(?: 1 0)?", "boost"),
+    ("unlicense", "(?:the )?unlicense", "unlicense"), ("wtfpl", "(?:wtfpl|do what the fuck you want to public)", "wtfpl|do what"), ("mpl-1.1", "(?:mozilla public(?: license)?(?: version| v)?|mpl) 1 1", "mozilla|mpl"),
+    ("mpl-2", "(?:mozilla public(?: license)?(?: version| v)?|mpl) 2(?: 0)?", "mozilla|mpl"), ("epl-1", "(?:eclipse public(?: license)?(?: version| v)?|epl) 1(?: 0)?", "eclipse|epl"), ("epl-2", "(?:eclipse public(?: license)?(?: version| v)?|epl) 2(?: 0)?", "eclipse|epl"),
+    ("gpl-2", "(?:gnu general public(?: license)?|gnu gpl|gpl)(?: version| v)? ?2(?: 0)?(?: only| or later)?", "gpl|general public"), ("gpl-3", "(?:gnu general public(?: license)?|gnu gpl|gpl)(?: version| v)? ?3(?: 0)?(?: only| or later)?", "gpl|general public"),
+    ("lgpl-2.1", "(?:gnu lesser general public(?: license)?|gnu lgpl|lgpl)(?: version| v)? ?2 1(?: only| or later)?", "lgpl|lesser general"), ("lgpl-3", "(?:gnu lesser general public(?: license)?|gnu lgpl|lgpl)(?: version| v)? ?3(?: 0)?(?: only| or later)?", "lgpl|lesser general"),
+    ("agpl-3", "(?:gnu affero general public(?: license)?|gnu agpl|agpl)(?: version| v)? ?3(?: 0)?(?: only| or later)?", "agpl|affero"), ("gfdl", "(?:gnu free documentation|gfdl)(?: license)?(?: version)?(?: 1 [123])?", "gfdl|free documentation"),
+    ("cddl-1", "(?:common development and distribution|cddl)(?: license)?(?: version)?(?: 1 0)?", "cddl|common development"), ("artistic-2", "artistic(?: license)?(?: version)? 2(?: 0)?", "artistic"), ("artistic-1", "artistic(?: license)?(?: version)? 1(?: 0)?", "artistic"),
+    ("eupl-1.2", "(?:european union public|eupl)(?: license| licence)?(?: version| v)? ?1 2", "eupl|european union public"), ("ofl-1.1", "(?:sil open font|ofl)(?: license)?(?: version)? 1 1", "ofl|sil open"), ("postgresql", "postgresql", "postgresql"),
+    ("python-2", "(?:python software foundation|psf)(?: license)?(?: version)?(?: 2)?", "psf|python"), ("ruby", "ruby", "ruby"), ("php-3", "php(?: license)?(?: version)? 3(?: 01)?", "php"), ("openssl", "openssl", "openssl"), ("ms-pl", "(?:microsoft public|ms pl)", "microsoft|ms pl"),
+    ("ms-rl", "(?:microsoft reciprocal|ms rl)", "microsoft|ms rl"), ("odbl", "(?:open database|odbl)(?: license)?(?: version| v)?(?: 1 0)?", "odbl|open database"), ("odc-by", "(?:open data commons attribution|odc by)", "odc by|open data"), ("pddl", "(?:public domain dedication and|pddl)", "pddl|domain dedication"),
+    ("cc0", "(?:cc0|creative commons zero)(?: 1 0)?(?: universal)?", "cc0|creative commons"), ("cc-by", "(?:cc by|creative commons attribution)(?: [1234] 0)?(?: international| unported)?", "cc by|creative commons"), ("cc-by-sa", "(?:cc by sa|creative commons attribution share ?alike)(?: [1234] 0)?(?: international| unported)?", "cc by|creative commons"),
+    ("cc-by-nc", "(?:cc by nc|creative commons attribution non ?commercial)(?: [1234] 0)?(?: international| unported)?", "cc by|creative commons"), ("cc-by-nd", "(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s)(?: [1234] 0)?(?: international| unported)?", "cc by|creative commons"),
+    ("cc-by-nc-sa", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1234] 0)?(?: international| unported)?", "cc by|creative commons"), ("cc-by-nc-nd", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s)(?: [1234] 0)?(?: international| unported)?", "cc by|creative commons"),
+    ("bsl-1.1", "(?:business source|bsl)(?: license)?(?: version)? 1 1", "bsl|business source"), ("sspl-1", "(?:server side public|sspl)(?: license)?(?: version| v)?(?: 1)?", "sspl|server side"), ("elastic-2", "elastic(?: license)? 2(?: 0)?", "elastic"), ("upl-1", "(?:universal permissive|upl)(?: license)?(?: version| v)?(?: 1 0)?", "upl|universal permissive"),
+    ("ncsa", "(?:university of illinois ncsa(?: open source)?|ncsa)", "ncsa|university of illinois"), ("afl-3", "(?:academic free|afl)(?: license)?(?: version| v)? 3(?: 0)?", "afl|academic free"), ("osl-3", "(?:open software|osl)(?: license)?(?: version| v)? 3(?: 0)?", "osl|open software"), ("cpl-1", "(?:common public|cpl)(?: license)?(?: version)? 1 0", "cpl|common public"),
+    ("vim", "vim", "vim"), ("w3c", "w3c(?: software)?", "w3c"), ("unicode", "unicode(?: inc)?", "unicode"), ("json", "json", "json"), ("beerware", "beer ?ware", "beer"), ("llama-2", "llama 2(?: community)?", "llama"), ("openrail", "(?:open ?rail|bigscience rail)(?: m)?", "openrail|open rail|bigscience"),
 )
 
-#: kind of statement, its place before or after the name, gate word, weight; in order of priority
+#: kind of statement, its form around the name, gates (every match holds one), weight; in order of priority
 KINDS = (
     ("spdx", "spdx license identifier (?:{name})", "spdx license identifier ", 1.0),
-    ("grant", "(?:licensed|released|distributed|available|provided|published|shared|offered|dual licensed|redistributed|covered|made available|permitted)(?: (?:only|solely|freely|to you))? (?:under|by|according to|subject to)(?: the(?: terms(?: and conditions)? of(?: the)?)?)? (?:{name})(?: licen[sc]e)?(?: (?:version |v)?[0-9]+(?: [0-9]+)?)?", "e", 0.95),
+    ("grant", "(?:licensed|released|distributed|available|provided|published|shared|offered|dual licensed|redistributed|covered|permitted)(?: (?:only|solely|freely|to you))? (?:under|by|according to|subject to)(?: the(?: terms(?: and conditions)? of(?: the)?)?)? (?:{name})(?: licen[sc]e)?(?: (?:version |v)?[0-9]+(?: [0-9]+)?)?", " under | by | according to | subject to ", 0.95),
     ("link", "(?:opensource org licen[sc]es|spdx org licen[sc]es|choosealicense com licen[sc]es|gnu org licen[sc]es|creativecommons org licen[sc]es) (?:{name})", " org ", 0.9),
     ("name", "(?:{name}) licen[sc]e(?: (?:version |v)?[0-9]+(?: [0-9]+)?)?", " licen", 0.8),
 )
@@ -69,7 +69,7 @@ def rules() -> list[dict]:
     out = []
     for level, (kind, form, gate, weight) in enumerate(KINDS):
         for label, name, keyword in sorted(LICENSES, key=lambda x: (-len(x[1]), x[0])):
-            out.append({"id": len(out), "level": level, "kind": kind, "label": label, "keyword": keyword, "gate": gate, "weight": weight, "pattern": f" {form.format(name=name)}(?= )"})
+            out.append({"id": len(out), "level": level, "kind": kind, "label": label, "keywords": keyword.split("|"), "gates": gate.split("|"), "weight": weight, "pattern": f" {form.format(name=name)}(?= )"})
     return out
 
 
@@ -101,8 +101,8 @@ def scan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         ),
         "license_texts",
     )
-    table = F.from_json(F.lit(json.dumps(rules())), "array<struct<id:int,level:int,kind:string,label:string,keyword:string,gate:string,weight:double,pattern:string>>")
-    held = F.filter(table, lambda r: F.contains(F.col("padded"), r["gate"]) & F.contains(F.col("padded"), F.concat(F.lit(" "), r["keyword"])))
+    table = F.from_json(F.lit(json.dumps(rules())), "array<struct<id:int,level:int,kind:string,label:string,keywords:array<string>,gates:array<string>,weight:double,pattern:string>>")
+    held = F.filter(table, lambda r: F.exists(r["gates"], lambda g: F.contains(F.col("padded"), g)) & F.exists(r["keywords"], lambda k: F.contains(F.col("padded"), F.concat(F.lit(" "), k))))
     tried = texts.where("padded is not null").select("rid", "padded", F.explode(held).alias("rule"))
     found = tried.where(F.rlike("padded", F.col("rule.pattern"))).select(
         "rid", "rule",
