@@ -8,6 +8,8 @@ an output that several edges read is persisted.
 
 from __future__ import annotations
 
+import ast
+import builtins
 import importlib
 import importlib.util
 import inspect
@@ -237,11 +239,33 @@ def _model(node: Node, inputs: Outputs, ctx: Context) -> Outputs:
     return {"response": ctx.spark.createDataFrame([(reply,)], "text string")}
 
 
+def run_block(source: str, data: DataFrame | None) -> object:
+    """Run a block of statements on the driver: the first name that it reads before setting is the data; the last that it sets is the result."""
+    tree = ast.parse(source)
+    known, first, last = set(dir(builtins)), None, None
+    for statement in tree.body:
+        loads = [n.id for n in ast.walk(statement) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Load)]
+        first = first or next((n for n in loads if n not in known), None)
+        for n in ast.walk(statement):
+            if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store):
+                known.add(n.id)
+                last = n.id
+            elif isinstance(n, (ast.Import, ast.ImportFrom)):
+                known |= {(a.asname or a.name).split(".")[0] for a in n.names}
+    if last is None:
+        raise ValueError("the block sets no name")
+    names: dict[str, object] = {first: data} if first else {}
+    exec(compile(tree, "block", "exec"), names)
+    return names[last]
+
+
 @compiles("custom_code")
 def _custom(node: Node, inputs: Outputs, ctx: Context) -> Outputs:
     """A user's function of a DataFrame (none for a source) and the node's other parameters, or a method as Class.method."""
     if not ctx.allow_code:
         raise CompileError([{"severity": "error", "code": "code_not_allowed", "message": f"node {node.id!r} runs user code, which must be allowed"}])
+    if source := node.param("source", None):
+        return {"output": run_block(source, _only(inputs) if inputs else None)}
     name, where = node.param("function_name", ""), node.param("module", "")
     root = node.param("library_root", "")
     if where.endswith(".py"):

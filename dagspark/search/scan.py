@@ -65,6 +65,10 @@ def _canonical(name: str, imports: dict[str, str]) -> str:
     return full.removeprefix("self.").removeprefix("cls.")
 
 
+def module_of(path: str, root: str) -> str:
+    return os.path.relpath(path, root).removesuffix(".py").replace(os.sep, ".").removesuffix(".__init__")
+
+
 class FileScan:
     """The chunks of one file."""
 
@@ -72,7 +76,7 @@ class FileScan:
         self.lines = source.splitlines()
         self.tree = ast.parse(source)
         self.path, self.root, self.repository = path, root, repository
-        self.module = os.path.relpath(path, root).removesuffix(".py").replace(os.sep, ".").removesuffix(".__init__")
+        self.module = module_of(path, root)
         self.imports: dict[str, str] = {}
         self.helpers: dict[str, ast.AST] = {}
         for node in ast.walk(self.tree):
@@ -194,26 +198,63 @@ class FileScan:
             offer(run, 2)
 
 
+#: imports that a file hands on its helpers by
+MAX_IMPORTS = 32
+IMPORTS = "module string, alias string, target string"
+
+
+def relative_imports(source: str, module: str) -> list[tuple[str, str, str]]:
+    """(module, alias, qualified name) of what a file imports by one or two leading dots; stars and the rest don't count."""
+    out = []
+    for node in ast.walk(ast.parse(source)):
+        if isinstance(node, ast.ImportFrom) and node.level in (1, 2) and node.module:
+            base = module.split(".")[: -node.level]
+            out += [(module, a.asname or a.name, ".".join([*base, node.module, a.name])) for a in node.names if a.name != "*"]
+    return out[:MAX_IMPORTS]
+
+
+def inherit_calls(chunks: DataFrame, imports: DataFrame) -> DataFrame:
+    """Chunks whose calls of imported helpers are replaced by the helpers' own calls, each call once, in order."""
+    owner = chunks.select(F.col("qualified_name").alias("target"), F.col("calls").alias("theirs")).dropDuplicates(["target"])
+    remote = imports.join(owner, "target").select("module", F.col("alias").alias("call"), "theirs")
+    each = chunks.select("qualified_name", "module", F.posexplode("calls").alias("pos", "call")).join(remote, ["module", "call"], "left")
+    lists = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("theirs", F.array("call")).alias("c")))), lambda x: x["c"])
+    new = each.groupBy("qualified_name").agg(F.array_distinct(F.flatten(lists)).alias("_calls"))
+    out = chunks.join(new, "qualified_name", "left")
+    return out.select(*(F.coalesce("_calls", "calls").alias("calls") if c == "calls" else F.col(c) for c in chunks.columns))
+
+
 def readable(text: str, size: int) -> bool:
     """Neither too large nor minified."""
     lines = text.splitlines()
     return size <= MAX_FILE_BYTES and bool(lines) and not (len(lines) <= 2 and size > 8000) and not (len(lines) < 30 and size / len(lines) > 400)
 
 
+def _sources(pdf: pd.DataFrame, root: str) -> Iterator[tuple[str, str]]:
+    """Path and text of the files of a batch that are searched."""
+    for path, content in zip(pdf["path"], pdf["content"], strict=True):
+        path = path.removeprefix("file:").replace("//", "/")
+        parts = os.path.relpath(path, root).split(os.sep)
+        if any(p in SKIPPED or p.startswith(".") for p in parts[:-1]) or re.fullmatch(r"test_.*\.py|.*_test\.py", parts[-1]):
+            continue
+        try:
+            text = bytes(content).decode("utf-8")
+            ast.parse(text)
+        except (UnicodeDecodeError, SyntaxError, ValueError):
+            continue
+        if readable(text, len(content)):
+            yield path, text
+
+
+def _imported(batches: Iterator[pd.DataFrame], root: str) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = [r for path, text in _sources(pdf, root) for r in relative_imports(text, module_of(path, root))]
+        yield pd.DataFrame(rows, columns=["module", "alias", "target"])
+
+
 def _files(batches: Iterator[pd.DataFrame], root: str, repository: str) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows: list[dict] = []
-        for path, content in zip(pdf["path"], pdf["content"], strict=True):
-            path = path.removeprefix("file:").replace("//", "/")
-            parts = os.path.relpath(path, root).split(os.sep)
-            if any(p in SKIPPED or p.startswith(".") for p in parts[:-1]) or re.fullmatch(r"test_.*\.py|.*_test\.py", parts[-1]):
-                continue
-            try:
-                text = bytes(content).decode("utf-8")
-                if readable(text, len(content)):
-                    rows += FileScan(text, path, root, repository).scan()
-            except (UnicodeDecodeError, SyntaxError, ValueError):
-                continue
+        rows: list[dict] = [r for path, text in _sources(pdf, root) for r in FileScan(text, path, root, repository).scan()]
         yield pd.DataFrame(rows, columns=FIELDS)
 
 
@@ -222,6 +263,7 @@ def scan_tree(spark: SparkSession, root: str, repository: str = "") -> DataFrame
     root = os.path.abspath(root)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.py").load(root).where(F.col("length") <= MAX_FILE_BYTES).select("path", "content")
     chunks = files.mapInPandas(lambda x: _files(x, root, repository), SCHEMA)
+    chunks = inherit_calls(chunks, files.mapInPandas(lambda x: _imported(x, root), IMPORTS))
     order = F.when(F.col("chunk_kind") == "function", 0).when(F.col("chunk_kind") == "method", 1).otherwise(2)
     return capped(chunks.withColumn("_order", order), "source_path", ["_order", "lineno"], MAX_PER_FILE).orderBy("_order", "source_path", "lineno").limit(MAX_CHUNKS).drop("_order")
 

@@ -365,6 +365,23 @@ def test_search(spark, tmp_path):
     assert index.parse_span("a.py:9-3") is None
 
 
+def test_relative_imports_hand_on_calls(spark, tmp_path):
+    lib = tmp_path / "pkg"
+    lib.mkdir()
+    (lib / "util.py").write_text("import numpy as np\n\n\ndef smooth(x: list):\n    'Smooth.'\n    return np.convolve(x, x)\n")
+    (lib / "use.py").write_text("from .util import smooth as s\n\n\ndef clean(data: list):\n    'Clean a signal.'\n    return abs(s(data))\n")
+    got = {r.name: r.calls for r in scan.scan_tree(spark, str(tmp_path)).collect()}
+    assert got["clean"] == ["abs", "np.convolve"]
+
+
+def test_blocks_run_only_if_allowed(spark, tmp_path):
+    _, g = pipeline(tmp_path, "data_loader", "custom_code", n0={"file_path": str(tmp_path / "t.csv")}, n1={"source": "import math\nout = frame.where('a > 1')\n"})
+    (tmp_path / "t.csv").write_text("a,b\n1,2\n3,4\n")
+    assert compile_graph(g, Context(spark, allow_code=True)).result("n1").count() == 1
+    with pytest.raises(CompileError):
+        compile_graph(g, Context(spark))
+
+
 def test_rank_parts():
     assert rank.alignment(["a.f", "b.g"], ["a.f", "b.g"]) == 1.0
     assert rank.alignment(["signal.butter"], ["bandpass_filter"]) == 0.75
