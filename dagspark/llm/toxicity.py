@@ -166,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, fit_rows: int = F
     usable = labels.where(may_learn & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(fit_rows)
     # bounded by fit_rows, so it may be broadcast
-    rows = stored(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id", "text")).limit(fit_rows), "labelled")
+    rows = stored(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id", "text")).limit(fit_rows).repartition("doc_id", "text"), "labelled")
     toxic, clean = rows.where("toxic = 1"), rows.where("toxic <> 1")
     n1, n0 = toxic.count(), clean.count()
     if not n1 or not n0:
