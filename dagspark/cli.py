@@ -53,7 +53,7 @@ def _describe(a: argparse.Namespace) -> tuple[dict, int]:
     if a.include_discovered:
         from .search import index
 
-        found = index.discover(_session(), index.roots(a.root, a.workspace))
+        found = index.discover(_session(), index.roots(a.root, a.workspace, a.registry))
         out |= {"discovered_kinds": found["kinds"], "discovered_count": found["count"], "chunk_counts": found["chunk_counts"]}
     return out, 0
 
@@ -99,7 +99,7 @@ def _run(a: argparse.Namespace) -> tuple[dict, int]:
 def _discover(a: argparse.Namespace) -> tuple[dict, int]:
     from .search import index
 
-    return index.discover(_session(), index.roots(a.root, a.workspace)), 0
+    return index.discover(_session(), index.roots(a.root, a.workspace, a.registry)), 0
 
 
 def _similar(a: argparse.Namespace) -> tuple[dict, int]:
@@ -109,7 +109,7 @@ def _similar(a: argparse.Namespace) -> tuple[dict, int]:
         raise Failure("usage", "give a text, --from-span or --from-kind, one of them", 2)
     if a.from_span and index.parse_span(a.from_span) is None:
         raise Failure("usage", f"{a.from_span!r} is no PATH:START-END", 2)
-    found = index.similar(_session(), index.roots(a.root, a.workspace), a.query, a.from_span, a.from_kind, max(a.limit, 0), a.legacy_tfidf)
+    found = index.similar(_session(), index.roots(a.root, a.workspace, a.registry), a.query, a.from_span, a.from_kind, max(a.limit, 0), a.legacy_tfidf)
     return found, 0
 
 
@@ -126,7 +126,7 @@ def parser() -> argparse.ArgumentParser:
         v.set_defaults(run=run)
 
     file = (("pipeline",), {})
-    libraries = ((("--root",), {"action": "append"}), (("--workspace",), {"default": "."}))
+    libraries = ((("--root",), {"action": "append"}), (("--workspace",), {"default": "."}), (("--registry",), {}))
     verb("codegen", _codegen, file, (("-o", "--output"), {}))
     verb("validate", _validate, file)
     verb("describe", _describe, (("--include-discovered",), {"action": "store_true"}), *libraries)

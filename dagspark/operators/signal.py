@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tabular import ROW, clean, long_form, numeric, wide_form, with_row_id
+from .tabular import ROW, as_numeric, clean, long_form, numeric, wide_form, with_row_id
 
 # Electrode positions of the 10-20 system on the unit sphere, as (azimuth, elevation) in degrees.
 STANDARD_1020 = {
@@ -20,7 +20,7 @@ STANDARD_1020 = {
 
 def per_channel(df: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """Apply a kernel to each whole channel, one task a channel; a channel must fit in a task's memory."""
-    df = with_row_id(df)
+    df = with_row_id(as_numeric(df))
     cols = numeric(df)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -57,7 +57,7 @@ def welch(df: DataFrame, rate: float = 250.0, nperseg: int = 256) -> DataFrame:
     are transformed segment by segment. All but the first and the last
     frequency are doubled.
     """
-    df = with_row_id(df)
+    df = with_row_id(as_numeric(df))
     cols = numeric(df)
     n = df.count()
     if n < 2 or rate <= 0:
@@ -89,7 +89,7 @@ def erp(df: DataFrame, rate: float = 250.0, tmin: float = -0.2, tmax: float = 0.
     numbers; without any event the middle row is one. Epochs that reach beyond
     the recording are left out.
     """
-    df = clean(with_row_id(df))
+    df = clean(with_row_id(as_numeric(df)))
     cols = numeric(df)
     n = df.count()
     before, after = int(round(tmin * rate)), int(round(tmax * rate))

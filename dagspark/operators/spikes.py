@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tabular import ROW, clean, long_form, numeric, with_row_id
+from .tabular import ROW, as_numeric, clean, long_form, numeric, with_row_id
 
 MAX_UNITS = 10_000
 
@@ -84,6 +84,7 @@ def dff(df: DataFrame, percentile: float = 10.0) -> DataFrame:
     """(x - F0) / F0 for each channel, F0 being its percentile (tiny ones count as 1e-12)."""
     if not 0 <= percentile <= 100:
         raise ValueError("the percentile must lie in 0 to 100")
+    df = as_numeric(df)
     cols, names = numeric(df), df.columns
     df = clean(df)
     base = df.agg(*(F.percentile(c, F.lit(percentile / 100)).alias(f"_f{i}") for i, c in enumerate(cols)))
@@ -94,7 +95,7 @@ def dff(df: DataFrame, percentile: float = 10.0) -> DataFrame:
 def threshold_events(df: DataFrame, threshold: float = 3.0, rate: float = 30.0) -> DataFrame:
     """(time, channel, amplitude) of each rise above mean + threshold deviations of its channel."""
     rate = rate if rate > 0 else 1.0
-    long = long_form(df).withColumn("v", F.coalesce("v", F.lit(float("nan"))))
+    long = long_form(as_numeric(df)).withColumn("v", F.coalesce("v", F.lit(float("nan"))))
     value = F.when(~F.isnan("v"), F.col("v"))
     sd = F.stddev_pop(value)
     cuts = long.groupBy("channel").agg((F.avg(value) + threshold * F.when(sd < 1e-12, 1.0).otherwise(sd)).alias("cut"))

@@ -36,6 +36,13 @@ def numeric(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, NumericType) and f.name != ROW]
 
 
+def as_numeric(df: DataFrame) -> DataFrame:
+    """df for a numerical kernel: as it is if it has numeric columns, else all columns read as numbers (null where they are none)."""
+    if numeric(df):
+        return df
+    return df.withColumns({c: F.expr(f"try_cast(`{c}` as double)") for c in df.columns if c != ROW})
+
+
 def _value(c: str) -> Column:
     """The column as a double, NaN as null."""
     x = F.col(f"`{c}`").cast("double")

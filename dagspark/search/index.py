@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import data_kinds, intent_tokens, tokens
+from ..sources.tables import load_repositories
 from . import rank, scan
 
 _SPAN = re.compile(r"^(?P<path>.+):(?P<start>\d+)-(?P<end>\d+)$")
@@ -16,10 +17,13 @@ _SPAN = re.compile(r"^(?P<path>.+):(?P<start>\d+)-(?P<end>\d+)$")
 PARAM_TYPES = {"int": "number", "float": "number", "bool": "boolean", "str": "string", "Path": "file"}
 
 
-def roots(given: list[str] | None, workspace: str = ".") -> list[str]:
-    """The given folders, else the workspace's src."""
+def roots(given: list[str] | None, workspace: str = ".", registry: str | None = None) -> list[str]:
+    """The given folders, else the workspace's src and the paths of the registered repositories."""
+    if given:
+        return [os.path.abspath(os.path.expanduser(r)) for r in given]
     src = os.path.join(os.path.abspath(os.path.expanduser(workspace)), "src")
-    return [os.path.abspath(os.path.expanduser(r)) for r in given] if given else [src] if os.path.isdir(src) else []
+    known = [e["path"] for e in load_repositories(registry)] if registry else []
+    return [r for r in dict.fromkeys([src, *map(os.path.abspath, known)]) if r != src or os.path.isdir(src)]
 
 
 def chunks(spark: SparkSession, folders: list[str]) -> tuple[DataFrame | None, list[dict]]:
@@ -71,6 +75,17 @@ def seed(found: DataFrame, span: str | None, kind: str | None) -> dict | None:
     return row[0].asDict(recursive=True) if row else None
 
 
+def code_calls(query: str) -> list[str]:
+    """The calls of a query that is Python code; none if it isn't."""
+    if not rank.is_code(query):
+        return []
+    try:
+        one = scan.FileScan(query, "query.py", ".")
+    except SyntaxError:
+        return []
+    return one.calls(one.tree.body)
+
+
 def features(found: DataFrame) -> DataFrame:
     """id, what is said of a chunk in words, its calls and kinds."""
     title = F.when(F.col("chunk_kind") == "block", F.lit("")).otherwise(F.concat_ws(" ", "name", "class_name"))
@@ -97,7 +112,7 @@ def similar(spark: SparkSession, folders: list[str], query: str = "", span: str
             docs = docs.where(F.col("id") != start["qualified_name"])
             query = " ".join([start["name"] if start["chunk_kind"] != "block" else "", start["docstring"] or "", start["leading_comment"] or ""])
         one = spark.range(1).select(intent_tokens(F.lit(query)).alias("t"), tokens(F.lit(query)).alias("w"), data_kinds(tokens(F.lit(query))).alias("k")).first()
-        calls = list(start["calls"]) if start else rank.expand(query)
+        calls = list(start["calls"]) if start else code_calls(query) or rank.expand(query)
         grams = spark.range(1).select(rank.kgrams(rank._list(calls)).alias("g")).first().g
         examined = rank.candidates(docs.withColumn("grams", rank.kgrams(F.col("calls"))), one.t, grams).count()
         fallback = simple or not examined

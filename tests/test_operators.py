@@ -342,6 +342,25 @@ clean = signal.sosfilt(sos, [1.0])
 '''
 
 
+def test_text_columns_become_numbers_for_kernels(spark):
+    df = spark.createDataFrame([(0, "1.5", "x"), (1, "2.5", "y"), (2, "3.5", "4")], f"{ROW} long, a string, b string")
+    got = back(spikes.dff(df, 50))
+    assert got["a"].tolist() == pytest.approx([-0.4, 0.0, 0.4])
+
+
+def test_code_as_a_query():
+    assert index.code_calls("y = signal.butter(4, x)") == ["signal.butter"]
+    assert index.code_calls("bandpass filter") == []
+    assert index.code_calls("broken (") == []
+
+
+def test_registered_roots(tmp_path):
+    path = str(tmp_path / "known.json")
+    tables.save_repositories(path, [{"id": "a", "path": str(tmp_path)}])
+    assert index.roots(None, str(tmp_path), path) == [str(tmp_path)]
+    assert tables.load_repositories(str(tmp_path / "none.json")) == []
+
+
 def test_search(spark, tmp_path):
     (tmp_path / "lib").mkdir()
     (tmp_path / "lib" / "sig.py").write_text(LIBRARY)
