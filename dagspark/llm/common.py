@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import string
 import uuid
 
@@ -31,8 +34,9 @@ def scratch(spark: SparkSession) -> str:
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
-        at = "/tmp/checkpoints/dagspark"
+        at = f"/tmp/checkpoints/dagspark-{os.getpid()}"
         spark.sparkContext.setCheckpointDir(at)
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
     return at.rstrip("/")
 
 
