@@ -22,6 +22,7 @@ gives an empty result; columns beside doc_id and text aren't read.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -33,10 +34,14 @@ from pyspark.sql import functions as F
 
 from .common import doc_key, documents, stored
 
-#: labelled rows to fit on, mined voters at most, and word beginnings that are looked at
-FIT_ROWS, MINED, PREFIXES = 20_000, 40, (4, 5, 6)
-#: a mined word or beginning stands in so many toxic rows at least, and so large a share of its rows is toxic
-MIN_TOXIC, MIN_SHARE, CANDIDATES = 3, 0.8, 3_000
+#: labelled rows to fit on, mined voters at most, letters of the word beginnings that are looked at, and how often they are asked to occur at most
+FIT_ROWS, MINED, PREFIXES, TIMES = 20_000, 40, (4, 5, 6, 7, 8), 3
+#: a mined word or beginning stands in so many toxic rows at least, and so large a share of its rows is toxic; bounds of what the driver looks at
+MIN_TOXIC, MIN_SHARE, CANDIDATES, MARKS = 3, 0.8, 3_000, 150_000
+#: the silence of all voters together speaks against toxicity by this log odds at most, as most voters know one language
+SILENCE = 2.0
+#: marks that may be mined by chance, in all
+CHANCE = 0.01
 
 # Insults by language.
 INSULTS = {
@@ -53,13 +58,16 @@ BUILT_IN = ("lexicon en", "lexicon de", "lexicon fr", "lexicon es", "you and ins
 PRIOR = np.array([[0.5, 0.002], [0.5, 0.002], [0.5, 0.002], [0.5, 0.002], [0.2, 0.0005], [0.05, 0.04]])
 
 
-def _marks(words: Iterable[str]) -> set[str]:
-    """A text's words and word beginnings (the latter with their hyphen)."""
-    words = set(words)
-    out = set(words)
-    for n in PREFIXES:
-        out |= {w[:n] + "-" for w in words if len(w) > n}
-    return out
+def _marks(words: list[str]) -> set[str]:
+    """A text's words and word beginnings (these with a hyphen), and with *2, *3 those that occur as often."""
+    counts = Counter(words)
+    long = Counter[str]()
+    for w, k in counts.items():
+        for n in PREFIXES:
+            if len(w) > n:
+                long[w[:n] + "-"] += k
+    counts.update(long)
+    return {m if t == 1 else f"{m}*{t}" for m, k in counts.items() for t in range(1, min(k, TIMES) + 1)}
 
 
 class Voters:
@@ -69,8 +77,13 @@ class Voters:
         self.mined = mined
         self.lexicons = [frozenset(x) for x in INSULTS.values()]
         self.insults = frozenset().union(*self.lexicons)
-        self.words = {m: len(BUILT_IN) + i for i, m in enumerate(mined) if not m.endswith("-")}
-        self.prefixes = {n: {m[:-1]: len(BUILT_IN) + i for i, m in enumerate(mined) if m.endswith("-") and len(m) == n + 1} for n in PREFIXES}
+        #: by the number of letters (0: whole words): voters of each mark by how often it must occur
+        self.marks: dict[int, dict[str, list[tuple[int, int]]]] = {}
+        for i, m in enumerate(mined):
+            text, _, times = m.partition("*")
+            prefix = text.endswith("-")
+            table = self.marks.setdefault(len(text) - 1 if prefix else 0, {})
+            table.setdefault(text.rstrip("-"), []).append((int(times or 1), len(BUILT_IN) + i))
 
     def __len__(self) -> int:
         return len(BUILT_IN) + len(self.mined)
@@ -78,16 +91,16 @@ class Voters:
     def votes(self, text: str | None) -> list[int]:
         """The numbers of the voters that vote "toxic"; the others abstain."""
         low = (text or "").lower()
-        words = set(_WORD.findall(low))
+        tokens = _WORD.findall(low)
+        words = set(tokens)
         out = [i for i, x in enumerate(self.lexicons) if words & x]
         if words & self.insults and _PAIR.search(low):
             out.append(4)
         if low.count("!!") * 8 > len(words) > 0:
             out.append(5)
-        out += [self.words[w] for w in words & self.words.keys()]
-        for n, marks in self.prefixes.items():
-            if marks:
-                out += [marks[p] for p in {w[:n] for w in words if len(w) > n} & marks.keys()]
+        for n, table in self.marks.items():
+            held = Counter(w[:n] for w in tokens if len(w) > n and w[:n] in table) if n else Counter(w for w in tokens if w in table)
+            out += [i for m, k in held.items() for times, i in table[m] if k >= times]
         return sorted(out)
 
 
@@ -107,14 +120,17 @@ def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 40) -> tuple
         a = (p @ x + 0.5) / (n1 + 1)
         b = ((1 - p) @ x + 0.5) / (n0 + 1)
         if i == rounds // 2:
-            rest = votes - (np.outer(p, a[:-1]) + np.outer(1 - p, b[:-1]))
-            scale = np.sqrt((rest**2).mean(0)) + 1e-9
-            correlations = (rest.T @ rest) / len(rest) / np.outer(scale, scale)
+            # what is left of the votes' covariances after that which the two classes bring about
+            share, gap = p.mean(), a[:-1] - b[:-1]
+            rest = np.cov(votes.T, bias=True).reshape(len(gap), -1) - share * (1 - share) * np.outer(gap, gap)
+            scale = np.sqrt(share * a[:-1] * (1 - a[:-1]) + (1 - share) * b[:-1] * (1 - b[:-1])) + 1e-9
+            correlations = rest / np.outer(scale, scale)
             extra = np.maximum(np.abs(correlations) - 0.1, 0)
             weight = 1 / (1 + extra.sum(1) - extra.diagonal())
-        w = np.append(weight, 1.0)
-        gain = x @ (w * np.log(a / b)) + (1 - x) @ (w * np.log((1 - a) / (1 - b)))
-        p = 1 / (1 + np.exp(-np.clip(np.log((n1 + 1) / (n0 + 1)) + gain, -30, 30)))
+        silence = (1 - votes) @ (weight * np.log((1 - a[:-1]) / (1 - b[:-1])))
+        said = votes @ (weight * np.log(a[:-1] / b[:-1])) + np.where(given == 1, np.log(a[-1] / b[-1]), np.log((1 - a[-1]) / (1 - b[-1])))
+        prior = np.log((n1 + 1) / (n0 + 1))
+        p = 1 / (1 + np.exp(-np.clip(prior + said + np.maximum(silence, -SILENCE), -30, 30)))
     return p, np.column_stack([a[:-1], b[:-1]]), correlations
 
 
@@ -172,10 +188,10 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, fit_rows: int = F
     if not n1 or not n0:
         z = np.log(PRIOR[:, 0] / PRIOR[:, 1])
         return Model([], np.append(z, -2.5), PRIOR, np.eye(len(PRIOR)))
-    often = {r.mark: r.n for r in _counts(toxic).where(F.col("n") >= MIN_TOXIC).orderBy(F.desc("n"), "mark").limit(20 * CANDIDATES).collect()}
+    often = {r.mark: r.n for r in _counts(toxic).where(F.col("n") >= MIN_TOXIC).orderBy(F.desc("n"), "mark").limit(MARKS).collect()}
     other = {r.mark: r.n for r in _counts(clean, frozenset(often)).collect()}
     share = {m: (n / n1) / (n / n1 + (other.get(m, 0) + 0.5) / n0) for m, n in often.items()}
-    candidates = sorted((m for m in often if often[m] >= MIN_SHARE * (often[m] + other.get(m, 0)) and share[m] >= MIN_SHARE), key=lambda m: (-often[m] * share[m], m.endswith("-"), -len(m), m))[:CANDIDATES]
+    candidates = sorted((m for m in often if often[m] >= MIN_SHARE * (often[m] + other.get(m, 0)) and share[m] >= MIN_SHARE), key=lambda m: (-often[m] * share[m], "*" in m, "-" in m, -len(m), m))[:CANDIDATES]
     number = {m: i for i, m in enumerate(candidates)}
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,9 +208,12 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, fit_rows: int = F
     for g, marks in enumerate(groups):
         for m in marks:
             holders[m].add(g)
-    while len(mined) < MINED and uncovered and candidates:
-        best = max(range(len(candidates)), key=lambda m: (len(holders[m] & uncovered), -m))
-        if len(holders[best] & uncovered) < MIN_TOXIC:
+    # so many different toxic texts that none of all the marks would be expected to reach by chance
+    enough = max(MIN_TOXIC, math.ceil(math.log(len(often) / CHANCE + 1) / math.log((n1 + n0) / n1)))
+    usable_marks = [m for m in range(len(candidates)) if len(holders[m]) >= enough]
+    while len(mined) < MINED and uncovered and usable_marks:
+        best = max(usable_marks, key=lambda m: (len(holders[m] & uncovered), -m))
+        if not holders[best] & uncovered:
             break
         mined.append(candidates[best])
         uncovered -= holders[best]
