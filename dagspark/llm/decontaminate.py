@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, documents, padded_words, spaces, stored
+from .common import LOWER, UPPER, documents, padded_words, stored
 
 WINDOW, NEAR = 10, 8
 #: the benchmark's distinct terms are broadcast only up to this many (of at most _TERM_BYTES), else joined by a shuffle

@@ -12,7 +12,8 @@ whenever the two segments differ in at most one bit, the sides share a key. No
 link is lost, and each candidate is verified by its number of differing bits.
 
 Equal fingerprints are merged before the join, so groups of copies make no
-pairs. Null and empty texts have the fingerprint zero and are linked like any
+pairs; a fingerprint has 43,744 others within three bits, so its links are
+bounded however many near copies there are. Null and empty texts have the fingerprint zero and are linked like any
 other. Rows with a null doc_id take part; a component that has no other rows
 has a null component_id. Repeated rows each give a row.
 """
