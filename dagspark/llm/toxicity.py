@@ -6,7 +6,7 @@ word beginnings that are mined from labelled rows (those that stand in toxic
 rows and hardly in others, chosen one after another by how many toxic rows
 they add). A generative label model then estimates, by expectation
 maximisation over the votes with the given label as one noisy voter more, how
-often each voter votes for either class, and from the residuals which voters
+often each voter votes for either class, and from their covariances which voters
 are correlated; correlated voters count less. A logistic regression is trained
 on its posterior labels and scores the texts by their votes.
 
