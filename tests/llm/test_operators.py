@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import json
 import math
+import random
 import re
 import struct
 import zlib
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 import sentencepiece
 import xxhash
-from dagspark.llm import components, decontaminate, licenses, ngram_lm, quality, registry, rendezvous, sentencepiece_codec, simhash, substring_dedup, suffix_array, toxicity, warc
+from dagspark.llm import components, decontaminate, licenses, near_copies, ngram_lm, quality, registry, rendezvous, sentencepiece_codec, simhash, substring_dedup, suffix_array, toxicity, warc
 from dagspark.llm.common import doc_key
 from pyspark.sql import functions as F
 
@@ -117,6 +118,33 @@ def test_simhash_null_ids_and_empty(spark):
     assert simhash.near_duplicates(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("sample", [5000, 0])
+def test_near_copies_against_brute_force(spark, monkeypatch, sample):
+    monkeypatch.setattr(near_copies, "SAMPLE", sample)
+    rng, line = random.Random(5), words(20, 77)
+    texts = odd_texts()
+    for seed in range(12):
+        w = words(150, 300 + seed, 3000).split()
+        for changed in (0, 1, 2, 3, 3, 4, 5):
+            x = list(w)
+            for at in rng.sample(range(150), changed):
+                x[at] = f"new{rng.randrange(10**6)}"
+            texts.append(f"{' '.join(x)} {line}")
+    sets = [set(near_copies.shingle_set(t).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    far = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                far += (simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])).bit_count() > simhash.MAX_BITS
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    assert far > 20
+    got = by_id(near_copies.groups(table(spark, texts)))
+    assert [got[i]["component_id"] for i in range(len(texts))] == root
+    assert near_copies.groups(table(spark, texts).where("false")).count() == 0
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 500), (600, 601), (601, 600)], "a long, b long")
     got = {r.node: r.root for r in components.components(edges).collect()}
