@@ -7,8 +7,14 @@ postings, less the term's offset in the item, are the alignments at which the
 item may stand in a document. They are intersected with the next rarest term's
 offset-adjusted postings, and what is left with those of all the item's terms.
 This gives for each alignment the item words that stand where they should: runs
-as long as a window are exact phrase matches, windows with at least `near` of
-their words in place (the two rarest included) are proximity matches.
+as long as a window are exact phrase matches.
+
+A proximity match is a window that isn't matched exactly, of which at least
+`near` words stand in a document at alignments that differ by no more than the
+words a window may lack, so that words may be replaced, put in or left out. At
+most window - near of its words are missing, so of its window - near + 2 rarest
+terms at least two stand there: every pair of those is looked up, whichever
+they are, and no match is lost.
 
 Null and empty texts have no words and no hits. Null item_ids aren't reported,
 though their words are hit. Repeated documents each give a row; repeated
@@ -73,48 +79,91 @@ def alignments(postings: DataFrame, items: DataFrame, window: int = WINDOW) -> D
     return found.groupBy("rid", "iid", "delta", "length").agg(F.array_sort(F.collect_list("item_pos")).alias("found"))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: int = NEAR) -> tuple[DataFrame, DataFrame]:
-    """(texts, hits): texts(rid, doc_id, n_words) and, for each alignment that matches,
-    hits(rid, iid, start, exact, near): exact has the positions of all words in exact
-    phrase matches, near the starts of windows that match in part."""
-    postings, items = index(docs, benchmark)
+def nearly(postings: DataFrame, items: DataFrame, window: int = WINDOW, near: int = NEAR) -> DataFrame:
+    """(rid, iid, starts): starts has the sorted first item positions of the windows that match in part."""
+    slack = window - near
+    wide = F.least(F.col("length"), F.lit(window))
+    # shorter items can lack nothing
+    items = items.where(F.col("length") > near)
+    df = postings.where(F.col("term") != _END).groupBy("term").agg(F.count("*").alias("df"))
+    starts = F.sequence(F.greatest(F.lit(0), F.col("pos") - window + 1), F.least(F.col("pos"), F.col("length") - wide))
+    # a term that no document has is missing everywhere: it is among the rarest too
+    by_rarity = F.struct(F.coalesce("df", F.lit(0)).alias("df"), "pos", "term").alias("by_rarity")
+    of_window = items.join(df, "term", "left").select("iid", "length", F.explode(starts).alias("start"), by_rarity)
+    rarest = of_window.groupBy("iid", "start", wide.alias("wide")).agg(F.array_sort(F.collect_list("by_rarity")).alias("r"))
+    rarest = rarest.select("iid", F.explode(F.slice("r", F.lit(1), F.col("wide") - near + 2)).alias("r")).select("iid", F.col("r.pos").alias("pos"), F.col("r.term").alias("term"))
+    seeds = stored(rarest.distinct(), "seed_terms")
+    # alignments fall into two overlapping ranges each, so that any slack + 1 neighbours share one
+    step = slack + 1
+    nth = F.floor((F.col("at") - F.col("pos")) / step).cast("int")
+    places = postings.select("rid", "term", F.col("pos").alias("at")).join(seeds, "term").select("rid", "iid", "pos", F.explode(F.array(nth - 1, nth)).alias("range"))
+    ranges = places.groupBy("rid", "iid", "range").agg(F.min("pos").alias("low"), F.max("pos").alias("high")).where("low < high").select("rid", "iid", "range")
+    wanted = stored(ranges, "near_ranges").join(items.select("iid", "pos", "term", "length"), "iid")
+    by_rid = [F.col("p.rid") == F.col("w.rid"), F.col("p.term") == F.col("w.term"), (F.col("p.pos") - F.col("w.pos")).between(F.col("range") * step, F.col("range") * step + 2 * step - 1)]
+    placed = postings.alias("p").join(wanted.hint("shuffle_hash").alias("w"), by_rid).select("w.rid", "iid", "length", "range", F.struct(F.col("w.pos").alias("pos"), F.col("p.pos").alias("at")).alias("place"))
+    found = placed.groupBy("rid", "iid", "length", "range").agg(F.array_sort(F.collect_list("place")).alias("places")).where(F.size("places") >= near)
+    of_delta = found.select("rid", "iid", "length", "places", F.explode(F.sequence(F.col("range") * step, F.col("range") * step + slack)).alias("delta"))
+    close = F.filter("places", lambda x: (x["at"] - x["pos"]).between(F.col("delta"), F.col("delta") + slack))
+    of_delta = of_delta.select("rid", "iid", "length", "delta", close.alias("places")).where(F.size("places") >= near)
+    first, last = F.element_at("places", 1)["pos"], F.element_at("places", -1)["pos"]
+    start = F.explode(F.sequence(F.greatest(F.lit(0), first - slack), F.greatest(F.lit(0), F.least(last, F.col("length") - wide))))
+    of_start = of_delta.where(F.greatest(F.lit(0), first - slack) <= F.greatest(F.lit(0), F.least(last, F.col("length") - wide))).select("*", start.alias("start"))
+    inside = F.filter("places", lambda x: x["pos"].between(F.col("start"), F.col("start") + wide - 1))
+    of_start = of_start.select("rid", "iid", "length", "delta", "start", inside.alias("places"))
+    enough = (F.size(F.array_distinct("places.pos")) >= near) & (F.size(F.array_distinct("places.at")) >= near)
+    exact = F.exists(F.sequence(F.col("delta"), F.col("delta") + slack), lambda d: F.size(F.filter("places", lambda x: x["at"] - x["pos"] == d)) == wide)
+    return of_start.where(enough & ~exact).groupBy("rid", "iid").agg(F.array_sort(F.collect_set("start")).alias("starts"))
+
+
+def matches(postings: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """hits(rid, iid, start, exact) for each alignment that matches: exact has the positions of all words in exact phrase matches."""
     aligned = alignments(postings, items, window)
     wide = F.least(F.col("length"), F.lit(window))
     found = F.col("found")
     starts = F.filter(found, lambda x, j: F.get(found, j + wide - 1) == x + wide - 1)
-    need = F.least(F.col("length"), F.lit(near))
-    partly = F.filter(found, lambda x, j: (F.get(found, j + need - 1) <= x + wide - 1) & (F.size(found) < F.col("length")))
     spans = F.flatten(F.transform(starts, lambda s: F.sequence(s + F.col("delta"), s + F.col("delta") + wide - 1)))
-    hits = aligned.select("rid", "iid", F.col("delta").alias("start"), F.array_distinct(spans).alias("exact"), F.array_except(partly, starts).alias("near"))
-    hits = stored(hits.where((F.size("exact") > 0) | (F.size("near") > 0)), "benchmark_hits")
-    texts = postings.where(F.col("term") == _END).select("rid", "doc_id", F.col("pos").cast("bigint").alias("n_words"))
-    names = items.select("iid", "item_id").distinct()
-    return texts, hits.join(names, "iid")
+    hits = aligned.select("rid", "iid", F.col("delta").alias("start"), F.array_distinct(spans).alias("exact"))
+    return stored(hits.where(F.size("exact") > 0), "benchmark_hits")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row for each document: its words, those hit, and the items with exact matches in it."""
-    texts, hits = matches(docs, benchmark, window)
-    exact = hits.where(F.size("exact") > 0)
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: int | None = NEAR) -> DataFrame:
+    """One row for each document: its words, those hit, and the items with exact matches in it; and, unless near is None, the items with proximity matches."""
+    postings, items = index(docs, benchmark)
+    names = items.select("iid", "item_id").distinct()
+    exact = matches(postings, items, window).join(names, "iid")
     words = exact.select("rid", F.explode("exact").alias("pos")).distinct().groupBy("rid").agg(F.count("*").alias("n_hit"))
-    items = exact.groupBy("rid").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
-    partly = hits.where(F.size("near") > 0).groupBy("rid").agg(F.count("*").alias("n_near"))
-    found = stored(words.join(items, "rid", "full").join(partly, "rid", "full"), "contamination")
+    found = words.join(exact.groupBy("rid").agg(F.collect_set(F.col("item_id").cast("string")).alias("items")), "rid", "full")
+    if near is not None:
+        partly = stored(nearly(postings, items, window, near), "near_hits").join(names, "iid").groupBy("rid").agg(F.collect_set(F.col("item_id").cast("string")).alias("near_items"))
+        found = found.join(partly, "rid", "full")
+    found = stored(found, "contamination")
     none = F.array().cast("array<string>")
     listed = F.array_sort(F.coalesce("items", none))
-    return texts.join(found, "rid", "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
+    texts = postings.where(F.col("term") == _END).select("rid", "doc_id", F.col("pos").cast("bigint").alias("n_words"))
+    out = texts.join(found, "rid", "left")
+    columns = [
+        F.col("doc_id"), F.col("n_words"), F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
         F.size(listed).cast("bigint").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"),
-        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"),
-    )
+        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+    ]
+    if near is not None:
+        nearby = F.array_sort(F.coalesce("near_items", none))
+        columns += [F.size(nearby).cast("bigint").alias("n_near"), nearby.alias("near_items")]
+    return out.select(*columns)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("n_near")
+    """Exact matches, as its SQL has them."""
+    return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), near=None)
+
+
+def op2_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the items that match in part."""
+    return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 _WORDS_SQL = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
-QUERIES = {"op2_decontaminate": op2_decontaminate}
+QUERIES = {"op2_decontaminate": op2_decontaminate, "op2_proximity": op2_proximity}
 ORACLE_SQL = {
     "op2_decontaminate": f"""
 WITH d AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),

@@ -225,6 +225,42 @@ def test_proximity_matches(spark):
     assert (got[1]["n_hit"], got[1]["n_near"]) == (10, 0)
 
 
+def brute_near(w, v, n=10, near=8):
+    wide = min(n, len(v))
+    for s in range(len(v) - wide + 1) if len(v) > near else ():
+        for d in range(-len(v), len(w)):
+            at = [(p, p + x) for p in range(s, s + wide) for x in range(d, d + n - near + 1) if 0 <= p + x < len(w) and w[p + x] == v[p]]
+            whole = any(sum(b - a == x for a, b in at) == wide for x in range(d, d + n - near + 1))
+            if min(len({a for a, _ in at}), len({b for _, b in at})) >= near and not whole:
+                return True
+    return False
+
+
+def test_proximity_survives_edits(spark):
+    rng = random.Random(8)
+    items = [words(k, 400 + k, 60) for k in (7, 8, 9, 10, 11, 25)]
+    texts = ["", None, *items]
+    for item in items:
+        for edit in ("replace", "insert", "drop", "swap") * 4:
+            w = item.split()
+            for _ in range(rng.randrange(1, 4)):
+                at = rng.randrange(len(w))
+                if edit == "replace":
+                    w[at] = "other"
+                elif edit == "insert":
+                    w.insert(at, words(1, at, 60))
+                elif edit == "drop":
+                    del w[at]
+                else:
+                    w[at - 1], w[at] = w[at], w[at - 1]
+            texts.append(f"{words(5, len(texts), 60)} {' '.join(w)} {words(5, len(texts) + 1, 60)}")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = by_id(decontaminate.contamination(table(spark, texts), bench))
+    want = {i: sorted(str(k) for k, v in enumerate(items) if brute_near((t or "").split(), v.split())) for i, t in enumerate(texts)}
+    assert {i: r["near_items"] for i, r in got.items()} == want
+    assert sum(map(bool, want.values())) > 30
+
+
 # --- 5: suffix arrays ------------------------------------------------------------------------------------------
 def test_suffix_arrays_against_sorting():
     rng = np.random.default_rng(1)
