@@ -96,7 +96,8 @@ def nearly(postings: DataFrame, items: DataFrame, window: int = WINDOW, near: in
     # alignments fall into two overlapping ranges each, so that any slack + 1 neighbours share one
     step = slack + 1
     nth = F.floor((F.col("at") - F.col("pos")) / step).cast("int")
-    places = postings.select("rid", "term", F.col("pos").alias("at")).join(seeds, "term").select("rid", "iid", "pos", F.explode(F.array(nth - 1, nth)).alias("range"))
+    places = postings.select("rid", "term", F.col("pos").alias("at")).join(seeds, "term").select("rid", "iid", "pos", nth.alias("nth")).repartition("rid", "iid")
+    places = places.select("rid", "iid", "pos", F.explode(F.array(F.col("nth") - 1, F.col("nth"))).alias("range"))
     ranges = places.groupBy("rid", "iid", "range").agg(F.min("pos").alias("low"), F.max("pos").alias("high")).where("low < high").select("rid", "iid", "range")
     wanted = stored(ranges, "near_ranges").join(items.select("iid", "pos", "term", "length"), "iid")
     by_rid = [F.col("p.rid") == F.col("w.rid"), F.col("p.term") == F.col("w.term"), (F.col("p.pos") - F.col("w.pos")).between(F.col("range") * step, F.col("range") * step + 2 * step - 1)]
