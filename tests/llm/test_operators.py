@@ -370,6 +370,11 @@ def _proto(fields):
     return out
 
 
+def test_every_text_is_verified(spark):
+    texts = [words(20, 500 + i) for i in range(40)]
+    assert [r.parity for r in sentencepiece_codec.encode(table(spark, texts)).collect()] == [True] * 40
+
+
 @pytest.mark.parametrize("one_space", [0, 1])
 def test_unigram_models(tmp_path, one_space):
     pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{i:02X}>", 0.0, 6) for i in range(256)]
