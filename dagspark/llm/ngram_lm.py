@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER_TABLE, doc_key, documents, scratch
 
-ORDER = 2
+ORDER = 3
 #: tokens that a task counts before it deals out what it has, and tokens scored at once
 COUNT_TOKENS, SCORE_TOKENS = 1 << 22, 1 << 20
 #: words whose hashes a task keeps

@@ -562,6 +562,12 @@ def test_language_model_against_brute_force(spark, order):
         assert got[i]["base_score"] == pytest.approx(sum(math.log10((raw[x] + 1) / (model.tokens + len(raw) + 1)) for x in w))
 
 
+def test_default_model_uses_two_words_of_context(spark):
+    texts = ["a b c", "d b e"] * 30
+    got = by_id(ngram_lm.score(table(spark, ["a b c", "d b c"]), ngram_lm.train(table(spark, texts))))
+    assert got[0]["score"] > got[1]["score"] + 0.1
+
+
 def test_language_model_without_training(spark):
     df = table(spark, ["a b", None])
     model = ngram_lm.train(df.where("false"))
