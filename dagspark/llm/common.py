@@ -8,7 +8,7 @@ import shutil
 import string
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
@@ -55,6 +55,22 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """The table read by df with a bigint column `name`: a number of each row, the same in every scan.
+
+    It is made of the row's file and its place in it, so it depends neither on
+    how files are dealt to tasks nor on lost executors. What isn't read from
+    Parquet is stored with its numbers first.
+    """
+    if not df.inputFiles():
+        return stored(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    files = stored(df.select(F.col("_metadata.file_path").alias("_file")).groupBy("_file").agg(F.count("*").alias("_rows")), "files")
+    nth = stored(files.select("_file", (F.row_number().over(Window.orderBy("_file")) - 1).cast("bigint").alias("_nth")), "numbered_files")
+    placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+    number = F.shiftleft(F.col("_nth"), 40).bitwiseOR(F.col("_place"))
+    return placed.join(nth, "_file").withColumn(name, number).drop("_file", "_nth", "_place")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bounded(spark).read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -33,7 +33,7 @@ from .components import components
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 3
 #: generator polynomial of the (23, 12) Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
-GOLAY = 0b110001110101
+GOLAY, GOLAY_BITS = 0b110001110101, 23
 #: doc_ids lie below this; components without any doc_id are numbered from here
 _NO_ID = 1 << 62
 
@@ -74,16 +74,22 @@ def remainders(words: np.ndarray) -> np.ndarray:
     return r
 
 
-def golay_indices() -> tuple[np.ndarray, np.ndarray]:
-    """For each 16-bit word: its codeword's index, and the indices of all words within one bit.
-
-    The second is padded to a rectangle with -1.
-    """
+def golay_leaders() -> np.ndarray:
+    """For each remainder the error of at most three bits that leaves it; a word less its error is its codeword."""
     errors = [0] + [1 << i for i in range(23)] + [1 << i | 1 << j for i in range(23) for j in range(i)]
     errors += [1 << i | 1 << j | 1 << k for i in range(23) for j in range(i) for k in range(j)]
     errors = np.array(errors)
     leader = np.zeros(1 << 11, np.int64)
     leader[remainders(errors)] = errors
+    return leader
+
+
+def golay_indices() -> tuple[np.ndarray, np.ndarray]:
+    """For each 16-bit word: its codeword's index, and the indices of all words within one bit.
+
+    The second is padded to a rectangle with -1.
+    """
+    leader = golay_leaders()
     word = np.arange(1 << 16)
     near = np.stack([word] + [word ^ (1 << i) for i in range(16)], axis=1)
     index = (near ^ leader[remainders(near)]) >> 11

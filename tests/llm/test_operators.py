@@ -118,9 +118,7 @@ def test_simhash_null_ids_and_empty(spark):
     assert simhash.near_duplicates(df.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("sample", [5000, 0])
-def test_near_copies_against_brute_force(spark, monkeypatch, sample):
-    monkeypatch.setattr(near_copies, "SAMPLE", sample)
+def test_near_copies_against_brute_force(spark):
     rng, line = random.Random(5), words(20, 77)
     texts = odd_texts()
     for seed in range(12):
@@ -145,6 +143,36 @@ def test_near_copies_against_brute_force(spark, monkeypatch, sample):
     assert near_copies.groups(table(spark, texts).where("false")).count() == 0
 
 
+def test_near_copy_keys_meet():
+    rng = np.random.default_rng(3)
+    for n, shared, least in ((100, 89, 0.95), (100, 95, 0.99), (9, 8, 0.95)):  # shingles of both texts, those in common
+
+        def texts(own, n=n, shared=shared):
+            return np.stack([near_copies.bit_sums(np.concatenate([x, rng.integers(0, 1 << 64, n - shared, np.uint64)])) for x in own])
+
+        common = [rng.integers(0, 1 << 64, shared, np.uint64) for _ in range(600)]
+        one, other = texts(common), texts(common)
+        met = [{abs(a) & (near_copies._OWN - 1) for a in x if a >= near_copies._OWN} & {b & (near_copies._OWN - 1) for b in y} for x, y in (*zip(near_copies.keys(one), near_copies.keys(other), strict=True),)]
+        assert np.mean([bool(m) for m in met]) > least - 0.07  # one way only; the join looks up both ways
+        assert (((one > 0) != (other > 0)).mean(1) < near_copies.MAX_DIFFERENT).mean() > 0.99
+        strangers = [{b & (near_copies._OWN - 1) for b in y} & {a & (near_copies._OWN - 1) for a in x} for x, y in zip(near_copies.keys(one[:-1]), near_copies.keys(one[1:]), strict=True)]
+        assert np.mean([bool(m) for m in strangers]) < 0.02
+
+
+def test_nearby_codewords_are_codewords_in_order():
+    rng = np.random.default_rng(4)
+    sums = rng.integers(-40, 41, (200, 23))
+    index, distance = near_copies.nearby_codewords(sums)
+    word = index << 11
+    word = word | simhash.remainders(word)
+    bits = (word[:, :, None] >> np.arange(23)) & 1
+    want = np.where(bits != (sums > 0)[:, None, :], np.abs(sums)[:, None, :], 0).sum(2)
+    here = np.isfinite(distance)
+    assert (distance[here] == want[here]).all()
+    assert (np.diff(np.where(here, distance, 1e9), axis=1) >= 0).all()
+    assert all(len(set(i[h].tolist())) == h.sum() for i, h in zip(index, here, strict=True))
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 500), (600, 601), (601, 600)], "a long, b long")
     got = {r.node: r.root for r in components.components(edges).collect()}
