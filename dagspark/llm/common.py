@@ -7,6 +7,10 @@ import os
 import shutil
 import string
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from typing import IO
+from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -55,6 +59,42 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def opened(folder: str, name: str) -> Iterator[IO[bytes]]:
+    """A new file in a folder that is local to all or that Arrow opens; it gets its name when it is whole, so a task may run again."""
+    parsed = urlparse(folder)
+    if parsed.scheme in ("", "file"):
+        os.makedirs(parsed.path, exist_ok=True)
+        with open(part := f"{parsed.path}/.{name}.{uuid.uuid4().hex}", "wb") as f:
+            yield f
+        os.replace(part, f"{parsed.path}/{name}")
+        return
+    from pyarrow.fs import FileSystem
+
+    fs, base = FileSystem.from_uri(folder)
+    fs.create_dir(base, recursive=True)
+    with fs.open_output_stream(f"{base}/{name}") as f:
+        yield f
+
+
+def openable(path: str) -> bool:
+    """Whether Arrow knows the path's file system."""
+    from pyarrow.fs import FileSystem
+
+    try:
+        FileSystem.from_uri(path)
+    except (OSError, ValueError):  # what Arrow raises for schemes that it lacks
+        return False
+    return True
+
+
+def reading(path: str) -> IO[bytes]:
+    from pyarrow.fs import FileSystem
+
+    fs, name = FileSystem.from_uri(path)
+    return fs.open_input_stream(name, compression=None)
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """The table read by df with a bigint column `name`: a number of each row, the same in every scan.
 

@@ -20,31 +20,30 @@ import base64
 import gzip
 import hashlib
 import html
+import io
 import json
 import re
 import uuid
 from collections.abc import Iterator
+from typing import IO
 from urllib.parse import urljoin
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import bounded
+from .common import BATCH_BYTES, bounded, openable, opened, reading
 
 #: pages have no date of their own
 DATE = "2026-01-01T00:00:00Z"
 CRLF = "\r\n"
 
-_QUOTED = "\"[^\"]{0,2048}+\"|'[^']{0,2048}+'"
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|template|noscript|svg|iframe)\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    rf"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*+)(?:(?P<attrs>(?:[^>\"']++|{_QUOTED}){{0,256}}+)>|(?P<loose>[^>]*+)>)"
-    r"|<[!?][^>]*+>",
-    re.I | re.S,
-)
-_OPEN = re.compile(r"<(?:!--|script\b|style\b|[a-z/][^<]*\Z)", re.I)
-_ATTR = re.compile(rf"([^\s=/>\"']++)(?:\s*=\s*({_QUOTED}|[^\s>]++))?")
+_MARKUP = re.compile(r"<(?:!--|[!?]|(?P<end>/?)(?P<name>[a-z][^\s/>]*+))", re.I)
+_GAP = re.compile(r"[\s/]*+")
+_NAME = re.compile(r"[^\s/>][^\s/>=]*+")
+_IS = re.compile(r"\s*+=\s*+")
+_BARE = re.compile(r"[^\s>]*+")
+#: elements whose content is no text, with their ends
+_RAW = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*+>", re.I) for x in ("script", "style", "template", "noscript", "svg", "iframe")}
 # Elements that end a line of text, and attributes that hold links.
 BLOCKS = frozenset("address article aside blockquote br dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol option p pre section table tbody td th thead title tr ul".split())
 LINKS = {"a": "href", "area": "href", "link": "href", "img": "src", "frame": "src", "embed": "src", "source": "src", "form": "action", "base": "href"}
@@ -59,6 +58,70 @@ def derived_id(kind: str, source: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind} {source}')}>"
 
 
+class _Markup:
+    """A page's tags, in one pass from left to right.
+
+    A quoted value goes on to its closing quote, however far that is and
+    whatever it holds; where there is none the quote is a character like others.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        #: from where on there is no further quote of a kind
+        self.none_from = {"\"": len(page), "'": len(page)}
+
+    def _closing(self, quote: str, at: int) -> int:
+        if at >= self.none_from[quote]:
+            return -1
+        found = self.page.find(quote, at)
+        if found < 0:
+            self.none_from[quote] = at
+        return found
+
+    def attributes(self, at: int, wanted: bool) -> tuple[dict[str, str], int]:
+        """The attributes (the first of each name, if wanted) from a tag's name on, and where its text ends; -1 if it has no end."""
+        page, found = self.page, {}
+        while True:
+            at = _GAP.match(page, at).end()
+            name = _NAME.match(page, at)
+            if not name:
+                return found, at + 1 if at < len(page) else -1
+            at, value = name.end(), ""
+            if sign := _IS.match(page, at):
+                at = sign.end()
+                quote = page[at : at + 1]
+                stop = self._closing(quote, at + 1) if quote in self.none_from else -1
+                if stop >= 0:
+                    value, at = page[at + 1 : stop], stop + 1
+                else:
+                    bare = _BARE.match(page, at)
+                    value, at = bare[0].strip("\"'"), bare.end()
+            if wanted:
+                found.setdefault(name[0].lower(), html.unescape(value))
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, bool, dict[str, str]]]:
+        """Start, end, name ('' of comments and raw elements), whether it is an end tag, and attributes of each."""
+        page, at, last = self.page, 0, self.page.rfind(">")
+        while m := _MARKUP.search(page, at):
+            start, name, attrs = m.start(), (m["name"] or "").lower(), {}
+            if m[0] == "<!--":
+                stop = page.find("-->", m.end())
+                at = stop + 3 if stop >= 0 else len(page)
+            elif not name:
+                stop = page.find(">", m.end())
+                at = stop + 1 if stop >= 0 else len(page)
+            else:
+                # what no ">" follows isn't closed
+                attrs, at = self.attributes(m.end(), not m["end"] and (name in LINKS or name == "meta")) if m.end() <= last else ({}, -1)
+                if at < 0:
+                    at = len(page)
+                    name = ""
+                elif name in _RAW and not m["end"]:
+                    closed = _RAW[name].search(page, at)
+                    at, name = closed.end() if closed else len(page), ""
+            yield start, at, name, bool(m["end"]), attrs
+
+
 def parse(page: str, base: str) -> dict:
     """title, metas, links and plain text of a page."""
     text: list[str] = []
@@ -67,38 +130,32 @@ def parse(page: str, base: str) -> dict:
     title = None
     title_at = anchor = None
     at = 0
-    # without a ">" ahead there is no tag, only a comment or a raw element that isn't closed
-    for m in _TOKEN.finditer(page, 0, page.rfind(">") + 1):
-        if m.start() > at:
-            text.append(page[at : m.start()])
-        at = m.end()
-        name = (m["name"] or "").lower()
+    for start, stop, name, end, attrs in _Markup(page):
+        if start > at:
+            text.append(page[at:start])
+        at = stop
         if not name:
             continue
         if name in BLOCKS:
             text.append("\n")
-        if m["end"]:
+        if end:
             if name == "title" and title_at is not None and title is None:
                 title = " ".join(html.unescape("".join(text[title_at:])).split())
             elif name == "a" and anchor is not None:
                 links[anchor[0]]["text"] = " ".join(html.unescape("".join(text[anchor[1] :])).split())
                 anchor = None
-            continue
-        if name == "title":
+        elif name == "title":
             title_at = len(text)
-        elif name in LINKS or name == "meta":
-            attrs = {k.lower(): html.unescape(v.strip("\"'")) for k, v in reversed(_ATTR.findall(m["attrs"] or m["loose"] or ""))}
-            if name == "meta":
-                metas.append(dict(sorted(attrs.items())))
-            elif link := attrs.get(LINKS[name]):
-                if name == "base":
-                    base = _absolute(base, link)
-                    continue
-                links.append({"path": f"{name.upper()}@/{LINKS[name]}", "url": _absolute(base, link)})
-                if name == "a":
-                    anchor = (len(links) - 1, len(text))
-    tail = page[at:]
-    text.append(tail[: m.start()] if (m := _OPEN.search(tail)) else tail)
+        elif name == "meta":
+            metas.append(dict(sorted(attrs.items())))
+        elif name in LINKS and (link := attrs.get(LINKS[name])):
+            if name == "base":
+                base = _absolute(base, link)
+                continue
+            links.append({"path": f"{name.upper()}@/{LINKS[name]}", "url": _absolute(base, link)})
+            if name == "a":
+                anchor = (len(links) - 1, len(text))
+    text.append(page[at:])
     plain = _BLANK.sub(" ", html.unescape("".join(text)).replace("\r", "\n"))
     lines = [line for x in plain.split("\n") if (line := x.strip())]
     return {"title": title, "metas": metas, "links": links, "text": "\n".join(lines)}
@@ -185,49 +242,77 @@ def record_bytes(kind: str, record_id: str, target: str, date: str, content_type
 
 
 def save(derived: DataFrame, folder: str) -> DataFrame:
-    """Write one WARC file for each partition; returns (file, records). The folder is local to all, or a URI that Arrow opens."""
-    from .ngram_lm import Files
+    """Write one WARC file for each partition, record by record; returns (file, records). The folder is local to all, or a URI that Arrow opens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         from pyspark import TaskContext
 
-        name = f"part-{TaskContext.get().partitionId():05d}.warc.gz"
-        data, n = bytearray(), 0
-        for batch in batches:
-            for r in batch.to_pylist():
-                data += record_bytes(r["record_type"], r["record_id"], r["target_uri"], r["date"], r["content_type"], r["block"].encode(), {"WARC-Refers-To": r["refers_to"], "WARC-Payload-Digest": r["source_digest"]})
-                n += 1
-        Files(folder).write(name, np.frombuffer(bytes(data), np.uint8))
+        name, n = f"part-{TaskContext.get().partitionId():05d}.warc.gz", 0
+        with opened(folder, name) as f:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    f.write(record_bytes(r["record_type"], r["record_id"], r["target_uri"], r["date"], r["content_type"], r["block"].encode(), {"WARC-Refers-To": r["refers_to"], "WARC-Payload-Digest": r["source_digest"]}))
+                    n += 1
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["file", "records"])
 
     return derived.mapInArrow(run, "file string, records long")
 
 
-def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of a WARC file's bytes, compressed or not."""
-    data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-    at = 0
-    while (end := data.find(b"\r\n\r\n", at)) >= 0:
-        _, headers = _headers(data[at:end].decode("utf-8", "replace"))
-        size = int(headers.get("Content-Length", "0"))
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 8 + size
+def records(source: bytes | IO[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and block of each record of a WARC file, compressed or not, one at a time."""
+    f = io.BufferedReader(io.BytesIO(source) if isinstance(source, bytes) else source)
+    if f.peek(2)[:2] == b"\x1f\x8b":
+        f = io.BufferedReader(gzip.GzipFile(fileobj=f))
+    while line := f.readline():
+        if not line.strip():
+            continue
+        lines = [line]
+        while (line := f.readline()).strip():
+            lines.append(line)
+        _, headers = _headers(b"".join(lines).decode("utf-8", "replace").replace(CRLF, "\n").replace("\n", CRLF))
+        yield headers, f.read(int(headers.get("Content-Length", "0")))
+
+
+_LOADED = ("file", "record_type", "record_id", "target_uri", "refers_to", "headers", "block")
+
+
+def _loaded(name: str, source: bytes | IO[bytes]) -> Iterator[pa.RecordBatch]:
+    """A file's records in batches of some BATCH_BYTES."""
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 6 else pa.string()) for i, c in enumerate(zip(*rows, strict=True))], names=list(_LOADED))
+
+    rows, size = [], 0
+    for h, b in records(source):
+        rows.append((name, h.get("WARC-Type"), h.get("WARC-Record-ID"), h.get("WARC-Target-URI"), h.get("WARC-Refers-To"), json.dumps(h), b))
+        size += len(b)
+        if size >= BATCH_BYTES:
+            yield batch()
+            rows, size = [], 0
+    if rows:
+        yield batch()
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files as (file, record_type, record_id, target_uri, refers_to, headers, block)."""
+    """Records of WARC files as (file, record_type, record_id, target_uri, refers_to, headers, block).
+
+    Files that Arrow can open are read record by record; others (stores that
+    only Spark reads) come whole, up to 2 GB each.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path)
+    first = files.select("path").first()
+    streamed = first is not None and openable(first.path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
-                rows = [(name, h.get("WARC-Type"), h.get("WARC-Record-ID"), h.get("WARC-Target-URI"), h.get("WARC-Refers-To"), json.dumps(h), b) for h, b in records(content)]
-                columns = list(zip(*rows, strict=True)) if rows else [()] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 6 else pa.string()) for i, c in enumerate(columns)], names=["file", "record_type", "record_id", "target_uri", "refers_to", "headers", "block"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path).select("path", "content")
-    return files.mapInArrow(run, "file string, record_type string, record_id string, target_uri string, refers_to string, headers string, block binary")
+            for i, name in enumerate(batch["path"].to_pylist()):
+                if streamed:
+                    with reading(name) as f:
+                        yield from _loaded(name, f)
+                else:
+                    yield from _loaded(name, batch["content"][i].as_py())
+
+    return files.select("path", *([] if streamed else ["content"])).mapInArrow(run, "file string, record_type string, record_id string, target_uri string, refers_to string, headers string, block binary")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
