@@ -1,22 +1,28 @@
 """Operator 6: interpolated modified Kneser-Ney n-gram model.
 
 N-grams are counted in Spark: each task combines its own n-grams and deals them
-out by hash range; each range is merged, written as sorted hash arrays to the
-shared folder, and hands on what the next lower order needs (how many different
-words stand before a shorter n-gram, and the statistics of each context). A
-scoring task maps the arrays into its memory, one range at a time, and looks up
-its sorted, distinct hashes.
-
-Words are known by their 64-bit hash, n-grams by a hash of those. An order of n
-pads each text with n - 1 begin marks and ends it with one end mark, which is
-predicted and counted like a word. The probability of a word after a context is
-that of its n-gram, discounted by one of three discounts from the counts of
-counts, interpolated down to a uniform distribution over the training words and
-one unknown word.
+out by the hash of all but their first word, so that a shard has all n-grams of
+a shorter one, how many different words stand before it, and how often it
+occurs. A shard merges its n-grams, writes both orders as sorted hash arrays to
+the shared folder, and hands on partial sums for what is shorter still and the
+statistics of contexts. A scoring task maps the arrays into its memory and
+looks up its sorted, distinct hashes.
+
+Words are known by their 64-bit hash, n-grams by a hash of those, of which the
+arrays keep the shard, the bucket (some BUCKET hashes) and 32 bits more. An
+order of n pads each text with n - 1 begin marks and ends it with one end mark,
+which is predicted and counted like a word. The probability of a word after a
+context is that of its n-gram, discounted by one of three discounts from the
+counts of counts, interpolated down to a uniform distribution over the training
+words and one unknown word.
+
+Shards hold some SHARD_BYTES of text, counted first. The model knows which
+files it has and of what size: a file that is missing or cut is an error.
 
 Null and empty texts are just an end mark. Repeated rows are counted and scored
 each. Without training rows every word has the same probability, 1 / (V + 1)
-with V = 0. Only doc_id and text are read.
+with V = 0. A null doc_id counts as the empty string where rows are held out by
+its hash. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -34,11 +40,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, doc_key, documents, scratch
+from .common import LOWER_TABLE, doc_key, documents, opened, scratch
 
 ORDER = 3
 #: tokens that a task counts before it deals out what it has, and tokens scored at once
 COUNT_TOKENS, SCORE_TOKENS = 1 << 22, 1 << 20
+#: bytes of training text for each shard of the model
+SHARD_BYTES = 32 << 20
+#: hashes in a bucket, about
+BUCKET = 8
 #: words whose hashes a task keeps
 MEMO = 400_000
 U64 = np.uint64
@@ -47,23 +57,34 @@ _MULTIPLY = U64(0x9FB21C651E98DF25)
 _SEED = 7
 
 
-class Words(dict):
-    """Word -> hash, forgetting all when it has grown to MEMO words."""
+class Words:
+    """Numbers the words it meets, the begin mark 0 and the end mark 1, and knows their hashes."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word, _SEED)
-        return h
+    def __init__(self) -> None:
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers: dict[bytes, int] = {}
+        self._hashes = [int(BEGIN), int(END)]
+
+    def full(self) -> bool:
+        return len(self.numbers) >= MEMO
 
     def of(self, text: str | None) -> np.ndarray:
-        """Hashes of the text's words and of the end mark."""
+        """Numbers of the text's words and of the end mark."""
         words = (text or "").encode().translate(LOWER_TABLE).split()
-        out = np.empty(len(words) + 1, U64)
-        out[:-1] = np.fromiter(map(self.__getitem__, words), U64, len(words))
-        out[-1] = END
+        numbers, hashes = self.numbers, self._hashes
+        for w in words:
+            if w not in numbers:
+                numbers[w] = len(hashes)
+                hashes.append(xxhash.xxh64_intdigest(w, _SEED))
+        out = np.ones(len(words) + 1, np.int32)
+        out[:-1] = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
         return out
 
+    def hashes(self) -> np.ndarray:
+        return np.array(self._hashes, U64)
+
 
 def mixed(columns: list[np.ndarray]) -> np.ndarray:
     """One hash of each row of word hashes; a single word's is its own."""
@@ -76,14 +97,14 @@ def mixed(columns: list[np.ndarray]) -> np.ndarray:
     return h
 
 
-def ngrams(words: np.ndarray, lengths: np.ndarray, order: int) -> list[np.ndarray]:
+def ngrams(words: np.ndarray, lengths: np.ndarray, order: int, begin: int | U64 = BEGIN) -> list[np.ndarray]:
     """Columns of the order words that end at each word of the concatenated texts, padded at their beginnings."""
     starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
     at = np.arange(len(words))
     columns = []
     for back in range(order - 1, 0, -1):
         here = at - back
-        columns.append(np.where(here >= starts, words[np.maximum(here, 0)], BEGIN))
+        columns.append(np.where(here >= starts, words[np.maximum(here, 0)], words.dtype.type(begin)))
     return [*columns, words]
 
 
@@ -95,79 +116,132 @@ class Files:
         parsed = urlparse(uri)
         self.local = parsed.path if parsed.scheme in ("", "file") else None
 
-    def write(self, name: str, array: np.ndarray) -> None:
-        data = np.ascontiguousarray(array).tobytes()
-        if self.local is None:
-            from pyarrow.fs import FileSystem
-
-            fs, base = FileSystem.from_uri(self.uri)
-            fs.create_dir(base, recursive=True)
-            with fs.open_output_stream(f"{base}/{name}") as f:
-                f.write(data)
-            return
-        os.makedirs(self.local, exist_ok=True)
-        with open(part := f"{self.local}/.{name}.{uuid.uuid4().hex}", "wb") as f:
+    def write(self, name: str, data: bytes) -> None:
+        with opened(self.uri, name) as f:
             f.write(data)
-        os.replace(part, f"{self.local}/{name}")  # a task that runs again leaves the same file
 
-    def read(self, name: str, dtype: np.dtype) -> np.ndarray:
+    def read(self, name: str, size: int | None = None) -> np.ndarray:
+        """The file's bytes as a map, which stays in the process; size is what it must have."""
+        key = f"{self.uri}/{name}"
+        if key in _maps:
+            return _maps[key]
         if self.local is not None:
             path = f"{self.local}/{name}"
-            if not os.path.exists(path) or not os.path.getsize(path):
-                return np.empty(0, dtype)
-            return np.memmap(path, dtype, "r")
-        from pyarrow.fs import FileSystem, FileType
-
-        fs, base = FileSystem.from_uri(self.uri)
-        info = fs.get_file_info(f"{base}/{name}")
-        if info.type == FileType.NotFound or not info.size:
-            return np.empty(0, dtype)
-        with tempfile.TemporaryFile() as copy, fs.open_input_stream(f"{base}/{name}") as f:
-            while block := f.read(1 << 22):
-                copy.write(block)
-            copy.flush()
-            return np.memmap(copy, dtype, "r")  # the map outlives the file, which has no name
+            here = os.path.getsize(path) if os.path.exists(path) else -1
+            found = np.memmap(path, np.uint8, "r") if here > 0 else np.empty(0, np.uint8)
+        else:
+            from pyarrow.fs import FileSystem, FileType
 
-
-def _ranges(h: np.ndarray, shards: int) -> np.ndarray:
-    """The range of each hash; ranges are in the order of the hashes."""
-    return ((h >> U64(32)) * U64(shards)) >> U64(32)
-
-
-def _edges(h: np.ndarray, shards: int) -> np.ndarray:
-    """Where each range begins in sorted hashes, and the end."""
-    return np.searchsorted(_ranges(h, shards), np.arange(shards + 1, dtype=U64))
+            fs, base = FileSystem.from_uri(self.uri)
+            info = fs.get_file_info(f"{base}/{name}")
+            here = -1 if info.type == FileType.NotFound else info.size
+            found = np.empty(0, np.uint8)
+            if here > 0:
+                with tempfile.TemporaryFile() as copy, fs.open_input_stream(f"{base}/{name}") as f:
+                    while block := f.read(1 << 22):
+                        copy.write(block)
+                    copy.flush()
+                    found = np.memmap(copy, np.uint8, "r")  # the map outlives the file, which has no name
+        if here < 0 or (size is not None and here != size):
+            raise FileNotFoundError(f"the model's file {key} is " + ("missing" if here < 0 else f"of {here} bytes instead of {size}"))
+        if len(_maps) >= 4096:
+            _maps.clear()
+        _maps[key] = found
+        return found
+
+
+#: this process's maps, by path (every model has its own folder)
+_maps: dict[str, np.ndarray] = {}
+
+
+def _ranges(h: np.ndarray, bits: int) -> np.ndarray:
+    """The shard of each hash, its first bits; shards are in the order of the hashes."""
+    return (h >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+
+
+def _key_table(h: np.ndarray, bits: int) -> bytes:
+    """Sorted hashes of a shard: a head, where each bucket begins, and 32 bits of each hash after shard and bucket."""
+    bucket_bits = min(max((len(h) // BUCKET).bit_length() - 1, 0), 32 - bits)
+    rest = (h << U64(bits)) if bits else h
+    bucket = _ranges(rest, bucket_bits)
+    offsets = np.searchsorted(bucket, np.arange((1 << bucket_bits) + 1)).astype(np.uint32)
+    suffix = ((rest << U64(bucket_bits)) >> U64(32)).astype(np.uint32)
+    return np.array([len(h), bucket_bits], np.int64).tobytes() + offsets.tobytes() + suffix.tobytes()
+
+
+def _places(table: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+    """Where a shard's table has each of the sorted hashes h; -1 where it lacks it."""
+    n, bucket_bits = table[:16].view(np.int64).tolist()
+    offsets = table[16 : 16 + 4 * ((1 << bucket_bits) + 1)].view(np.uint32)
+    keys = table[16 + 4 * len(offsets) :].view(np.uint32)
+    rest = (h << U64(bits)) if bits else h
+    bucket = _ranges(rest, bucket_bits)
+    wanted = ((rest << U64(bucket_bits)) >> U64(32)).astype(np.uint32)
+    low, high = offsets[bucket].astype(np.int64), offsets[bucket + 1].astype(np.int64)
+    last = high
+    while (open_ := low < high).any():
+        middle = (low + high) >> 1
+        less = open_ & (keys[np.minimum(middle, n - 1)] < wanted)
+        low, high = np.where(less, middle + 1, low), np.where(open_ & ~less, middle, high)
+    found = low < last
+    found[found] = keys[low[found]] == wanted[found]
+    return np.where(found, low, -1)
+
+
+def _value_table(columns: list[np.ndarray]) -> bytes:
+    """Rows of small numbers: their distinct values, and for each row the number of its own."""
+    rows = np.column_stack(columns).astype(np.int64)
+    _, first, code = np.unique(mixed([c.astype(np.int64).view(U64) + U64(1) for c in columns]), return_index=True, return_inverse=True)
+    kind = np.uint8 if len(first) < 1 << 8 else np.uint16 if len(first) < 1 << 16 else np.uint32
+    head = np.array([len(first), rows.shape[1], np.dtype(kind).itemsize], np.int64)
+    return head.tobytes() + rows[first].tobytes() + code.astype(kind).tobytes()
+
+
+def _values(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows of a value table; zeros where at is -1."""
+    n, width, size = table[:24].view(np.int64).tolist()
+    distinct = table[24 : 24 + 8 * n * width].view(np.int64).reshape(n, width)
+    codes = table[24 + 8 * n * width :].view({1: np.uint8, 2: np.uint16, 4: np.uint32}[size])
+    out = np.zeros((len(at), width), np.int64)
+    hit = at >= 0
+    out[hit] = distinct[codes[at[hit]]]
+    return out
+
+
+def _planes(a: np.ndarray) -> bytes:
+    """The numbers' first bytes, second bytes and so on, which compress better so."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
+
+
+def _from_planes(data: bytes, at: int, n: int, dtype: type) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, size * n, at).reshape(size, n).T).view(dtype).ravel()
+
+
+def _pack(columns: list[np.ndarray], words: np.ndarray, values: list[np.ndarray]) -> bytes:
+    """Rows of word numbers and of small numbers, with the words' hashes, compressed."""
+    used = np.zeros(len(words), bool)
+    for c in columns:
+        used[c] = True
+    here = np.flatnonzero(used)
+    here = here[np.argsort(words[here])]
+    rank = np.zeros(len(words), np.uint32)
+    rank[here] = np.arange(len(here))
+    parts = [_planes(np.diff(words[here], prepend=U64(0)))] + [_planes(rank[c]) for c in columns] + [_planes(v.astype(np.int64)) for v in values]
+    return np.array([len(here), len(columns[0]), len(columns), len(values)], np.int64).tobytes() + zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
-def _pack(rows: list[np.ndarray], values: list[np.ndarray]) -> bytes:
-    """Word columns (sorted by the first, which is run-length coded) and small numbers, compressed."""
-    order = np.lexsort(rows[::-1]) if len(rows) > 1 else np.argsort(rows[0])
-    first = rows[0][order]
-    new = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]])) if len(first) else np.zeros(0, np.int64)
-    runs = np.diff(np.append(new, len(first))).astype(np.uint32)
-    small = b"".join(np.ascontiguousarray(np.stack([v[order].astype(np.uint64)]).view(np.uint8).reshape(-1, 8).T).tobytes() for v in values)
-    small += np.ascontiguousarray(runs.view(np.uint8).reshape(-1, 4).T).tobytes()
-    squeezed = zstandard.ZstdCompressor(level=1).compress(small)
-    head = np.array([len(first), len(new), len(rows), len(values), len(squeezed)], np.int64).tobytes()
-    return head + squeezed + first[new].tobytes() + b"".join(r[order].tobytes() for r in rows[1:])
+def _unpack(data: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Columns of word hashes, and the small numbers."""
+    n_words, n, width, n_values = np.frombuffer(data, np.int64, 4).tolist()
+    small = zstandard.ZstdDecompressor().decompress(data[32:], max_output_size=8 * n_words + n * (4 * width + 8 * n_values))
+    words, at = np.cumsum(_from_planes(small, 0, n_words, U64), dtype=U64), 8 * n_words
+    columns = [words[_from_planes(small, at + 4 * n * i, n, np.uint32)] for i in range(width)]
+    return columns, [_from_planes(small, at + n * (4 * width + 8 * i), n, np.int64) for i in range(n_values)]
 
 
-def _unpack(data: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    n, n_new, k, n_values, squeezed = np.frombuffer(data, np.int64, 5)
-    small = zstandard.ZstdDecompressor().decompress(data[40 : 40 + squeezed], max_output_size=8 * n * n_values + 4 * n_new)
-    values = [np.ascontiguousarray(np.frombuffer(small, np.uint8, 8 * n, 8 * n * i).reshape(8, n).T).view(np.int64).ravel() for i in range(n_values)]
-    runs = np.ascontiguousarray(np.frombuffer(small, np.uint8, 4 * n_new, 8 * n * n_values).reshape(4, n_new).T).view(np.uint32).ravel()
-    at = 40 + int(squeezed)
-    rows = [np.repeat(np.frombuffer(data, U64, n_new, at), runs)]
-    at += 8 * int(n_new)
-    for i in range(k - 1):
-        rows.append(np.frombuffer(data, U64, n, at + 8 * i * int(n)))
-    return rows, values
-
-
-def _summed(rows: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+def _summed(h: np.ndarray, rows: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Sorted distinct hashes of the rows, their columns, and sums of the values."""
-    h = mixed(rows)
     order = np.argsort(h, kind="stable")
     h = h[order]
     new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
@@ -179,28 +253,42 @@ _ROWS = "kind string, level int, shard int, payload binary, stat array<long>"
 _SCHEMA = pa.schema([("kind", pa.string()), ("level", pa.int32()), ("shard", pa.int32()), ("payload", pa.binary()), ("stat", pa.list_(pa.int64()))])
 
 
-def _dealt(kind: str, level: int, rows: list[np.ndarray], values: list[np.ndarray], shards: int) -> Iterator[tuple]:
-    h, rows, values = _summed(rows, values)
-    edges = _edges(h, shards)
-    for s in range(shards):
-        a, b = edges[s], edges[s + 1]
-        if a < b:
-            yield kind, level, s, _pack([r[a:b] for r in rows], [v[a:b] for v in values]), None
-
-
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
-def _counted(batches: Iterator[pa.RecordBatch], order: int, shards: int) -> Iterator[pa.RecordBatch]:
+def _dealt(kind: str, level: int, h: np.ndarray, columns: list[np.ndarray], values: list[np.ndarray], bits: int) -> Iterator[tuple]:
+    """Rows for the shards of their sorted hashes h; columns are hashes too."""
+    edges = np.searchsorted(_ranges(h, bits), np.arange((1 << bits) + 1))
+    for s in range(1 << bits):
+        own = slice(edges[s], edges[s + 1])
+        if own.start < own.stop:
+            words, number = np.unique(np.concatenate([c[own] for c in columns]), return_inverse=True)
+            yield kind, level, s, _pack(np.split(number, len(columns)), words, [v[own] for v in values]), None
+
+
+def _counted(batches: Iterator[pa.RecordBatch], order: int, bits: int) -> Iterator[pa.RecordBatch]:
     memo, texts, n = Words(), [], 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        columns = ngrams(np.concatenate(texts), np.array([len(t) for t in texts]), order)
-        ones = np.ones(len(columns[0]), np.int64)
-        values = [ones, ones] if order == 1 else [ones]
-        for row in _dealt("gram", order, columns, values, shards):
-            yield _batch([row])
+        hashes = memo.hashes()
+        columns = ngrams(np.concatenate(texts), np.array([len(t) for t in texts]), order, 0)
+        width = len(hashes).bit_length()
+        if width * order <= 64:
+            key = columns[0].astype(U64)
+            for c in columns[1:]:
+                key = (key << U64(width)) | c.astype(U64)
+        else:
+            key = mixed([hashes[c] for c in columns])
+        _, first, count = np.unique(key, return_index=True, return_counts=True)
+        columns = [c[first] for c in columns]
+        shard = _ranges(mixed([hashes[c] for c in columns[1:] or columns]), bits)
+        by_shard = np.argsort(shard, kind="stable")
+        edges = np.searchsorted(shard[by_shard], np.arange((1 << bits) + 1))
+        for s in range(1 << bits):
+            own = by_shard[edges[s] : edges[s + 1]]
+            if len(own):
+                yield _batch([("top", order, s, _pack([c[own] for c in columns], hashes, [count[own]]), None)])
 
     for batch in batches:
         for text in batch["text"]:
@@ -209,91 +297,163 @@ def _counted(batches: Iterator[pa.RecordBatch], order: int, shards: int) -> Iter
             if n >= COUNT_TOKENS:
                 yield from flush()
                 texts, n = [], 0
+                if memo.full():
+                    memo.forget()
     if texts:
         yield from flush()
 
 
-def _reduce(table: pa.Table, order: int, shards: int, uri: str) -> pa.Table:
-    """Merge one range of a level's n-grams or contexts, write its arrays, hand on the rest."""
-    kind, level, shard = (table[c][0].as_py() for c in ("kind", "level", "shard"))
-    if kind == "stat":
-        return table
-    parts = [_unpack(x.as_py()) for x in table["payload"]]
-    rows = [np.concatenate(c) for c in zip(*(p[0] for p in parts), strict=True)]
-    values = [np.concatenate(c) for c in zip(*(p[1] for p in parts), strict=True)]
-    del parts
-    h, rows, values = _summed(rows, values)
-    files = Files(uri)
-    if kind == "context":
-        files.write(f"context-{level}-{shard}", h)
-        files.write(f"context-{level}-{shard}-stats", np.column_stack(values).astype(np.uint64))
-        return _SCHEMA.empty_table()
-    count = values[0]
-    if level == 1:
-        files.write(f"gram-1-{shard}", h)
-        files.write(f"gram-1-{shard}-counts", np.column_stack(values).astype(np.uint64))
+def start_context(level: int) -> int:
+    """The hash of the context of a text's first word."""
+    return int(mixed([np.array([BEGIN])] * level)[0])
+
+
+class _Shard:
+    """What becomes of a shard's merged n-grams: files, statistics, and rows for others."""
+
+    def __init__(self, shard: int, bits: int, uri: str) -> None:
+        self.shard, self.bits, self.files, self.out = shard, bits, Files(uri), []
+
+    def write(self, level: int, name: str, data: bytes) -> None:
+        self.files.write(f"{level}-{self.shard}-{name}", data)
+        self.out.append(("file", level, self.shard, name.encode(), [len(data)]))
+
+    def grams(self, level: int, h: np.ndarray, rows: list[np.ndarray], count: np.ndarray, total: np.ndarray, own: bool = True) -> None:
+        """Write a level's n-grams, and deal out the statistics of their contexts; count is the adjusted one, total how often they occur.
+
+        own: whether the shard is that of the n-grams' own hashes, whose first bits it tells.
+        """
+        self.write(level, "keys", _key_table(h, self.bits if own else 0))
+        self.write(level, "values", _value_table([count, total] if level == 1 else [count]))
+        self.out.append(("stat", level, self.shard, None, [len(h), int(count.sum()), *(int((count == k).sum()) for k in (1, 2, 3, 4)), int(total.sum())]))
+        if level == 1:
+            return
+        c, _, sums = _summed(mixed(rows[:-1]), [], [count, *((count == k).astype(np.int64) for k in (1, 2)), (count > 2).astype(np.int64)])
+        start = c == U64(start_context(level - 1))
+        if start.any():
+            self.out.append(("start", level, self.shard, None, [int(v[start][0]) for v in sums]))
+        self.out += _dealt("context", level - 1, c[~start], [c[~start]], [v[~start] for v in sums], self.bits)
+
+    def contexts(self, level: int, c: np.ndarray, stats: list[np.ndarray]) -> None:
+        """Write the statistics of contexts that are n-grams of a level written before."""
+        keys = self.files.read(f"{level}-{self.shard}-keys")
+        at = _places(keys, c, self.bits)
+        if (at < 0).any():
+            raise ValueError(f"level {level}, shard {self.shard} lacks contexts of its own")
+        aligned = [np.zeros(int(keys[:8].view(np.int64)[0]), np.int64) for _ in stats]
+        for a, v in zip(aligned, stats, strict=True):
+            a[at] = v
+        self.write(level, "contexts", _value_table(aligned))
+
+
+def _shorter(level: int, rows: list[np.ndarray], count: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """The n-grams of one word less at the front: sorted hashes, words, and (adjusted count, occurrences)."""
+    # each counts once for each word before it, but as often as it occurs where it begins a text
+    adjusted = np.where(rows[1] == BEGIN, total, 1) if level > 2 else np.ones(len(count), np.int64)
+    return _summed(mixed(rows[1:]), rows[1:], [adjusted, total])
+
+
+def _reduce(table: pa.Table, order: int, bits: int, uri: str) -> pa.Table:
+    """Merge what a shard has of a level, write its arrays, hand on the rest."""
+    level, shard = (table[c][0].as_py() for c in ("level", "shard"))
+    payloads: dict[str, list[bytes]] = {}
+    passed = []
+    for row in table.to_pylist():
+        if row["payload"] is None or row["kind"] == "file":
+            passed.append(tuple(row[c] for c in _SCHEMA.names))
+        else:
+            payloads.setdefault(row["kind"], []).append(row["payload"])
+
+    def merged(kind: str) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        parts = [_unpack(x) for x in payloads.pop(kind)]
+        rows, values = ([np.concatenate(c) for c in zip(*(p[i] for p in parts), strict=True)] for i in (0, 1))
+        del parts
+        return _summed(mixed(rows), rows, values)
+
+    done = _Shard(shard, bits, uri)
+    if "top" in payloads:
+        h, rows, (count,) = merged("top")
+        done.grams(level, h, rows, count, count, own=level == 1)
+        if level > 1:
+            # the shard has all n-grams that end alike, so it has all of the next level's that it deals with
+            h, rows, values = _shorter(level, rows, count, count)
+            level -= 1
+            done.grams(level, h, rows, *values)
+    elif "gram" in payloads:
+        h, rows, values = merged("gram")
+        done.grams(level, h, rows, *values)
     else:
-        files.write(f"gram-{level}-{shard}-once", h[count == 1])
-        files.write(f"gram-{level}-{shard}-more", h[count > 1])
-        files.write(f"gram-{level}-{shard}-more-counts", count[count > 1].astype(np.uint32))
-    raw = int(values[-1].sum()) if level == 1 else 0
-    out = [("stat", level, shard, None, [len(h), int(count.sum()), *(int((count == k).sum()) for k in (1, 2, 3, 4)), raw])]
-    if level > 1:
-        ones = [(count == 1).astype(np.int64), (count == 2).astype(np.int64), (count > 2).astype(np.int64)]
-        context = [mixed(rows[:-1])]
-        out += _dealt("context", level, context, [count, *ones], shards)
-        shorter, first = rows[1:], rows[0]
-        total = count if level == order else values[1]
-        # a shorter n-gram counts once for each word before it, but as often as it occurs where it begins a text
-        adjusted = np.where(shorter[0] == BEGIN, total, 1) if level > 2 else np.ones(len(first), np.int64)
-        out += _dealt("gram", level - 1, shorter, [adjusted, total], shards)
-    return pa.Table.from_batches([_batch([r]) for r in out], _SCHEMA)
+        rows = None
+    if "context" in payloads:
+        h, _, stats = merged("context")
+        done.contexts(level, h, stats)
+    if rows is not None and level > 1:
+        h, rows, values = _shorter(level, rows, *values)
+        done.out += _dealt("gram", level - 1, h, rows, values, bits)
+    rows = passed + done.out
+    return pa.Table.from_batches([_batch([r]) for r in rows], _SCHEMA) if rows else _SCHEMA.empty_table()
 
 
 class Model:
-    """Where a trained model's arrays lie, and its discounts."""
-
-    def __init__(self, uri: str, order: int, shards: int, stats: dict[int, list[int]]) -> None:
-        self.uri, self.order, self.shards = uri, order, shards
-        self.vocabulary = stats.get(1, [0] * 7)[0]
-        self.tokens = stats.get(1, [0] * 7)[6]
-        self.total = stats.get(1, [0] * 7)[1]
-        self.discounts = {k: discounts(s[2:6]) for k, s in stats.items()}
-        n1, n2 = stats.get(1, [0] * 7)[2:4]
-        d = self.discounts.get(1, np.zeros(4))
+    """Where a trained model's arrays lie, their sizes, the discounts, and the statistics of texts' beginnings."""
+
+    def __init__(self, uri: str, order: int, bits: int, stats: dict[int, list[int]], starts: dict[int, list[int]], sizes: dict[str, int]) -> None:
+        self.uri, self.order, self.bits, self.sizes = uri, order, bits, sizes
+        self.vocabulary, self.total, n1, n2, _, _, self.tokens = stats.get(1, [0] * 7)
+        self.discounts = {k: discounts(stats[k][2:6]) if k in stats else np.zeros(4) for k in range(1, order + 1)}
+        self.starts = {k: np.array(starts.get(k, [0] * 4), np.float64) for k in range(1, order + 1)}
+        d = self.discounts[1]
         #: the unigrams' share of the uniform distribution
         self.spread = (d[1] * n1 + d[2] * n2 + d[3] * (self.vocabulary - n1 - n2)) / self.total if self.total else 1.0
 
-    def _found(self, table: str, h: np.ndarray, values: str = "", width: int = 1, dtype: type = U64) -> np.ndarray:
-        """Rows of a table's values for sorted hashes (without values: 1), 0 where it lacks the hash."""
-        out = np.zeros((len(h), width), np.float64)
-        files, edges = Files(self.uri), _edges(h, self.shards)
-        for s in range(self.shards):
-            a, b = edges[s], edges[s + 1]
-            keys = files.read(table.format(s), U64) if a < b else ()
-            if not len(keys):
+    def _found(self, level: int, h: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values and context statistics of n-grams; h is sorted within each of the sorted shards."""
+        files = Files(self.uri)
+        values, contexts = np.zeros((len(h), 2 if level == 1 else 1)), np.zeros((len(h), 4))
+        edges = np.searchsorted(shard, np.arange((1 << self.bits) + 1))
+        for s in range(1 << self.bits):
+            own, base = slice(edges[s], edges[s + 1]), f"{level}-{s}-"
+            if own.start == own.stop or f"{base}keys" not in self.sizes:
                 continue
-            at = np.minimum(np.searchsorted(keys, h[a:b]), len(keys) - 1)
-            hit = np.asarray(keys[at]) == h[a:b]
-            out[a:b][hit] = files.read(f"{table.format(s)}{values}", dtype).reshape(-1, width)[at[hit]] if values else 1
-        return out
-
-    def log10(self, words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability and training count of each word of the concatenated texts."""
-        columns = ngrams(words, lengths, self.order)
-        distinct, where = np.unique(words, return_inverse=True)
-        counts = self._found("gram-1-{}", distinct, "-counts", 2)
-        uniform = 1 / (self.vocabulary + 1)
-        d = self.discounts.get(1, np.zeros(4))
-        p = self.spread * uniform + np.maximum(counts[:, 0] - d[np.minimum(counts[:, 0], 3).astype(int)], 0) / max(self.total, 1)
-        p, raw = p[where], counts[where, 1]
+            at = _places(files.read(f"{base}keys", self.sizes[f"{base}keys"]), h[own], self.bits if level < self.order or level == 1 else 0)
+            values[own] = _values(files.read(f"{base}values", self.sizes[f"{base}values"]), at)
+            if f"{base}contexts" in self.sizes:
+                contexts[own] = _values(files.read(f"{base}contexts", self.sizes[f"{base}contexts"]), at)
+        return values, contexts
+
+    def log10(self, numbers: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability and training count of each word of the concatenated texts; numbers are places in hashes."""
+        met = np.flatnonzero(np.bincount(numbers, minlength=len(hashes)))
+        met = met[np.argsort(hashes[met])]
+        place = np.zeros(len(hashes), np.int64)
+        place[met] = np.arange(len(met))
+        h = hashes[met]
+        values, contexts = (x[place[numbers]] for x in self._found(1, h, _ranges(h, self.bits)))
+        d = self.discounts[1]
+        count, raw = values[:, 0], values[:, 1]
+        p = self.spread / (self.vocabulary + 1) + np.maximum(count - d[np.minimum(count, 3).astype(int)], 0) / max(self.total, 1)
+        columns = ngrams(hashes[numbers], lengths, self.order)
+        first = np.cumsum(lengths) - lengths
         for level in range(2, self.order + 1):
+            # a word's context is the n-gram that ends at the word before
+            stats = np.roll(contexts, 1, axis=0)
+            stats[first] = self.starts[level]
             last = columns[-level:]
-            contexts, where = np.unique(mixed(last[:-1]), return_inverse=True)
-            stats = self._found(f"context-{level}-{{}}", contexts, "-stats", 4)[where]
-            grams, where = np.unique(mixed(last), return_inverse=True)
-            count = (self._found(f"gram-{level}-{{}}-once", grams) + self._found(f"gram-{level}-{{}}-more", grams, "-counts", 1, np.uint32))[where, 0]
-            d = self.discounts[level] if level in self.discounts else np.zeros(4)
+            h = mixed(last)
+            if level == self.order:  # dealt to the shard of the shorter one
+                shard = _ranges(mixed(last[1:]), self.bits)
+                order = np.lexsort((h, shard))
+            else:
+                shard = _ranges(h, self.bits)
+                order = np.argsort(h)
+            h, shard = h[order], shard[order]
+            new = np.concatenate([[True], h[1:] != h[:-1]])
+            group = np.cumsum(new) - 1
+            values, contexts = self._found(level, h[new], shard[new])
+            back = np.empty(len(order), np.int64)
+            back[order] = group
+            count, contexts = values[back, 0], contexts[back]
+            d = self.discounts[level]
             seen = stats[:, 0] > 0
             total = np.where(seen, stats[:, 0], 1)
             q = np.maximum(count - d[np.minimum(count, 3).astype(int)], 0) / total + (stats[:, 1:] @ d[1:]) / total * p
@@ -310,16 +470,32 @@ def discounts(n: list[int]) -> np.ndarray:
     return np.array([0.0, *(min(max(k - (k + 1) * y * b / a, 0.0), float(k)) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))])
 
 
-def train(texts: DataFrame, order: int = ORDER) -> Model:
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of the file system that Spark would use for it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+
+
+def train(texts: DataFrame, order: int = ORDER, shard_bytes: int = SHARD_BYTES) -> Model:
     """Count texts(text) and write the model to the shared folder."""
     spark = texts.sparkSession
-    uri = f"{scratch(spark)}/ngram-{uuid.uuid4().hex}"
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = texts.select("text").mapInArrow(lambda x: _counted(x, order, shards), _ROWS)
-    for _ in range(order + (order > 1)):
-        rows = rows.groupBy("kind", "level", "shard").applyInArrow(lambda t: _reduce(t, order, shards, uri), _ROWS)
-    sums = rows.where("kind = 'stat'").groupBy("level").agg(*(F.sum(F.col("stat")[i]).alias(f"s{i}") for i in range(7)))
-    return Model(uri, order, shards, {r.level: list(r)[1:] for r in sums.collect()})
+    uri = _qualified(spark, f"{scratch(spark)}/ngram-{uuid.uuid4().hex}")
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = min(max(-(-size // shard_bytes) - 1, 0).bit_length(), 30)
+    rows = texts.select("text").mapInArrow(lambda x: _counted(x, order, bits), _ROWS)
+    for _ in range(max(order - 1, 1) + (order == 2)):
+        rows = rows.groupBy("level", "shard").applyInArrow(lambda t: _reduce(t, order, bits, uri), _ROWS)
+    stats: dict[int, list[int]] = {}
+    starts: dict[int, list[int]] = {}
+    sizes: dict[str, int] = {}
+    # a few rows for each shard
+    for r in rows.collect():
+        if r.kind == "file":
+            sizes[f"{r.level}-{r.shard}-{bytes(r.payload).decode()}"] = r.stat[0]
+        else:
+            to = stats if r.kind == "stat" else starts
+            to[r.level] = [a + b for a, b in zip(to.get(r.level, [0] * len(r.stat)), r.stat, strict=True)]
+    return Model(uri, order, bits, stats, starts, sizes)
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
@@ -327,7 +503,7 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
 
     def flush() -> pa.RecordBatch:
         lengths = np.array([len(t) for t in texts])
-        score, count = model.log10(np.concatenate(texts), lengths)
+        score, count = model.log10(np.concatenate(texts), lengths, memo.hashes())
         starts = np.cumsum(lengths) - lengths
         base = np.log10((count + 1) / (model.tokens + model.vocabulary + 1))
         sums = [lengths, np.add.reduceat((count > 0).astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(score, starts)]
@@ -342,6 +518,8 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
             if n >= SCORE_TOKENS:
                 yield flush()
                 ids, texts, n = [], [], 0
+                if memo.full():
+                    memo.forget()
     if texts:
         yield flush()
 

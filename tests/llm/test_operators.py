@@ -1,7 +1,10 @@
+import glob
 import gzip
 import hashlib
+import io
 import json
 import math
+import os
 import random
 import re
 import struct
@@ -574,11 +577,12 @@ def brute_lm(train, order, probes):
     return out, raw, mass
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_language_model_against_brute_force(spark, order):
+@pytest.mark.parametrize(("order", "shard_bytes"), [(1, 1 << 25), (2, 1 << 25), (2, 2000), (3, 1 << 25), (3, 1000), (4, 1500)])
+def test_language_model_against_brute_force(spark, order, shard_bytes):
     texts = [words(60, 3000 + i, 60) for i in range(40)] + ["", None, "The THE the"]
     probes = [*texts[30:], words(50, 9, 90), "never seen", *odd_texts()[:9]]
-    model = ngram_lm.train(table(spark, texts).repartition(3), order)
+    model = ngram_lm.train(table(spark, texts).repartition(3), order, shard_bytes)
+    assert (model.bits > 0) == (shard_bytes < 1 << 25)
     got = by_id(ngram_lm.score(table(spark, probes), model))
     want, raw, mass = brute_lm(texts, order, probes)
     assert mass == pytest.approx(1)
@@ -604,6 +608,27 @@ def test_language_model_without_training(spark):
     assert ngram_lm.score(df.where("false"), model).count() == 0
 
 
+def test_a_lost_model_file_is_an_error(spark):
+    df = table(spark, [words(60, 3000 + i, 60) for i in range(40)])
+    for spoil in (os.remove, lambda path: os.truncate(path, 8)):
+        model = ngram_lm.train(df, 2, 2000)
+        path = sorted(glob.glob(f"{ngram_lm.Files(model.uri).local}/2-*-values"))[0]
+        spoil(path)
+        with pytest.raises(Exception, match="model's file"):
+            ngram_lm.score(df, model).collect()
+
+
+def test_model_without_ids_and_with_repeated_rows(spark):
+    df = table(spark, ["a b c", "a b d", None])
+    twice = df.union(df).withColumn("doc_id", F.when(F.col("doc_id") > 0, F.col("doc_id")))
+    model = ngram_lm.train(twice)
+    assert model.tokens == 2 * (4 + 4 + 1)
+    got = ngram_lm.score(twice, model).collect()
+    assert len(got) == 6
+    assert len({r.score for r in got}) == 2
+    assert ngram_lm.train(df).tokens == 9
+
+
 def test_flushing_changes_nothing(spark, monkeypatch):
     texts = [words(40, 4000 + i, 50) for i in range(20)]
     blobs = [list(ngram_lm._counted(iter([_batch(texts)]), 2, 3))]
@@ -670,6 +695,38 @@ def test_warc_records_are_members():
     assert gzip.decompress(one).startswith(b"WARC/1.1\r\n")
 
 
+def test_markup_of_any_length():
+    x = "x" * 300_000
+    assert warc.parse(f'<p title="{x}> y" id=k>hello</p>', "u")["text"] == "hello"
+    got = warc.parse(f'<meta name=d content="{x} a > b"><a href="/{x} c>d">t</a>' + "".join(f" <i a{i}=v>" for i in range(500)), "http://h/")
+    assert got["metas"] == [{"content": f"{x} a > b", "name": "d"}]
+    assert got["links"] == [{"path": "A@/href", "url": f"http://h/{x} c>d", "text": "t"}]
+    assert got["text"] == "t"
+    many = " ".join(f"a{i}='>'" for i in range(1000))
+    assert warc.parse(f"<b {many}>bold</b> <p title=\"open>in</p><div a=b\">x", "u")["text"] == "bold\nx"
+    assert warc.parse("a<script src='>'>var b = '<p>';</script>c<style>d", "u")["text"] == "ac"
+    assert warc.parse("one < two <3 <p", "u")["text"] == "one < two <3"
+    for odd in ("<p " * 50_000, '<p a="' * 50_000, "<p a='\"" * 50_000, "<" * 100_000, "<!--" * 50_000, "<a href=" * 50_000 + ">z", "<script>" * 50_000):
+        assert len(warc.parse(odd, "u")["text"]) <= len(odd)  # in linear time
+
+
+def test_warc_files_are_read_by_record(tmp_path):
+    class Counted(io.BytesIO):
+        most = 0
+
+        def readinto(self, b):
+            got = super().readinto(b)
+            Counted.most += got
+            return got
+
+    data = b"".join(warc.record_bytes("conversion", f"<urn:uuid:{i}>", "u", "d", "text/plain", random.Random(i).randbytes(100_000), {}) for i in range(50))
+    it = warc.records(Counted(data))
+    assert next(it)[0]["WARC-Record-ID"] == "<urn:uuid:0>"
+    assert Counted.most < len(data) / 10
+    assert sum(1 for _ in it) == 49
+    assert sum(len(b) for _, b in warc.records(gzip.decompress(data))) == 5_000_000
+
+
 def test_text_of_a_real_parser(data, spark):
     from html.parser import HTMLParser
 
