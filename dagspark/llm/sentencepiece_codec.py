@@ -4,8 +4,10 @@ The model file's protobuf is parsed here. From it the normaliser (its compiled
 character map, white-space rules and the metaspace marker), the model (unigram
 scores, or BPE merges in the order of the pieces' scores) and byte fallback are
 rebuilt as a tokenizers.Tokenizer, which encodes and decodes batches in several
-threads. encode() verifies the ids and texts of every row against the
-sentencepiece library, unless it is asked for a share of them.
+threads. Where no piece goes over from one word to the next, a batch's distinct
+words are encoded and decoded, and those a task has met are remembered. encode()
+verifies the ids and texts of every row against the sentencepiece library, which
+gets whole texts, unless it is asked for a share of them.
 
 Null texts have null ids and stay null; empty texts have no ids and decode to
 ''. A text decodes to itself, but that the marker U+2581 becomes a space and
@@ -20,9 +22,13 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
@@ -36,9 +42,9 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: texts that are encoded at once, by characters
 BATCH_CHARS = 1 << 20
-#: longer texts are encoded in parts, cut at single spaces where the model allows it
-PART_CHARS = 1 << 18
-_ONE_SPACE = re.compile(r"[^ \u2581] (?=[^ \u2581])")
+#: words that a task remembers, and up to which length; words that are encoded together, by characters
+MEMO, MEMO_CHARS, TOGETHER_CHARS = 400_000, 4096, 1 << 15
+_WORD = re.compile(f"{MARK}+[^{MARK}]*")
 THREADS = 2
 #: the share of texts whose ids and decoded text are also compared with the sentencepiece library's: one in so many
 VERIFY_EVERY = 1
@@ -108,7 +114,8 @@ class SentencePieceModel:
                 pairs += [(-score, i, rank[a], rank[b], a, b) for a, b in cuts]
         return [(a, b) for *_, a, b in sorted(pairs)]
 
-    def tokenizer(self) -> Tokenizer:
+    def tokenizer(self, strip: bool = True) -> Tokenizer:
+        """The tokenizer; without strip, decoding keeps the space that the normaliser put before the text."""
         vocab = [(p, s) for p, s, _ in self.pieces]
         steps: list = []
         if self.charsmap:
@@ -128,7 +135,7 @@ class SentencePieceModel:
             # no piece goes over from a word to the marker after it, so words can be encoded one by one and cached
             made.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*|[^{MARK}]+"), "isolated")
         parts = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
-        if self.dummy_prefix:
+        if self.dummy_prefix and strip:
             parts.append(decoders.Strip(" ", 1, 0))
         made.decoder = decoders.Sequence(parts)
         return made
@@ -140,24 +147,71 @@ class Codec:
     def __init__(self, data: bytes) -> None:
         model = SentencePieceModel(data)
         self.tokenizer = model.tokenizer()
-        #: whether a single space between words can be cut out: the marker put before the next part stands for it
-        self.can_cut = self.tokenizer.pre_tokenizer is not None and model.dummy_prefix and not model.charsmap and not model.one_space
-
-    def _parts(self, text: str) -> list[str]:
-        """Parts of a long text, cut at single spaces, whose ids together are the text's ids."""
-        parts, at = [], 0
-        while self.can_cut and len(text) - at > PART_CHARS:
-            cut = _ONE_SPACE.search(text, at + PART_CHARS)
-            if not cut:
-                break
-            parts.append(text[at : cut.start() + 1])
-            at = cut.end()
-        return [*parts, text[at:]]
+        #: whether a text's ids and decoded text are those of its words, one after another
+        self.by_words = self.tokenizer.pre_tokenizer is not None and model.dummy_prefix and not model.charsmap and not model.one_space
+        self.of_words = model.tokenizer(strip=False) if self.by_words else None
+        self._forget()
+
+    def _forget(self) -> None:
+        """Know no words: their numbers; by number their lengths in ids and first ids in `ids`, and their texts."""
+        self.number: dict[str, int] = {}
+        self.lengths, self.firsts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.texts: list[pa.Array] = []
+
+    def _learn(self, words: list[str]) -> None:
+        """Number, encode and decode new words, many of them in one string, whose pre-tokens they are."""
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
+        parts, part, chars = [], [], 0
+        for w in words:
+            part.append(w)
+            chars += len(w)
+            if chars >= TOGETHER_CHARS:
+                parts.append(part)
+                part, chars = [], 0
+        parts += [part] * bool(part)
+        # the normaliser puts the first marker back
+        done = self.of_words.encode_batch(["".join(p)[1:] for p in parts], add_special_tokens=False)
+        ids, lengths, own = [], [], []
+        for p, x in zip(parts, done, strict=True):
+            here = x.ids
+            ids.append(np.array(here, np.int32))
+            lengths.append(np.bincount(np.array(x.word_ids), minlength=len(p)))
+            ends = np.cumsum(lengths[-1]).tolist()
+            own += [here[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+        self.texts.append(pa.array(self.of_words.decode_batch(own, skip_special_tokens=False), pa.large_string()))
+        self.lengths = np.concatenate([self.lengths, *lengths])
+        self.firsts = np.cumsum(self.lengths) - self.lengths
+        self.ids = np.concatenate([self.ids, *ids])
+
+    def both_ways(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """The texts' ids one after another, how many each text has, and what each text's decode to."""
+        if not self.by_words:
+            each = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.array([i for x in each for i in x], np.int32), np.array([len(x) for x in each], np.int64), self.decode(each)
+        words = [_WORD.findall(f"{MARK}{t.replace(' ', MARK)}") if t else [] for t in texts]
+        new = list({w: None for x in words for w in x if w not in self.number})
+        if new:
+            if len(self.number) + len(new) > MEMO:
+                self._forget()
+                new = list({w: None for x in words for w in x})
+            self._learn(new)
+        counts = np.array([len(x) for x in words], np.int64)
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        number = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), np.int64, ends[-1])
+        long = self.lengths[number]
+        within = np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long)
+        ids = self.ids[np.repeat(self.firsts[number], long) + within]
+        sums = np.concatenate([[0], np.cumsum(long)])[ends]
+        known = pa.concat_arrays(self.texts) if self.texts else pa.array([], pa.large_string())
+        self.texts = [known]
+        decoded = pc.binary_join(pa.LargeListArray.from_arrays(ends, known.take(pa.array(number))), pa.scalar("", pa.large_string()))
+        if max(map(len, new), default=0) > MEMO_CHARS:
+            self._forget()  # such words would fill the memory
+        return ids, np.diff(sums), [t[1:] for t in decoded.to_pylist()]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        parts = [self._parts(t) for t in texts]
-        done = iter(self.tokenizer.encode_batch_fast([p for x in parts for p in x], add_special_tokens=False))
-        return [[i for _ in x for i in next(done).ids] if len(x) > 1 else next(done).ids for x in parts]
+        ids, counts, _ = self.both_ways(texts)
+        return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] if texts else []
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
@@ -195,8 +249,8 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, verify_every: int) ->
         for start, stop in _groups(whole.column(whole.num_columns - 1).to_pylist()):
             batch = whole.slice(start, stop - start)
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            ids = codec.encode([t or "" for t in texts])
-            decoded = codec.decode(ids)
+            ids, counts, decoded = codec.both_ways([t or "" for t in texts])
+            ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             parity: list[bool | None] = [None] * len(texts)
             chosen = [i for i, t in enumerate(texts) if t is not None and verify_every and zlib.crc32(t.encode()) % verify_every == 0]
             if chosen:
@@ -205,12 +259,14 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, verify_every: int) ->
 
                     library = sentencepiece.SentencePieceProcessor(model_file=path)
                 theirs = library.encode([texts[i] for i in chosen], num_threads=1)
-                back = library.decode([ids[i] for i in chosen], num_threads=1)
+                back = library.decode(theirs, num_threads=1)
                 for i, x, y in zip(chosen, theirs, back, strict=True):
-                    parity[i] = x == ids[i] and y == decoded[i]
+                    parity[i] = array("i", x).tobytes() == ids[ends[i] : ends[i + 1]].tobytes() and y == decoded[i]
+                del theirs, back
             here = [t is not None for t in texts]
+            missing = pa.array([not h for h in here], pa.bool_())
             columns = [
-                pa.array([x if h else None for x, h in zip(ids, here, strict=True)], pa.list_(pa.int32())),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(ids), mask=missing),
                 pa.array([x if h else None for x, h in zip(decoded, here, strict=True)], pa.string()),
                 pa.array([x == t if h else None for x, t, h in zip(decoded, texts, here, strict=True)], pa.bool_()),
                 pa.array(parity, pa.bool_()),
