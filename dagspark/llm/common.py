@@ -25,10 +25,10 @@ BATCH_BYTES = 4 << 20
 
 
 def bounded(spark: SparkSession) -> SparkSession:
-    """The session, with the Arrow batches that its tasks exchange with Python bounded in bytes."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, None) != str(BATCH_BYTES):
-        spark.conf.set(key, str(BATCH_BYTES))
+    """The session, with the Arrow batches that its tasks exchange with Python bounded in bytes, and shuffle files removed when their query has ended."""
+    for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES)), ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")):
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
     return spark
 
 

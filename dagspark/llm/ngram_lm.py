@@ -8,8 +8,8 @@ the shared folder, and hands on partial sums for what is shorter still and the
 statistics of contexts. A scoring task maps the arrays into its memory and
 looks up its sorted, distinct hashes.
 
-Words are known by their 64-bit hash, n-grams by a hash of those, of which the
-arrays keep the shard, the bucket (some BUCKET hashes) and 32 bits more. An
+Words are known by WORD_BITS of their hash, n-grams by a hash of those, of which
+the arrays keep the shard, the bucket (some BUCKET hashes) and 32 bits more. An
 order of n pads each text with n - 1 begin marks and ends it with one end mark,
 which is predicted and counted like a word. The probability of a word after a
 context is that of its n-gram, discounted by one of three discounts from the
@@ -40,19 +40,22 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, doc_key, documents, opened, scratch
+from .common import LOWER_TABLE, doc_key, documents, opened, scratch, stored
 
 ORDER = 3
 #: tokens that a task counts before it deals out what it has, and tokens scored at once
 COUNT_TOKENS, SCORE_TOKENS = 1 << 22, 1 << 20
 #: bytes of training text for each shard of the model
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 64 << 20
+#: bits of a word's hash that are kept; the others are zero, which makes what is dealt out smaller
+WORD_BITS = 52
 #: hashes in a bucket, about
 BUCKET = 8
 #: words whose hashes a task keeps
 MEMO = 400_000
 U64 = np.uint64
-BEGIN, END = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
+_KEPT = (1 << 64) - (1 << (64 - WORD_BITS))
+BEGIN, END = U64(0x9E3779B97F4A7C15 & _KEPT), U64(0xC2B2AE3D27D4EB4F & _KEPT)
 _MULTIPLY = U64(0x9FB21C651E98DF25)
 _SEED = 7
 
@@ -77,7 +80,7 @@ class Words:
         for w in words:
             if w not in numbers:
                 numbers[w] = len(hashes)
-                hashes.append(xxhash.xxh64_intdigest(w, _SEED))
+                hashes.append(xxhash.xxh64_intdigest(w, _SEED) & _KEPT)
         out = np.ones(len(words) + 1, np.int32)
         out[:-1] = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
         return out
@@ -159,9 +162,13 @@ def _ranges(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
 
 
+#: buckets of a shard at most, in bits; so shard, bucket and 32 bits are the first bits of a hash that contexts are known by
+_BUCKET_BITS = 16
+
+
 def _key_table(h: np.ndarray, bits: int) -> bytes:
     """Sorted hashes of a shard: a head, where each bucket begins, and 32 bits of each hash after shard and bucket."""
-    bucket_bits = min(max((len(h) // BUCKET).bit_length() - 1, 0), 32 - bits)
+    bucket_bits = min(max((len(h) // BUCKET).bit_length() - 1, 0), _BUCKET_BITS)
     rest = (h << U64(bits)) if bits else h
     bucket = _ranges(rest, bucket_bits)
     offsets = np.searchsorted(bucket, np.arange((1 << bucket_bits) + 1)).astype(np.uint32)
@@ -189,22 +196,41 @@ def _places(table: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _value_table(columns: list[np.ndarray]) -> bytes:
-    """Rows of small numbers: their distinct values, and for each row the number of its own."""
+    """Rows of small numbers: a bit for each that isn't the most common row, and the numbers of those rows' values."""
     rows = np.column_stack(columns).astype(np.int64)
-    _, first, code = np.unique(mixed([c.astype(np.int64).view(U64) + U64(1) for c in columns]), return_index=True, return_inverse=True)
+    n = len(rows)
+    _, first, code, times = np.unique(mixed([c.astype(np.int64).view(U64) + U64(1) for c in columns]), return_index=True, return_inverse=True, return_counts=True)
+    by_times = np.argsort(-times, kind="stable")
+    rank = np.empty(len(first), np.int64)
+    rank[by_times] = np.arange(len(first))
+    code = rank[code]
+    odd = np.zeros(-(-n // 64) * 64, bool)
+    odd[:n] = code > 0
+    bits = np.packbits(odd, bitorder="little")
+    before = np.concatenate([[0], np.cumsum(odd.reshape(-1, 64).sum(1))[:-1]]).astype(np.uint32) if n else np.zeros(0, np.uint32)
     kind = np.uint8 if len(first) < 1 << 8 else np.uint16 if len(first) < 1 << 16 else np.uint32
-    head = np.array([len(first), rows.shape[1], np.dtype(kind).itemsize], np.int64)
-    return head.tobytes() + rows[first].tobytes() + code.astype(kind).tobytes()
+    head = np.array([n, len(first), rows.shape[1], np.dtype(kind).itemsize], np.int64)
+    return head.tobytes() + rows[first[by_times]].tobytes() + bits.tobytes() + before.tobytes() + code[code > 0].astype(kind).tobytes()
 
 
 def _values(table: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Rows of a value table; zeros where at is -1."""
-    n, width, size = table[:24].view(np.int64).tolist()
-    distinct = table[24 : 24 + 8 * n * width].view(np.int64).reshape(n, width)
-    codes = table[24 + 8 * n * width :].view({1: np.uint8, 2: np.uint16, 4: np.uint32}[size])
+    n, n_distinct, width, size = table[:32].view(np.int64).tolist()
     out = np.zeros((len(at), width), np.int64)
+    if not n:
+        return out
+    ends = np.cumsum([32, 8 * n_distinct * width, 8 * -(-n // 64), 4 * -(-n // 64)]).tolist()
+    distinct = table[ends[0] : ends[1]].view(np.int64).reshape(n_distinct, width)
+    bits, before = table[ends[1] : ends[2]].view(U64), table[ends[2] : ends[3]].view(np.uint32)
+    codes = table[ends[3] :].view({1: np.uint8, 2: np.uint16, 4: np.uint32}[size])
     hit = at >= 0
-    out[hit] = distinct[codes[at[hit]]]
+    word, bit = at[hit] >> 6, (at[hit] & 63).astype(U64)
+    here = bits[word]
+    odd = (here >> bit) & U64(1) == 1
+    rank = before[word[odd]] + np.bitwise_count(here[odd] & ((U64(1) << bit[odd]) - U64(1)))
+    code = np.zeros(len(word), np.int64)
+    code[odd] = codes[rank]
+    out[hit] = distinct[code]
     return out
 
 
@@ -328,8 +354,12 @@ class _Shard:
         self.out.append(("stat", level, self.shard, None, [len(h), int(count.sum()), *(int((count == k).sum()) for k in (1, 2, 3, 4)), int(total.sum())]))
         if level == 1:
             return
-        c, _, sums = _summed(mixed(rows[:-1]), [], [count, *((count == k).astype(np.int64) for k in (1, 2)), (count > 2).astype(np.int64)])
-        start = c == U64(start_context(level - 1))
+        c = mixed(rows[:-1])
+        start = U64(start_context(level - 1))
+        # what a key table doesn't tell apart needn't be told
+        c = np.where(c == start, c, c & ~U64((1 << max(64 - self.bits - _BUCKET_BITS - 32, 0)) - 1))
+        c, _, sums = _summed(c, [], [count, *((count == k).astype(np.int64) for k in (1, 2)), (count > 2).astype(np.int64)])
+        start = c == start
         if start.any():
             self.out.append(("start", level, self.shard, None, [int(v[start][0]) for v in sums]))
         self.out += _dealt("context", level - 1, c[~start], [c[~start]], [v[~start] for v in sums], self.bits)
@@ -483,8 +513,9 @@ def train(texts: DataFrame, order: int = ORDER, shard_bytes: int = SHARD_BYTES)
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = min(max(-(-size // shard_bytes) - 1, 0).bit_length(), 30)
     rows = texts.select("text").mapInArrow(lambda x: _counted(x, order, bits), _ROWS)
-    for _ in range(max(order - 1, 1) + (order == 2)):
-        rows = rows.groupBy("level", "shard").applyInArrow(lambda t: _reduce(t, order, bits, uri), _ROWS)
+    for step in range(max(order - 1, 1) + (order == 2)):
+        # what is dealt out goes as soon as it is merged and written
+        rows = stored(rows.groupBy("level", "shard").applyInArrow(lambda t: _reduce(t, order, bits, uri), _ROWS), f"ngrams-{step}")
     stats: dict[int, list[int]] = {}
     starts: dict[int, list[int]] = {}
     sizes: dict[str, int] = {}

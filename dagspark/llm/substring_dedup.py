@@ -23,7 +23,8 @@ passage in a third of all documents is no hot spot. Fragments are told apart by
 two 64-bit hashes, of the anchor and of the whole.
 
 Null texts are empty. Texts shorter than LENGTH lose nothing. Rows with equal
-doc_id and text are repeats of each other and each give a row. An empty table
+doc_id and text are repeats of each other, find the same ranges (kept once
+however many they are) and each give a row. An empty table
 gives an empty result; only doc_id and text are read by the query.
 """
 
@@ -280,7 +281,8 @@ def repeated_ranges(docs: DataFrame, shard_bytes: int = SHARD_BYTES, hot: int =
     hits = repeated.join(stored(found, "repeated_fragments"), ["h", "f"])
     starts = F.when(F.col("ranges").isNull(), F.concat(F.array("lo", F.col("lo") + F.col("len") - 1), F.coalesce("more", F.array().cast("array<int>"))))
     starts = starts.otherwise(F.transform("ranges", lambda x: x + F.col("lo")))
-    return stored(hits.groupBy("d", "t").agg(F.flatten(F.collect_list(starts)).alias("ranges")), "repeated_ranges")
+    # repeated rows find the same ranges, which are kept once
+    return stored(hits.groupBy("d", "t").agg(F.flatten(F.collect_set(starts)).alias("ranges")), "repeated_ranges")
 
 
 def deduplicate(docs: DataFrame, with_text: bool = False, **options: int) -> DataFrame:
