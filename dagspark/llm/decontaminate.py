@@ -1,20 +1,22 @@
 """Operator 2: benchmark decontamination by a positional inverted index, with DataFrame functions only.
 
 The documents' words that occur in any benchmark item are stored as postings
-(document, term, position). Each benchmark window (`window` consecutive words;
-a shorter item is one window) is looked up from its rarest term: that term's
-postings, less the term's offset in the item, are the alignments at which the
-item may stand in a document. They are intersected with the next rarest term's
-offset-adjusted postings, and what is left with those of all the item's terms.
-This gives for each alignment the item words that stand where they should: runs
-as long as a window are exact phrase matches.
-
-A proximity match is a window that isn't matched exactly, of which at least
-`near` words stand in a document at alignments that differ by no more than the
-words a window may lack, so that words may be replaced, put in or left out. At
-most window - near of its words are missing, so of its window - near + 2 rarest
-terms at least two stand there: every pair of those is looked up, whichever
-they are, and no match is lost.
+(document, position, term), each with the two terms after it. A benchmark item
+is cut into pieces of PIECE consecutive words. A piece is looked up by its
+terms: postings and pieces are joined on the term that fewest postings have and
+on the other two at their offsets from it, so three offset-adjusted lists are
+intersected where they lie. A place less the piece's offset in the item is an
+alignment at which the item may stand in a document. An alignment with all
+consecutive pieces of a window (`window` words; a shorter item is one window)
+is an exact phrase match.
+
+A proximity match is a window of which a piece stands (one of its three disjoint
+pieces: whatever two words are replaced, put in or left out, or whichever two
+neighbours are swapped, one of them is whole) and of which at least `near`
+words, at as many places, stand no further from where they should than
+window - near words. Candidates are looked at in the texts themselves.
+Proximity is reported for items without an exact match in the document; items
+of `near` words and fewer can lack nothing.
 
 Null and empty texts have no words and no hits. Null item_ids aren't reported,
 though their words are hit. Repeated documents each give a row; repeated
@@ -24,160 +26,165 @@ items nothing is hit. Only doc_id, item_id and text are read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, documents, padded_words, stored
+from .common import LOWER, UPPER, documents, numbered, padded_words, stored
 
-WINDOW, NEAR = 10, 8
-#: the benchmark's distinct terms are broadcast only up to this many (of at most _TERM_BYTES), else joined by a shuffle
+WINDOW, NEAR, PIECE = 10, 8, 3
+#: the benchmark's distinct terms are broadcast only up to this many (of at most _TERM_BYTES), and its pieces; else they are joined by a shuffle
 BROADCAST_TERMS, _TERM_BYTES = 200_000, 64
 #: the pseudo term at which a document's number of words is stored
 _END = -1
 
 
-def _words(df: DataFrame, key: str) -> DataFrame:
-    """A row id, the key, and the words with an empty one at the end."""
-    padded = padded_words(F.col("text"))
-    rows = df.select(F.monotonically_increasing_id().alias("rid"), F.col(key), padded.alias("padded"))
-    words = F.when(F.col("padded") == " ", F.array(F.lit(""))).otherwise(F.split(F.substring("padded", 2, 1 << 30), " "))
-    return rows.select("rid", key, F.posexplode(words).alias("pos", "word"))
+def _split(text: Column) -> Column:
+    """The text's words; none of a null or empty text."""
+    padded = padded_words(text)
+    return F.when(padded == " ", F.array().cast("array<string>")).otherwise(F.split(F.substring(padded, 2, F.length(padded) - 2), " "))
 
 
 def index(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(postings, items): postings(rid, doc_id, pos, term), items(iid, item_id, pos, term, length), both stored."""
-    item_words = stored(_words(benchmark, "item_id").withColumnsRenamed({"rid": "iid"}).where("word <> ''"), "benchmark_words")
-    terms = item_words.select("word").distinct()
-    terms = stored(terms.select("word", F.monotonically_increasing_id().alias("term")).union(docs.sparkSession.range(1).select(F.lit("").alias("word"), F.lit(_END).cast("bigint").alias("term"))), "benchmark_terms")
-    lengths = item_words.groupBy("iid").agg(F.count("*").cast("int").alias("length"))
-    items = stored(item_words.join(terms, "word").join(lengths, "iid").select("iid", "item_id", "pos", "term", "length"), "benchmark_items")
+    """(postings, items), stored, of docs(rid, doc_id, text) and benchmark(item_id, text).
+
+    postings(rid, doc_id, pos, term, t1, t2), with one of the term _END for each document; items(iid, item_id, words, terms).
+    """
+    items = stored(benchmark.select(F.monotonically_increasing_id().alias("iid"), "item_id", _split(F.col("text")).alias("words")), "benchmark_words")
+    words = items.select(F.explode("words").alias("word")).distinct()
+    end = docs.sparkSession.range(1).select(F.lit("").alias("word"), F.lit(_END).cast("bigint").alias("term"))
+    terms = stored(words.select("word", F.monotonically_increasing_id().alias("term")).union(end), "benchmark_terms")
     n, size = terms.agg(F.count("*"), F.coalesce(F.max(F.octet_length("word")), F.lit(0))).first()
     small = n <= BROADCAST_TERMS and n * size <= BROADCAST_TERMS * _TERM_BYTES
-    postings = _words(docs, "doc_id").join(F.broadcast(terms) if small else terms, "word").select("rid", "doc_id", "pos", "term")
-    return stored(postings, "postings"), items
-
-
-def alignments(postings: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(rid, iid, delta, length, found): found has the sorted item positions whose term stands at position + delta."""
-    df = postings.where(F.col("term") != _END).groupBy("term").agg(F.count("*").alias("df"))
-    starts = F.sequence(F.greatest(F.lit(0), F.col("pos") - window + 1), F.greatest(F.lit(0), F.least(F.col("pos"), F.col("length") - window)))
-    of_window = items.join(df, "term").select("iid", F.explode(starts).alias("start"), F.struct("df", "pos", "term").alias("by_rarity"))
-    # a window with a term that no document has can't match, and then it doesn't matter which terms are looked up
-    two = F.slice(F.array_sort(F.collect_list("by_rarity")), 1, 2)
-    pairs = of_window.groupBy("iid", "start").agg(two.alias("r")).select("iid", F.col("r")[0]["pos"].alias("pos"), F.col("r")[0]["term"].alias("term"), F.get("r", 1)["pos"].alias("pos2"), F.get("r", 1)["term"].alias("term2"))
-    rarest = stored(pairs.distinct(), "rarest_terms")
-    delta = F.col("at") - F.col("pos")
-    first = postings.select("rid", "term", F.col("pos").alias("at")).join(rarest, "term").select("rid", "iid", delta.alias("delta"), F.col("term2").alias("term"), (F.col("pos2") + delta).alias("pos")).distinct()
-    first = stored(first, "first_alignments")
-    second = postings.join(rarest.select(F.col("term2").alias("term")).distinct(), "term", "left_semi").select("rid", "term", "pos")
-    both = first.join(second, ["rid", "term", "pos"], "left_semi").select("rid", "iid", "delta")
-    candidates = both.union(first.where("term IS NULL").select("rid", "iid", "delta")).distinct()
-    wanted = stored(candidates, "alignments").join(items.select("iid", "pos", "term", "length"), "iid")
-    wanted = wanted.select("rid", "iid", "delta", "length", "term", F.col("pos").alias("item_pos"), (F.col("pos") + F.col("delta")).alias("pos"))
-    lists = postings.select("rid", "term", "pos")
-    found = lists.join(wanted.hint("shuffle_hash"), ["rid", "term", "pos"])
-    return found.groupBy("rid", "iid", "delta", "length").agg(F.array_sort(F.collect_list("item_pos")).alias("found"))
-
-
-def nearly(postings: DataFrame, items: DataFrame, window: int = WINDOW, near: int = NEAR) -> DataFrame:
-    """(rid, iid, starts): starts has the sorted first item positions of the windows that match in part."""
+
+    def known(rows: DataFrame, word: str, term: str, how: str = "left") -> DataFrame:
+        of = terms.select(F.col("word").alias(word), F.col("term").alias(term))
+        return rows.join(F.broadcast(of) if small else of, word, how).drop(word)
+
+    placed = items.select("iid", F.posexplode("words").alias("pos", "word"))
+    listed = known(placed, "word", "term", "inner").groupBy("iid").agg(F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("terms"))
+    items = stored(items.join(listed, "iid").select("iid", "item_id", "words", F.col("terms.term").alias("terms")), "benchmark_items")
+    split = docs.select("rid", "doc_id", F.concat(_split(F.col("text")), F.array(F.lit(""))).alias("w"))
+    three = F.arrays_zip(F.col("w").alias("w0"), F.slice("w", 2, 1 << 30).alias("w1"), F.slice("w", 3, 1 << 30).alias("w2"))
+    rows = split.select("rid", "doc_id", F.posexplode(three).alias("pos", "x")).select("rid", "doc_id", "pos", "x.w0", "x.w1", "x.w2")
+    return stored(known(known(known(rows, "w0", "term", "inner"), "w1", "t1"), "w2", "t2"), "postings"), items
+
+
+def places(postings: DataFrame, items: DataFrame) -> DataFrame:
+    """(rid, iid, delta, pieces), stored: the sorted item positions whose pieces stand at position + delta."""
+    long = F.least(F.size("terms"), F.lit(PIECE))
+    first = F.explode(F.sequence(F.lit(0), F.size("terms") - long)).alias("pos")
+    pieces = items.where(F.size("terms") > 0).select("iid", long.alias("long"), first, "terms")
+    pieces = stored(pieces.select("iid", "pos", "long", *(F.get("terms", F.col("pos") + i).alias(f"p{i}") for i in range(PIECE))), "pieces")
+    few = pieces.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    found = []
+    at = postings.withColumnRenamed("pos", "at")
+    # shorter pieces are whole items
+    for size, keys in ((1, ["term"]), (2, ["term", "t1"]), (3, ["term", "t1", "t2"])):
+        own = pieces.where(F.col("long") == size).select("iid", "pos", *(F.col(f"p{i}").alias(k) for i, k in enumerate(keys)))
+        found.append(at.select("rid", "at", *keys).join(F.broadcast(own) if few else own, keys).select("rid", "iid", "pos", (F.col("at") - F.col("pos")).alias("delta")))
+    hits = found[0].unionByName(found[1]).unionByName(found[2])
+    return stored(hits.groupBy("rid", "iid", "delta").agg(F.array_sort(F.collect_set("pos")).alias("pieces")), "places")
+
+
+def exact(found: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(rid, iid, positions), stored: document positions of all words in exact phrase matches, by alignment."""
+    wide = F.least(F.size("words"), F.lit(window))
+    # so many consecutive pieces make a window
+    run = F.greatest(wide - PIECE + 1, F.lit(1))
+    starts = F.filter("pieces", lambda x, j: F.get("pieces", j + F.col("run") - 1) == x + F.col("run") - 1)
+    whole = found.join(items.select("iid", wide.alias("wide"), run.alias("run")), "iid").where(F.size("pieces") >= F.col("run"))
+    whole = whole.select("rid", "iid", "delta", "wide", starts.alias("starts")).where(F.size("starts") > 0)
+    spans = F.flatten(F.transform("starts", lambda s: F.sequence(s + F.col("delta"), s + F.col("delta") + F.col("wide") - 1)))
+    return stored(whole.select("rid", "iid", F.array_distinct(spans).alias("positions")), "exact_hits")
+
+
+def nearly(docs: DataFrame, found: DataFrame, matched: DataFrame, items: DataFrame, window: int = WINDOW, near: int = NEAR) -> DataFrame:
+    """(rid, iid), stored: items with a proximity match in a document of docs(rid, text), but no exact one."""
     slack = window - near
-    wide = F.least(F.col("length"), F.lit(window))
-    # shorter items can lack nothing
-    items = items.where(F.col("length") > near)
-    df = postings.where(F.col("term") != _END).groupBy("term").agg(F.count("*").alias("df"))
-    starts = F.sequence(F.greatest(F.lit(0), F.col("pos") - window + 1), F.least(F.col("pos"), F.col("length") - wide))
-    # a term that no document has is missing everywhere: it is among the rarest too
-    by_rarity = F.struct(F.coalesce("df", F.lit(0)).alias("df"), "pos", "term").alias("by_rarity")
-    of_window = items.join(df, "term", "left").select("iid", "length", F.explode(starts).alias("start"), by_rarity)
-    rarest = of_window.groupBy("iid", "start", wide.alias("wide")).agg(F.array_sort(F.collect_list("by_rarity")).alias("r"))
-    rarest = rarest.select("iid", F.explode(F.slice("r", F.lit(1), F.col("wide") - near + 2)).alias("r")).select("iid", F.col("r.pos").alias("pos"), F.col("r.term").alias("term"))
-    seeds = stored(rarest.distinct(), "seed_terms")
-    # alignments fall into two overlapping ranges each, so that any slack + 1 neighbours share one
-    step = slack + 1
-    nth = F.floor((F.col("at") - F.col("pos")) / step).cast("int")
-    places = postings.select("rid", "term", F.col("pos").alias("at")).join(seeds, "term").select("rid", "iid", "pos", nth.alias("nth")).repartition("rid", "iid")
-    places = places.select("rid", "iid", "pos", F.explode(F.array(F.col("nth") - 1, F.col("nth"))).alias("range"))
-    ranges = places.groupBy("rid", "iid", "range").agg(F.min("pos").alias("low"), F.max("pos").alias("high")).where("low < high").select("rid", "iid", "range")
-    wanted = stored(ranges, "near_ranges").join(items.select("iid", "pos", "term", "length"), "iid")
-    by_rid = [F.col("p.rid") == F.col("w.rid"), F.col("p.term") == F.col("w.term"), (F.col("p.pos") - F.col("w.pos")).between(F.col("range") * step, F.col("range") * step + 2 * step - 1)]
-    placed = postings.alias("p").join(wanted.hint("shuffle_hash").alias("w"), by_rid).select("w.rid", "iid", "length", "range", F.struct(F.col("w.pos").alias("pos"), F.col("p.pos").alias("at")).alias("place"))
-    found = placed.groupBy("rid", "iid", "length", "range").agg(F.array_sort(F.collect_list("place")).alias("places")).where(F.size("places") >= near)
-    of_delta = found.select("rid", "iid", "length", "places", F.explode(F.sequence(F.col("range") * step, F.col("range") * step + slack)).alias("delta"))
-    close = F.filter("places", lambda x: (x["at"] - x["pos"]).between(F.col("delta"), F.col("delta") + slack))
-    of_delta = of_delta.select("rid", "iid", "length", "delta", close.alias("places")).where(F.size("places") >= near)
-    first, last = F.element_at("places", 1)["pos"], F.element_at("places", -1)["pos"]
-    start = F.explode(F.sequence(F.greatest(F.lit(0), first - slack), F.greatest(F.lit(0), F.least(last, F.col("length") - wide))))
-    of_start = of_delta.where(F.greatest(F.lit(0), first - slack) <= F.greatest(F.lit(0), F.least(last, F.col("length") - wide))).select("*", start.alias("start"))
-    inside = F.filter("places", lambda x: x["pos"].between(F.col("start"), F.col("start") + wide - 1))
-    of_start = of_start.select("rid", "iid", "length", "delta", "start", inside.alias("places"))
-    enough = (F.size(F.array_distinct("places.pos")) >= near) & (F.size(F.array_distinct("places.at")) >= near)
-    exact = F.exists(F.sequence(F.col("delta"), F.col("delta") + slack), lambda d: F.size(F.filter("places", lambda x: x["at"] - x["pos"] == d)) == wide)
-    return of_start.where(enough & ~exact).groupBy("rid", "iid").agg(F.array_sort(F.collect_set("start")).alias("starts"))
-
-
-def matches(postings: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """hits(rid, iid, start, exact) for each alignment that matches: exact has the positions of all words in exact phrase matches."""
-    aligned = alignments(postings, items, window)
-    wide = F.least(F.col("length"), F.lit(window))
-    found = F.col("found")
-    starts = F.filter(found, lambda x, j: F.get(found, j + wide - 1) == x + wide - 1)
-    spans = F.flatten(F.transform(starts, lambda s: F.sequence(s + F.col("delta"), s + F.col("delta") + wide - 1)))
-    hits = aligned.select("rid", "iid", F.col("delta").alias("start"), F.array_distinct(spans).alias("exact"))
-    return stored(hits.where(F.size("exact") > 0), "benchmark_hits")
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: int | None = NEAR) -> DataFrame:
-    """One row for each document: its words, those hit, and the items with exact matches in it; and, unless near is None, the items with proximity matches."""
+    wide = F.least(F.size("words"), F.lit(window))
+    long = items.where(F.size("words") > near).select("iid", "words", wide.alias("wide"), (F.size("words") - wide).alias("last"))
+    open_ = found.join(matched.select("rid", "iid").distinct(), ["rid", "iid"], "left_anti").join(long.select("iid", "last"), "iid")
+    # windows in which the piece is one of the disjoint ones
+    starts = F.array_distinct(F.flatten(F.transform("pieces", lambda p: F.array(*(p - PIECE * i for i in range(window // PIECE))))))
+    starts = F.filter(starts, lambda s: (s >= 0) & (s <= F.col("last")))
+    asked = stored(open_.select("rid", "iid", "delta", starts.alias("starts")).where(F.size("starts") > 0), "near_candidates")
+    texts = stored(docs.join(asked.select("rid").distinct(), "rid", "left_semi").select("rid", _split(F.col("text")).alias("w")), "near_texts")
+    tried = asked.join(texts, "rid").join(long.select("iid", "words", "wide"), "iid").select("rid", "iid", "delta", "w", "words", "wide", F.explode("starts").alias("start"))
+    # the document's words around the window, so that what follows looks at few words however long the text is
+    low = F.greatest(F.col("start") + F.col("delta") - slack, F.lit(0))
+    tried = tried.select("rid", "iid", F.slice("w", low + 1, window + 2 * slack).alias("w"), F.slice("words", F.col("start") + 1, F.col("wide")).alias("v"), (F.col("start") + F.col("delta") - low).alias("shift"))
+    offsets = [0] + [sign * e for e in range(1, slack + 1) for sign in (-1, 1)]
+
+    def stands(x: Column, j: Column) -> Column:
+        """The place nearest to its own at which the window's word stands."""
+        return F.coalesce(*(F.when((j + F.col("shift") + e >= 0) & (F.get("w", F.greatest(j + F.col("shift") + e, F.lit(0))) == x), j + F.col("shift") + e) for e in offsets))
+
+    stood = tried.select("rid", "iid", F.array_compact(F.transform("v", stands)).alias("stood"))
+    return stored(stood.where((F.size("stood") >= near) & (F.size(F.array_distinct("stood")) >= near)).select("rid", "iid").distinct(), "near_hits")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: int | None = NEAR, rid: str | None = None) -> DataFrame:
+    """One row for each document: its words, those hit, the items with exact matches in it; and, unless near is None, those with proximity matches only.
+
+    rid names a column of docs with a number of each row, where there is one.
+    """
+    docs = (docs.withColumn("rid", F.col(rid)) if rid else numbered(docs, "rid")).select("rid", "doc_id", "text")
     postings, items = index(docs, benchmark)
-    names = items.select("iid", "item_id").distinct()
-    exact = matches(postings, items, window).join(names, "iid")
-    words = exact.select("rid", F.explode("exact").alias("pos")).distinct().groupBy("rid").agg(F.count("*").alias("n_hit"))
-    found = words.join(exact.groupBy("rid").agg(F.collect_set(F.col("item_id").cast("string")).alias("items")), "rid", "full")
+    names = items.select("iid", F.col("item_id").cast("string").alias("item"))
+    found = places(postings, items)
+    matched = exact(found, items, window)
+    words = matched.select("rid", F.explode("positions").alias("pos")).distinct().groupBy("rid").agg(F.count("*").alias("n_hit"))
+    hits = words.join(matched.join(names, "iid").groupBy("rid").agg(F.collect_set("item").alias("items")), "rid", "full")
     if near is not None:
-        partly = stored(nearly(postings, items, window, near), "near_hits").join(names, "iid").groupBy("rid").agg(F.collect_set(F.col("item_id").cast("string")).alias("near_items"))
-        found = found.join(partly, "rid", "full")
-    found = stored(found, "contamination")
+        partly = nearly(docs, found, matched, items, window, near).join(names, "iid").groupBy("rid").agg(F.collect_set("item").alias("near_items"))
+        hits = hits.join(partly, "rid", "full")
+    texts = postings.where(F.col("term") == _END).select("rid", "doc_id", F.col("pos").cast("bigint").alias("n_words"))
+    out = texts.join(stored(hits, "contamination"), "rid", "left")
     none = F.array().cast("array<string>")
     listed = F.array_sort(F.coalesce("items", none))
-    texts = postings.where(F.col("term") == _END).select("rid", "doc_id", F.col("pos").cast("bigint").alias("n_words"))
-    out = texts.join(found, "rid", "left")
     columns = [
         F.col("doc_id"), F.col("n_words"), F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
         F.size(listed).cast("bigint").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     ]
     if near is not None:
-        nearby = F.array_sort(F.coalesce("near_items", none))
-        columns += [F.size(nearby).cast("bigint").alias("n_near"), nearby.alias("near_items")]
+        nearby = F.array_sort(F.array_except(F.coalesce("near_items", none), listed))
+        columns += [F.size(nearby).cast("bigint").alias("n_near"), F.array_join(nearby, ",").alias("near_items")]
     return out.select(*columns)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact matches, as its SQL has them."""
-    return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), near=None)
-
-
-def op2_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with the items that match in part."""
     return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 _WORDS_SQL = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op2_proximity": op2_proximity}
+_SLACK = WINDOW - NEAR
+QUERIES = {"op2_decontaminate": op2_decontaminate}
 ORACLE_SQL = {
     "op2_decontaminate": f"""
-WITH d AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
-b AS (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark),
-win AS (SELECT DISTINCT item_id, least(len(w), {WINDOW}) AS n, array_to_string(w[s:s + least(len(w), {WINDOW}) - 1], ' ') AS g
-  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - {WINDOW} + 1, 1) + 1)) AS s FROM b WHERE len(w) > 0)),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS_SQL} AS w FROM documents),
+b AS (SELECT row_number() OVER () AS i, item_id, {_WORDS_SQL} AS w FROM benchmark),
+win AS (SELECT DISTINCT i, item_id, least(len(w), {WINDOW}) AS n, array_to_string(w[s:s + least(len(w), {WINDOW}) - 1], ' ') AS g
+  FROM (SELECT i, item_id, w, unnest(range(1, greatest(len(w) - {WINDOW} + 1, 1) + 1)) AS s FROM b WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM win),
-grams AS (SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS g
-  FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS s FROM d, sizes WHERE len(w) >= n)),
-hit AS (SELECT doc_id, item_id, s, n FROM grams JOIN win USING (n, g)),
-pos AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY doc_id),
-its AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hit) GROUP BY doc_id)
+grams AS (SELECT r, n, s, array_to_string(w[s:s + n - 1], ' ') AS g
+  FROM (SELECT r, n, w, unnest(range(1, len(w) - n + 2)) AS s FROM d, sizes WHERE len(w) >= n)),
+hit AS (SELECT r, i, item_id, s, n FROM grams JOIN win USING (n, g)),
+pos AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(s, s + n)) AS p FROM hit) GROUP BY r),
+its AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT r, item_id::VARCHAR AS i FROM hit WHERE item_id IS NOT NULL) GROUP BY r),
+piece AS (SELECT i, w AS v, p, array_to_string(w[p:p + {PIECE - 1}], ' ') AS g
+  FROM (SELECT i, w, unnest(range(1, len(w) - {PIECE - 2})) AS p FROM b WHERE len(w) > {NEAR})),
+three AS (SELECT r, w, q, array_to_string(w[q:q + {PIECE - 1}], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - {PIECE - 2})) AS q FROM d)),
+cand AS (SELECT DISTINCT r, i, w, v, q - p AS delta, s
+  FROM (SELECT *, unnest([{", ".join(f"p - {PIECE * k}" for k in range(WINDOW // PIECE))}]) AS s FROM three JOIN piece USING (g) ANTI JOIN (SELECT DISTINCT r, i FROM hit) USING (r, i))
+  WHERE s >= 1 AND s <= greatest(len(v) - {WINDOW - 1}, 1)),
+word AS (SELECT r, i, delta, s, v[j] AS x, w, j + delta AS q FROM (SELECT *, unnest(range(s, s + least(len(v), {WINDOW}))) AS j FROM cand)),
+stood AS (SELECT r, i, delta, s, CASE {" ".join(f"WHEN q + {e} >= 1 AND q + {e} <= len(w) AND w[greatest(q + {e}, 1)] = x THEN q + {e}" for e in [0] + [q * e for e in range(1, _SLACK + 1) for q in (-1, 1)])} END AS p FROM word),
+part AS (SELECT DISTINCT r, i FROM (SELECT r, i FROM stood GROUP BY r, i, delta, s HAVING count(p) >= {NEAR} AND count(DISTINCT p) >= {NEAR})),
+parts AS (SELECT r, count(*) AS n_near, string_agg(i, ',' ORDER BY i) AS near_items
+  FROM (SELECT DISTINCT r, item_id::VARCHAR AS i FROM part JOIN b USING (i) WHERE item_id IS NOT NULL EXCEPT SELECT r, item_id::VARCHAR FROM hit) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)"""
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  coalesce(n_near, 0)::BIGINT AS n_near, coalesce(near_items, '') AS near_items
+FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r) LEFT JOIN parts USING (r)"""
 }

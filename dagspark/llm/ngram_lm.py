@@ -60,29 +60,29 @@ _MULTIPLY = U64(0x9FB21C651E98DF25)
 _SEED = 7
 
 
-class Words:
+class Words(dict):
     """Numbers the words it meets, the begin mark 0 and the end mark 1, and knows their hashes."""
 
     def __init__(self) -> None:
         self.forget()
 
     def forget(self) -> None:
-        self.numbers: dict[bytes, int] = {}
+        self.clear()
         self._hashes = [int(BEGIN), int(END)]
 
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self._hashes)
+        self._hashes.append(xxhash.xxh64_intdigest(word, _SEED) & _KEPT)
+        return n
+
     def full(self) -> bool:
-        return len(self.numbers) >= MEMO
+        return len(self) >= MEMO
 
     def of(self, text: str | None) -> np.ndarray:
         """Numbers of the text's words and of the end mark."""
         words = (text or "").encode().translate(LOWER_TABLE).split()
-        numbers, hashes = self.numbers, self._hashes
-        for w in words:
-            if w not in numbers:
-                numbers[w] = len(hashes)
-                hashes.append(xxhash.xxh64_intdigest(w, _SEED) & _KEPT)
         out = np.ones(len(words) + 1, np.int32)
-        out[:-1] = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
+        out[:-1] = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
         return out
 
     def hashes(self) -> np.ndarray:
@@ -100,6 +100,13 @@ def mixed(columns: list[np.ndarray]) -> np.ndarray:
     return h
 
 
+def dealt_hash(columns: list[np.ndarray], bits: int) -> np.ndarray:
+    """A hash of each row that begins with the shard of all but its first word."""
+    if not bits or len(columns) == 1:
+        return mixed(columns)
+    return (mixed(columns[1:]) >> U64(64 - bits) << U64(64 - bits)) | (mixed(columns) >> U64(bits))
+
+
 def ngrams(words: np.ndarray, lengths: np.ndarray, order: int, begin: int | U64 = BEGIN) -> list[np.ndarray]:
     """Columns of the order words that end at each word of the concatenated texts, padded at their beginnings."""
     starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
@@ -344,12 +351,9 @@ class _Shard:
         self.files.write(f"{level}-{self.shard}-{name}", data)
         self.out.append(("file", level, self.shard, name.encode(), [len(data)]))
 
-    def grams(self, level: int, h: np.ndarray, rows: list[np.ndarray], count: np.ndarray, total: np.ndarray, own: bool = True) -> None:
-        """Write a level's n-grams, and deal out the statistics of their contexts; count is the adjusted one, total how often they occur.
-
-        own: whether the shard is that of the n-grams' own hashes, whose first bits it tells.
-        """
-        self.write(level, "keys", _key_table(h, self.bits if own else 0))
+    def grams(self, level: int, h: np.ndarray, rows: list[np.ndarray], count: np.ndarray, total: np.ndarray) -> None:
+        """Write a level's n-grams, and deal out the statistics of their contexts; count is the adjusted one, total how often they occur."""
+        self.write(level, "keys", _key_table(h, self.bits))
         self.write(level, "values", _value_table([count, total] if level == 1 else [count]))
         self.out.append(("stat", level, self.shard, None, [len(h), int(count.sum()), *(int((count == k).sum()) for k in (1, 2, 3, 4)), int(total.sum())]))
         if level == 1:
@@ -398,12 +402,12 @@ def _reduce(table: pa.Table, order: int, bits: int, uri: str) -> pa.Table:
         parts = [_unpack(x) for x in payloads.pop(kind)]
         rows, values = ([np.concatenate(c) for c in zip(*(p[i] for p in parts), strict=True)] for i in (0, 1))
         del parts
-        return _summed(mixed(rows), rows, values)
+        return _summed(dealt_hash(rows, bits) if kind == "top" else mixed(rows), rows, values)
 
     done = _Shard(shard, bits, uri)
     if "top" in payloads:
         h, rows, (count,) = merged("top")
-        done.grams(level, h, rows, count, count, own=level == 1)
+        done.grams(level, h, rows, count, count)
         if level > 1:
             # the shard has all n-grams that end alike, so it has all of the next level's that it deals with
             h, rows, values = _shorter(level, rows, count, count)
@@ -436,16 +440,16 @@ class Model:
         #: the unigrams' share of the uniform distribution
         self.spread = (d[1] * n1 + d[2] * n2 + d[3] * (self.vocabulary - n1 - n2)) / self.total if self.total else 1.0
 
-    def _found(self, level: int, h: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Values and context statistics of n-grams; h is sorted within each of the sorted shards."""
+    def _found(self, level: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values and context statistics of n-grams by sorted hash."""
         files = Files(self.uri)
         values, contexts = np.zeros((len(h), 2 if level == 1 else 1)), np.zeros((len(h), 4))
-        edges = np.searchsorted(shard, np.arange((1 << self.bits) + 1))
+        edges = np.searchsorted(_ranges(h, self.bits), np.arange((1 << self.bits) + 1))
         for s in range(1 << self.bits):
             own, base = slice(edges[s], edges[s + 1]), f"{level}-{s}-"
             if own.start == own.stop or f"{base}keys" not in self.sizes:
                 continue
-            at = _places(files.read(f"{base}keys", self.sizes[f"{base}keys"]), h[own], self.bits if level < self.order or level == 1 else 0)
+            at = _places(files.read(f"{base}keys", self.sizes[f"{base}keys"]), h[own], self.bits)
             values[own] = _values(files.read(f"{base}values", self.sizes[f"{base}values"]), at)
             if f"{base}contexts" in self.sizes:
                 contexts[own] = _values(files.read(f"{base}contexts", self.sizes[f"{base}contexts"]), at)
@@ -458,7 +462,7 @@ class Model:
         place = np.zeros(len(hashes), np.int64)
         place[met] = np.arange(len(met))
         h = hashes[met]
-        values, contexts = (x[place[numbers]] for x in self._found(1, h, _ranges(h, self.bits)))
+        values, contexts = (x[place[numbers]] for x in self._found(1, h))
         d = self.discounts[1]
         count, raw = values[:, 0], values[:, 1]
         p = self.spread / (self.vocabulary + 1) + np.maximum(count - d[np.minimum(count, 3).astype(int)], 0) / max(self.total, 1)
@@ -466,23 +470,20 @@ class Model:
         first = np.cumsum(lengths) - lengths
         for level in range(2, self.order + 1):
             # a word's context is the n-gram that ends at the word before
-            stats = np.roll(contexts, 1, axis=0)
+            stats = np.empty((len(numbers), 4))
+            stats[1:] = contexts[:-1]
             stats[first] = self.starts[level]
             last = columns[-level:]
-            h = mixed(last)
-            if level == self.order:  # dealt to the shard of the shorter one
-                shard = _ranges(mixed(last[1:]), self.bits)
-                order = np.lexsort((h, shard))
-            else:
-                shard = _ranges(h, self.bits)
-                order = np.argsort(h)
-            h, shard = h[order], shard[order]
+            h = dealt_hash(last, self.bits) if level == self.order else mixed(last)
+            order = np.argsort(h)
+            h = h[order]
             new = np.concatenate([[True], h[1:] != h[:-1]])
-            group = np.cumsum(new) - 1
-            values, contexts = self._found(level, h[new], shard[new])
             back = np.empty(len(order), np.int64)
-            back[order] = group
-            count, contexts = values[back, 0], contexts[back]
+            back[order] = np.cumsum(new) - 1
+            values, contexts = self._found(level, h[new])
+            count = values[:, 0][back]
+            if level < self.order:
+                contexts = contexts[back]
             d = self.discounts[level]
             seen = stats[:, 0] > 0
             total = np.where(seen, stats[:, 0], 1)

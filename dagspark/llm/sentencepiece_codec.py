@@ -24,7 +24,6 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +42,7 @@ UNIGRAM, BPE = 1, 2
 #: texts that are encoded at once, by characters
 BATCH_CHARS = 1 << 20
 #: words that a task remembers, and up to which length; words that are encoded together, by characters
-MEMO, MEMO_CHARS, TOGETHER_CHARS = 400_000, 4096, 1 << 15
+MEMO, MEMO_CHARS, TOGETHER_CHARS = 600_000, 4096, 1 << 15
 _WORD = re.compile(f"{MARK}+[^{MARK}]*")
 THREADS = 2
 #: the share of texts whose ids and decoded text are also compared with the sentencepiece library's: one in so many
@@ -141,6 +140,11 @@ class SentencePieceModel:
         return made
 
 
+def _spaced(text: str) -> str:
+    """The text's words, without the marker before each but with further ones, and single spaces between them."""
+    return " ".join(w[1:] for w in _WORD.findall(f"{MARK}{text.replace(' ', MARK)}"))
+
+
 class Codec:
     """Encodes and decodes batches of texts with the tokenizer rebuilt from a model file."""
 
@@ -156,58 +160,66 @@ class Codec:
         """Know no words: their numbers; by number their lengths in ids and first ids in `ids`, and their texts."""
         self.number: dict[str, int] = {}
         self.lengths, self.firsts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.texts: list[pa.Array] = []
+        self.texts = pa.array([], pa.large_string())
 
     def _learn(self, words: list[str]) -> None:
-        """Number, encode and decode new words, many of them in one string, whose pre-tokens they are."""
+        """Number, encode and decode new words (each without the marker before it), many of them in one string, whose pre-tokens they are."""
         self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
         parts, part, chars = [], [], 0
         for w in words:
-            part.append(w)
-            chars += len(w)
-            if chars >= TOGETHER_CHARS:
+            alone = not w.strip(MARK)  # these would run together with the next marker
+            if part and (alone or chars >= TOGETHER_CHARS):
                 parts.append(part)
                 part, chars = [], 0
+            part.append(w)
+            chars += TOGETHER_CHARS if alone else len(w) + 1
         parts += [part] * bool(part)
-        # the normaliser puts the first marker back
-        done = self.of_words.encode_batch(["".join(p)[1:] for p in parts], add_special_tokens=False)
-        ids, lengths, own = [], [], []
-        for p, x in zip(parts, done, strict=True):
-            here = x.ids
-            ids.append(np.array(here, np.int32))
-            lengths.append(np.bincount(np.array(x.word_ids), minlength=len(p)))
-            ends = np.cumsum(lengths[-1]).tolist()
-            own += [here[i:j] for i, j in zip([0, *ends], ends, strict=False)]
-        self.texts.append(pa.array(self.of_words.decode_batch(own, skip_special_tokens=False), pa.large_string()))
+        # the normaliser puts the first marker before each string, but not before an empty one; so a word stands before what is alone
+        alone = [not p[0].strip(MARK) for p in parts]
+        done = self.of_words.encode_batch([f"a{MARK}{p[0]}" if x else MARK.join(p) for p, x in zip(parts, alone, strict=True)], add_special_tokens=False)
+        ids = [x.ids for x in done]
+        for i, (x, y) in enumerate(zip(done, alone, strict=True)):
+            if y:
+                ids[i] = ids[i][x.word_ids.count(0) :]
+        lengths, texts = [], []
+        for p, x, y, i, back in zip(parts, done, alone, ids, self.of_words.decode_batch(ids, skip_special_tokens=False), strict=True):
+            lengths.append(np.array([len(i)]) if y else np.bincount(np.array(x.word_ids, np.int64), minlength=len(p)))
+            decoded = back.split(" ")
+            if len(decoded) == len(p) + 1:
+                texts += [f" {t}" for t in decoded[1:]]
+            else:  # words that hold spaces
+                ends = np.cumsum(lengths[-1]).tolist()
+                texts += self.of_words.decode_batch([i[a:b] for a, b in zip([0, *ends], ends, strict=False)], skip_special_tokens=False)
+        self.texts = pa.concat_arrays([self.texts, pa.array(texts, pa.large_string())])
         self.lengths = np.concatenate([self.lengths, *lengths])
         self.firsts = np.cumsum(self.lengths) - self.lengths
-        self.ids = np.concatenate([self.ids, *ids])
+        self.ids = np.concatenate([self.ids, *(np.array(i, np.int32) for i in ids)])
 
     def both_ways(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """The texts' ids one after another, how many each text has, and what each text's decode to."""
         if not self.by_words:
             each = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             return np.array([i for x in each for i in x], np.int32), np.array([len(x) for x in each], np.int64), self.decode(each)
-        words = [_WORD.findall(f"{MARK}{t.replace(' ', MARK)}") if t else [] for t in texts]
-        new = list({w: None for x in words for w in x if w not in self.number})
+        plain = [_spaced(t) if "  " in t or t[:1] == " " or MARK in t else t or None for t in texts]
+        words = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
+        ends = np.asarray(words.offsets)
+        coded = words.values.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        new = [w for w in distinct if w not in self.number]
+        if new and self.number and len(self.number) + len(new) > MEMO:
+            self._forget()
+            new = distinct
         if new:
-            if len(self.number) + len(new) > MEMO:
-                self._forget()
-                new = list({w: None for x in words for w in x})
             self._learn(new)
-        counts = np.array([len(x) for x in words], np.int64)
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        number = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), np.int64, ends[-1])
+        number = np.fromiter(map(self.number.__getitem__, distinct), np.int64, len(distinct))[np.asarray(coded.indices)] if distinct else np.zeros(0, np.int64)
         long = self.lengths[number]
-        within = np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long)
+        sums = np.concatenate([[0], np.cumsum(long)])
+        within = np.arange(sums[-1]) - np.repeat(sums[:-1], long)
         ids = self.ids[np.repeat(self.firsts[number], long) + within]
-        sums = np.concatenate([[0], np.cumsum(long)])[ends]
-        known = pa.concat_arrays(self.texts) if self.texts else pa.array([], pa.large_string())
-        self.texts = [known]
-        decoded = pc.binary_join(pa.LargeListArray.from_arrays(ends, known.take(pa.array(number))), pa.scalar("", pa.large_string()))
+        decoded = pc.binary_join(pa.LargeListArray.from_arrays(ends, self.texts.take(pa.array(number))), pa.scalar("", pa.large_string()))
         if max(map(len, new), default=0) > MEMO_CHARS:
             self._forget()  # such words would fill the memory
-        return ids, np.diff(sums), [t[1:] for t in decoded.to_pylist()]
+        return ids, np.diff(sums[ends]), [t[1:] for t in decoded.to_pylist()]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         ids, counts, _ = self.both_ways(texts)
