@@ -515,7 +515,8 @@ def train(texts: DataFrame, order: int = ORDER, shard_bytes: int = SHARD_BYTES)
     bits = min(max(-(-size // shard_bytes) - 1, 0).bit_length(), 30)
     rows = texts.select("text").mapInArrow(lambda x: _counted(x, order, bits), _ROWS)
     for step in range(max(order - 1, 1) + (order == 2)):
-        # what is dealt out goes as soon as it is merged and written
+        # so many partitions that few get two shards; what is dealt out goes as soon as it is merged and written
+        rows = rows.repartition(4 << bits, "level", "shard")
         rows = stored(rows.groupBy("level", "shard").applyInArrow(lambda t: _reduce(t, order, bits, uri), _ROWS), f"ngrams-{step}")
     stats: dict[int, list[int]] = {}
     starts: dict[int, list[int]] = {}
