@@ -10,11 +10,12 @@ alignment at which the item may stand in a document. An alignment with all
 consecutive pieces of a window (`window` words; a shorter item is one window)
 is an exact phrase match.
 
-A proximity match is a window of which a piece stands (one of its three disjoint
-pieces: whatever two words are replaced, put in or left out, or whichever two
-neighbours are swapped, one of them is whole) and of which at least `near`
-words, at as many places, stand no further from where they should than
-window - near words. Candidates are looked at in the texts themselves.
+A proximity match is a window of which at least `near` words, at as many places,
+stand no further than window - near words from an alignment at which one of its
+pieces stands, while another of its pieces stands as close. Whatever two words
+are replaced, put in or left out, and whichever two neighbours are swapped, two
+of a window's overlapping pieces are whole, so all such windows are found from
+the pieces' alignments alone; what is left is looked at in the texts.
 Proximity is reported for items without an exact match in the document; items
 of `near` words and fewer can lack nothing.
 
@@ -103,11 +104,19 @@ def nearly(docs: DataFrame, found: DataFrame, matched: DataFrame, items: DataFra
     slack = window - near
     wide = F.least(F.size("words"), F.lit(window))
     long = items.where(F.size("words") > near).select("iid", "words", wide.alias("wide"), (F.size("words") - wide).alias("last"))
-    open_ = found.join(matched.select("rid", "iid").distinct(), ["rid", "iid"], "left_anti").join(long.select("iid", "last"), "iid")
-    # windows in which the piece is one of the disjoint ones
-    starts = F.array_distinct(F.flatten(F.transform("pieces", lambda p: F.array(*(p - PIECE * i for i in range(window // PIECE))))))
-    starts = F.filter(starts, lambda s: (s >= 0) & (s <= F.col("last")))
-    asked = stored(open_.select("rid", "iid", "delta", starts.alias("starts")).where(F.size("starts") > 0), "near_candidates")
+    open_ = found.join(matched.select("rid", "iid").distinct(), ["rid", "iid"], "left_anti").join(long.select("iid", "wide", "last"), "iid")
+    hits = open_.select("rid", "iid", "wide", "last", "delta", F.explode("pieces").alias("p"))
+    # two ranges overlap everywhere, so any two places that are close enough share one
+    nth, mth = F.floor(F.col("delta") / (slack + 1)), F.floor(F.col("p") / window)
+    near_by = hits.select("*", F.explode(F.array(nth - 1, nth)).alias("nth")).select("*", F.explode(F.array(mth - 1, mth)).alias("mth"))
+    held = near_by.groupBy("rid", "iid", "wide", "last", "nth", "mth").agg(F.collect_set(F.struct("delta", "p")).alias("held")).where(F.size("held") > 1)
+    pair = held.select("rid", "iid", "wide", "last", "held", F.explode("held").alias("x"))
+    close = F.filter("held", lambda y: (y["p"] != F.col("x.p")) & (F.abs(y["p"] - F.col("x.p")) <= F.col("wide") - PIECE) & (F.abs(y["delta"] - F.col("x.delta")) <= slack))
+    first = lambda y: F.greatest(F.greatest(F.col("x.p"), y["p"]) - F.col("wide") + PIECE, F.lit(0))
+    final = lambda y: F.least(F.least(F.col("x.p"), y["p"]), F.col("last"))
+    starts = F.array_distinct(F.flatten(F.transform(F.filter(close, lambda y: first(y) <= final(y)), lambda y: F.sequence(first(y), final(y)))))
+    asked = pair.select("rid", "iid", F.col("x.delta").alias("delta"), F.explode(starts).alias("start")).groupBy("rid", "iid", "delta").agg(F.collect_set("start").alias("starts"))
+    asked = stored(asked, "near_candidates")
     texts = stored(docs.join(asked.select("rid").distinct(), "rid", "left_semi").select("rid", _split(F.col("text")).alias("w")), "near_texts")
     tried = asked.join(texts, "rid").join(long.select("iid", "words", "wide"), "iid").select("rid", "iid", "delta", "w", "words", "wide", F.explode("starts").alias("start"))
     # the document's words around the window, so that what follows looks at few words however long the text is
@@ -175,9 +184,10 @@ its AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FR
 piece AS (SELECT i, w AS v, p, array_to_string(w[p:p + {PIECE - 1}], ' ') AS g
   FROM (SELECT i, w, unnest(range(1, len(w) - {PIECE - 2})) AS p FROM b WHERE len(w) > {NEAR})),
 three AS (SELECT r, w, q, array_to_string(w[q:q + {PIECE - 1}], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - {PIECE - 2})) AS q FROM d)),
-cand AS (SELECT DISTINCT r, i, w, v, q - p AS delta, s
-  FROM (SELECT *, unnest([{", ".join(f"p - {PIECE * k}" for k in range(WINDOW // PIECE))}]) AS s FROM three JOIN piece USING (g) ANTI JOIN (SELECT DISTINCT r, i FROM hit) USING (r, i))
-  WHERE s >= 1 AND s <= greatest(len(v) - {WINDOW - 1}, 1)),
+place AS (SELECT DISTINCT r, i, w, v, p, q - p AS delta FROM three JOIN piece USING (g) ANTI JOIN (SELECT DISTINCT r, i FROM hit) USING (r, i)),
+cand AS (SELECT DISTINCT x.r, x.i, x.w, x.v, x.delta, s FROM place x JOIN place y ON x.r = y.r AND x.i = y.i AND x.p <> y.p AND abs(x.delta - y.delta) <= {_SLACK}
+  CROSS JOIN unnest(range(1, 1 + greatest(len(x.v) - {WINDOW - 1}, 1))) AS t(s)
+  WHERE least(x.p, y.p) >= s AND greatest(x.p, y.p) + {PIECE} <= s + least(len(x.v), {WINDOW})),
 word AS (SELECT r, i, delta, s, v[j] AS x, w, j + delta AS q FROM (SELECT *, unnest(range(s, s + least(len(v), {WINDOW}))) AS j FROM cand)),
 stood AS (SELECT r, i, delta, s, CASE {" ".join(f"WHEN q + {e} >= 1 AND q + {e} <= len(w) AND w[greatest(q + {e}, 1)] = x THEN q + {e}" for e in [0] + [q * e for e in range(1, _SLACK + 1) for q in (-1, 1)])} END AS p FROM word),
 part AS (SELECT DISTINCT r, i FROM (SELECT r, i FROM stood GROUP BY r, i, delta, s HAVING count(p) >= {NEAR} AND count(DISTINCT p) >= {NEAR})),

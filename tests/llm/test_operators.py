@@ -215,6 +215,63 @@ def test_license_rules_and_suppression(spark):
     assert len(licenses.rules()) > 200
 
 
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("licensed under GPLv3", "gpl-3"), ("License: GPL-3.0-or-later", "gpl-3"), ("GPL-2.0-only", "gpl-2"), ("LGPL-2.1-or-later, see COPYING", "lgpl-2.1"), ("AGPLv3", "agpl-3"),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software)", "mit"),
+        ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "bsd"),
+        ("Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software", "bsd-3-clause"),
+        ("SPDX-License-Identifier: MIT OR Apache-2.0", "apache-2,mit"), ("SPDX-License-Identifier: (MIT AND BSD-3-Clause) OR ISC", "bsd-3-clause,isc,mit"), ("under the MIT license and the Apache License 2.0", "apache-2,mit"), ("licensed under GPL-2.0 and MIT", "gpl-2,mit"),
+        ("Licensed under the MIT license, 3-clause BSD license", "bsd-3-clause,mit"), ("under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.", "gpl-3"),
+        ("the GNU Lesser General Public License, version 2.1", "lgpl-2.1"), ("CC BY-SA 4.0", "cc-by-sa"), ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "cc-by-nc-sa"), ("available under MIT terms", "mit"),
+        ("THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY", "mit"), ("This is free and unencumbered software released into the public domain.", "unlicense"),
+        ("Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND", "apache-2"), ("https://opensource.org/licenses/BSD-2-Clause", "bsd-2-clause"),
+        ("a mit of snow, python eats ruby and json", ""), ("the license plate of a boost", ""), ("he applied and mit replied", ""),
+    ],
+)
+def test_license_statements(text, labels):
+    """By Python's own regexes (but for what makes a list) and a plain resolver."""
+    assert ",".join(sorted({r["label"] for *_, r in brute_licenses(text)})) == labels
+
+
+def brute_licenses(text):
+    padded = f" {' '.join(WORD.findall(text.translate(LOWER)))} "
+    assert not any(re.search(r["pattern"].replace(licenses._LISTED, ""), padded) for r in licenses.rules() if r["kind"] != "listed") or re.search(licenses.gate(), padded)
+    found = []
+    for r in licenses.rules():
+        for m in re.finditer(r["pattern"].replace(licenses._LISTED, ""), padded):
+            if r["kind"] == "listed" and not re.search(" (?:licen[sc]ed|licen[sc]es?|identifier|under) .{0,160}$", padded[: m.end()]):
+                continue
+            assert any(f" {k}" in padded for k in r["keywords"])
+            assert any(g in padded for g in r["gates"])
+            start = padded[: m.start()].count(" ")
+            found.append((start, start + m[0].count(" "), r))
+    longer = lambda x: [y for y in found if y[0] <= x[0] and x[1] <= y[1] and y[1] - y[0] > x[1] - x[0]]
+    kept = []
+    for x in sorted(found, key=lambda x: (max([x[2]["level"], *(y[2]["level"] for y in longer(x))]), x[2]["level"], x[0] - x[1], x[0], x[2]["id"])):
+        if not any(y[0] < x[1] and x[0] < y[1] for y in kept):
+            kept.append(x)
+    return kept
+
+
+def test_licenses_against_brute_force(spark):
+    rng = random.Random(6)
+    parts = "the MIT license,Apache License 2.0,licensed under,GPL-3.0,or later,3-clause BSD license,and,or,SPDX-License-Identifier: MIT,CC BY-NC 4.0,license,version 2,GNU General Public License,ISC,available under the,public domain,released into the,or the,BSD,permission is hereby granted".split(",")
+    texts = [" ".join(rng.choices(parts, k=rng.randrange(1, 14))) for _ in range(150)]
+    docs = table(spark, [*texts, None, texts[0]])
+    docs = docs.union(docs.where("doc_id < 3")).withColumn("doc_id", F.when(F.col("doc_id") != 5, F.col("doc_id")))
+    got = {}
+    for r in licenses.license_labels(docs).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    assert [len(got[i]) for i in (0, 1, 2, 3, None)] == [2, 2, 2, 1, 1]
+    for i, t in enumerate(texts):
+        kept, r = brute_licenses(t), got[i if i != 5 else None][0]
+        base = set(filter(None, r.base_labels.split(",")))
+        assert r.labels == ",".join(sorted({x["label"] for *_, x in kept} | base)), t
+        assert r.n_detections == len(kept), t
+
+
 # --- 2: decontamination -----------------------------------------------------------------------------------
 def brute_contamination(text, items, n=10):
     w = WORD.findall((text or "").translate(LOWER))
@@ -257,16 +314,14 @@ def test_proximity_matches(spark):
 
 
 def brute_near(w, v, n=10, near=8, around=None):
-    """Whether `near` words of a window stand at alignments that differ by n - near at most; around: no further than that from an alignment at which one of its disjoint pieces of three stands."""
+    """Whether `near` words of a window stand at alignments that differ by n - near at most; around: no further than that from an alignment at which one of its pieces of three stands while another one stands as close."""
     wide, slack = min(n, len(v)), n - near
     for s in range(len(v) - wide + 1) if len(v) > near else ():
+        stand = {(p, d) for p in range(s, s + wide - 2) for d in range(-p, len(w)) if w[p + d : p + d + 3] == v[p : p + 3]}
         for d in range(-len(v), len(w)):
-            if around:
-                if not any(p + d >= 0 and w[p + d : p + d + 3] == v[p : p + 3] for p in range(s, s + wide - 2, 3)):
-                    continue
-                reach = range(d - slack, d + slack + 1)
-            else:
-                reach = range(d, d + slack + 1)
+            if around and not any(x == d and p != q and abs(x - y) <= slack for p, x in stand for q, y in stand):
+                continue
+            reach = range(d - slack, d + slack + 1) if around else range(d, d + slack + 1)
             at = [(p, p + x) for p in range(s, s + wide) for x in reach if 0 <= p + x < len(w) and w[p + x] == v[p]]
             if min(len({a for a, _ in at}), len({b for _, b in at})) >= near:
                 return True
