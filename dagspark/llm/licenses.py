@@ -268,9 +268,18 @@ def scan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         ),
         "license_texts",
     )
+    of_keyword: dict[str, list[int]] = {}
+    for r in rules():
+        for k in r["keywords"]:
+            of_keyword.setdefault(k, []).append(r["id"])
+    # where a keyword stands, all that begin it do too
+    reached = {k: sorted({i for shorter, ids in of_keyword.items() if k.startswith(shorter) for i in ids}) for k in of_keyword}
     table = F.from_json(F.lit(json.dumps(rules())), "array<struct<id:int,level:int,kind:string,label:string,keywords:array<string>,gates:array<string>,weight:double,pattern:string>>")
-    held = F.filter(table, lambda r: F.exists(r["gates"], lambda g: F.contains(F.col("padded"), g)) & F.exists(r["keywords"], lambda k: F.contains(F.col("padded"), F.concat(F.lit(" "), k))))
-    tried = texts.where("padded is not null").select("rid", "padded", F.explode(held).alias("rule"))
+    of_held = F.from_json(F.lit(json.dumps(reached)), "map<string,array<int>>")
+    standing = F.array_distinct(F.regexp_extract_all("padded", F.lit(f" (?=({'|'.join(sorted(of_keyword, key=lambda k: (-len(k), k)))}))"), F.lit(1)))
+    ids = F.array_distinct(F.flatten(F.transform(standing, lambda k: F.element_at(of_held, k))))
+    tried = texts.where("padded is not null").select("rid", "padded", F.explode(ids).alias("id")).select("rid", "padded", F.get(table, F.col("id")).alias("rule"))
+    tried = tried.where(F.exists("rule.gates", lambda g: F.contains(F.col("padded"), g)))
     found = tried.where(F.rlike("padded", F.col("rule.pattern"))).select(
         "rid", "rule",
         F.transform(F.split("padded", F.col("rule.pattern"), -1), lambda x: spaces(x)).alias("between"),
