@@ -543,18 +543,79 @@ def test_toxicity_without_labels(spark):
     assert got[0]["score"] >= 0.5 > got[1]["score"]
 
 
-def test_label_model_recovers_rates():
-    rng = np.random.default_rng(3)
-    y = rng.random(6000) < 0.2
-    rates = np.array([[0.7, 0.02], [0.5, 0.05], [0.3, 0.01]])
-    votes = (rng.random((6000, 3)) < np.where(y[:, None], rates[:, 0], rates[:, 1])).astype(float)
-    votes = np.column_stack([votes, votes[:, 0]])  # a copy is wholly correlated
-    given = np.where(rng.random(6000) < 0.1, ~y, y).astype(int)
-    p, found, correlations = toxicity.label_model(votes, given)
-    assert np.allclose(found[:3], rates, atol=0.08)
-    assert ((p > 0.5) == y).mean() > 0.93
-    assert correlations[0, 3] > 0.9
-    assert abs(correlations[0, 1]) < 0.1
+def simulated_votes(n, seed):
+    """Votes of six independent voters (one for the other class) and of two that copy the first one's mostly, their classes, and the rates."""
+    rng = np.random.default_rng(seed)
+    y = rng.random(n) < 0.15
+    rates = np.array([[0.6, 0.01], [0.5, 0.02], [0.4, 0.01], [0.45, 0.03], [0.35, 0.005], [0.02, 0.5]])
+    votes = (rng.random((n, 6)) < np.where(y[:, None], rates[:, 0], rates[:, 1])).astype(int)
+    copies = np.where(rng.random((n, 2)) < 0.9, votes[:, :1], rng.random((n, 2)) < np.where(y[:, None], 0.5, 0.02)).astype(int)
+    votes[:, 5] *= -1
+    return np.column_stack([votes, copies]), y, rates
+
+
+def test_label_model_without_labels_recovers_rates():
+    votes, y, rates = simulated_votes(20_000, 3)
+    p, found, correlations, groups = toxicity.label_model(votes, 0.15)
+    assert np.allclose(found[:6], rates, atol=0.06)
+    assert sorted(next(g for g in groups if 0 in g)) == [0, 6, 7]
+    assert all(len(g) == 1 for g in groups if 0 not in g)
+    assert correlations[0, 6] > 0.5
+    assert np.abs(correlations[0, 1:6]).max() < 0.2
+    # brute force: the posterior of the true distribution, with the joint rates of the three that go together
+    code = votes[:, [0, 6, 7]] @ [1, 2, 4]
+    odds = np.log(0.15 / 0.85) + sum(np.log(np.where(votes[:, j] != 0, a / b, (1 - a) / (1 - b))) for j, (a, b) in enumerate(rates) if j)
+    odds += np.array([np.log(((y & (code == k)).sum() + 0.5) / y.sum() / (((~y & (code == k)).sum() + 0.5) / (~y).sum())) for k in range(8)])[code]
+    best = 1 / (1 + np.exp(-odds))
+    assert ((p > 0.5) == (best > 0.5)).mean() > 0.985
+    assert ((p > 0.5) == y).mean() > ((best > 0.5) == y).mean() - 0.01
+    # counting the copies as if they were independent is worse
+    alone = toxicity._maximised(votes, [[i] for i in range(8)], p, 0.15, 30)
+    loss = lambda q: -np.mean(np.log(np.clip(np.where(y, q, 1 - q), 1e-9, 1)))
+    assert loss(p) < loss(alone)
+
+
+def test_covering_by_brute_force():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        n = int(rng.integers(1, 12))
+        texts = [np.flatnonzero(rng.random(n) < 0.4) for _ in range(int(rng.integers(1, 30)))]
+        chosen, need = [], [toxicity.COVER] * len(texts)
+        while True:
+            gain = [0 if m in chosen else sum(bool(k) and m in t for k, t in zip(need, texts, strict=True)) for m in range(n)]
+            if max(gain) < 3:
+                break
+            best = gain.index(max(gain))
+            need = [k - (k > 0 and best in t) for k, t in zip(need, texts, strict=True)]
+            chosen.append(best)
+        assert toxicity.covering(texts, n, 3) == chosen
+
+
+def test_calibration_by_brute_force():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        z = rng.normal(size=30).round(1)
+        t = (z + rng.normal(size=30) > 0).astype(int)
+        wrong = lambda c, z=z, t=t: int(((z + c > 0) != t).sum())
+        assert wrong(toxicity.calibrated(z, t)) == min(wrong(c) for c in np.arange(-6, 6, 0.05) - 0.025)
+
+
+def test_toxicity_with_copied_and_repeated_rows(spark):
+    texts, toxic = [], []
+    for i in range(300):
+        mark = ("zorblax" if i % 2 else "quimpel") if i % 3 == 0 else ""
+        texts.append(f"{words(60, 1000 + i)} {mark}")
+        toxic.append(int(i % 3 == 0))
+    texts += ["glomph " + words(80, 5000, 4000)] * 400  # copies of one toxic text fill no list
+    toxic += [1] * 400
+    docs = table(spark, texts)
+    docs = docs.union(docs.where("doc_id < 5"))
+    labels = spark.createDataFrame([(i, t) for i, t in enumerate(toxic)] + [(0, toxic[0])], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, doc_key("doc_id") % 5 != 0)
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == len(texts) + 5
+    held = [r for r in got if r.doc_id < 300 and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert np.mean([(r.score >= 0.5) == bool(toxic[r.doc_id]) for r in held]) == 1
 
 
 # --- 4: quality ----------------------------------------------------------------------------------------------------------
