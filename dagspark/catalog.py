@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text
@@ -385,6 +385,60 @@ def _curate(s: SparkSession, d: str) -> DataFrame:
     return _r(sorting.curate(_unit_metrics(s, d), isi_violations_max=0.05, presence_ratio_min=0.5, firing_rate_min=0.0))
 
 
+def recorded_items(df: DataFrame) -> DataFrame:
+    """Two channels with rare large troughs, in the order of the rows' keys."""
+    trough = lambda c, top: -F.pow((F.col(c).cast("double") - F.lit(0.0)) / F.lit(float(top)), F.lit(15.0))
+    order = Window.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount")
+    return df.select((F.row_number().over(order) - 1).cast("bigint").alias(ROW), trough("l_quantity", 50).alias("c0"), trough("l_discount", 0.1).alias("c1"))
+
+
+_CHAIN = (
+    "r AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount) - 1 AS i, -pow(l_quantity::DOUBLE / 50.0, 15.0) AS c0, -pow(l_discount::DOUBLE / 0.1, 15.0) AS c1 FROM lineitem), "
+    "f AS (SELECT i, c0 - (c0 + c1) / 2 AS c0, c1 - (c0 + c1) / 2 AS c1 FROM r), l AS (SELECT 'c0' AS ch, i, c0 AS v FROM f UNION ALL SELECT 'c1', i, c1 FROM f), "
+    "n AS (SELECT ch, median(abs(v - m)) / 0.6745 AS noise FROM (SELECT ch, v, median(v) OVER (PARTITION BY ch) AS m FROM l) GROUP BY ch), w AS (SELECT ch, i FROM l JOIN n USING (ch) WHERE v < -5 * noise), "
+    "u AS (SELECT ch AS unit_id, i AS t FROM w WHERE NOT EXISTS (SELECT 1 FROM w q WHERE q.ch = w.ch AND q.i = w.i - 1)), d AS (SELECT count(*) / 30000.0 AS dur FROM r), "
+    "g AS (SELECT unit_id, t / 30000.0 AS t, (t - lag(t) OVER (PARTITION BY unit_id ORDER BY t)) / 30000.0 AS gap FROM u), "
+    "q AS (SELECT unit_id, count(*) / any_value(dur) AS firing_rate, count(DISTINCT least(floor(t / (dur / 60)), 59)) / 60.0 AS presence_ratio, coalesce(sum(CASE WHEN gap < 0.0015 THEN 1.0 ELSE 0.0 END) / nullif(count(gap), 0), 0) AS isi_violations_ratio FROM g, d GROUP BY unit_id), "
+    "k AS (SELECT unit_id, t FROM u QUALIFY row_number() OVER (PARTITION BY unit_id ORDER BY md5(unit_id || ':' || t), t) <= 500), "
+    "p AS (SELECT unit_id, ch, o, avg(v) AS v FROM (SELECT unit_id, t, unnest(range(-5, 5)) AS o FROM k) JOIN l ON l.i = t + o GROUP BY ALL), s AS (SELECT unit_id, max(abs(v) / noise) AS snr FROM p JOIN n USING (ch) GROUP BY unit_id), "
+    "m AS (SELECT unit_id, snr, isi_violations_ratio, presence_ratio, firing_rate FROM q LEFT JOIN s USING (unit_id))"
+)
+
+
+def _chain(s: SparkSession, d: str) -> Graph:
+    """recording -> preprocess -> sort -> analyze -> metrics -> curate, as a document."""
+    graph = Graph()
+    load = KINDS["data_loader"].create("load", file_path=f"{d}/lineitem.parquet")
+    load.parameters["file_format"] = type(load.parameters["delimiter"])("file_format", value="parquet")
+    pick = KINDS["custom_code"].create("record", function_name="recorded_items", module="dagspark.catalog")
+    names = ("preprocessor_neural_si", "analyzer_neural_si_sort", "analyzer_neural_si_analyze", "analyzer_neural_si_metrics", "analyzer_neural_si_curate")
+    keys = {n: next(k for k in KINDS if k.startswith(n)) for n in names}
+    pre = KINDS[keys[names[0]]].create("clean", method="common_reference")
+    sort, analyze = KINDS[keys[names[1]]].create("sort"), KINDS[keys[names[2]]].create("analyze")
+    metrics = KINDS[keys[names[3]]].create("metrics", metric_names="snr,isi_violation,presence_ratio,firing_rate")
+    curate = KINDS[keys[names[4]]].create("curate", snr_min=0.5, isi_violations_max=1.0, presence_ratio_min=0.5)
+    for node in (load, pick, pre, sort, analyze, metrics, curate):
+        graph.add_node(node)
+    for a, b in (("load", "record"), ("record", "clean"), ("clean", "sort")):
+        graph.add_edge(a, b)
+    graph.add_edge("clean", "analyze", target_port="recording")
+    graph.add_edge("sort", "analyze", target_port="sorting")
+    graph.add_edge("analyze", "metrics")
+    graph.add_edge("metrics", "curate", source_port="analyzer")
+    return graph
+
+
+@query("si_chain_metrics", f"WITH {_CHAIN} SELECT unit_id, round(snr, 5) AS snr, round(isi_violations_ratio, 6) AS isi_violations_ratio, round(presence_ratio, 6) AS presence_ratio, round(firing_rate, 6) AS firing_rate FROM m")
+def _chain_metrics(s: SparkSession, d: str) -> DataFrame:
+    plan = compile_graph(_chain(s, d), Context(s, allow_code=True))
+    return _r(plan.result("metrics", "metrics")).withColumn("snr", F.round("snr", 5))
+
+
+@query("si_chain_curated", f"WITH {_CHAIN} SELECT unit_id, t AS sample_index FROM u JOIN m USING (unit_id) WHERE snr >= 0.5 AND presence_ratio >= 0.5 AND firing_rate >= 0.1 AND isi_violations_ratio <= 1")
+def _chain_curated(s: SparkSession, d: str) -> DataFrame:
+    return compile_graph(_chain(s, d), Context(s, allow_code=True)).result("curate").select("unit_id", "sample_index")
+
+
 # --- search ---------------------------------------------------------------------------------------
 _TOKENS = "list_filter(string_split_regex(lower(regexp_replace(replace(text, '_', ' '), '([A-Z])', ' \\1', 'g')), '[^a-z0-9]+'), lambda x: x <> '')"
 _WORDS = ["the", "eager", "then", "worthless", "erbleou", "benchmark"]

@@ -6,7 +6,11 @@ sorters and formats are adapters that say what is missing.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from dataclasses import dataclass, field, replace
+
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,6 +114,119 @@ def templates(recording: DataFrame, sorting: DataFrame, before: int = 20, after:
     return waveforms(recording, sorting, before, after).groupBy("unit_id", "channel", "offset").agg(F.avg("v").alias("v"))
 
 
+#: spikes of a unit that waveforms are cut for
+SPIKES_PER_UNIT = 500
+EXTENSIONS = ("random_spikes", "waveforms", "templates", "noise_levels")
+METRICS = ("snr", "isi_violation", "presence_ratio", "firing_rate", "isolation_distance")
+
+
+def names_of(given: str | Iterable[str] | None, default: tuple[str, ...]) -> tuple[str, ...]:
+    """Names from a comma-separated list; the default without any."""
+    parts = given.split(",") if isinstance(given, str) else given or ()
+    return tuple(x for p in parts if (x := p.strip())) or default
+
+
+def random_spikes(sorting: DataFrame, most: int = SPIKES_PER_UNIT) -> DataFrame:
+    """At most so many spikes of each unit, those whose md5 of unit and time comes first."""
+    order = Window.partitionBy("unit_id").orderBy(F.md5(F.concat_ws(":", "unit_id", "sample_index")), "sample_index")
+    return sorting.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= most).drop("_nth")
+
+
+@dataclass(frozen=True)
+class Analyzer:
+    """A sorting with its recording and what was computed of both; used as a table it is the sorting."""
+
+    sorting: DataFrame
+    recording: DataFrame | None = None
+    extensions: dict[str, DataFrame] = field(default_factory=dict)
+    metrics: DataFrame | None = None
+
+    def __getattr__(self, name: str) -> object:
+        if name.startswith("__"):
+            raise AttributeError(name)
+        return getattr(self.sorting, name)
+
+    def select_units(self, units: DataFrame) -> Analyzer:
+        """Only the units(unit_id), in everything that is by unit."""
+        only = lambda df: df.join(units, "unit_id", "left_semi") if df is not None and "unit_id" in df.columns else df
+        return replace(self, sorting=only(self.sorting), extensions={k: only(v) for k, v in self.extensions.items()}, metrics=only(self.metrics))
+
+    def persist(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> Analyzer:
+        return replace(self, sorting=self.sorting.persist(level))
+
+    def unpersist(self) -> Analyzer:
+        self.sorting.unpersist()
+        return self
+
+
+def analyze(recording: DataFrame, sorting: DataFrame, extensions: str | Iterable[str] | None = None) -> Analyzer:
+    """The analyzer of a sorting, with the extensions and what they need."""
+    names = names_of(extensions, EXTENSIONS)
+    if unknown := [n for n in names if n not in EXTENSIONS]:
+        raise AdapterMissing(f"the extensions {', '.join(unknown)} need a spike-sorting package, which isn't installed")
+    made: dict[str, DataFrame] = {}
+    if {"random_spikes", "waveforms", "templates"} & set(names):
+        made["random_spikes"] = random_spikes(sorting)
+    if {"waveforms", "templates"} & set(names):
+        made["waveforms"] = waveforms(recording, made["random_spikes"])
+    if "templates" in names:
+        made["templates"] = made["waveforms"].groupBy("unit_id", "channel", "offset").agg(F.avg("v").alias("v"))
+    if "noise_levels" in names:
+        made["noise_levels"] = noise_levels(recording)
+    return Analyzer(sorting, recording, made)
+
+
+def isolation_distance(recording: DataFrame, sorting: DataFrame) -> DataFrame:
+    """(unit_id, isolation_distance): for a unit of n spikes, the n-th smallest squared Mahalanobis distance of the others' spikes from it.
+
+    A spike's features are its amplitudes on all channels; random_spikes are
+    used. Null where the unit's spikes span no volume or the others have fewer.
+    The units' means and covariances (a few numbers each) go over the driver.
+    """
+    at = waveforms(recording, random_spikes(sorting), 0, 1)
+    channels = numeric(recording)
+    spikes = at.groupBy("unit_id", "sample_index").agg(*(F.max(F.when(F.col("channel") == c, F.col("v"))).alias(f"x{i}") for i, c in enumerate(channels))).na.drop("any")
+    xs = [f"x{i}" for i in range(len(channels))]
+    pairs = [(i, j) for i in range(len(xs)) for j in range(i + 1)]
+    sums = spikes.groupBy("unit_id").agg(F.count("*").alias("n"), *(F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)), *(F.covar_samp(xs[i], xs[j]).alias(f"c{i}_{j}") for i, j in pairs))
+    units = []
+    for r in sums.collect():
+        cov = np.zeros((len(xs), len(xs)))
+        for i, j in pairs:
+            cov[i, j] = cov[j, i] = r[f"c{i}_{j}"] or 0.0
+        if r.n > len(xs) and np.linalg.matrix_rank(cov) == len(xs):
+            units.append((r.unit_id, r.n, [float(r[f"m{i}"]) for i in range(len(xs))], np.linalg.inv(cov).ravel().tolist()))
+    of_unit = recording.sparkSession.createDataFrame(units, "of string, n long, mean array<double>, inverse array<double>")
+    away = [F.col(x) - F.col("mean")[i] for i, x in enumerate(xs)]
+    d2 = sum((away[i] * away[j] * F.col("inverse")[i * len(xs) + j] for i in range(len(xs)) for j in range(len(xs))), F.lit(0.0))
+    others = spikes.join(F.broadcast(of_unit), F.col("unit_id") != F.col("of")).select("of", "n", d2.alias("d2"))
+    nth = F.row_number().over(Window.partitionBy("of").orderBy("d2"))
+    found = others.withColumn("nth", nth).where("nth = n").select(F.col("of").alias("unit_id"), F.col("d2").alias("isolation_distance"))
+    return sums.select("unit_id").join(found, "unit_id", "left")
+
+
+def analyzer_metrics(analyzer: Analyzer, rate: float, metric_names: str | Iterable[str] | None = None) -> Analyzer:
+    """The analyzer with the metrics of that name; those that need a recording are null or, if they can't be had, left out."""
+    names = names_of(metric_names, METRICS)
+    if analyzer.recording is not None:
+        samples = analyzer.recording.count()
+    else:
+        samples = (analyzer.sorting.agg(F.max("sample_index")).first()[0] or 0) + 1
+    table = quality_metrics(analyzer.sorting, rate, max(samples / rate, 1 / rate), analyzer.recording if "snr" in names else None)
+    if "isolation_distance" in names and analyzer.recording is not None and numeric(analyzer.recording):
+        table = table.join(isolation_distance(analyzer.recording, analyzer.sorting), "unit_id", "left")
+    columns = {"isi_violation": "isi_violations_ratio", "isi_violations": "isi_violations_ratio"}
+    wanted = [c for n in names if (c := columns.get(n, n)) in table.columns]
+    return replace(analyzer, metrics=table.select("unit_id", *dict.fromkeys(wanted)))
+
+
+def curate_analyzer(analyzer: Analyzer, rate: float, **rules: float) -> Analyzer:
+    """The analyzer's units that pass; metrics that it lacks are computed first."""
+    if analyzer.metrics is None:
+        analyzer = analyzer_metrics(analyzer, rate)
+    return analyzer.select_units(curate(analyzer.metrics, **rules).select("unit_id"))
+
+
 def quality_metrics(sorting: DataFrame, rate: float, duration: float, recording: DataFrame | None = None, refractory: float = 0.0015, bins: int = 60) -> DataFrame:
     """One row a unit: firing_rate, presence_ratio (of `bins` equal parts, those with spikes), isi_violations_ratio, snr.
 
@@ -126,7 +243,7 @@ def quality_metrics(sorting: DataFrame, rate: float, duration: float, recording:
     )
     if recording is None:
         return out.withColumn("snr", F.lit(None).cast("double"))
-    peak = templates(recording, sorting, 5, 5).join(F.broadcast(noise_levels(recording)), "channel")
+    peak = templates(recording, random_spikes(sorting), 5, 5).join(F.broadcast(noise_levels(recording)), "channel")
     snr = peak.groupBy("unit_id").agg(F.max(F.try_divide(F.abs("v"), F.col("noise"))).alias("snr"))
     return out.join(snr, "unit_id", "left")
 
@@ -170,10 +287,17 @@ def best_matches(agreement: DataFrame, match_score: float = 0.5) -> DataFrame:
     return agreement.where(F.col("agreement") >= match_score).withColumn("a", one).withColumn("b", two).where("a = 1 and b = 1").drop("a", "b")
 
 
-def export(sorting: DataFrame, path: str, method: str = "phy", rate: float = 30000.0) -> str:
-    """Write a sorting: phy as CSV of spike times and clusters, report as counts; other formats need their packages."""
+def export(sorting: DataFrame | Analyzer, path: str, method: str = "phy", rate: float = 30000.0) -> str:
+    """Write a sorting: phy as CSV of spike times and clusters (an analyzer's metrics and templates beside it), report as counts; other formats need their packages."""
     if method == "phy":
-        sorting.select("sample_index", F.col("unit_id").alias("cluster")).orderBy("sample_index").write.mode("overwrite").option("header", True).csv(path)
+        if isinstance(sorting, Analyzer):
+            for name, df in (("cluster_metrics", sorting.metrics), ("templates", sorting.extensions.get("templates"))):
+                if df is not None:
+                    df.write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
+            path_of_spikes = f"{path}/spikes"
+        else:
+            path_of_spikes = path
+        sorting.select("sample_index", F.col("unit_id").alias("cluster")).orderBy("sample_index").write.mode("overwrite").option("header", True).csv(path_of_spikes)
     elif method == "report":
         sorting.groupBy("unit_id").agg(F.count("*").alias("n_spikes"), (F.min("sample_index") / rate).alias("first_s"), (F.max("sample_index") / rate).alias("last_s")).write.mode("overwrite").option("header", True).csv(path)
     else:

@@ -2,8 +2,10 @@
 
 Nodes are compiled in topological order from their sinks' ancestors only; a
 node is a function of its inputs (DataFrames by port) and parameters that
-returns its outputs by port. Nothing is computed until a sink asks for it;
-an output that several edges read is persisted.
+returns its outputs by port. Most nodes only add to the plan; those that fit or
+measure first (ICA, epochs, regressions, quality metrics), write (outputs,
+exports) or call a model or user code do that while they are compiled. An output
+that several edges read is persisted.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ from ..operators import learn, signal, sorting, spikes, tabular
 from ..sources import tables
 from . import providers
 
-Outputs = dict[str, DataFrame]
+#: by port; sorting analyzers are used as tables of their spikes
+Outputs = dict[str, DataFrame | sorting.Analyzer]
 #: a visualizer keeps at most so many points
 PLOT_POINTS = 10_000
 
@@ -192,20 +195,23 @@ def _si_sort(node: Node, inputs: Outputs, _: Context) -> Outputs:
 
 @compiles("si_analyze")
 def _si_analyze(node: Node, inputs: Outputs, _: Context) -> Outputs:
-    return {"output": sorting.templates(inputs["recording"], inputs["sorting"])}
+    return {"output": sorting.analyze(inputs["recording"], inputs["sorting"], node.param("extensions", ""))}
+
+
+def _analyzer(x: DataFrame | sorting.Analyzer) -> sorting.Analyzer:
+    return x if isinstance(x, sorting.Analyzer) else sorting.Analyzer(x)
 
 
 @compiles("si_metrics")
 def _si_metrics(node: Node, inputs: Outputs, _: Context) -> Outputs:
-    df, rate = _only(inputs), float(node.param("sampling_rate", 30000))
-    last = df.agg(F.max("sample_index")).first()[0]
-    return {"analyzer": df, "metrics": sorting.quality_metrics(df, rate, max((last or 0) / rate, 1 / rate))}
+    done = sorting.analyzer_metrics(_analyzer(_only(inputs)), float(node.param("sampling_rate", 30000)), node.param("metric_names", ""))
+    return {"analyzer": done, "metrics": done.metrics}
 
 
 @compiles("si_curate")
 def _si_curate(node: Node, inputs: Outputs, _: Context) -> Outputs:
     rules = {n: float(node.param(n, d)) for n, d in (("snr_min", 5), ("isi_violations_max", 0.2), ("presence_ratio_min", 0.9), ("firing_rate_min", 0.1), ("isolation_distance_min", 0))}
-    return {"output": sorting.curate(_only(inputs), **rules)}
+    return {"output": sorting.curate_analyzer(_analyzer(_only(inputs)), float(node.param("sampling_rate", 30000)), **rules)}
 
 
 @compiles("si_export")
