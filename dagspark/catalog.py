@@ -223,7 +223,14 @@ def _core(s: SparkSession, d: str) -> DataFrame:
     return learn._neighbours(_points(s, d), ["x", "y"], 0.02).groupBy(F.col("a").alias(ROW)).agg(F.count("*").alias("n")).where("n >= 5").select(ROW)
 
 
-@query("dbscan")
+@query(
+    "dbscan",
+    "WITH RECURSIVE p AS (SELECT p_partkey AS i, p_size / 50.0 AS x, p_retailprice / 2000.0 AS y FROM part), "
+    "nb AS (SELECT a.i AS a, b.i AS b FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.0004), core AS (SELECT a AS c FROM nb GROUP BY a HAVING count(*) >= 5), "
+    "link AS (SELECT a, b FROM nb WHERE a IN (SELECT c FROM core) AND b IN (SELECT c FROM core)), reach AS (SELECT c AS a, c AS r FROM core UNION SELECT l.a, reach.r FROM link l JOIN reach ON l.b = reach.a), "
+    "own AS (SELECT a, min(r) AS p FROM reach GROUP BY a), edge AS (SELECT nb.a, min(own.p) AS p FROM nb JOIN own ON nb.b = own.a GROUP BY nb.a), number AS (SELECT p, row_number() OVER (ORDER BY p) - 1 AS label FROM (SELECT DISTINCT p FROM own)) "
+    "SELECT p.i AS _row_id, coalesce(label, -1)::INTEGER AS label FROM p LEFT JOIN edge ON edge.a = p.i LEFT JOIN own ON own.a = p.i LEFT JOIN number ON number.p = coalesce(own.p, edge.p)",
+)
 def _dbscan(s: SparkSession, d: str) -> DataFrame:
     return learn.dbscan(_points(s, d), 0.02, 5)
 
@@ -336,6 +343,17 @@ def _whiten(s: SparkSession, d: str) -> DataFrame:
     return _r(sorting.whiten(_items(s, d)), 4)
 
 
+@query(
+    "whiten_pair",
+    # the root of a 2 x 2 matrix A of determinant s * s and trace t is (A + s) / sqrt(t + 2 s)
+    "WITH m AS (SELECT avg(l_quantity) AS ma, avg(l_extendedprice) AS mb, var_pop(l_quantity) AS a, var_pop(l_extendedprice) AS b, covar_pop(l_quantity, l_extendedprice) AS c FROM lineitem), "
+    "r AS (SELECT ma, mb, (a + s) / q AS x, (b + s) / q AS y, c / q AS z FROM (SELECT *, sqrt(a * b - c * c) AS s, sqrt(a + b + 2 * sqrt(a * b - c * c)) AS q FROM m)), i AS (SELECT ma, mb, y / (x * y - z * z) AS ia, x / (x * y - z * z) AS ib, -z / (x * y - z * z) AS ic FROM r) "
+    "SELECT round(ia * (l_quantity - ma) + ic * (l_extendedprice - mb), 4) AS l_quantity, round(ic * (l_quantity - ma) + ib * (l_extendedprice - mb), 4) AS l_extendedprice FROM lineitem, i",
+)
+def _whiten_pair(s: SparkSession, d: str) -> DataFrame:
+    return _r(sorting.whiten(_table(s, d, "lineitem").select("l_quantity", "l_extendedprice")), 4)
+
+
 # --- spike sorting -----------------------------------------------------------------------------
 def _sorting(s: SparkSession, d: str, parity: int) -> DataFrame:
     e = _events(s, d).where(F.col(ROW) % 2 == parity)

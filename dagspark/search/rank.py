@@ -29,7 +29,7 @@ EQUIVALENT = (
     "np.mean numpy.mean mean", "signal.butter bandpass_filter butter", "signal.sosfilt sosfilt signal.filtfilt filtfilt", "common_reference cmr car", "plt.plot plot plt.show",
     "plt.eventplot raster", "np.histogram histogram psth", "Kilosort kilosort sorter", "export_to_phy phy", "isi_violations isi", "spikeinterface.preprocessing preprocessing",
 )
-_GROUP = {name: i for i, names in enumerate(EQUIVALENT) for name in names.split()}
+_GROUP = {name.lower(): i for i, names in enumerate(EQUIVALENT) for name in names.split()}
 
 # Analysis words and the calls that they mean.
 OPERATIONS = {
@@ -102,14 +102,18 @@ def alignment(a: list[str], b: list[str]) -> float:
     """Smith-Waterman score of two call sequences over that of the query a with itself, in 0 to 1."""
     if not a or not b:
         return 0.0
+    a, b = [x.lower() for x in a], [x.lower() for x in b]
     leaf = lambda x: x.rsplit(".", 1)[-1]
+    group = {x: _GROUP.get(x, _GROUP.get(leaf(x), x)) for x in (*a, *b)}
     row, best = [0.0] * (len(b) + 1), 0.0
     for x in a:
         new = [0.0]
         for j, y in enumerate(b, 1):
-            if x == y:
+            if not x or not y:
+                s = MISMATCH
+            elif x == y:
                 s = MATCH
-            elif leaf(x) == leaf(y) or (x in _GROUP and _GROUP[x] == _GROUP.get(y)):
+            elif leaf(x) == leaf(y) or group[x] == group[y]:
                 s = SUBSTITUTE
             else:
                 s = MISMATCH
@@ -127,7 +131,7 @@ def _scored(batches: Iterator[pd.DataFrame], calls: list[str], signature: list[i
 
 
 def candidates(docs: DataFrame, terms: list[str], grams: list[str]) -> DataFrame:
-    """ids of the chunks that share an intent term, a k-gram or a fingerprint with the query (posting lists, semi-joined)."""
+    """ids of the chunks that share an intent term or a k-gram of calls with the query (posting lists, semi-joined)."""
     postings = docs.select("id", F.explode(F.concat(F.transform("intent", lambda x: F.concat(F.lit("t:"), x)), F.transform("grams", lambda x: F.concat(F.lit("g:"), x)))).alias("key"))
     wanted = docs.sparkSession.createDataFrame([(f"t:{t}",) for t in terms] + [(f"g:{g}",) for g in grams], "key string")
     return postings.join(F.broadcast(wanted), "key", "left_semi").select("id").distinct()
@@ -143,14 +147,16 @@ def rank_fused(docs: DataFrame, query: str, terms: list[str], calls: list[str],
     signature = minhash(list(grams))
     heavy = chosen.select("id", "grams", "calls").mapInPandas(lambda x: _scored(x, calls, signature), "id string, minhash double, align double")
     cos = tfidf_cosine(docs.select("id", F.col("intent").alias("words")), terms) if terms else spark.createDataFrame([], "id string, cosine double")
-    q, leaves = _list(unique), F.array_distinct(F.transform(F.col("calls"), lambda x: F.substring_index(x, ".", -1)))
-    q_leaves = _list(list(dict.fromkeys(c.rsplit(".", 1)[-1] for c in calls)))
+    q, leaves = _list(unique), F.array_distinct(F.transform(F.col("calls"), lambda x: F.lower(F.substring_index(x, ".", -1))))
+    q_leaves = _list(list(dict.fromkeys(c.rsplit(".", 1)[-1].lower() for c in calls)))
     both = F.size(F.array_intersect(leaves, q_leaves)).cast("double")
     f1 = F.coalesce(F.try_divide(2 * both, F.size(leaves) + F.size(q_leaves)), F.lit(0.0))
     union = lambda a, b: F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b)).cast("double")), F.lit(0.0))
-    leaf = F.when(f1 > 0, f1).otherwise(union(F.col("grams"), _list(list(grams))))
+    # without a common leaf, calls in common (of which there are none then but in another case), and then call sequences
+    same_calls = union(F.array_distinct("calls"), _list(list(dict.fromkeys(calls)))) if calls else F.lit(0.0)
+    leaf = F.when(f1 > 0, f1).when(same_calls > 0, same_calls).otherwise(union(F.col("grams"), _list(list(grams))))
     coverage = F.size(F.array_intersect(F.array_distinct("intent"), q)) / F.lit(float(max(len(unique), 1)))
-    kind = F.when(F.arrays_overlap("kinds", _list(kinds)), 1.0).otherwise(0.0) if kinds else F.lit(0.0)
+    kind = F.size(F.array_intersect(F.array_distinct("kinds"), _list(list(dict.fromkeys(kinds))))) / F.lit(float(len(set(kinds)))) if kinds else F.lit(0.0)
     score = INTENT * (COVERAGE * coverage + TFIDF * F.coalesce("cosine", F.lit(0.0))) + API * (LEAF * leaf + MINHASH * F.col("minhash")) + KIND * F.coalesce(kind, F.lit(0.0)) + ALIGN * F.col("align")
     score = F.when(score > 0, score + F.when(F.col("starred"), STAR).otherwise(0.0))
     return chosen.join(cos, "id", "left").join(heavy, "id").select("id", score.alias("score"), "align").where("score > 0").orderBy(F.desc("score"), "id").limit(limit)
