@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder of the session; a folder of our own is set only where none is."""
+    """df written to the checkpoint folder of the session; a folder of our own is set only where none is, on a single machine."""
     spark = df.sparkSession
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not at and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(at or "/tmp/checkpoints/dagspark")
     return df.checkpoint()
