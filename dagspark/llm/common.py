@@ -33,11 +33,13 @@ def bounded(spark: SparkSession) -> SparkSession:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; set only where unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; set only where unset, which is for a single machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = f"/tmp/checkpoints/dagspark-{os.getpid()}"
         spark.sparkContext.setCheckpointDir(at)
         atexit.register(shutil.rmtree, at, ignore_errors=True)
@@ -56,7 +58,17 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete stored tables of which nothing is read any more; what was made of them is stored itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextmanager

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget, stored
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -30,6 +30,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         up = hooked.select(F.col("u").alias("p"), F.col("p").alias("g"))
         jumped = stored(hooked.join(up, "p").select("u", F.least("p", "g").alias("p")), "parents")
         moved = jumped.join(parent.withColumnRenamed("p", "old"), "u").where("p <> old").limit(1).count()
+        forget(hooked, parent)
         parent = jumped
         if not moved:
+            forget(both)
             return parent.select(F.col("u").alias("node"), F.col("p").alias("root"))

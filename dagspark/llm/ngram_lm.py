@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, doc_key, documents, opened, scratch, stored
+from .common import LOWER_TABLE, doc_key, documents, forget, opened, scratch, stored
 
 ORDER = 3
 #: tokens that a task counts before it deals out what it has, and tokens scored at once
@@ -516,8 +516,11 @@ def train(texts: DataFrame, order: int = ORDER, shard_bytes: int = SHARD_BYTES)
     rows = texts.select("text").mapInArrow(lambda x: _counted(x, order, bits), _ROWS)
     for step in range(max(order - 1, 1) + (order == 2)):
         # so many partitions that few get two shards; what is dealt out goes as soon as it is merged and written
-        rows = rows.repartition(4 << bits, "level", "shard")
-        rows = stored(rows.groupBy("level", "shard").applyInArrow(lambda t: _reduce(t, order, bits, uri), _ROWS), f"ngrams-{step}")
+        dealt = rows.repartition(4 << bits, "level", "shard").groupBy("level", "shard")
+        merged = stored(dealt.applyInArrow(lambda t: _reduce(t, order, bits, uri), _ROWS), f"ngrams-{step}")
+        if step:
+            forget(rows)
+        rows = merged
     stats: dict[int, list[int]] = {}
     starts: dict[int, list[int]] = {}
     sizes: dict[str, int] = {}
@@ -528,6 +531,7 @@ def train(texts: DataFrame, order: int = ORDER, shard_bytes: int = SHARD_BYTES)
         else:
             to = stats if r.kind == "stat" else starts
             to[r.level] = [a + b for a, b in zip(to.get(r.level, [0] * len(r.stat)), r.stat, strict=True)]
+    forget(rows)
     return Model(uri, order, bits, stats, starts, sizes)
 
 

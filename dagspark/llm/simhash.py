@@ -34,8 +34,6 @@ from .components import components
 SEED, SHINGLE, MAX_BITS = 42, 3, 3
 #: generator polynomial of the (23, 12) Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 GOLAY, GOLAY_BITS = 0b110001110101, 23
-#: doc_ids lie below this; components without any doc_id are numbered from here
-_NO_ID = 1 << 62
 
 
 def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -130,17 +128,14 @@ def golay_links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Return doc_id, fingerprint and component_id for each row of docs(doc_id, text)."""
-    prints = stored(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
-    node = F.coalesce(F.min("doc_id"), F.shiftrightunsigned(F.col("fp"), 2).bitwiseOR(F.lit(_NO_ID)))
-    distinct = stored(prints.groupBy("fp").agg(node.alias("node")), "distinct_fingerprints")
-    links = stored(golay_links(distinct), "fingerprint_links")
-    ends = links.join(distinct.select(F.col("fp").alias("a"), F.col("node").alias("u")), "a").join(distinct.select(F.col("fp").alias("b"), F.col("node").alias("v")), "b")
-    found = components(ends, "u", "v")
-    root = F.coalesce("root", "node")
-    owner = stored(
-        distinct.join(found, "node", "left").select("fp", F.when(root < _NO_ID, root).alias("component_id")), "components"
-    )
+    """Return doc_id, fingerprint and component_id for each row of docs(doc_id, text); doc_ids are of any type that has an order."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    prints = stored(docs.select("doc_id", "text").mapInArrow(_fingerprints, f"doc_id {kind}, fp long"), "fingerprints")
+    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct_fingerprints")
+    found = components(stored(golay_links(distinct), "fingerprint_links"))
+    rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    owner = stored(rooted.join(least, "root").select("fp", "component_id"), "components")
     return prints.join(owner, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

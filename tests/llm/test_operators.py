@@ -119,6 +119,10 @@ def test_simhash_null_ids_and_empty(spark):
     got = simhash.near_duplicates(df).collect()
     assert sorted((r.component_id or 0) for r in got) == [1, 1, 2]
     assert simhash.near_duplicates(df.where("false")).count() == 0
+    named = table(spark, ["a b c d", "a b c d", "other text of words"]).withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id")))
+    assert sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(named).collect()) == [("d0", "d0"), ("d1", "d0"), ("d2", "d2")]
+    large = table(spark, ["a b c d", "a b c d"]).withColumn("doc_id", F.col("doc_id") + (1 << 62) + 5)
+    assert {r.component_id for r in simhash.near_duplicates(large).collect()} == {(1 << 62) + 5}
 
 
 def test_near_copies_against_brute_force(spark):
@@ -451,6 +455,16 @@ def test_dedup_repeated_rows_and_empty(spark):
     assert substring_dedup.deduplicate(none).first().n_removed == 0
 
 
+def test_dedup_of_one_row_in_many_copies(spark):
+    text = words(300, 41)
+    df = spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(text).alias("text")).union(table(spark, [words(100, 42)], False).select("doc_id", "text"))
+    ranges = substring_dedup.repeated_ranges(df).collect()
+    assert len(ranges) == 1
+    assert len(ranges[0].ranges) < 200  # those of one copy
+    got = substring_dedup.deduplicate(df).groupBy("n_removed").count().collect()
+    assert {r.n_removed: r["count"] for r in got} == {len(text): 20_000, 0: 1}
+
+
 # --- 1: SentencePiece ---------------------------------------------------------------------------------------------
 def test_codec_parity_and_round_trip(spark):
     texts = [*odd_texts(), "  two  spaces ", " lead", "<s> </s> <unk> <0x0A>", "\x00\x7f\t\r\n", "=" * 500, " " * 97]
