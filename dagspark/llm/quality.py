@@ -4,7 +4,7 @@ Each text becomes a vector of transformed statistics. Within each (language,
 source) the minimum covariance determinant estimate is found by concentration
 steps over all of the group's rows: take the share `H` of the rows with the
 smallest Mahalanobis distances, estimate mean and covariance from them, repeat
-until the determinant stands still. There are two fixed starts (medians with
+until the group's determinant falls no more (by STILL of its logarithm). There are two fixed starts (medians with
 quartile ranges; mean and covariance of all rows), the smaller determinant
 wins, and one reweighting step follows. Rows further away than the chi-square
 quantile QUANTILE are rejected.
@@ -13,8 +13,8 @@ Distances are put in bins of one sixteenth of a power of two, counted per group
 and bin, so the subset's edge is exact to a bin whatever the size of the group;
 only counts and sums ever meet in one task. Groups of fewer than MIN_GROUP
 usable rows use their language's estimate, small languages that of all rows.
-Every covariance gets FLOORS on its diagonal, so statistics that are equal in
-most rows (no symbols, say) don't make it singular.
+A statistic that is equal in most rows (no symbols, say) would make a covariance
+singular: its variance is raised to that of FLOORS where it is smaller.
 
 Texts that fail the base rule are rejected without taking part. Null and empty
 texts have no words, so they fail it. Null languages and sources form groups of
@@ -36,11 +36,13 @@ from pyspark.sql import functions as F
 from .common import documents, stored
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-H, QUANTILE, REWEIGHT, MIN_GROUP, STEPS = 0.6, 1 - 1e-6, 0.975, 100, 8
+H, QUANTILE, REWEIGHT, MIN_GROUP, STILL = 0.6, 0.999, 0.975, 100, 1e-3
 FEATURES = ("word_length", "symbols", "repeats", "same_lines", "capitals", "marks")
 P = len(FEATURES)
 #: the least standard deviation of each feature
 FLOORS = np.array([0.05, 0.05, 0.12, 0.12, 0.05, 0.05])
+#: the least eigenvalue of a covariance
+LEAST = 1e-6
 #: features are put on a grid of this many steps a unit for their medians
 GRID = 1000
 _SPACE = " \t\n\x0b\x0c\r"
@@ -122,8 +124,11 @@ def consistency(share: float) -> float:
 
 
 def inverse(mean: np.ndarray, cov: np.ndarray) -> tuple[list[float], list[float], float]:
-    """Mean, upper triangle of the inverse (off-diagonal doubled) and log determinant of cov with FLOORS."""
-    cov = cov + np.diag(FLOORS**2)
+    """Mean, upper triangle of the inverse (off-diagonal doubled) and log determinant of cov, its variances those of FLOORS at least."""
+    cov = cov + np.diag(np.maximum(FLOORS**2 - np.diag(cov), 0))
+    low = np.linalg.eigvalsh(cov)[0]
+    if low < LEAST:  # statistics that depend on each other
+        cov = cov + np.eye(P) * (LEAST - low)
     inv = np.linalg.inv(cov)
     return mean.tolist(), [float(inv[i, j] * (1 if i == j else 2)) for i, j in _PAIRS], float(np.linalg.slogdet(cov)[1])
 
@@ -189,22 +194,28 @@ def _median_start(x: DataFrame) -> DataFrame:
     return wide.mapInArrow(run, _ESTIMATE)
 
 
-def mcd(x: DataFrame, h: float = H, steps: int = STEPS) -> DataFrame:
+def mcd(x: DataFrame, h: float = H) -> DataFrame:
     """The reweighted estimates of x(g, features): one row for each group."""
-    estimates = stored(_median_start(x).union(_fit(x.withColumn("start", F.lit(1)), 1.0)), "starts")
-    before = None
-    for _ in range(steps):
-        far = _with_distance(x, estimates)
+    moving = stored(_median_start(x).union(_fit(x.withColumn("start", F.lit(1)), 1.0)), "starts")
+    settled: DataFrame | None = None
+    while moving.limit(1).count():
+        # rows of groups that still move; there is an estimate or two for each group
+        far = _with_distance(x, moving)
         counts = far.groupBy("g", "start", _bin(F.col("d2")).alias("bin")).agg(F.count("*").alias("n"))
         group = Window.partitionBy("g", "start")
         within = F.sum("n").over(group.orderBy("bin"))
         edges = counts.select("g", "start", "bin", within.alias("within"), F.sum("n").over(group).alias("total")).where(F.col("within") >= F.lit(h) * F.col("total"))
-        edges = stored(estimates.join(edges.groupBy("g", "start").agg(F.min("bin").alias("edge")), ["g", "start"]), "edges")
-        estimates = _fit(_with_distance(x, edges).where(_bin(F.col("d2")) <= F.col("edge")), consistency(h))
-        now = estimates.agg(F.coalesce(F.sum(F.round("logdet", 6)), F.lit(0.0))).first()[0]
-        if before is not None and abs(now - before) < 1e-3:
-            break
-        before = now
+        edges = stored(moving.join(edges.groupBy("g", "start").agg(F.min("bin").alias("edge")), ["g", "start"]), "edges")
+        new = _fit(_with_distance(x, edges).where(_bin(F.col("d2")) <= F.col("edge")), consistency(h))
+        old = moving.select("g", "start", F.struct("mean", "inv", "logdet").alias("old"))
+        # the first subset's determinant isn't comparable with a start's, so a start counts as larger than any
+        falls = (F.col("old.logdet") - F.col("logdet") > STILL) if settled is not None else F.lit(True)
+        both = stored(new.join(old, ["g", "start"]).withColumn("falls", falls), "steps")
+        better = F.when(F.col("logdet") <= F.col("old.logdet"), F.struct("mean", "inv", "logdet")).otherwise(F.col("old"))
+        done = both.where("not falls").select("g", "start", better.alias("e")).select("g", "start", "e.*")
+        settled = done if settled is None else settled.unionByName(done)
+        moving = both.where("falls").select("g", "start", "mean", "inv", "logdet")
+    estimates = settled if settled is not None else moving
     best = stored(estimates.groupBy("g").agg(F.min_by(F.struct("start", "mean", "inv", "logdet"), F.struct("logdet", "start")).alias("e")).select("g", "e.*"), "best")
     near = _with_distance(x, best).where(F.col("d2") <= chi2_quantile(REWEIGHT, P)).drop("mean", "inv", "logdet")
     return _fit(near, consistency(REWEIGHT))

@@ -527,6 +527,18 @@ def test_unigram_models(tmp_path, one_space):
     assert codec.decode(codec.encode(texts)) == library.decode(library.encode(texts))
 
 
+def test_quality_verdicts_agree_with_labels(spark):
+    d = "/root/testdata/sf0.01"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables")
+    got = by_id(quality.op4_quality(spark, d))
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    judged = [(labels[i], r["kept"]) for i, r in got.items() if labels.get(i) is not None and not r["base_failed"]]
+    assert sum(q == 0 for q, _ in judged) > 5
+    assert np.mean([not kept for q, kept in judged if q == 0]) > 0.9
+    assert np.mean([kept for q, kept in judged if q == 1]) > 0.97
+
+
 # --- 8: toxicity -----------------------------------------------------------------------------------------------------
 def test_toxicity_held_out_accuracy(spark):
     texts, toxic = [], []
@@ -657,6 +669,10 @@ def test_outliers_go_and_clean_texts_stay(spark):
     assert quality.judge(table(spark, []).where("false")).count() == 0
 
 
+def raised(cov):
+    return cov + np.diag(np.maximum(quality.FLOORS**2 - np.diag(cov), 0))
+
+
 def brute_mcd(x, h=quality.H):
     """The same concentration steps with exact edges."""
     best = None
@@ -665,14 +681,14 @@ def brute_mcd(x, h=quality.H):
     for mean, cov in starts:
         for _ in range(20):
             gap = x - mean
-            d = np.einsum("ij,jk,ik->i", gap, np.linalg.inv(cov + np.diag(quality.FLOORS**2)), gap)
+            d = np.einsum("ij,jk,ik->i", gap, np.linalg.inv(raised(cov)), gap)
             near = x[np.argsort(d)[: math.ceil(h * len(x))]]
             mean, cov = near.mean(0), np.cov(near.T, bias=True) * quality.consistency(h)
-        det = np.linalg.slogdet(cov + np.diag(quality.FLOORS**2))[1]
+        det = np.linalg.slogdet(raised(cov))[1]
         if best is None or det < best[0]:
             best = det, mean, cov
     gap = x - best[1]
-    d = np.einsum("ij,jk,ik->i", gap, np.linalg.inv(best[2] + np.diag(quality.FLOORS**2)), gap)
+    d = np.einsum("ij,jk,ik->i", gap, np.linalg.inv(raised(best[2])), gap)
     near = x[d <= quality.chi2_quantile(quality.REWEIGHT, quality.P)]
     return near.mean(0), np.cov(near.T, bias=True) * quality.consistency(quality.REWEIGHT)
 
@@ -687,7 +703,7 @@ def test_mcd_against_brute_force(spark):
     full = np.zeros((quality.P, quality.P))
     for (i, j), v in zip(quality._PAIRS, r["inv"], strict=True):
         full[i, j] = full[j, i] = v / (1 if i == j else 2)
-    assert np.allclose(np.linalg.inv(full), cov + np.diag(quality.FLOORS**2), atol=0.02)
+    assert np.allclose(np.linalg.inv(full), raised(cov), atol=0.02)
     outside = ((x - np.array(r["mean"])) @ full * (x - np.array(r["mean"]))).sum(1) > quality.chi2_quantile(quality.QUANTILE, quality.P)
     assert outside[300:].all()
     assert outside[:300].sum() == 0
