@@ -51,8 +51,9 @@ def _terms(docs: DataFrame, words: Column) -> DataFrame:
 def tfidf_cosine(docs: DataFrame, query: list[str]) -> DataFrame:
     """(id, cosine) of docs(id, words) that share a term with the query: tf is count over length, idf ln((N + 1) / (df + 1))."""
     n = docs.agg(F.count("*").alias("n"))
-    terms = _terms(docs, F.col("words"))
-    df = terms.groupBy("term").agg(F.count("*").alias("df"))
+    # every document counts for how rare a term is, but only those with a term of the query are weighed
+    df = docs.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    terms = _terms(docs.where(F.arrays_overlap("words", _list(list(dict.fromkeys(query))))), F.col("words")) if query else _terms(docs.where("false"), F.col("words"))
     counts = {w: query.count(w) for w in dict.fromkeys(query)}
     spark = docs.sparkSession
     q = spark.createDataFrame([(w, c / len(query)) for w, c in counts.items()], "term string, qtf double")
