@@ -71,6 +71,25 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: bits of a Bloom filter: BLOOM_WORDS rows of 64 at most, which bounds what is broadcast however much goes in
+BLOOM_WORDS = 1 << 20
+
+
+def bloom(values: DataFrame) -> DataFrame:
+    """(bloom_word, bloom_bits), stored: a Bloom filter of the single column of values, of at most BLOOM_WORDS rows."""
+    h = F.xxhash64(values.columns[0])
+    bit = F.shiftrightunsigned(h, 20).bitwiseAND(63).cast("int")
+    bits = values.select(h.bitwiseAND(F.lit(BLOOM_WORDS - 1)).alias("bloom_word"), F.expr("1L").alias("one"), bit.alias("bit"))
+    return stored(bits.groupBy("bloom_word").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("bloom_bits")), "bloom")
+
+
+def perhaps_in(df: DataFrame, column: str, of: DataFrame) -> DataFrame:
+    """The rows whose column may be one of the values of a Bloom filter: all that are, and the fewer others the fewer values it has."""
+    h = F.xxhash64(column)
+    held = F.expr(f"shiftrightunsigned(bloom_bits, cast(shiftrightunsigned(xxhash64(`{column}`), 20) & 63 as int)) & 1")
+    return df.join(F.broadcast(of), h.bitwiseAND(F.lit(BLOOM_WORDS - 1)) == F.col("bloom_word")).where(held == 1).drop("bloom_word", "bloom_bits")
+
+
 @contextmanager
 def opened(folder: str, name: str) -> Iterator[IO[bytes]]:
     """A new file in a folder that is local to all or that Arrow opens; it gets its name when it is whole, so a task may run again."""

@@ -15,7 +15,7 @@ import numpy as np
 import pytest
 import sentencepiece
 import xxhash
-from dagspark.llm import components, decontaminate, licenses, near_copies, ngram_lm, quality, registry, rendezvous, sentencepiece_codec, simhash, substring_dedup, suffix_array, toxicity, warc
+from dagspark.llm import common, components, decontaminate, licenses, near_copies, ngram_lm, quality, registry, rendezvous, sentencepiece_codec, simhash, substring_dedup, suffix_array, toxicity, warc
 from dagspark.llm.common import doc_key
 from pyspark.sql import functions as F
 
@@ -150,6 +150,18 @@ def test_near_copies_against_brute_force(spark):
     assert near_copies.groups(table(spark, texts).where("false")).count() == 0
 
 
+def test_bloom_filters_lose_nothing(spark):
+    inside = spark.range(0, 200_000, 7).select((F.col("id") * 977 - 10**9).alias("x"))
+    rows = spark.range(200_000).select((F.col("id") * 977 - 10**9).alias("x"), "id")
+    of = common.bloom(inside)
+    assert of.count() <= common.BLOOM_WORDS
+    got = common.perhaps_in(rows, "x", of)
+    assert got.columns == ["x", "id"]
+    assert got.where("id % 7 = 0").count() == inside.count()
+    assert got.where("id % 7 <> 0").count() < 2_000
+    assert common.perhaps_in(rows, "x", common.bloom(inside.where("false"))).count() == 0
+
+
 def test_near_copy_keys_meet():
     rng = np.random.default_rng(3)
     for n, shared, least in ((100, 89, 0.95), (100, 95, 0.99), (9, 8, 0.95)):  # shingles of both texts, those in common
@@ -159,10 +171,10 @@ def test_near_copy_keys_meet():
 
         common = [rng.integers(0, 1 << 64, shared, np.uint64) for _ in range(600)]
         one, other = texts(common), texts(common)
-        met = [{abs(a) & (near_copies._OWN - 1) for a in x if a >= near_copies._OWN} & {b & (near_copies._OWN - 1) for b in y} for x, y in (*zip(near_copies.keys(one), near_copies.keys(other), strict=True),)]
+        met = [{a & (near_copies._NEAR - 1) for a in x if a >= near_copies._OWN} & {b & (near_copies._NEAR - 1) for b in y} for x, y in (*zip(near_copies.keys(one), near_copies.keys(other), strict=True),)]
         assert np.mean([bool(m) for m in met]) > least - 0.07  # one way only; the join looks up both ways
         assert (((one > 0) != (other > 0)).mean(1) < near_copies.MAX_DIFFERENT).mean() > 0.99
-        strangers = [{b & (near_copies._OWN - 1) for b in y} & {a & (near_copies._OWN - 1) for a in x} for x, y in zip(near_copies.keys(one[:-1]), near_copies.keys(one[1:]), strict=True)]
+        strangers = [{b & (near_copies._NEAR - 1) for b in y} & {a & (near_copies._NEAR - 1) for a in x} for x, y in zip(near_copies.keys(one[:-1]), near_copies.keys(one[1:]), strict=True)]
         assert np.mean([bool(m) for m in strangers]) < 0.02
 
 
