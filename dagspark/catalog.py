@@ -17,7 +17,9 @@ from .model.kinds import KINDS
 from .operators import learn, signal, sorting, spikes, tabular
 from .operators.tabular import ROW
 from .plans.compiler import Context, compile_graph
+from .plans.providers import preview_rows
 from .search import rank, scan
+from .search.index import latest, totals
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -547,7 +549,7 @@ def _rerank(s: SparkSession, d: str) -> DataFrame:
 
 @query("preview", "SELECT conv_id, turn, role FROM conversations ORDER BY conv_id, turn LIMIT 20")
 def _preview(s: SparkSession, d: str) -> DataFrame:
-    return _table(s, d, "conversations").select("conv_id", "turn", "role").orderBy("conv_id", "turn").limit(20)
+    return preview_rows(_table(s, d, "conversations").select("conv_id", "turn", "role"), ["conv_id", "turn"])
 
 
 @query("chunk_caps", "SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 20")
@@ -557,11 +559,9 @@ def _caps(s: SparkSession, d: str) -> DataFrame:
 
 @query("last_write_wins", "SELECT conv_id, arg_max(role, turn) AS role, max(turn) AS turn FROM conversations GROUP BY conv_id")
 def _last(s: SparkSession, d: str) -> DataFrame:
-    return _table(s, d, "conversations").groupBy("conv_id").agg(F.max_by("role", "turn").alias("role"), F.max("turn").alias("turn"))
+    return latest(_table(s, d, "conversations").select("conv_id", "role", "turn"), "conv_id", "turn")
 
 
 @query("kind_counts", "SELECT k AS chunk_kind, count(role)::BIGINT AS n FROM (SELECT unnest(['user', 'assistant', 'system']) AS k) LEFT JOIN conversations ON role = k GROUP BY k")
 def _counts(s: SparkSession, d: str) -> DataFrame:
-    spine = s.createDataFrame([("user",), ("assistant",), ("system",)], "chunk_kind string")
-    rows = _table(s, d, "conversations").select(F.col("role").alias("chunk_kind")).groupBy("chunk_kind").agg(F.count("*").alias("n"))
-    return spine.join(rows, "chunk_kind", "left").select("chunk_kind", F.coalesce("n", F.lit(0)).alias("n"))
+    return totals(_table(s, d, "conversations").select(F.col("role").alias("chunk_kind")), "chunk_kind", ["user", "assistant", "system"])

@@ -19,11 +19,17 @@ class ProviderError(RuntimeError):
     pass
 
 
+def preview_rows(df: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """The first PREVIEW_ROWS rows, by the given columns or by row id."""
+    order = order or [ROW] * (ROW in df.columns)
+    return (df.orderBy(*order) if order else df).limit(PREVIEW_ROWS)
+
+
 def preview(df: DataFrame | None) -> str:
     """The first rows as text, the number of all rows, cut at PREVIEW_CHARS characters; '' without data."""
     if df is None:
         return ""
-    rows = (df.orderBy(ROW) if ROW in df.columns else df).limit(PREVIEW_ROWS).drop(ROW).toPandas()
+    rows = preview_rows(df).drop(ROW).toPandas()
     return f"{rows.to_string()}\n({df.count()} rows total)"[:PREVIEW_CHARS]
 
 

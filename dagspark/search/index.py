@@ -13,6 +13,8 @@ from ..sources.tables import load_repositories
 from . import rank, scan
 
 _SPAN = re.compile(r"^(?P<path>.+):(?P<start>\d+)-(?P<end>\d+)$")
+# Kinds of chunks.
+CHUNK_KINDS = ("function", "method", "block")
 # Parameter types of annotations.
 PARAM_TYPES = {"int": "number", "float": "number", "bool": "boolean", "str": "string", "Path": "file"}
 
@@ -43,12 +45,24 @@ def node_kind(row: dict) -> dict:
     return {"kind": "repo." + row["qualified_name"], "palette_label": row["name"], "in_palette": False, "node_type": "custom_code", "label": row["name"], "description": row["docstring_first_line"] or row["leading_comment"], "metadata": {"has_data_input": row["has_data_input"], "chunk_kind": row["chunk_kind"]}, "parameters": params, "ports": {"inputs": inputs, "outputs": [{"name": "output", "label": "output", "data_kind": "any", "required": True, "description": ""}]}}
 
 
+def latest(df: DataFrame, key: str, order: str) -> DataFrame:
+    """Of the rows of each key the last in order: of equal entries the last counts."""
+    others = [c for c in df.columns if c not in (key, order)]
+    return df.groupBy(key).agg(*(F.max_by(c, order).alias(c) for c in others), F.max(order).alias(order))
+
+
+def totals(df: DataFrame, column: str, kinds: list[str]) -> DataFrame:
+    """How many rows each of the kinds has, those without any too."""
+    spine = df.sparkSession.createDataFrame([(k,) for k in kinds], f"{column} string")
+    return spine.join(df.groupBy(column).agg(F.count("*").alias("n")), column, "left").select(column, F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def discover(spark: SparkSession, folders: list[str]) -> dict:
     """All chunks (at most scan.MAX_CHUNKS a folder) as rows and node kinds; the last of equal kinds counts."""
     found, errors = chunks(spark, folders)
     rows = [r.asDict(recursive=True) for r in found.collect()] if found is not None else []
     rows = list({r["qualified_name"]: r for r in rows}.values())
-    counts = {k: sum(r["chunk_kind"] == k for r in rows) for k in ("function", "method", "block")}
+    counts = {k: sum(r["chunk_kind"] == k for r in rows) for k in CHUNK_KINDS}
     return {"roots": folders, "functions": rows, "kinds": [node_kind(r) for r in rows], "count": len(rows), "chunk_counts": counts, "errors": errors}
 
 
