@@ -219,6 +219,36 @@ def test_sorting(spark):
         sorting.sort_spikes(rec, "kilosort4")
 
 
+def test_analyzer_from_recording_to_export(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(9000, 2))
+    at = np.arange(30, 8900, 60)
+    x[at[::2], 0] -= 40 + 3 * rng.normal(size=len(at[::2]))
+    x[at[1::2], 1] -= 30 + 3 * rng.normal(size=len(at[1::2]))
+    rec = frame(spark, 3, c0=x[:, 0], c1=x[:, 1])
+    analyzer = sorting.analyze(rec, sorting.sort_simple(rec, 8.0))
+    assert set(analyzer.extensions) == {"random_spikes", "waveforms", "templates", "noise_levels"}
+    assert set(sorting.analyze(rec, analyzer.sorting, "noise_levels").extensions) == {"noise_levels"}
+    with pytest.raises(sorting.AdapterMissing):
+        sorting.analyze(rec, analyzer.sorting, "spike_locations")
+    measured = sorting.analyzer_metrics(analyzer, 30000.0)
+    got = {r.unit_id: r for r in measured.metrics.collect()}
+    # brute force of the isolation distance, by amplitudes on both channels
+    of = {u: x[[r.sample_index for r in analyzer.sorting.where(F.col("unit_id") == u).collect()]] for u in ("c0", "c1")}
+    for u, v in (("c0", "c1"), ("c1", "c0")):
+        gap = of[v] - of[u].mean(0)
+        d2 = np.sort(np.einsum("ij,jk,ik->i", gap, np.linalg.inv(np.cov(of[u].T)), gap))
+        want = d2[len(of[u]) - 1] if len(of[v]) >= len(of[u]) else None
+        assert got[u].isolation_distance == (want if want is None else pytest.approx(want))
+    assert set(sorting.analyzer_metrics(analyzer, 30000.0, "firing_rate").metrics.columns) == {"unit_id", "firing_rate"}
+    kept = sorting.curate_analyzer(measured, 30000.0, snr_min=35.0, presence_ratio_min=0.5)
+    assert {r.unit_id for r in kept.select("unit_id").distinct().collect()} == {"c0"}
+    assert {r.unit_id for r in kept.metrics.collect()} == {r.unit_id for r in kept.extensions["templates"].select("unit_id").collect()} == {"c0"}
+    path = sorting.export(kept, str(tmp_path / "phy"))
+    assert spark.read.option("header", True).csv(f"{path}/spikes").count() == kept.count()
+    assert spark.read.option("header", True).csv(f"{path}/cluster_metrics").count() == 1
+
+
 def test_curate(spark):
     m = spark.createDataFrame([("u1", 8.0, 0.01, 0.95, 5.0), ("u2", 2.0, 0.5, 0.2, 0.01), ("u3", float("nan"), 0.0, 1.0, 5.0)], "unit string, snr double, isi_violations_ratio double, presence_ratio double, firing_rate double")
     assert [r.unit for r in sorting.curate(m).collect()] == ["u1"]
