@@ -72,7 +72,7 @@ def forget(*tables: DataFrame) -> None:
 
 
 #: bits of a Bloom filter: BLOOM_WORDS rows of 64 at most, which bounds what is broadcast however much goes in
-BLOOM_WORDS = 1 << 20
+BLOOM_WORDS = 1 << 18
 
 
 def bloom(values: DataFrame) -> DataFrame:
