@@ -42,7 +42,7 @@ UNIGRAM, BPE = 1, 2
 #: texts that are encoded at once, by characters
 BATCH_CHARS = 1 << 20
 #: words that a task remembers, and up to which length; words that are encoded together, by characters
-MEMO, MEMO_CHARS, TOGETHER_CHARS = 600_000, 4096, 1 << 15
+MEMO, MEMO_CHARS, TOGETHER_CHARS = 200_000, 4096, 1 << 15
 _WORD = re.compile(f"{MARK}+[^{MARK}]*")
 THREADS = 2
 #: the share of texts whose ids and decoded text are also compared with the sentencepiece library's: one in so many
