@@ -43,7 +43,7 @@ from .suffix_array import permuted_lcp, suffix_array
 
 LENGTH, GRAM = 200, 64
 #: bytes of fragments in a shard, about; and different fragments of one anchor that still go to one shard
-SHARD_BYTES, HOT = 1_000_000, 4_000
+SHARD_BYTES, HOT = 500_000, 4_000
 #: starts that are looked at together, which bounds the memory for long texts; their place takes the low bits
 BLOCK_BITS = 20
 U64 = np.uint64
