@@ -496,13 +496,22 @@ def test_codec_parity_and_round_trip(spark):
     assert all(again[i]["decoded"] == t for i, t in enumerate(texts))
 
 
-def test_long_texts_are_cut_exactly(monkeypatch):
-    codec = sentencepiece_codec.load()
+@pytest.mark.parametrize(("memo", "together", "long"), [(1 << 20, 1 << 15, 1 << 12), (5, 1 << 15, 1 << 12), (1 << 20, 20, 1 << 12), (1 << 20, 1 << 15, 3)])
+def test_texts_are_encoded_by_words_exactly(monkeypatch, memo, together, long):
+    for name, value in (("MEMO", memo), ("TOGETHER_CHARS", together), ("MEMO_CHARS", long)):
+        monkeypatch.setattr(sentencepiece_codec, name, value)
+    with open(sentencepiece_codec.MODEL_PATH, "rb") as f:
+        codec = sentencepiece_codec.Codec(f.read())
+    assert codec.by_words
+    library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL_PATH)
     text = "A text  of words\nand   spaces, x y z. " * 200 + "▁ ▁▁ end"
-    whole = codec.encode([text])
-    monkeypatch.setattr(sentencepiece_codec, "PART_CHARS", 50)
-    assert len(codec._parts(text)) > 20
-    assert codec.encode([text]) == whole
+    texts = [text, "", " ", "  ", "a  b", " a", "a ", "a   ", "  ▁ b▁c ▁", "▁", "▁▁", "x▁ y", "日本 語", "\n a\n", "a▁▁", "<s> </s> <unk> <0x41>", "\x00 z", "y" * 10_000, text]
+    for _ in range(2):
+        ids, counts, decoded = codec.both_ways(texts)
+        assert codec.encode(texts) == library.encode(texts) == [x.ids for x in codec.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert ids.tolist() == [i for x in library.encode(texts) for i in x]
+        assert counts.tolist() == [len(x) for x in library.encode(texts)]
+        assert decoded == library.decode(library.encode(texts)) == codec.decode(library.encode(texts))
 
 
 def _proto(fields):
