@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: modules with QUERIES and ORACLE_SQL
-MODULES = ("substring_dedup", "warc", "ngram_lm", "quality", "toxicity", "sentencepiece_codec", "decontaminate", "simhash", "rendezvous", "licenses")
+MODULES = ("substring_dedup", "warc", "ngram_lm", "quality", "toxicity", "sentencepiece_codec", "decontaminate", "simhash", "rendezvous", "licenses", "spelling", "code_compression", "set_join")
 
 
 def _all(name: str) -> dict:
