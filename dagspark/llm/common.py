@@ -126,20 +126,33 @@ def reading(path: str) -> IO[bytes]:
     return fs.open_input_stream(name, compression=None)
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A name like `name` that no column of df has, whatever the case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """The table read by df with a bigint column `name`: a number of each row, the same in every scan.
 
     It is made of the row's file and its place in it, so it depends neither on
     how files are dealt to tasks nor on lost executors. What isn't read from
-    Parquet is stored with its numbers first.
+    Parquet is stored with its numbers first. Columns of df may have any names
+    but `name` itself.
     """
+    if spare(df, name) != name:
+        raise ValueError(f"there is a column {name} already")
     if not df.inputFiles():
         return stored(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
-    files = stored(df.select(F.col("_metadata.file_path").alias("_file")).groupBy("_file").agg(F.count("*").alias("_rows")), "files")
-    nth = stored(files.select("_file", (F.row_number().over(Window.orderBy("_file")) - 1).cast("bigint").alias("_nth")), "numbered_files")
-    placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
-    number = F.shiftleft(F.col("_nth"), 40).bitwiseOR(F.col("_place"))
-    return placed.join(nth, "_file").withColumn(name, number).drop("_file", "_nth", "_place")
+    file, place, nth = (spare(df, c) for c in ("_file", "_place", "_nth"))
+    read = df.metadataColumn("_metadata")
+    files = stored(df.select(read["file_path"].alias(file)).groupBy(file).agg(F.count("*").alias("_rows")), "files")
+    order = stored(files.select(file, (F.row_number().over(Window.orderBy(file)) - 1).cast("bigint").alias(nth)), "numbered_files")
+    placed = df.select("*", read["file_path"].alias(file), read["row_index"].alias(place))
+    number = F.shiftleft(F.col(nth), 40).bitwiseOR(F.col(place))
+    return placed.join(order, file).withColumn(name, number).drop(file, nth, place)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,7 +137,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, n
 
     rid names a column of docs with a number of each row, where there is one.
     """
-    docs = (docs.withColumn("rid", F.col(rid)) if rid else numbered(docs, "rid")).select("rid", "doc_id", "text")
+    docs = (docs.withColumn("rid", F.col(rid)) if rid else numbered(docs.select("doc_id", "text"), "rid")).select("rid", "doc_id", "text")
     postings, items = index(docs, benchmark)
     names = items.select("iid", F.col("item_id").cast("string").alias("item"))
     found = places(postings, items)
