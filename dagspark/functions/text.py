@@ -9,23 +9,25 @@ from pyspark.sql import functions as F
 
 # Words that carry no intent.
 STOPWORDS = (
-    "a an the and or of to in for on with this that is are be as from by at it its if else not no yes return returns returned none true false self cls def class "
-    "import into using use used between over per via than then them their can will chunk"
-).split()
+    "a", "an", "the", "and", "or", "of", "to", "in", "for", "on", "with", "this", "that", "is", "are", "be", "as", "from", "by", "at", "it", "its", "if",
+    "else", "not", "no", "yes", "return", "returns", "returned", "none", "true", "false", "self", "cls", "def", "class", "import", "into", "using", "use",
+    "used", "between", "over", "per", "via", "than", "then", "them", "their", "can", "will", "chunk",
+)
 
 # Tags of functions, in order.
 TAG_VOCABULARY = (
-    "filter bandpass lowpass highpass notch psd spectrum welch fft spike spikes isi psth raster eeg lfp calcium neural load loader save read write export normalize "
-    "scale standardize cluster pca regress plot visual preprocess analyze detect"
-).split()
+    "filter", "bandpass", "lowpass", "highpass", "notch", "psd", "spectrum", "welch", "fft", "spike", "spikes", "isi", "psth", "raster", "eeg", "lfp",
+    "calcium", "neural", "load", "loader", "save", "read", "write", "export", "normalize", "scale", "standardize", "cluster", "pca", "regress", "plot",
+    "visual", "preprocess", "analyze", "detect",
+)
 
 # Words that hint at a kind of data; hints longer than three letters also count inside a token.
 KIND_HINTS = {
-    "eeg": "eeg electroencephal electroencephalogram scalp".split(),
-    "spike": "spike spikes psth raster isi spiketrain kilosort spikeinterface phy sorter waveforms templates".split(),
-    "lfp": "lfp localfield localfieldpotential".split(),
-    "calcium": "calcium gcamp ca2".split(),
-    "table": "table dataframe csv".split(),
+    "eeg": ("eeg", "electroencephal", "electroencephalogram", "scalp"),
+    "spike": ("spike", "spikes", "psth", "raster", "isi", "spiketrain", "kilosort", "spikeinterface", "phy", "sorter", "waveforms", "templates"),
+    "lfp": ("lfp", "localfield", "localfieldpotential"),
+    "calcium": ("calcium", "gcamp", "ca2"),
+    "table": ("table", "dataframe", "csv"),
 }
 WINNOW_WINDOW = 4
 

@@ -26,22 +26,62 @@ PERMUTATIONS, RERANK_POOL = 64, 50
 
 # Calls that stand for each other.
 EQUIVALENT = (
-    "np.mean numpy.mean mean", "signal.butter bandpass_filter butter", "signal.sosfilt sosfilt signal.filtfilt filtfilt", "common_reference cmr car", "plt.plot plot plt.show",
-    "plt.eventplot raster", "np.histogram histogram psth", "Kilosort kilosort sorter", "export_to_phy phy", "isi_violations isi", "spikeinterface.preprocessing preprocessing",
-)
-_GROUP = {name.lower(): i for i, names in enumerate(EQUIVALENT) for name in names.split()}
+    ("np.mean", "numpy.mean", "mean"),
+    ("signal.butter", "bandpass_filter", "butter"),
+    ("signal.sosfilt", "sosfilt", "signal.filtfilt", "filtfilt"),
+    ("common_reference", "cmr", "car"),
+    ("plt.plot", "plot", "plt.show"),
+    ("plt.eventplot", "raster"),
+    ("np.histogram", "histogram", "psth"),
+    ("Kilosort", "kilosort", "sorter"),
+    ("export_to_phy", "phy"),
+    ("isi_violations", "isi"),
+    ("spikeinterface.preprocessing", "preprocessing"),
+)
+_GROUP = {name.lower(): i for i, names in enumerate(EQUIVALENT) for name in names}
 
 # Analysis words and the calls that they mean.
 OPERATIONS = {
-    "bandpass": "signal.butter signal.sosfilt", "bandpass_filter": "signal.butter signal.sosfilt bandpass_filter", "lowpass": "signal.butter signal.sosfilt", "highpass": "signal.butter signal.sosfilt",
-    "notch": "signal.iirnotch signal.sosfilt", "filter": "signal.butter signal.sosfilt signal.filtfilt", "filtfilt": "signal.filtfilt", "butter": "signal.butter", "sosfilt": "signal.sosfilt",
-    "welch": "signal.welch", "psd": "signal.welch signal.periodogram", "periodogram": "signal.periodogram", "fft": "np.fft.rfft np.fft.fft", "psth": "np.histogram np.bincount", "histogram": "np.histogram",
-    "raster": "plt.eventplot", "plot": "plt.plot plt.show", "common_reference": "common_reference", "whiten": "whiten", "kilosort": "Kilosort sorter", "sorter": "sorter Kilosort",
-    "quality_metrics": "quality_metrics", "isi": "isi_violations quality_metrics", "violation": "isi_violations", "isi_violations": "isi_violations quality_metrics", "waveforms": "waveforms",
-    "templates": "templates", "export_to_phy": "export_to_phy", "phy": "export_to_phy", "spikeinterface": "spikeinterface.preprocessing", "preprocessing": "spikeinterface.preprocessing",
-}
+    "bandpass": ("signal.butter", "signal.sosfilt"),
+    "bandpass_filter": ("signal.butter", "signal.sosfilt", "bandpass_filter"),
+    "lowpass": ("signal.butter", "signal.sosfilt"),
+    "highpass": ("signal.butter", "signal.sosfilt"),
+    "notch": ("signal.iirnotch", "signal.sosfilt"),
+    "filter": ("signal.butter", "signal.sosfilt", "signal.filtfilt"),
+    "filtfilt": ("signal.filtfilt",),
+    "butter": ("signal.butter",),
+    "sosfilt": ("signal.sosfilt",),
+    "welch": ("signal.welch",),
+    "psd": ("signal.welch", "signal.periodogram"),
+    "periodogram": ("signal.periodogram",),
+    "fft": ("np.fft.rfft", "np.fft.fft"),
+    "psth": ("np.histogram", "np.bincount"),
+    "histogram": ("np.histogram",),
+    "raster": ("plt.eventplot",),
+    "plot": ("plt.plot", "plt.show"),
+    "common_reference": ("common_reference",),
+    "whiten": ("whiten",),
+    "kilosort": ("Kilosort", "sorter"),
+    "sorter": ("sorter", "Kilosort"),
+    "quality_metrics": ("quality_metrics",),
+    "isi": ("isi_violations", "quality_metrics"),
+    "violation": ("isi_violations",),
+    "isi_violations": ("isi_violations", "quality_metrics"),
+    "waveforms": ("waveforms",),
+    "templates": ("templates",),
+    "export_to_phy": ("export_to_phy",),
+    "phy": ("export_to_phy",),
+    "spikeinterface": ("spikeinterface.preprocessing",),
+    "preprocessing": ("spikeinterface.preprocessing",),
+}
 # Phrases that mean calls.
-PHRASES = {"isi violation": "isi_violations quality_metrics", "quality metrics": "quality_metrics", "common reference": "common_reference", "export to phy": "export_to_phy", "spike interface": "spikeinterface.preprocessing"}
+PHRASES = {
+    "isi violation": ("isi_violations", "quality_metrics"),
+    "quality metrics": ("quality_metrics",),
+    "common reference": ("common_reference",),
+    "export to phy": ("export_to_phy",),
+    "spike interface": ("spikeinterface.preprocessing",),
+}
 
 
 def _terms(docs: DataFrame, words: Column) -> DataFrame:
@@ -83,9 +123,9 @@ def rank_simple(docs: DataFrame, query: list[str], limit: int = 20) -> DataFrame
 def expand(query: str) -> list[str]:
     """The calls that a query's phrases and words mean, in order."""
     low = query.lower()
-    calls = [c for p, names in PHRASES.items() if p in low for c in names.split()]
+    calls = [c for p, names in PHRASES.items() if p in low for c in names]
     for w in low.replace("(", " ").replace(",", " ").split():
-        calls += OPERATIONS.get(w.strip(".;:)"), "").split()
+        calls += OPERATIONS.get(w.strip(".;:)"), ())
         if "." in w.strip("."):
             calls.append(w.strip(".;:)"))
     return list(dict.fromkeys(calls))

@@ -15,10 +15,21 @@ from pyspark.sql import functions as F
 from ..functions.text import TAG_VOCABULARY
 
 # Folders that aren't searched; argument names that mean data or paths; roots of scientific calls; limits.
-SKIPPED = set("__pycache__ .git .hg .mypy_cache .pytest_cache .ruff_cache .tox .venv venv env node_modules dist build site-packages tests test".split())
-DATA_ARGS = set("data df frame x y signal signals recording recordings array arr series table traces samples values waveform waveforms times spikes".split())
-PATH_ARGS = set("path file filename filepath file_path csv source".split())
-SCIENCE = set("numpy np pandas pd scipy sklearn sk mne signal plt matplotlib pyplot sns seaborn neo spikeinterface nilearn nibabel".split())
+SKIPPED = {
+    "__pycache__", ".git", ".hg", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", ".venv", "venv", "env", "node_modules", "dist", "build",
+    "site-packages", "tests", "test",
+}
+DATA_ARGS = {
+    "data", "df", "frame", "x", "y", "signal", "signals", "recording", "recordings", "array", "arr", "series", "table", "traces", "samples", "values",
+    "waveform", "waveforms", "times", "spikes",
+}
+PATH_ARGS = {
+    "path", "file", "filename", "filepath", "file_path", "csv", "source",
+}
+SCIENCE = {
+    "numpy", "np", "pandas", "pd", "scipy", "sklearn", "sk", "mne", "signal", "plt", "matplotlib", "pyplot", "sns", "seaborn", "neo", "spikeinterface",
+    "nilearn", "nibabel",
+}
 MAX_FILE_BYTES, MAX_LINES, MIN_LINES, PREVIEW_LINES, MAX_PER_FILE, MAX_CHUNKS = 1_000_000, 80, 4, 40, 80, 20_000
 ALIASES = {"numpy": "np", "pandas": "pd", "seaborn": "sns", "scipy.signal": "signal", "matplotlib.pyplot": "plt"}
 
