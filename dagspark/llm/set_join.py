@@ -93,15 +93,20 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def shingle_set(text: str | None, known: dict[bytes, int] | None = None) -> np.ndarray:
+class Words(dict[bytes, int]):
+    """Hashes of words, remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def shingle_set(text: str | None, known: Words | None = None) -> np.ndarray:
     """The sorted hashes of a text's shingles; known remembers words."""
-    known = {} if known is None else known
+    known = Words() if known is None else known
     words = (text or "").encode().translate(LOWER_TABLE).split()
     if not words:
         return np.zeros(0, np.int64)
-    digest = xxhash.xxh3_64_intdigest
-    for w in set(words) - known.keys():
-        known[w] = digest(w)
     h = np.fromiter(map(known.__getitem__, words), U64, len(words))
     n = min(SHINGLE, len(h))
     out = np.full(len(h) - n + 1, n, U64)
@@ -128,7 +133,7 @@ _SETS = "rid long, doc_id {id}, digest binary, n long, bits array<long>, tokens
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[bytes, int] = {}
+    known = Words()
     for batch in batches:
         digests, sizes, bits, tokens = [], [], [], []
         for text in batch["text"]:
