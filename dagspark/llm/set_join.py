@@ -25,13 +25,15 @@ entries that heavy ones scan, both counted for each size.
 
 A list is scanned in two steps. First every set is compared with the one of
 its lists' heads (the sets with the largest lists) with which it shares most
-lists, and links make groups. Then lists whose sets are in one group are done;
-those of the others are cut into blocks of some BLOCK sets, and pairs of blocks
-are scanned for sets of different groups that may link: sizes fit, and the
-parity bitmaps (bit i: whether an odd number of shingles has hash i) differ in
-no more bits than linked sets may in shingles. That drops no link. What is left
-is verified by the whole sets. So no link is lost, and those that are not
-compared are within groups already.
+lists, and links make groups. Then lists whose sets are in one group are done.
+The sets of the others are cut into blocks, and pairs of blocks are scanned for
+sets of different groups that may link: sizes fit, and the parity bitmaps (bit i:
+whether an odd number of shingles has hash i) differ in no more bits than
+linked sets may in shingles. That drops no link. The sets that it leaves are
+scanned once more, with their texts: pairs are compared by their whole sets,
+the nearest first, and two groups that have been found to link are one for the
+pairs that follow. So a large group of near copies hands on a tree of links
+for each pair of blocks, not all of them; no component is lost.
 
 Shingles are known by 64-bit hashes, sets by 128-bit digests. Words are
 separated by white space of ASCII; A-Z are lower-cased. Null and blank texts
@@ -61,8 +63,8 @@ SHINGLE, SIMILAR = 3, (90, 100)
 BAND = 0.2
 #: sets of more shingles are never light, whatever the cost
 MOST_LIGHT = 32
-#: sets of a list that are compared at once with as many others
-BLOCK = 64
+#: sets of a list that are compared at once with as many others, by bitmaps; and by whole sets, with texts of so many bytes at most (or one)
+BLOCK, WHOLE, WHOLE_BYTES = 256, 512, 2 << 20
 #: bits of the least bitmap; others have as many as the set has shingles, as a power of two
 LEAST_BITS = 256
 U64 = np.uint64
@@ -227,34 +229,90 @@ def lists(sets: DataFrame) -> DataFrame:
     return stored(chosen.select("node", "n", use.alias("use"), F.explode("x.token").alias("token")), "lists")
 
 
-def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of sets of two blocks that are in different groups and may link."""
+class _Block:
+    """The sets of one block as arrays: node, group, n, heavy and bitmaps folded to the same size."""
+
+    def __init__(self, sets: pa.StructArray) -> None:
+        self.node, self.group, self.n, self.heavy = (sets.field(c).to_numpy(zero_copy_only=False) for c in ("node", "group", "n", "heavy"))
+        bits = sets.field("bits")
+        at, flat = bits.offsets.to_numpy(), bits.values.to_numpy()
+        self.words = int(np.diff(at).min())
+        self.bits = np.stack([folded(flat[at[i] : at[i + 1]], self.words) for i in range(len(sets))])
+
+    def folded(self, words: int) -> np.ndarray:
+        return np.bitwise_xor.reduce(self.bits.reshape(len(self.bits), -1, words), axis=1)
+
+
+def may_link(x: _Block, y: _Block, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in two blocks of pairs of different groups that may link, and in how many bits they differ."""
     t, of = SIMILAR
+    total = x.n[:, None] + y.n[None, :]
+    need = -(-t * total // (t + of))
+    fits = (need <= np.minimum(x.n[:, None], y.n[None, :])) & (x.group[:, None] != y.group[None, :]) & (x.heavy[:, None] | y.heavy[None, :])
+    if same:
+        fits &= x.node[:, None] < y.node[None, :]
+    words = min(x.words, y.words)
+    r, c = np.nonzero(fits)
+    left, right = x.folded(words).view(U64), y.folded(words).view(U64)
+    apart = np.zeros(len(r), np.int64)
+    for at in range(0, len(r), _PAIRS):
+        part = slice(at, at + _PAIRS)
+        apart[part] = np.bitwise_count(left[r[part]] ^ right[c[part]]).sum(1, dtype=np.int64)
+    near = apart <= total[r, c] - 2 * need[r, c]
+    return r[near], c[near], apart[near]
+
+
+#: pairs whose bitmaps are compared at once
+_PAIRS = 1 << 16
+
+
+def _near_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of two blocks that may link with another of them."""
     for batch in batches:
-        found: list[np.ndarray] = []
+        tokens, nodes = [], []
+        for token, u, v, same in zip(batch["token"], batch["us"], batch["vs"], batch["same"], strict=True):
+            x, y = _Block(u.values), _Block(v.values)
+            r, c, _ = may_link(x, y, same.as_py())
+            found = np.union1d(x.node[r], y.node[c])
+            tokens.append(np.full(len(found), token.as_py()))
+            nodes.append(found)
+        columns = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (tokens, nodes)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "node"])
+
+
+def _linking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of two blocks of sets with texts: for groups that links connect, a tree of them."""
+    t, of = SIMILAR
+    for batch in batches:
+        a, b = [], []
         for u, v, same in zip(batch["us"], batch["vs"], batch["same"], strict=True):
-            sides = []
-            for x in (u.values, v.values):
-                node, group, n, heavy = (x.field(c).to_numpy(zero_copy_only=False) for c in ("node", "group", "n", "heavy"))
-                bits = x.field("bits")
-                words = np.diff(bits.offsets.to_numpy())
-                flat, at = bits.values.to_numpy(), bits.offsets.to_numpy()
-                least = int(words.min())
-                sides.append((node, group, n, heavy, [flat[at[i] : at[i + 1]] for i in range(len(x))], least))
-            (a, g, n, x, p, i), (b, h, m, y, q, j) = sides
-            total = n[:, None] + m[None, :]
-            need = -(-t * total // (t + of))
-            fits = (need <= np.minimum(n[:, None], m[None, :])) & (g[:, None] != h[None, :]) & (x[:, None] | y[None, :])
-            if same.as_py():
-                fits &= a[:, None] < b[None, :]
-            words = min(i, j)
-            left, right = np.stack([folded(z, words) for z in p]), np.stack([folded(z, words) for z in q])
-            r, c = np.nonzero(fits)
-            near = np.bitwise_count((left[r] ^ right[c]).view(U64)).sum(1, dtype=np.int64) <= total[r, c] - 2 * need[r, c]
-            r, c = r[near], c[near]
-            found.append(np.stack([np.minimum(a[r], b[c]), np.maximum(a[r], b[c])]))
-        pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+            x, y = _Block(u.values), _Block(v.values)
+            texts = [z.values.field("text") for z in (u, v)]
+            known, sets, root = Words(), ({}, {}), {}
+
+            def whole(side: int, i: int) -> np.ndarray:
+                if i not in sets[side]:
+                    sets[side][i] = shingle_set(texts[side][i].as_py(), known)
+                return sets[side][i]
+
+            def find(g: int) -> int:
+                while root.get(g, g) != g:
+                    root[g] = root.get(root[g], root[g])
+                    g = root[g]
+                return g
+
+            r, c, apart = may_link(x, y, same.as_py())
+            for k in np.argsort(apart, kind="stable"):
+                g, h = find(int(x.group[r[k]])), find(int(y.group[c[k]]))
+                if g == h:
+                    continue
+                p, q = whole(0, int(r[k])), whole(1, int(c[k]))
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                if both * of >= (len(p) + len(q) - both) * t:
+                    root[g] = h
+                    a.append(int(x.node[r[k]]))
+                    b.append(int(y.node[c[k]]))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,17 +346,30 @@ def _head_pairs(rows: DataFrame) -> DataFrame:
     return best.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
 
 
-def _block_pairs(rows: DataFrame, found: DataFrame, sets: DataFrame, boundary: int) -> DataFrame:
-    """(a, b): pairs of sets of different groups that stand in one list and may link."""
-    grouped = stored(rows.join(found, rows["node"] == found["of"], "left").select("token", "node", F.coalesce("root", "node").alias("group")), "lists_of_groups")
+def _paired(members: DataFrame, blocks: Column, one: Column) -> DataFrame:
+    """(token, us, vs, same): all pairs of blocks of the members of each list, cut into so many blocks."""
+    block = F.pmod(F.xxhash64("node"), blocks)
+    cut = stored(members.groupBy("token", block.alias("block")).agg(F.collect_list(one).alias("sets")), "list_blocks")
+    left, right = (cut.select("token", F.col("block").alias(i), F.col("sets").alias(s)) for i, s in (("i", "us"), ("j", "vs")))
+    return left.join(right, "token").where("i <= j").select("token", "us", "vs", (F.col("i") == F.col("j")).alias("same"))
+
+
+def _links_of_groups(rows: DataFrame, held: DataFrame, found: DataFrame, sets: DataFrame, boundary: int) -> DataFrame:
+    """(a, b), stored: links that connect the groups found(of, root) further, of sets that stand in one list."""
+    grouped = stored(held.join(found, held["node"] == found["of"], "left").select("token", "node", F.coalesce("root", "node").alias("group")), "lists_of_groups")
     mixed = grouped.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("k")).where("low <> high").select("token", "k")
-    open_ = grouped.join(mixed, "token").join(sets.select("node", "n", "bits"), "node")
-    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("k") / BLOCK))
-    one = F.struct("node", "group", "n", (F.col("n") > boundary).alias("heavy"), "bits")
-    blocks = stored(open_.groupBy("token", block.alias("block")).agg(F.collect_list(one).alias("sets")), "list_blocks")
-    left, right = (blocks.select("token", F.col("block").alias(i), F.col("sets").alias(s)) for i, s in (("i", "us"), ("j", "vs")))
-    pairs = left.join(right, "token").where("i <= j").select("us", "vs", (F.col("i") == F.col("j")).alias("same"))
-    return pairs.mapInArrow(_may_link, "a long, b long").distinct()
+    open_ = stored(grouped.join(mixed, "token").join(sets.select("node", "n", "bits"), "node").withColumn("heavy", F.col("n") > boundary), "mixed_lists")
+    one = ["node", "group", "n", "heavy", "bits"]
+    near = _paired(open_, F.ceil(F.col("k") / BLOCK), F.struct(*one)).mapInArrow(_near_nodes, "token long, node long").distinct()
+    near = stored(near, "near_nodes")
+    named = stored(near.select(F.col("node").alias("rid")).distinct(), "near_named")
+    texts = stored(perhaps_in(rows.select("rid", "text"), "rid", bloom(named)).join(named, "rid", "left_semi").withColumnRenamed("rid", "node"), "near_texts")
+    kept = open_.drop("k").join(near, ["token", "node"]).join(texts, "node")
+    sizes = kept.groupBy("token").agg(F.greatest(F.ceil(F.count("*") / WHOLE), F.ceil(F.sum(F.octet_length("text")) / WHOLE_BYTES)).alias("blocks"))
+    links = _paired(kept.join(sizes, "token"), F.col("blocks"), F.struct(*one, "text")).mapInArrow(_linking, "a long, b long").distinct()
+    links = stored(links, "links_of_groups")
+    forget(open_, near, named, texts)
+    return links
 
 
 def linked_sets(rows: DataFrame, sets: DataFrame, boundary: int | None = None) -> DataFrame:
@@ -317,7 +388,7 @@ def linked_sets(rows: DataFrame, sets: DataFrame, boundary: int | None = None) -
     light = subset_links(linking.where(F.col("n") <= boundary), boundary)
     first = verified(rows, light.unionByName(_head_pairs(held)).distinct(), "first")
     found = components(first)
-    other = verified(rows, _block_pairs(held, found.select(F.col("node").alias("of"), "root"), sets, boundary), "other")
+    other = _links_of_groups(rows, held, found.select(F.col("node").alias("of"), "root"), sets, boundary)
     return components(other.unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
