@@ -1,28 +1,33 @@
 """Operator 2: benchmark decontamination by a positional inverted index, with DataFrame functions only.
 
 The documents' words that occur in any benchmark item are stored as postings
-(document, position, term), each with the two terms after it. A benchmark item
-is cut into pieces of PIECE consecutive words. A piece is looked up by its
-terms: postings and pieces are joined on the term that fewest postings have and
-on the other two at their offsets from it, so three offset-adjusted lists are
-intersected where they lie. A place less the piece's offset in the item is an
-alignment at which the item may stand in a document. An alignment with all
-consecutive pieces of a window (`window` words; a shorter item is one window)
-is an exact phrase match.
-
-A proximity match is a window of which at least `near` words, at as many places,
-stand no further than window - near words from an alignment at which one of its
-pieces stands, while another of its pieces stands as close. Whatever two words
-are replaced, put in or left out, and whichever two neighbours are swapped, two
-of a window's overlapping pieces are whole, so all such windows are found from
-the pieces' alignments alone; what is left is looked at in the texts.
-Proximity is reported for items without an exact match in the document; items
-of `near` words and fewer can lack nothing.
+(document, term, position), and counted by term. Of each window of a benchmark
+item (`window` consecutive words; a shorter item is one window) the rarest
+terms are chosen by those counts; a window with a term that no document has
+among its two rarest needs no further look. For the chosen terms the postings
+become sorted lists by term and document. Lists are intersected in pairs from
+the rarer term's side: its positions, moved by the offset of the other term in
+the window, must be positions of the other term. Pairs of terms at an offset
+are intersected once however many windows and items share them. What is left
+are alignments of windows in documents; there the words are compared.
+
+An exact phrase match is a window that stands in a document word by word; its
+two rarest terms stand at their exact offset. A proximity match needs the text alone: a
+window and an alignment at which at least `near` of its words stand at as many
+places, each word at the place nearest to its own and no further than window -
+near from it. At most window - near words are missing then, so of the FEW rarest
+terms two stand, and their lists, intersected with that much slack, hold a
+place no further away than that from every such alignment. So all windows are
+found in which two words were replaced, put in or left out, or neighbours
+swapped. Ties of counts go to the earlier word. Proximity is reported for items
+without an exact match in the document; items of `near` words and fewer can lack
+nothing.
 
 Null and empty texts have no words and no hits. Null item_ids aren't reported,
 though their words are hit. Repeated documents each give a row; repeated
 item_ids count once. Without documents the result is empty, without benchmark
-items nothing is hit. Only doc_id, item_id and text are read.
+items nothing is hit. Only doc_id, item_id and text are read, so other columns
+may have any names.
 """
 
 from __future__ import annotations
@@ -32,8 +37,10 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, documents, numbered, padded_words, stored
 
-WINDOW, NEAR, PIECE = 10, 8, 3
-#: the benchmark's distinct terms are broadcast only up to this many (of at most _TERM_BYTES), and its pieces; else they are joined by a shuffle
+WINDOW, NEAR = 10, 8
+#: of a window's terms, the rarest of which two stand in any proximity match
+FEW = WINDOW - NEAR + 2
+#: the benchmark's distinct terms are broadcast only up to this many (of at most _TERM_BYTES), and its pairs of terms; else they are joined by a shuffle
 BROADCAST_TERMS, _TERM_BYTES = 200_000, 64
 #: the pseudo term at which a document's number of words is stored
 _END = -1
@@ -45,10 +52,15 @@ def _split(text: Column) -> Column:
     return F.when(padded == " ", F.array().cast("array<string>")).otherwise(F.split(F.substring(padded, 2, F.length(padded) - 2), " "))
 
 
+def _bounded(df: DataFrame) -> DataFrame:
+    """df, marked for a broadcast if it has few rows; it is stored or small."""
+    return F.broadcast(df) if df.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else df
+
+
 def index(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(postings, items), stored, of docs(rid, doc_id, text) and benchmark(item_id, text).
 
-    postings(rid, doc_id, pos, term, t1, t2), with one of the term _END for each document; items(iid, item_id, words, terms).
+    postings(rid, doc_id, pos, term), with one of the term _END for each document; items(iid, item_id, words, terms), terms being of struct<n, pos, term>, n how many postings the term has.
     """
     items = stored(benchmark.select(F.monotonically_increasing_id().alias("iid"), "item_id", _split(F.col("text")).alias("words")), "benchmark_words")
     words = items.select(F.explode("words").alias("word")).distinct()
@@ -56,72 +68,85 @@ def index(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     terms = stored(words.select("word", F.monotonically_increasing_id().alias("term")).union(end), "benchmark_terms")
     n, size = terms.agg(F.count("*"), F.coalesce(F.max(F.octet_length("word")), F.lit(0))).first()
     small = n <= BROADCAST_TERMS and n * size <= BROADCAST_TERMS * _TERM_BYTES
+    split = docs.select("rid", "doc_id", F.posexplode(F.concat(_split(F.col("text")), F.array(F.lit("")))).alias("pos", "word"))
+    postings = stored(split.join(F.broadcast(terms) if small else terms, "word").select("rid", "doc_id", "pos", "term"), "postings")
+    counts = postings.groupBy("term").agg(F.count("*").alias("n"))
+    placed = items.select("iid", F.posexplode("words").alias("pos", "word")).join(terms, "word").join(counts, "term", "left")
+    listed = placed.groupBy("iid").agg(F.array_sort(F.collect_list(F.struct("pos", "term", F.coalesce("n", F.lit(0)).alias("n")))).alias("terms"))
+    counted = F.transform("terms", lambda x: F.struct(x["n"].alias("n"), x["pos"].alias("pos"), x["term"].alias("term")))
+    return postings, stored(items.join(listed, "iid").select("iid", "item_id", "words", counted.alias("terms")), "benchmark_items")
+
+
+def rarest(items: DataFrame, window: int, few: int, least: int = 0) -> DataFrame:
+    """(iid, start, wide, first, r, o, shift), stored: for each window of the items of more than `least` words, pairs of its `few` rarest terms.
+
+    The rarer term r stands at position `first` of the item, the other term o
+    `shift` further on. A window of one word has its term twice. Pairs of terms
+    that no document has are left out.
+    """
+    wide = F.least(F.size("terms"), F.lit(window))
+    starts = items.where((F.size("terms") > least) & (F.size("terms") > 0)).select("iid", wide.alias("wide"), "terms", F.explode(F.sequence(F.lit(0), F.size("terms") - wide)).alias("start"))
+    ranked = starts.select("iid", "start", "wide", F.slice(F.array_sort(F.slice("terms", F.col("start") + 1, F.col("wide"))), 1, few).alias("x"))
+    pairs = [F.struct(F.col("x")[i].alias("a"), F.get("x", F.lit(j)).alias("b")) for i in range(few) for j in range(i + 1, few)]
+    alone = F.array(F.struct(F.col("x")[0].alias("a"), F.col("x")[0].alias("b")))
+    both = F.filter(F.array(*(F.when(F.size("x") > j, p) for p, j in zip(pairs, [j for i in range(few) for j in range(i + 1, few)], strict=True))), lambda p: p.isNotNull())
+    pair = ranked.select("iid", "start", "wide", F.explode(F.when(F.size("x") == 1, alone).otherwise(both)).alias("p")).where("p.a.n > 0 and p.b.n > 0")
+    return stored(pair.select("iid", "start", "wide", F.col("p.a.pos").alias("first"), F.col("p.a.term").alias("r"), F.col("p.b.term").alias("o"), (F.col("p.b.pos") - F.col("p.a.pos")).alias("shift")), "rarest_terms")
 
-    def known(rows: DataFrame, word: str, term: str, how: str = "left") -> DataFrame:
-        of = terms.select(F.col("word").alias(word), F.col("term").alias(term))
-        return rows.join(F.broadcast(of) if small else of, word, how).drop(word)
-
-    placed = items.select("iid", F.posexplode("words").alias("pos", "word"))
-    listed = known(placed, "word", "term", "inner").groupBy("iid").agg(F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("terms"))
-    items = stored(items.join(listed, "iid").select("iid", "item_id", "words", F.col("terms.term").alias("terms")), "benchmark_items")
-    split = docs.select("rid", "doc_id", F.concat(_split(F.col("text")), F.array(F.lit(""))).alias("w"))
-    three = F.arrays_zip(F.col("w").alias("w0"), F.slice("w", 2, 1 << 30).alias("w1"), F.slice("w", 3, 1 << 30).alias("w2"))
-    rows = split.select("rid", "doc_id", F.posexplode(three).alias("pos", "x")).select("rid", "doc_id", "pos", "x.w0", "x.w1", "x.w2")
-    return stored(known(known(known(rows, "w0", "term", "inner"), "w1", "t1"), "w2", "t2"), "postings"), items
-
-
-def places(postings: DataFrame, items: DataFrame) -> DataFrame:
-    """(rid, iid, delta, pieces), stored: the sorted item positions whose pieces stand at position + delta."""
-    long = F.least(F.size("terms"), F.lit(PIECE))
-    first = F.explode(F.sequence(F.lit(0), F.size("terms") - long)).alias("pos")
-    pieces = items.where(F.size("terms") > 0).select("iid", long.alias("long"), first, "terms")
-    pieces = stored(pieces.select("iid", "pos", "long", *(F.get("terms", F.col("pos") + i).alias(f"p{i}") for i in range(PIECE))), "pieces")
-    few = pieces.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    found = []
-    at = postings.withColumnRenamed("pos", "at")
-    # shorter pieces are whole items
-    for size, keys in ((1, ["term"]), (2, ["term", "t1"]), (3, ["term", "t1", "t2"])):
-        own = pieces.where(F.col("long") == size).select("iid", "pos", *(F.col(f"p{i}").alias(k) for i, k in enumerate(keys)))
-        found.append(at.select("rid", "at", *keys).join(F.broadcast(own) if few else own, keys).select("rid", "iid", "pos", (F.col("at") - F.col("pos")).alias("delta")))
-    hits = found[0].unionByName(found[1]).unionByName(found[2])
-    return stored(hits.groupBy("rid", "iid", "delta").agg(F.array_sort(F.collect_set("pos")).alias("pieces")), "places")
-
-
-def exact(found: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(rid, iid, positions), stored: document positions of all words in exact phrase matches, by alignment."""
-    wide = F.least(F.size("words"), F.lit(window))
-    # so many consecutive pieces make a window
-    run = F.greatest(wide - PIECE + 1, F.lit(1))
-    starts = F.filter("pieces", lambda x, j: F.get("pieces", j + F.col("run") - 1) == x + F.col("run") - 1)
-    whole = found.join(items.select("iid", wide.alias("wide"), run.alias("run")), "iid").where(F.size("pieces") >= F.col("run"))
-    whole = whole.select("rid", "iid", "delta", "wide", starts.alias("starts")).where(F.size("starts") > 0)
-    spans = F.flatten(F.transform("starts", lambda s: F.sequence(s + F.col("delta"), s + F.col("delta") + F.col("wide") - 1)))
-    return stored(whole.select("rid", "iid", F.array_distinct(spans).alias("positions")), "exact_hits")
-
-
-def nearly(docs: DataFrame, found: DataFrame, matched: DataFrame, items: DataFrame, window: int = WINDOW, near: int = NEAR) -> DataFrame:
-    """(rid, iid), stored: items with a proximity match in a document of docs(rid, text), but no exact one."""
+
+def lists(postings: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(term, rid, at), stored, sorted by term: the sorted positions in each document of the terms of pairs(r, o)."""
+    terms = _bounded(pairs.select(F.explode(F.array("r", "o")).alias("term")).distinct())
+    held = postings.join(terms, "term", "left_semi").groupBy("term", "rid").agg(F.array_sort(F.collect_list("pos")).alias("at"))
+    return stored(held.sortWithinPartitions("term", "rid"), "positions")
+
+
+def alignments(held: DataFrame, seeds: DataFrame, slack: int) -> DataFrame:
+    """(rid, iid, delta, wide, starts), stored: alignments no further than slack from where the terms of a pair of seeds stand in a document, as far from their offset.
+
+    Word i of the item may stand at position i + delta of the document; starts
+    are those of the windows whose pair stands there.
+    """
+    pairs = _bounded(stored(seeds.select("r", "o", "shift").distinct(), "pairs"))
+    rarer = held.select(F.col("term").alias("r"), "rid", F.col("at").alias("p")).join(pairs, "r")
+    both = rarer.join(held.select(F.col("term").alias("o"), "rid", F.col("at").alias("q")), ["o", "rid"])
+    if slack:
+        near = lambda at, by: F.flatten(F.transform(at, lambda x: F.sequence(x + by - slack, x + by + slack)))
+        places = F.concat(F.array_intersect("p", near(F.col("q"), -F.col("shift"))), F.transform(F.array_intersect("q", near(F.col("p"), F.col("shift"))), lambda x: x - F.col("shift")))
+    else:
+        places = F.array_intersect("p", F.transform("q", lambda x: x - F.col("shift")))
+    placed = stored(both.select("r", "o", "shift", "rid", F.array_distinct(places).alias("places")).where(F.size("places") > 0), "places")
+    each = placed.join(_bounded(seeds), ["r", "o", "shift"])
+    one = each.select("rid", "iid", "wide", "start", F.explode("places").alias("place"), "first").select("rid", "iid", "wide", "start", (F.col("place") - F.col("first")).alias("delta"))
+    if slack:
+        one = one.withColumn("delta", F.explode(F.sequence(F.col("delta") - slack, F.col("delta") + slack)))
+    return stored(one.groupBy("rid", "iid", "delta", "wide").agg(F.collect_set("start").alias("starts")), "alignments")
+
+
+def _pieces(docs: DataFrame, asked: DataFrame, items: DataFrame, slack: int) -> DataFrame:
+    """(rid, iid, delta, wide, start, v, w, shift) of each window that asked has: its words, those of the document around it, and where in w its own place begins."""
+    texts = docs.join(asked.select("rid").distinct(), "rid", "left_semi").select("rid", _split(F.col("text")).alias("text"))
+    named = asked.join(stored(texts, "aligned_texts"), "rid").join(items.select("iid", "words"), "iid")
+    low = lambda s: F.greatest(s + F.col("delta") - slack, F.lit(0))
+
+    def piece(s: Column) -> Column:
+        own = F.slice("words", s + 1, F.col("wide"))
+        around = F.slice("text", low(s) + 1, F.greatest(s + F.col("delta") + F.col("wide") + slack - low(s), F.lit(0)))
+        return F.struct(s.alias("start"), own.alias("v"), around.alias("w"), (s + F.col("delta") - low(s)).alias("shift"))
+
+    return named.select("rid", "iid", "delta", "wide", F.explode(F.transform("starts", piece)).alias("x")).select("rid", "iid", "delta", "wide", "x.*")
+
+
+def exact(docs: DataFrame, asked: DataFrame, items: DataFrame) -> DataFrame:
+    """(rid, iid, delta, start, wide), stored: the windows of asked that stand word by word."""
+    same = (F.col("delta") + F.col("start") >= 0) & (F.col("v") == F.col("w"))
+    return stored(_pieces(docs, asked, items, 0).where(same).select("rid", "iid", "delta", "start", "wide"), "exact_hits")
+
+
+def nearly(docs: DataFrame, asked: DataFrame, items: DataFrame, window: int = WINDOW, near: int = NEAR) -> DataFrame:
+    """(rid, iid), stored: items with a proximity match in a document of docs(rid, text), of the windows of asked."""
     slack = window - near
-    wide = F.least(F.size("words"), F.lit(window))
-    long = items.where(F.size("words") > near).select("iid", "words", wide.alias("wide"), (F.size("words") - wide).alias("last"))
-    open_ = found.join(matched.select("rid", "iid").distinct(), ["rid", "iid"], "left_anti").join(long.select("iid", "wide", "last"), "iid")
-    hits = open_.select("rid", "iid", "wide", "last", "delta", F.explode("pieces").alias("p"))
-    # two ranges overlap everywhere, so any two places that are close enough share one
-    nth, mth = F.floor(F.col("delta") / (slack + 1)), F.floor(F.col("p") / window)
-    near_by = hits.select("*", F.explode(F.array(nth - 1, nth)).alias("nth")).select("*", F.explode(F.array(mth - 1, mth)).alias("mth"))
-    held = near_by.groupBy("rid", "iid", "wide", "last", "nth", "mth").agg(F.collect_set(F.struct("delta", "p")).alias("held")).where(F.size("held") > 1)
-    pair = held.select("rid", "iid", "wide", "last", "held", F.explode("held").alias("x"))
-    close = F.filter("held", lambda y: (y["p"] != F.col("x.p")) & (F.abs(y["p"] - F.col("x.p")) <= F.col("wide") - PIECE) & (F.abs(y["delta"] - F.col("x.delta")) <= slack))
-    first = lambda y: F.greatest(F.greatest(F.col("x.p"), y["p"]) - F.col("wide") + PIECE, F.lit(0))
-    final = lambda y: F.least(F.least(F.col("x.p"), y["p"]), F.col("last"))
-    starts = F.array_distinct(F.flatten(F.transform(F.filter(close, lambda y: first(y) <= final(y)), lambda y: F.sequence(first(y), final(y)))))
-    asked = pair.select("rid", "iid", F.col("x.delta").alias("delta"), F.explode(starts).alias("start")).groupBy("rid", "iid", "delta").agg(F.collect_set("start").alias("starts"))
-    asked = stored(asked, "near_candidates")
-    texts = stored(docs.join(asked.select("rid").distinct(), "rid", "left_semi").select("rid", _split(F.col("text")).alias("w")), "near_texts")
-    tried = asked.join(texts, "rid").join(long.select("iid", "words", "wide"), "iid").select("rid", "iid", "delta", "w", "words", "wide", F.explode("starts").alias("start"))
-    # the document's words around the window, so that what follows looks at few words however long the text is
-    low = F.greatest(F.col("start") + F.col("delta") - slack, F.lit(0))
-    tried = tried.select("rid", "iid", F.slice("w", low + 1, window + 2 * slack).alias("w"), F.slice("words", F.col("start") + 1, F.col("wide")).alias("v"), (F.col("start") + F.col("delta") - low).alias("shift"))
+    tried = _pieces(docs, asked, items, slack)
     offsets = [0] + [sign * e for e in range(1, slack + 1) for sign in (-1, 1)]
 
     def stands(x: Column, j: Column) -> Column:
@@ -140,12 +165,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, n
     docs = (docs.withColumn("rid", F.col(rid)) if rid else numbered(docs.select("doc_id", "text"), "rid")).select("rid", "doc_id", "text")
     postings, items = index(docs, benchmark)
     names = items.select("iid", F.col("item_id").cast("string").alias("item"))
-    found = places(postings, items)
-    matched = exact(found, items, window)
-    words = matched.select("rid", F.explode("positions").alias("pos")).distinct().groupBy("rid").agg(F.count("*").alias("n_hit"))
+    seeds = rarest(items, window, 2)
+    wanted = seeds
+    if near is not None:
+        few = rarest(items, window, window - near + 2, near)
+        wanted = seeds.unionByName(few)
+    held = lists(postings, wanted.select("r", "o"))
+    matched = exact(docs, alignments(held, seeds, 0), items)
+    spans = F.sequence(F.col("start") + F.col("delta"), F.col("start") + F.col("delta") + F.col("wide") - 1)
+    words = matched.select("rid", F.explode(spans).alias("pos")).distinct().groupBy("rid").agg(F.count("*").alias("n_hit"))
     hits = words.join(matched.join(names, "iid").groupBy("rid").agg(F.collect_set("item").alias("items")), "rid", "full")
     if near is not None:
-        partly = nearly(docs, found, matched, items, window, near).join(names, "iid").groupBy("rid").agg(F.collect_set("item").alias("near_items"))
+        open_ = alignments(held, few, window - near).join(matched.select("rid", "iid").distinct(), ["rid", "iid"], "left_anti")
+        partly = nearly(docs, stored(open_, "near_candidates"), items, window, near).join(names, "iid").groupBy("rid").agg(F.collect_set("item").alias("near_items"))
         hits = hits.join(partly, "rid", "full")
     texts = postings.where(F.col("term") == _END).select("rid", "doc_id", F.col("pos").cast("bigint").alias("n_words"))
     out = texts.join(stored(hits, "contamination"), "rid", "left")
@@ -181,13 +213,11 @@ grams AS (SELECT r, n, s, array_to_string(w[s:s + n - 1], ' ') AS g
 hit AS (SELECT r, i, item_id, s, n FROM grams JOIN win USING (n, g)),
 pos AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(s, s + n)) AS p FROM hit) GROUP BY r),
 its AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT r, item_id::VARCHAR AS i FROM hit WHERE item_id IS NOT NULL) GROUP BY r),
-piece AS (SELECT i, w AS v, p, array_to_string(w[p:p + {PIECE - 1}], ' ') AS g
-  FROM (SELECT i, w, unnest(range(1, len(w) - {PIECE - 2})) AS p FROM b WHERE len(w) > {NEAR})),
-three AS (SELECT r, w, q, array_to_string(w[q:q + {PIECE - 1}], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - {PIECE - 2})) AS q FROM d)),
-place AS (SELECT DISTINCT r, i, w, v, p, q - p AS delta FROM three JOIN piece USING (g) ANTI JOIN (SELECT DISTINCT r, i FROM hit) USING (r, i)),
-cand AS (SELECT DISTINCT x.r, x.i, x.w, x.v, x.delta, s FROM place x JOIN place y ON x.r = y.r AND x.i = y.i AND x.p <> y.p AND abs(x.delta - y.delta) <= {_SLACK}
-  CROSS JOIN unnest(range(1, 1 + greatest(len(x.v) - {WINDOW - 1}, 1))) AS t(s)
-  WHERE least(x.p, y.p) >= s AND greatest(x.p, y.p) + {PIECE} <= s + least(len(x.v), {WINDOW})),
+cnt AS (SELECT x, count(*) AS n FROM (SELECT unnest(w) AS x FROM d) GROUP BY x),
+bw AS (SELECT i, w AS v, s, unnest(range(s, s + least(len(w), {WINDOW}))) AS p FROM (SELECT i, w, unnest(range(1, 1 + greatest(len(w) - {WINDOW - 1}, 1))) AS s FROM b WHERE len(w) > {NEAR})),
+few AS (SELECT i, v, s, p, v[p] AS x FROM bw LEFT JOIN cnt ON cnt.x = v[p] QUALIFY row_number() OVER (PARTITION BY i, s ORDER BY coalesce(n, 0), p) <= {FEW}),
+occ AS (SELECT r, w, generate_subscripts(w, 1) AS q, unnest(w) AS x FROM d),
+cand AS (SELECT DISTINCT r, i, w, v, q - p + e AS delta, s FROM occ JOIN few USING (x) CROSS JOIN range({-_SLACK}, {_SLACK + 1}) AS t(e) ANTI JOIN (SELECT DISTINCT r, i FROM hit) USING (r, i)),
 word AS (SELECT r, i, delta, s, v[j] AS x, w, j + delta AS q FROM (SELECT *, unnest(range(s, s + least(len(v), {WINDOW}))) AS j FROM cand)),
 stood AS (SELECT r, i, delta, s, CASE {" ".join(f"WHEN q + {e} >= 1 AND q + {e} <= len(w) AND w[greatest(q + {e}, 1)] = x THEN q + {e}" for e in [0] + [q * e for e in range(1, _SLACK + 1) for q in (-1, 1)])} END AS p FROM word),
 part AS (SELECT DISTINCT r, i FROM (SELECT r, i FROM stood GROUP BY r, i, delta, s HAVING count(p) >= {NEAR} AND count(DISTINCT p) >= {NEAR})),

@@ -329,8 +329,20 @@ def test_proximity_matches(spark):
     assert (got[1]["n_hit"], got[1]["n_near"]) == (10, 0)
 
 
-def brute_near(w, v, n=10, near=8, around=None):
-    """Whether `near` words of a window stand at alignments that differ by n - near at most; around: no further than that from an alignment at which one of its pieces of three stands while another one stands as close."""
+def brute_near(w, v, n=10, near=8):
+    """Whether `near` words of a window stand at as many places near an alignment, each at the place nearest to its own."""
+    wide, slack = min(n, len(v)), n - near
+    offsets = [0] + [sign * e for e in range(1, slack + 1) for sign in (-1, 1)]
+    for s in range(len(v) - wide + 1) if len(v) > near else ():
+        for d in range(-len(v) - slack, len(w) + slack):
+            places = [next((p + d + e for e in offsets if 0 <= p + d + e < len(w) and w[p + d + e] == v[p]), None) for p in range(s, s + wide)]
+            if len({x for x in places if x is not None}) >= near:
+                return True
+    return False
+
+
+def brute_pieces(w, v, n=10, near=8, around=None):
+    """Narrower: `near` words of a window stand at alignments that differ by n - near at most; around: no further than that from an alignment at which one of its pieces of three stands while another one stands as close."""
     wide, slack = min(n, len(v)), n - near
     for s in range(len(v) - wide + 1) if len(v) > near else ():
         stand = {(p, d) for p in range(s, s + wide - 2) for d in range(-p, len(w)) if w[p + d : p + d + 3] == v[p : p + 3]}
@@ -372,12 +384,11 @@ def test_proximity_survives_edits(spark):
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = {i: set(filter(None, r["near_items"].split(","))) for i, r in by_id(decontaminate.contamination(table(spark, texts), bench)).items()}
     whole = {i: set(brute_contamination(t, list(enumerate(items)))[2]) for i, t in enumerate(texts)}
+    assert got == {i: {str(k) for k, v in enumerate(items) if brute_near((t or "").split(), v.split())} - whole[i] for i, t in enumerate(texts)}
     for around in (True, False):
-        want = {i: {str(k) for k, v in enumerate(items) if brute_near((t or "").split(), v.split(), around=around)} - whole[i] for i, t in enumerate(texts)}
-        if around:
-            assert got == want
+        want = {i: {str(k) for k, v in enumerate(items) if brute_pieces((t or "").split(), v.split(), around=around)} - whole[i] for i, t in enumerate(texts)}
         both = sum(len(got[i] & want[i]) for i in got)
-        assert both >= 0.9 * sum(map(len, want.values()))  # of all that any alignments allow, also after three edits: 91 of 95
+        assert both >= 0.97 * sum(map(len, want.values()))  # of all that alignments near each other allow, also after three edits
         assert sum(map(len, want.values())) > 40
     # every item of ten words and more that suffered two edits at most is found
     two = [(i, k) for i, (k, _, mild) in enumerate(cases) if mild and len(items[k].split()) >= 10]
@@ -385,6 +396,33 @@ def test_proximity_survives_edits(spark):
     assert all(str(k) in got[i] | whole[i] for i, k in two)
 
 
+def test_a_stock_phrase_makes_few_rows(spark):
+    stem = "which of the following is"
+    bench = spark.createDataFrame([(i, f"{stem} {words(12, 7000 + i, 10**9)}") for i in range(60)], "item_id long, text string")
+    docs = table(spark, [f"{words(20, i, 300)} {stem} {words(20, 900 + i, 300)}" for i in range(120)], extra=False).withColumn("rid", F.col("doc_id"))
+    postings, items = decontaminate.index(docs, bench)
+    seeds = decontaminate.rarest(items, 10, 2)
+    few = decontaminate.rarest(items, 10, 4, 8)
+    held = decontaminate.lists(postings, seeds.unionByName(few).select("r", "o"))
+    assert decontaminate.alignments(held, seeds, 0).count() == 0
+    assert decontaminate.alignments(held, few, 2).count() < 60 * 120
+    assert decontaminate.contamination(docs, bench).where("contaminated or n_near > 0").count() == 0
+
+
+@pytest.mark.parametrize("name", ["_file", "_place", "_nth", "_metadata", "rid", "row", "iid", "term"])
+def test_clashing_columns_lose_no_row(spark, tmp_path, name):
+    """Of a table that is read from files, where rows are numbered by file and place."""
+    item = words(30, 84, 1000)
+    path = str(tmp_path / "documents.parquet")
+    table(spark, [item, "clean text", None, item], extra=False).withColumn(name, F.lit(1)).repartition(2).write.parquet(path)
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string").withColumn(name, F.lit(2))
+    got = by_id(decontaminate.contamination(spark.read.parquet(path), bench))
+    assert {i: r["n_hit"] for i, r in got.items()} == {0: 30, 1: 0, 2: 0, 3: 30}
+    numbered = common.numbered(spark.read.parquet(path), "number")
+    assert sorted(numbered.columns) == sorted(["number", "doc_id", "text", "lang", "source", "n_chars", name])
+    assert numbered.select("number").distinct().count() == 4
+
+
 def test_decontamination_with_odd_rows(spark):
     item = words(30, 84, 1000)
     df = table(spark, [item, item, f"a {' '.join(edited(random.Random(1), item.split(), 1, ('replace',)))}", None, words(40_000, 85, 1000)])
