@@ -1,17 +1,27 @@
 """Operator 3: WARC derivatives.
 
 From response records, each gets a metadata record (JSON: the source's WARC and
-HTTP headers, its digests, title, meta tags and links, made absolute) and a
-conversion record (the page's plain text). Both refer to the response by
-WARC-Refers-To, keep its target, date and payload digest, and have record ids
-that follow from the response's, so that building them again gives the same
-records. pages_as_responses() makes response records of raw pages; save() and
-load() write and read compressed WARC files in a folder that Spark can reach.
+HTTP headers in their order, repeated ones too, its digests, title, meta tags
+and links, made absolute) and a conversion record (the page's plain text). Both
+refer to the response by WARC-Refers-To, keep its target, date and payload
+digest, and have record ids that follow from the response's, so that building
+them again gives the same records.
+
+load() reads the records of WARC files, responses() takes their HTTP responses
+apart, pages_as_responses() makes responses of raw pages; derive() turns either
+into derivatives and save() writes them, into folders that Spark can reach.
+
+A payload is read as its headers say: chunks are put together, gzip and deflate
+undone (other encodings leave it without text, links and metadata), and its
+characters decoded by a byte order mark, else by the charset of Content-Type,
+else by that of a meta tag within the first META_BYTES, else as UTF-8; what
+doesn't fit becomes U+FFFD. Digests are of the bytes as they were sent.
 
 A null page is an empty payload, a null url an empty target; their derivatives
 are empty too. Repeated pages give equal records. Pages are parsed whole, and
-markup that isn't well formed is read as far as it can be. Columns beside
-page_id, url and html aren't read; an empty table gives an empty result.
+markup that isn't well formed is read as far as it can be. A file that ends
+within a record is an error. Columns beside page_id, url and html aren't read;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,12 +34,15 @@ import io
 import json
 import re
 import uuid
+import zlib
+from codecs import BOM_UTF8, BOM_UTF16_BE, BOM_UTF16_LE, lookup
 from collections.abc import Iterator
 from typing import IO
 from urllib.parse import urljoin
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import BATCH_BYTES, bounded, openable, opened, reading
 
@@ -48,6 +61,24 @@ _RAW = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*+>", re.I) for x in ("script", "sty
 BLOCKS = frozenset("address article aside blockquote br dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol option p pre section table tbody td th thead title tr ul".split())
 LINKS = {"a": "href", "area": "href", "link": "href", "img": "src", "frame": "src", "embed": "src", "source": "src", "form": "action", "base": "href"}
 _BLANK = re.compile(r"[^\S\n]+")
+#: the first bytes of a page, in which a meta tag may say its charset
+META_BYTES = 4096
+_META_CHARSET = re.compile(rb"<meta[^>]+?charset\s*=\s*[\"']?\s*([\w.:-]+)", re.I)
+_CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
+# Names of charsets that browsers read as windows-1252.
+AS_1252 = frozenset(("iso-8859-1", "latin-1", "latin1", "l1", "ascii", "us-ascii", "iso8859-1"))
+
+
+class Fields(dict[str, str]):
+    """The first value of each named field; `pairs` has all of them in order."""
+
+    def __init__(self, pairs: list[tuple[str, str]]) -> None:
+        super().__init__(reversed(pairs))
+        self.pairs = pairs
+
+
+class WarcError(ValueError):
+    """A WARC file that ends within a record, or holds none."""
 
 
 def digest(data: bytes) -> str:
@@ -175,11 +206,11 @@ def _responses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             body = (page or "").encode()
             http = CRLF.join(["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}", "", ""])
             url = url or ""
-            out.append((key, derived_id("response", f"{key} {url}"), url, DATE, http, body, digest(body), digest(http.encode() + body)))
+            out.append((key, derived_id("response", f"{key} {url}"), url, DATE, None, http, body, digest(body), digest(http.encode() + body)))
         yield _rows(out, _RESPONSE, batch.schema.field("page_id").type)
 
 
-_RESPONSE = (("page_id", None), ("record_id", pa.string()), ("target_uri", pa.string()), ("date", pa.string()), ("http", pa.string()), ("payload", pa.binary()), ("payload_digest", pa.string()), ("block_digest", pa.string()))
+_RESPONSE = (("page_id", None), ("record_id", pa.string()), ("target_uri", pa.string()), ("date", pa.string()), ("warc", pa.string()), ("http", pa.string()), ("payload", pa.binary()), ("payload_digest", pa.string()), ("block_digest", pa.string()))
 _DERIVED = (("page_id", None), ("record_type", pa.string()), ("record_id", pa.string()), ("refers_to", pa.string()), ("target_uri", pa.string()), ("date", pa.string()), ("content_type", pa.string()), ("source_digest", pa.string()), ("block_digest", pa.string()), ("content_length", pa.int64()), ("n_links", pa.int64()), ("block", pa.string()))
 
 
@@ -198,26 +229,103 @@ def pages_as_responses(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInArrow(_responses, _ddl(_RESPONSE, pages.schema["page_id"].dataType.simpleString()))
 
 
-def _headers(http: str) -> tuple[str, dict[str, str]]:
-    first, *rest = http.split(CRLF)
-    return first, {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in rest if x)}
+Headers = list[tuple[str, str]]
+
+
+def headers_of(head: str) -> tuple[str, Headers]:
+    """The first line and the named fields in order, repeated ones too; lines that begin with a space go on with the field before."""
+    first, *rest = re.split(r"\r?\n", head)
+    fields: Headers = []
+    for line in rest:
+        if line[:1] in (" ", "\t") and fields:
+            fields[-1] = (fields[-1][0], f"{fields[-1][1]} {line.strip()}")
+        elif line.strip():
+            name, _, value = line.partition(":")
+            fields.append((name.strip(), value.strip()))
+    return first, fields
+
+
+def grouped(headers: Headers) -> dict[str, str | list[str]]:
+    """Fields by name, in the order of the names' first; a repeated one has the list of its values."""
+    out: dict[str, list[str]] = {}
+    for name, value in headers:
+        out.setdefault(name, []).append(value)
+    return {k: v[0] if len(v) == 1 else v for k, v in out.items()}
+
+
+def field(headers: Headers, name: str) -> str:
+    """The first field of a name, whatever its case; empty without one."""
+    return next((v for k, v in headers if k.lower() == name.lower()), "")
+
+
+def unchunked(data: bytes) -> bytes:
+    """The body of a chunked message, as far as its chunks are whole; data that isn't chunked stays."""
+    parts, at = [], 0
+    while (end := data.find(b"\r\n", at)) >= 0:
+        try:
+            size = int(data[at:end].split(b";")[0], 16)
+        except ValueError:
+            return b"".join(parts) if parts else data
+        if size == 0:
+            return b"".join(parts)
+        parts.append(data[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+    return b"".join(parts) if parts else data
+
+
+def body_of(headers: Headers, payload: bytes) -> bytes:
+    """The payload without transfer and content encodings; empty if one of them isn't known."""
+    if "chunked" in field(headers, "Transfer-Encoding").lower():
+        payload = unchunked(payload)
+    for encoding in reversed([x.strip().lower() for x in field(headers, "Content-Encoding").split(",") if x.strip()]):
+        if encoding in ("gzip", "x-gzip", "deflate"):
+            if not payload or encoding != "deflate" and payload[:2] != b"\x1f\x8b":
+                continue  # crawlers store bodies decoded, too
+            for bits in (47, -15):  # gzip or zlib by its header, else raw
+                try:
+                    payload = zlib.decompressobj(bits).decompress(payload)
+                    break
+                except zlib.error:
+                    continue
+            else:
+                return b""
+        elif encoding != "identity":
+            return b""
+    return payload
+
+
+def text_of(headers: Headers, body: bytes) -> str:
+    """A body's characters."""
+    for mark, charset in ((BOM_UTF8, "utf-8"), (BOM_UTF16_LE, "utf-16-le"), (BOM_UTF16_BE, "utf-16-be")):
+        if body.startswith(mark):
+            return body[len(mark) :].decode(charset, "replace")
+    said = _CHARSET.search(field(headers, "Content-Type"))
+    meta = None if said else _META_CHARSET.search(body[:META_BYTES])
+    charset = said[1] if said else meta[1].decode() if meta else "utf-8"
+    if meta and charset.lower().startswith("utf-16"):
+        charset = "utf-8"  # the tag could not have been read
+    charset = "windows-1252" if charset.lower() in AS_1252 else charset
+    try:
+        if not lookup(charset)._is_text_encoding:
+            charset = "utf-8"
+    except LookupError:
+        charset = "utf-8"
+    return body.decode(charset, "replace")
 
 
 def _derived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for r in batch.to_pylist():
-            status, headers = _headers(r["http"])
-            found = parse(r["payload"].decode("utf-8", "replace"), r["target_uri"])
+            status, headers = headers_of(r["http"])
+            found = parse(text_of(headers, body_of(headers, r["payload"])), r["target_uri"])
+            source = {"WARC-Type": "response", "WARC-Record-ID": r["record_id"], "WARC-Target-URI": r["target_uri"], "WARC-Date": r["date"], "WARC-Payload-Digest": r["payload_digest"], "WARC-Block-Digest": r["block_digest"], "Content-Length": str(len(r["http"].encode("utf-8", "surrogateescape")) + len(r["payload"]))}
             envelope = {
                 "Envelope": {
-                    "WARC-Header-Metadata": {
-                        "WARC-Type": "response", "WARC-Record-ID": r["record_id"], "WARC-Target-URI": r["target_uri"], "WARC-Date": r["date"],
-                        "WARC-Payload-Digest": r["payload_digest"], "WARC-Block-Digest": r["block_digest"], "Content-Length": str(len(r["http"].encode()) + len(r["payload"])),
-                    },
+                    "WARC-Header-Metadata": grouped([tuple(x) for x in json.loads(r["warc"])]) if r["warc"] else source,
                     "Payload-Metadata": {
                         "HTTP-Response-Metadata": {
-                            "Response-Message": status, "Headers": headers,
+                            "Response-Message": status, "Headers": grouped(headers),
                             "HTML-Metadata": {"Head": {"Title": found["title"], "Metas": found["metas"]}, "Links": found["links"]},
                         }
                     },
@@ -258,7 +366,7 @@ def save(derived: DataFrame, folder: str) -> DataFrame:
     return derived.mapInArrow(run, "file string, records long")
 
 
-def records(source: bytes | IO[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+def records(source: bytes | IO[bytes]) -> Iterator[tuple[Fields, bytes]]:
     """Headers and block of each record of a WARC file, compressed or not, one at a time."""
     f = io.BufferedReader(io.BytesIO(source) if isinstance(source, bytes) else source)
     if f.peek(2)[:2] == b"\x1f\x8b":
@@ -266,11 +374,17 @@ def records(source: bytes | IO[bytes]) -> Iterator[tuple[dict[str, str], bytes]]
     while line := f.readline():
         if not line.strip():
             continue
+        if not line.startswith(b"WARC/"):
+            raise WarcError(f"no record begins with {line[:40]!r}")
         lines = [line]
         while (line := f.readline()).strip():
             lines.append(line)
-        _, headers = _headers(b"".join(lines).decode("utf-8", "replace").replace(CRLF, "\n").replace("\n", CRLF))
-        yield headers, f.read(int(headers.get("Content-Length", "0")))
+        _, headers = headers_of(b"".join(lines).decode("utf-8", "replace"))
+        size = int(field(headers, "Content-Length") or 0)
+        block = f.read(size)
+        if not line or len(block) < size:
+            raise WarcError(f"the file ends within the record {field(headers, 'WARC-Record-ID')}: {len(block)} of {size} bytes")
+        yield Fields(headers), block
 
 
 _LOADED = ("file", "record_type", "record_id", "target_uri", "refers_to", "headers", "block")
@@ -284,7 +398,8 @@ def _loaded(name: str, source: bytes | IO[bytes]) -> Iterator[pa.RecordBatch]:
 
     rows, size = [], 0
     for h, b in records(source):
-        rows.append((name, h.get("WARC-Type"), h.get("WARC-Record-ID"), h.get("WARC-Target-URI"), h.get("WARC-Refers-To"), json.dumps(h), b))
+        named = (field(h.pairs, x) or None for x in ("WARC-Type", "WARC-Record-ID", "WARC-Target-URI", "WARC-Refers-To"))
+        rows.append((name, *named, json.dumps(h.pairs, ensure_ascii=False), b))
         size += len(b)
         if size >= BATCH_BYTES:
             yield batch()
@@ -294,7 +409,7 @@ def _loaded(name: str, source: bytes | IO[bytes]) -> Iterator[pa.RecordBatch]:
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files as (file, record_type, record_id, target_uri, refers_to, headers, block).
+    """Records of WARC files as (file, record_type, record_id, target_uri, refers_to, headers, block); headers are JSON pairs in order.
 
     Files that Arrow can open are read record by record; others (stores that
     only Spark reads) come whole, up to 2 GB each.
@@ -315,6 +430,25 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", *([] if streamed else ["content"])).mapInArrow(run, "file string, record_type string, record_id string, target_uri string, refers_to string, headers string, block binary")
 
 
+def _taken_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            warc = [tuple(x) for x in json.loads(r["headers"])]
+            # a block that isn't HTTP has no headers of its own
+            http = re.search(rb"\r?\n\r?\n", r["block"]) if r["block"][:5] == b"HTTP/" else None
+            head, payload = (r["block"][: http.end()], r["block"][http.end() :]) if http else (b"", r["block"])
+            block = field(warc, "WARC-Block-Digest") or digest(r["block"])
+            out.append((r["record_id"], r["record_id"], r["target_uri"] or "", field(warc, "WARC-Date"), r["headers"], head.decode("utf-8", "replace"), payload, field(warc, "WARC-Payload-Digest") or digest(payload), block))
+        yield _rows(out, _RESPONSE, pa.string())
+
+
+def responses(loaded: DataFrame) -> DataFrame:
+    """What derive() reads, of the response records among loaded ones; digests that the file doesn't give are made."""
+    rows = loaded.where(F.col("record_type") == "response").select("record_id", "target_uri", "headers", "block")
+    return rows.mapInArrow(_taken_apart, _ddl(_RESPONSE, "string"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(pages_as_responses(bounded(spark).read.parquet(f"{sf_dir}/pages.parquet")))
 
