@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import column_quantiles
 from .tabular import ROW, as_numeric, clean, long_form, numeric, with_row_id
 
 MAX_UNITS = 10_000
@@ -87,9 +88,9 @@ def dff(df: DataFrame, percentile: float = 10.0) -> DataFrame:
     df = as_numeric(df)
     cols, names = numeric(df), df.columns
     df = clean(df)
-    base = df.agg(*(F.percentile(c, F.lit(percentile / 100)).alias(f"_f{i}") for i, c in enumerate(cols)))
-    f0 = {c: F.when(F.abs(f"_f{i}") < 1e-12, 1e-12).otherwise(F.col(f"_f{i}")) for i, c in enumerate(cols)}
-    return df.crossJoin(F.broadcast(base)).select(*(((F.col(c) - f0[c]) / f0[c]).alias(c) if c in f0 else F.col(c) for c in names))
+    base = {c: q for c, (q,) in column_quantiles(df, cols, (percentile / 100,)).items()}
+    f0 = {c: F.lit(1e-12 if q is not None and abs(q) < 1e-12 else q).cast("double") for c, q in base.items()}
+    return df.select(*(((F.col(c) - f0[c]) / f0[c]).alias(c) if c in f0 else F.col(c) for c in names))
 
 
 def threshold_events(df: DataFrame, threshold: float = 3.0, rate: float = 30.0) -> DataFrame:

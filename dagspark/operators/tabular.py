@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from .quantiles import column_quantiles
+
 ROW = "_row_id"
 #: rows that forward filling orders in one task
 FILL_BLOCK = 1_000_000
@@ -76,8 +78,8 @@ def normalize(df: DataFrame, method: str = "minmax") -> DataFrame:
         stats = {f"_l{i}": F.avg(c) for i, c in enumerate(cols)} | {f"_h{i}": F.stddev_samp(c) for i, c in enumerate(cols)}
         new = {c: F.try_divide(F.col(c) - F.col(f"_l{i}"), F.col(f"_h{i}")) for i, c in enumerate(cols)}
     else:
-        stats = {f"_q{i}": F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) for i, c in enumerate(cols)}
-        new = {c: F.try_divide(F.col(c) - F.col(f"_q{i}")[1], F.col(f"_q{i}")[2] - F.col(f"_q{i}")[0]) for i, c in enumerate(cols)}
+        q = {c: [F.lit(x).cast("double") for x in xs] for c, xs in column_quantiles(df, cols, (0.25, 0.5, 0.75)).items()}
+        return _replaced(df, {c: F.try_divide(F.col(c) - q[c][1], q[c][2] - q[c][0]) for c in cols}, names)
     return _replaced(_with_stats(df, stats), new, names)
 
 
@@ -91,8 +93,9 @@ def fill_missing(df: DataFrame, strategy: str = "mean") -> DataFrame:
         return forward_fill(df)
     if strategy not in ("mean", "median") or not cols:
         return df
-    stat = F.avg if strategy == "mean" else F.median
-    stats = {f"_s{i}": stat(c) for i, c in enumerate(cols)}
+    if strategy == "median":
+        return _replaced(df, {c: F.coalesce(c, F.lit(q).cast("double")) for c, (q,) in column_quantiles(df, cols, (0.5,)).items()}, names)
+    stats = {f"_s{i}": F.avg(c) for i, c in enumerate(cols)}
     return _replaced(_with_stats(df, stats), {c: F.coalesce(c, f"_s{i}") for i, c in enumerate(cols)}, names)
 
 
