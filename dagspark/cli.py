@@ -109,7 +109,7 @@ def _similar(a: argparse.Namespace) -> tuple[dict, int]:
         raise Failure("usage", "give a text, --from-span or --from-kind, one of them", 2)
     if a.from_span and index.parse_span(a.from_span) is None:
         raise Failure("usage", f"{a.from_span!r} is no PATH:START-END", 2)
-    found = index.similar(_session(), index.roots(a.root, a.workspace, a.registry), a.query, a.from_span, a.from_kind, max(a.limit, 0), a.legacy_tfidf)
+    found = index.similar(_session(), index.roots(a.root, a.workspace, a.registry), a.query, a.from_span, a.from_kind, max(a.limit, 0), a.legacy_tfidf, a.index)
     return found, 0
 
 
@@ -131,7 +131,7 @@ def parser() -> argparse.ArgumentParser:
     verb("validate", _validate, file)
     verb("describe", _describe, (("--include-discovered",), {"action": "store_true"}), *libraries)
     verb("discover", _discover, *libraries)
-    verb("similar", _similar, (("query",), {"nargs": "?", "default": ""}), (("--limit",), {"type": int, "default": 20}), (("--legacy-tfidf",), {"action": "store_true"}), (("--from-span",), {}), (("--from-kind",), {}), *libraries)
+    verb("similar", _similar, (("query",), {"nargs": "?", "default": ""}), (("--limit",), {"type": int, "default": 20}), (("--legacy-tfidf",), {"action": "store_true"}), (("--from-span",), {}), (("--from-kind",), {}), (("--index",), {}), *libraries)
     verb("run", _run, file, (("--cwd",), {}), (("--receipt",), {}), (("--strict-env",), {"action": "store_true"}), (("--allow-code",), {"action": "store_true"}))
     return p
 

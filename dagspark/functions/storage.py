@@ -1,17 +1,22 @@
-"""Cutting lineage through the shared checkpoint folder."""
+"""Cutting lineage and keeping tables in the shared checkpoint folder."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder of the session; a folder of our own is set only where none is, on a single machine."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, which driver and executors share; a folder of our own is set only where none is, on a single machine."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at and not sc.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(at or "/tmp/checkpoints/dagspark")
+    return (at or sc.getCheckpointDir()).rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

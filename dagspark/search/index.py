@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import shared_folder
 from ..functions.text import data_kinds, intent_tokens, tokens
 from ..sources.tables import load_repositories
 from . import rank, scan
+from .store import SearchIndex
 
 _SPAN = re.compile(r"^(?P<path>.+):(?P<start>\d+)-(?P<end>\d+)$")
 # Kinds of chunks.
@@ -101,38 +104,47 @@ def code_calls(query: str) -> list[str]:
 
 
 def features(found: DataFrame) -> DataFrame:
-    """id, what is said of a chunk in words, its calls and kinds."""
+    """id, file, digest, what is said of a chunk in words (its comments and the names that it assigns too), its calls and kinds."""
     title = F.when(F.col("chunk_kind") == "block", F.lit("")).otherwise(F.concat_ws(" ", "name", "class_name"))
-    intent = F.concat_ws(" ", title, "docstring", "docstring_first_line", "leading_comment")
+    found = found.withColumn("said", scan.said_within(F.col("preview")))
+    intent = F.concat_ws(" ", title, "docstring", "docstring_first_line", "leading_comment", "said.comments", "said.names")
+    hints = F.concat_ws(" ", F.when(F.col("chunk_kind") != "block", F.col("name")), "docstring", "leading_comment", "said.comments", F.array_join("tags", " "), F.array_join("calls", " "), "module")
     text = F.concat_ws(" ", "name", "module", "docstring", "leading_comment", F.array_join("tags", " "), F.array_join("calls", " "))
     return found.select(
-        F.col("qualified_name").alias("id"), intent_tokens(intent).alias("intent"), "calls", data_kinds(tokens(text)).alias("kinds"), F.col("starred"),
-        tokens(text).alias("words"), tokens(F.col("name")).alias("name_words"), "tags",
+        F.col("qualified_name").alias("id"), F.col("source_path").alias("file"), F.sha2(F.concat_ws(":", "source_hash", F.array_join("calls", " "), "leading_comment"), 256).alias("digest"),
+        intent_tokens(intent).alias("intent"), "calls", data_kinds(tokens(hints)).alias("kinds"), F.col("starred"), tokens(text).alias("words"), tokens(F.col("name")).alias("name_words"), "tags",
     )
 
 
-def similar(spark: SparkSession, folders: list[str], query: str = "", span: str | None = None, kind: str | None = None, limit: int = 20, simple: bool = False) -> dict:
-    """The best chunks for a text, a span of source or a discovered kind."""
+def similar(spark: SparkSession, folders: list[str], query: str = "", span: str | None = None, kind: str | None = None, limit: int = 20, simple: bool = False, store: str | None = None) -> dict:
+    """The best chunks for a text, a span of source or a discovered kind.
+
+    The chunks' index is kept in the folder `store`, of which later calls write
+    changed files only; without one it is made for this call.
+    """
     found, errors = chunks(spark, folders)
     if found is None:
         return {"hits": [], "errors": errors, "corpus_size": 0, "candidates_examined": 0, "used_fallback": False}
     found = found.persist()
+    held = SearchIndex(spark, store or f"{shared_folder(spark)}/chunks-{uuid.uuid4().hex}")
     try:
         start = seed(found, span, kind) if span or kind else None
         if (span or kind) and start is None:
             return {"hits": [], "errors": errors, "corpus_size": found.count(), "candidates_examined": 0, "used_fallback": False}
-        docs = features(found)
+        held.update(features(found))
         if start:
-            docs = docs.where(F.col("id") != start["qualified_name"])
             query = " ".join([start["name"] if start["chunk_kind"] != "block" else "", start["docstring"] or "", start["leading_comment"] or ""])
         one = spark.range(1).select(intent_tokens(F.lit(query)).alias("t"), tokens(F.lit(query)).alias("w"), data_kinds(tokens(F.lit(query))).alias("k")).first()
         calls = list(start["calls"]) if start else code_calls(query) or rank.expand(query)
-        grams = spark.range(1).select(rank.kgrams(rank._list(calls)).alias("g")).first().g
-        examined = rank.candidates(docs.withColumn("grams", rank.kgrams(F.col("calls"))), one.t, grams).count()
+        other = F.col("id") != F.lit(start["qualified_name"] if start else "")
+        size, examined = held.size(), held.candidates(rank.fused_keys(spark, one.t, calls)).where(other).count()
         fallback = simple or not examined
-        ranked = rank.rank_simple(docs, one.w, limit) if fallback else rank.rank_fused(docs, query, one.t, calls, one.k, limit)
+        # one more, as the seed itself may be among them
+        ranked = rank.search_simple(held, one.w, limit + 1) if fallback else rank.search_fused(held, one.t, calls, one.k, limit + 1)
         place = found.select(F.col("qualified_name").alias("id"), "name", "chunk_kind", "source_path", "lineno", "end_lineno", "docstring_first_line")
-        hits = [r.asDict() for r in ranked.join(place, "id").orderBy(F.desc("score"), "id").collect()]
-        return {"hits": hits, "errors": errors, "corpus_size": found.count(), "candidates_examined": found.count() if fallback else examined, "used_fallback": fallback}
+        hits = [r.asDict() for r in ranked.where(other).join(place, "id").orderBy(F.desc("score"), "id").limit(limit).collect()]
+        return {"hits": hits, "errors": errors, "corpus_size": size, "candidates_examined": size if fallback else examined, "used_fallback": fallback}
     finally:
         found.unpersist()
+        if not store:
+            held.delete()

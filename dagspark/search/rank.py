@@ -11,10 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS, cosine, kgrams
+from .store import SearchIndex, fingerprints
 
 # Weights of the fused score and of the simple one.
 INTENT, API, KIND, ALIGN, STAR = 0.34, 0.33, 0.13, 0.20, 0.02
@@ -88,11 +89,21 @@ def _terms(docs: DataFrame, words: Column) -> DataFrame:
     return docs.select("id", F.size(words).alias("length"), F.explode(words).alias("term")).groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
 
 
-def tfidf_cosine(docs: DataFrame, query: list[str]) -> DataFrame:
-    """(id, cosine) of docs(id, words) that share a term with the query: tf is count over length, idf ln((N + 1) / (df + 1))."""
-    n = docs.agg(F.count("*").alias("n"))
+#: how many documents have each term (term, df), and how many documents there are
+Corpus = tuple[DataFrame, int]
+
+
+def tfidf_cosine(docs: DataFrame, query: list[str], corpus: Corpus | None = None) -> DataFrame:
+    """(id, cosine) of docs(id, words) that share a term with the query: tf is count over length, idf ln((N + 1) / (df + 1)).
+
+    Without the corpus's frequencies those of docs are counted.
+    """
     # every document counts for how rare a term is, but only those with a term of the query are weighed
-    df = docs.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    if corpus:
+        df, n = corpus[0], docs.sparkSession.createDataFrame([(corpus[1],)], "n bigint")
+    else:
+        n = docs.agg(F.count("*").alias("n"))
+        df = docs.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     terms = _terms(docs.where(F.arrays_overlap("words", _list(list(dict.fromkeys(query))))), F.col("words")) if query else _terms(docs.where("false"), F.col("words"))
     counts = {w: query.count(w) for w in dict.fromkeys(query)}
     spark = docs.sparkSession
@@ -109,12 +120,12 @@ def _list(words: list[str]) -> Column:
     return F.array(*(F.lit(w) for w in words)) if words else F.array().cast("array<string>")
 
 
-def rank_simple(docs: DataFrame, query: list[str], limit: int = 20) -> DataFrame:
+def rank_simple(docs: DataFrame, query: list[str], limit: int = 20, corpus: Corpus | None = None) -> DataFrame:
     """docs(id, words, name_words, tags, starred) by .65 cosine + .25 Jaccard + .08 per name hit + .02 per tag hit (+ .02 if starred)."""
     q = _list(list(dict.fromkeys(query)))
     shared = lambda c: F.size(F.array_intersect(F.array_distinct(F.col(c)), q)).cast("double")
     union = F.size(F.array_union(F.col("words"), q)).cast("double")
-    joined = docs.join(tfidf_cosine(docs.select("id", "words"), query), "id", "left")
+    joined = docs.join(tfidf_cosine(docs.select("id", "words"), query, corpus), "id", "left")
     score = SIMPLE_COSINE * F.coalesce("cosine", F.lit(0.0)) + SIMPLE_JACCARD * F.coalesce(F.try_divide(shared("words"), union), F.lit(0.0)) + NAME_HIT * shared("name_words") + TAG_HIT * shared("tags")
     score = F.when(score > 0, score + F.when(F.col("starred"), STAR).otherwise(0.0))
     return joined.select("id", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "id").limit(limit)
@@ -178,16 +189,26 @@ def candidates(docs: DataFrame, terms: list[str], grams: list[str]) -> DataFrame
     return postings.join(F.broadcast(wanted), "key", "left_semi").select("id").distinct()
 
 
-def rank_fused(docs: DataFrame, query: str, terms: list[str], calls: list[str], kinds: list[str], limit: int = 20) -> DataFrame:
-    """docs(id, intent, calls, kinds, starred) by the four signals, scored only where a posting list has the chunk."""
-    docs = docs.withColumn("grams", kgrams(F.col("calls")))
-    spark = docs.sparkSession
-    grams = spark.range(1).select(kgrams(_list(calls)).alias("g")).first().g
-    chosen = docs.join(candidates(docs, terms, grams), "id", "left_semi")
+def query_grams(spark: SparkSession, calls: list[str]) -> tuple[list[str], list[str]]:
+    """The k-grams of a query's calls, and their fingerprints."""
+    row = spark.range(1).select(kgrams(_list(calls)).alias("g")).select("g", fingerprints(F.col("g")).alias("f")).first()
+    return list(row.g), list(row.f)
+
+
+def fused_keys(spark: SparkSession, terms: list[str], calls: list[str]) -> list[tuple[str, str]]:
+    """The posting lists of a query: its intent terms, k-grams of calls and fingerprints."""
+    grams, prints = query_grams(spark, calls)
+    return [("t", x) for x in dict.fromkeys(terms)] + [("g", x) for x in grams] + [("f", x) for x in prints]
+
+
+def fused_signals(chosen: DataFrame, terms: list[str], calls: list[str], kinds: list[str], corpus: Corpus) -> DataFrame:
+    """(id, starred, coverage, cosine, leaf, minhash, kind, align) of the chosen chunks(id, intent, calls, grams, kinds, starred)."""
+    spark = chosen.sparkSession
+    grams, _ = query_grams(spark, calls)
     unique = list(dict.fromkeys(terms))
-    signature = minhash(list(grams))
+    signature = minhash(grams)
     heavy = chosen.select("id", "grams", "calls").mapInPandas(lambda x: _scored(x, calls, signature), "id string, minhash double, align double")
-    cos = tfidf_cosine(docs.select("id", F.col("intent").alias("words")), terms) if terms else spark.createDataFrame([], "id string, cosine double")
+    cos = tfidf_cosine(chosen.select("id", F.col("intent").alias("words")), terms, corpus) if terms else spark.createDataFrame([], "id string, cosine double")
     q, leaves = _list(unique), F.array_distinct(F.transform(F.col("calls"), lambda x: F.lower(F.substring_index(x, ".", -1))))
     q_leaves = _list(list(dict.fromkeys(c.rsplit(".", 1)[-1].lower() for c in calls)))
     both = F.size(F.array_intersect(leaves, q_leaves)).cast("double")
@@ -195,12 +216,46 @@ def rank_fused(docs: DataFrame, query: str, terms: list[str], calls: list[str],
     union = lambda a, b: F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b)).cast("double")), F.lit(0.0))
     # without a common leaf, calls in common (of which there are none then but in another case), and then call sequences
     same_calls = union(F.array_distinct("calls"), _list(list(dict.fromkeys(calls)))) if calls else F.lit(0.0)
-    leaf = F.when(f1 > 0, f1).when(same_calls > 0, same_calls).otherwise(union(F.col("grams"), _list(list(grams))))
+    leaf = F.when(f1 > 0, f1).when(same_calls > 0, same_calls).otherwise(union(F.col("grams"), _list(grams)))
     coverage = F.size(F.array_intersect(F.array_distinct("intent"), q)) / F.lit(float(max(len(unique), 1)))
     kind = F.size(F.array_intersect(F.array_distinct("kinds"), _list(list(dict.fromkeys(kinds))))) / F.lit(float(len(set(kinds)))) if kinds else F.lit(0.0)
-    score = INTENT * (COVERAGE * coverage + TFIDF * F.coalesce("cosine", F.lit(0.0))) + API * (LEAF * leaf + MINHASH * F.col("minhash")) + KIND * F.coalesce(kind, F.lit(0.0)) + ALIGN * F.col("align")
+    signals = chosen.join(cos, "id", "left").join(heavy, "id")
+    return signals.select("id", "starred", coverage.alias("coverage"), F.coalesce("cosine", F.lit(0.0)).alias("cosine"), leaf.alias("leaf"), "minhash", F.coalesce(kind, F.lit(0.0)).alias("kind"), "align")
+
+
+def fused_scores(signals: DataFrame, limit: int = 20) -> DataFrame:
+    """(id, score, align) of the best chunks by the weighed signals."""
+    score = INTENT * (COVERAGE * F.col("coverage") + TFIDF * F.col("cosine")) + API * (LEAF * F.col("leaf") + MINHASH * F.col("minhash")) + KIND * F.col("kind") + ALIGN * F.col("align")
     score = F.when(score > 0, score + F.when(F.col("starred"), STAR).otherwise(0.0))
-    return chosen.join(cos, "id", "left").join(heavy, "id").select("id", score.alias("score"), "align").where("score > 0").orderBy(F.desc("score"), "id").limit(limit)
+    return signals.select("id", score.alias("score"), "align").where("score > 0").orderBy(F.desc("score"), "id").limit(limit)
+
+
+def rank_fused(docs: DataFrame, query: str, terms: list[str], calls: list[str], kinds: list[str], limit: int = 20) -> DataFrame:
+    """docs(id, intent, calls, kinds, starred) by the four signals, scored only where a posting list has the chunk; without a stored index."""
+    docs = docs.withColumn("grams", kgrams(F.col("calls")))
+    grams, _ = query_grams(docs.sparkSession, calls)
+    frequencies = docs.select(F.explode(F.array_distinct("intent")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    chosen = docs.join(candidates(docs, terms, grams), "id", "left_semi")
+    return fused_scores(fused_signals(chosen, terms, calls, kinds, (frequencies, docs.count())), limit)
+
+
+def search_simple(index: SearchIndex, query: list[str], limit: int = 20) -> DataFrame:
+    """rank_simple over a stored index: only documents that hold a word of the query, in their text or name, are read."""
+    if not query:
+        return index.features().select("id", F.lit(0.0).alias("score")).limit(0)
+    chosen = index.chosen([("w", x) for x in query] + [("n", x) for x in query])
+    return rank_simple(chosen, query, limit, (index.frequencies("w"), index.size()))
+
+
+def search_fused(index: SearchIndex, terms: list[str], calls: list[str], kinds: list[str], limit: int = 20) -> DataFrame:
+    """rank_fused over a stored index."""
+    return fused_scores(index_signals(index, terms, calls, kinds), limit)
+
+
+def index_signals(index: SearchIndex, terms: list[str], calls: list[str], kinds: list[str]) -> DataFrame:
+    """The signals of the documents of an index that stand in a list of the query."""
+    chosen = index.chosen(fused_keys(index.spark, terms, calls))
+    return fused_signals(chosen, terms, calls, kinds, (index.frequencies("t"), index.size()))
 
 
 def rerank(ranked: DataFrame, vectors: DataFrame, query: list[float], pool: int = RERANK_POOL) -> DataFrame:

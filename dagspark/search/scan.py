@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import ast
 import hashlib
+import io
 import os
 import re
+import textwrap
+import tokenize
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TAG_VOCABULARY
@@ -279,6 +282,58 @@ def scan_tree(spark: SparkSession, root: str, repository: str = "") -> DataFrame
     return capped(chunks.withColumn("_order", order), "source_path", ["_order", "lineno"], MAX_PER_FILE).orderBy("_order", "source_path", "lineno").limit(MAX_CHUNKS).drop("_order")
 
 
+# Comments that are addressed to tools.
+TOOL_COMMENT = re.compile(r"(!|/|-\*-|coding[:=]|pylint:|noqa|type:\s*ignore|fmt:|isort:|ruff:)", re.I)
+
+
+def comments_of(source: str) -> list[str]:
+    """The comments of a piece of source, as far as it can be read; those for tools don't count."""
+    found = []
+    try:
+        for token in tokenize.generate_tokens(io.StringIO(source).readline):
+            said = token.string.lstrip("#").strip() if token.type == tokenize.COMMENT else ""
+            if said and not TOOL_COMMENT.match(said):
+                found.append(said)
+    except (tokenize.TokenError, SyntaxError):
+        pass  # a preview may end anywhere
+    return found
+
+
+def assigned_names(source: str) -> list[str]:
+    """The plain names that a piece of source assigns; none if it can't be parsed."""
+    for text in (source, textwrap.dedent(source)):
+        try:
+            tree = ast.parse(text)
+            break
+        except (SyntaxError, ValueError):
+            continue
+    else:
+        return []
+    names: list[str] = []
+
+    def take(target: ast.AST) -> None:
+        if isinstance(target, ast.Name):
+            names.append(target.id)
+        elif isinstance(target, (ast.Tuple, ast.List)):
+            for x in target.elts:
+                take(x)
+
+    for node in ast.walk(tree):
+        for target in node.targets if isinstance(node, ast.Assign) else [node.target] if isinstance(node, ast.AnnAssign) else []:
+            take(target)
+    return names
+
+
+def _said(preview: pd.Series) -> pd.DataFrame:
+    text = preview.fillna("")
+    return pd.DataFrame({"comments": text.map(lambda x: " ".join(comments_of(x))), "names": text.map(lambda x: " ".join(assigned_names(x)))})
+
+
+def said_within(preview: Column) -> Column:
+    """What a chunk's preview says: its comments, and the names that it assigns."""
+    return F.pandas_udf(_said, "struct<comments:string,names:string>")(preview)
+
+
 def capped(df: DataFrame, key: str, order: list[str], most: int) -> DataFrame:
     """The first `most` rows of each key."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
