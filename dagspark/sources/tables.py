@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.tabular import ROW, with_row_id
+from .bids import load_bids
+from .edf import load_edf
 
 
 class SourceError(ValueError):
@@ -116,7 +118,7 @@ def rename_spikes(df: DataFrame, time_column: str = "time", unit_column: str = "
 
 #: formats a signal can be loaded from here, and those whose readers are packages of their own
 _SIGNAL_FORMATS = {"eeg": ("csv", "npy", "edf", "fif", "nwb"), "lfp": ("csv", "npy"), "spike": ("csv", "npy"), "calcium": ("csv", "npy")}
-_PACKAGES = {"edf": "mne", "fif": "mne", "nwb": "pynwb", "bids": "mne-bids"}
+_PACKAGES = {"fif": "mne", "nwb": "pynwb"}
 
 
 def load_signal(spark: SparkSession, path: str, signal: str, file_format: str = "csv", delimiter: str = ",", time_column: str = "time", unit_column: str = "unit") -> DataFrame:
@@ -126,8 +128,12 @@ def load_signal(spark: SparkSession, path: str, signal: str, file_format: str =
     file_format = sniff(path) or file_format
     if file_format in _PACKAGES:
         raise SourceError(f"reading {file_format} needs the package {_PACKAGES[file_format]}, which isn't installed")
+    if file_format == "bids":
+        return load_bids(spark, resolve(path)).samples()
     if file_format not in _SIGNAL_FORMATS[signal]:
         raise SourceError(f"{signal} has no format {file_format!r}")
+    if file_format == "edf":
+        return load_edf(spark, resolve(path))
     df = load_array(spark, path) if file_format == "npy" else load_table(spark, path, delimiter)
     return rename_spikes(df, time_column, unit_column) if signal == "spike" else df
 
