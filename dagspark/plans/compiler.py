@@ -17,10 +17,10 @@ import importlib.util
 import inspect
 import sys
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..model.graph import Graph
@@ -44,9 +44,15 @@ class CompileError(ValueError):
 
 @dataclass
 class Context:
+    """What nodes are compiled with; watch hears of each node as it is compiled, observe counts the rows of every output when they are made."""
+
     spark: SparkSession
     providers: dict[str, providers.Provider] = field(default_factory=dict)
     allow_code: bool = False
+    watch: Callable[[str, str, str], None] = lambda node_id, state, message: None
+    observe: bool = False
+    #: what nodes write, by node, in their order
+    actions: dict[str, Callable[[], object]] = field(default_factory=dict)
 
 
 @dataclass
@@ -55,6 +61,21 @@ class Plan:
     outputs: dict[str, Outputs]
     sinks: list[str]
     persisted: list[DataFrame]
+    #: what writing nodes do, in topological order
+    actions: dict[str, Callable[[], object]] = field(default_factory=dict)
+    #: the counted rows of each node's first output
+    counted: dict[str, Observation] = field(default_factory=dict)
+
+    def rows(self, node_id: str) -> int | None:
+        """How many rows a node's first output had when it was last made; None if that isn't known."""
+        if node_id not in self.counted:
+            return None
+        seen = self.counted[node_id]._jo.getRowOrEmpty()
+        return seen.get().getLong(0) if seen.isDefined() and seen.get().size() else None
+
+    def ancestors(self, node_id: str) -> list[str]:
+        """The compiled nodes that a node's outputs come from, itself included, in topological order."""
+        return [n for n in self.outputs if n == node_id or self.graph.reaches(n, node_id)]
 
     def result(self, node_id: str, port: str | None = None) -> DataFrame:
         out = self.outputs[node_id]
@@ -128,11 +149,14 @@ def _filter(node: Node, inputs: Outputs, _: Context) -> Outputs:
 
 @compiles("neural_montage")
 def _montage(node: Node, inputs: Outputs, _: Context) -> Outputs:
+    signal.known_montage(node.param("montage", "standard_1020"))
     return {"output": _only(inputs)}
 
 
 @compiles("neural_ica")
 def _ica(node: Node, inputs: Outputs, _: Context) -> Outputs:
+    if name := node.param("montage", ""):
+        signal.known_montage(name)
     return {"output": signal.ica(_only(inputs), int(node.param("n_components", 0)))}
 
 
@@ -163,6 +187,9 @@ def _spectrum(node: Node, inputs: Outputs, _: Context) -> Outputs:
 
 @compiles("neural_epochs")
 def _epochs(node: Node, inputs: Outputs, _: Context) -> Outputs:
+    int(node.param("event_id", 1))  # all events have it, so it chooses none; but it must be a number
+    if name := node.param("montage", ""):
+        signal.known_montage(name)
     return {"result": signal.erp(_only(inputs), float(node.param("sampling_rate", 250)), float(node.param("tmin", -0.2)), float(node.param("tmax", 0.5)), node.param("event_column", ""))}
 
 
@@ -216,7 +243,9 @@ def _si_curate(node: Node, inputs: Outputs, _: Context) -> Outputs:
 
 @compiles("si_export")
 def _si_export(node: Node, inputs: Outputs, ctx: Context) -> Outputs:
-    path = sorting.export(_only(inputs), node.param("output_path", "si_export"), node.param("method", "phy"))
+    path, method = node.param("output_path", "si_export"), node.param("method", "phy")
+    sorting.known_export(method)
+    ctx.actions[node.id] = lambda: sorting.export(_only(inputs), path, method)
     return {"output": ctx.spark.createDataFrame([(path,)], "text string")}
 
 
@@ -232,9 +261,9 @@ def _plot(node: Node, inputs: Outputs, _: Context) -> Outputs:
 
 
 @compiles("output")
-def _out(node: Node, inputs: Outputs, _: Context) -> Outputs:
+def _out(node: Node, inputs: Outputs, ctx: Context) -> Outputs:
     if path := node.param("path", None):
-        _only(inputs).write.mode("overwrite").format(node.param("file_format", "parquet")).save(tables.resolve(path))
+        ctx.actions[node.id] = lambda: _only(inputs).write.mode("overwrite").format(node.param("file_format", "parquet")).save(tables.resolve(path))
     return {"written": _only(inputs)}
 
 
@@ -290,6 +319,17 @@ def _custom(node: Node, inputs: Outputs, ctx: Context) -> Outputs:
     return {"output": out}
 
 
+def _observed(plan: Plan, node_id: str, made: Outputs) -> Outputs:
+    """The outputs with the first one's rows counted as they are made."""
+    port, first = next(iter(made.items()))
+    table = first.sorting if isinstance(first, sorting.Analyzer) else first
+    if not isinstance(table, DataFrame):
+        return made
+    plan.counted[node_id] = Observation()
+    counted = table.observe(plan.counted[node_id], F.count(F.lit(1)).alias("rows"))
+    return {**made, port: replace(first, sorting=counted) if isinstance(first, sorting.Analyzer) else counted}
+
+
 def compile_graph(graph: Graph, ctx: Context) -> Plan:
     """The plan of a graph without errors; required inputs must be connected, the first edge on an input counts."""
     doc = graph.to_dict()
@@ -300,7 +340,7 @@ def compile_graph(graph: Graph, ctx: Context) -> Plan:
         raise CompileError(wrong)
     sinks = [n for n in graph.nodes if not graph.outgoing(n)]
     needed = {n for n in graph.nodes if any(graph.reaches(n, s) for s in sinks)}
-    plan = Plan(graph, {}, sinks, [])
+    plan = Plan(graph, {}, sinks, [], ctx.actions)
     for node_id in graph.order()[0]:
         if node_id not in needed:
             continue
@@ -313,7 +353,15 @@ def compile_graph(graph: Graph, ctx: Context) -> Plan:
             inputs.setdefault(port.name if port else "data", given[source.name] if source and source.name in given else next(iter(given.values())))
         variant = variant_of(node.node_type, node.metadata)
         run = _COMPILERS.get(variant) or _COMPILERS.get(node.node_type) or (lambda node, inputs, ctx: {node.ports.outputs[0].name: _only(inputs)})
-        made = run(node, inputs, ctx)
+        ctx.watch(node_id, "running", "")
+        ctx.spark.sparkContext.setJobGroup(node_id, f"{node.label} ({node_id})")
+        try:
+            made = run(node, inputs, ctx)
+        except Exception as e:
+            ctx.watch(node_id, "error", str(e))
+            raise
+        if ctx.observe:
+            made = _observed(plan, node_id, made)
         for name, df in made.items():
             readers = [e for e in graph.outgoing(node_id) if (p := node.ports.output(e.source_port)[1]) and p.name == name]
             if len(readers) > 1:
