@@ -6,20 +6,23 @@ rounded in both engines, as their sums depend on the order of rows.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text
+from .functions.storage import shared_folder
 from .model.graph import Graph
 from .model.kinds import KINDS
-from .operators import learn, signal, sorting, spikes, tabular
+from .operators import density, learn, signal, sorting, spectral, spikes, tabular
 from .operators.tabular import ROW
 from .plans.compiler import Context, compile_graph
 from .plans.providers import preview_rows
 from .search import rank, scan
 from .search.index import latest, totals
+from .search.store import SearchIndex
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -222,7 +225,7 @@ def _kmeans(s: SparkSession, d: str) -> DataFrame:
     "WITH p AS (SELECT p_partkey AS i, p_size / 50.0 AS x, p_retailprice / 2000.0 AS y FROM part) SELECT a.i AS _row_id FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.0004 GROUP BY a.i HAVING count(*) >= 5",
 )
 def _core(s: SparkSession, d: str) -> DataFrame:
-    return learn._neighbours(_points(s, d), ["x", "y"], 0.02).groupBy(F.col("a").alias(ROW)).agg(F.count("*").alias("n")).where("n >= 5").select(ROW)
+    return density.neighbour_counts(_points(s, d), 0.02).where("n >= 5").select(ROW)
 
 
 @query(
@@ -319,6 +322,23 @@ def _band(s: SparkSession, d: str) -> DataFrame:
     return _r(signal.bandpass(_events(s, d).select(ROW, "full"), 250.0, 1.0, 40.0))
 
 
+#: a band of so few bins, whatever the number of samples, that a plain transform can be written in SQL
+_BINS = (3, 17)
+
+
+@query(
+    "bandpass_bins",
+    f"WITH {_E}, n AS (SELECT count(*) AS n FROM e), k AS (SELECT unnest(range({_BINS[0]}, {_BINS[1] + 1})) AS k), "
+    "x AS (SELECT k, sum(coalesce(\"full\", 0) * cos(2 * pi() * ((k * _row_id) % n) / n)) AS re, sum(coalesce(\"full\", 0) * sin(2 * pi() * ((k * _row_id) % n) / n)) AS im FROM e, n, k GROUP BY k) "
+    "SELECT _row_id, round(sum(2 * (re * cos(2 * pi() * ((k * _row_id) % n) / n) + im * sin(2 * pi() * ((k * _row_id) % n) / n)) / n), 6) AS \"full\" FROM e, n, x GROUP BY _row_id",
+)
+def _band_bins(s: SparkSession, d: str) -> DataFrame:
+    """The events' band of some bins, in four steps however few the samples are."""
+    events = _events(s, d).select(ROW, "full")
+    n = events.count()
+    return _r(spectral.filtered(events, lambda _, cols: [spectral.Filter((_BINS,))] * len(cols), max(n // 64, 1)))
+
+
 @query("ica")
 def _independent(s: SparkSession, d: str) -> DataFrame:
     return _r(signal.ica(_items(s, d)), 4)
@@ -503,9 +523,20 @@ def _kgrams(s: SparkSession, d: str) -> DataFrame:
     return _table(s, d, "conversations").select("conv_id", "turn", F.size(text.kgrams(text.tokens(F.col("text")))).alias("n"))
 
 
-def _docs(s: SparkSession, d: str) -> DataFrame:
+#: words of a document that stand for calls
+_CALLS = 12
+
+
+def _indexed(s: SparkSession, d: str) -> SearchIndex:
+    """The stored index of the documents; each document is a file of its own, and its first words stand for calls."""
     words = text.tokens(F.col("text"))
-    return _table(s, d, "documents").select(F.col("doc_id").cast("string").alias("id"), words.alias("words"), text.tokens(F.col("source")).alias("name_words"), text.tags(words).alias("tags"), F.lit(False).alias("starred"), "text")
+    docs = _table(s, d, "documents").select(
+        F.col("doc_id").cast("string").alias("id"), F.col("doc_id").cast("string").alias("file"), F.md5(F.concat_ws(" ", "source", "text").cast("binary")).alias("digest"), words.alias("words"),
+        text.tokens(F.col("source")).alias("name_words"), text.intent_tokens(F.col("text")).alias("intent"), F.slice(words, 1, _CALLS).alias("calls"), text.data_kinds(words).alias("kinds"), text.tags(words).alias("tags"),
+    )
+    index = SearchIndex(s, f"{shared_folder(s)}/search-{hashlib.md5(d.encode(), usedforsecurity=False).hexdigest()}")
+    index.update(docs)
+    return index
 
 
 _QUERY = ["the", "idiot", "license", "filter", "src3"]
@@ -521,19 +552,40 @@ _QL = "[" + ", ".join(repr(w) for w in _QUERY) + "]"
     "SELECT id, round(score, 6) AS score FROM s WHERE score > 0 ORDER BY s.score DESC, id LIMIT 20",
 )
 def _search(s: SparkSession, d: str) -> DataFrame:
-    return _r(rank.rank_simple(_docs(s, d), _QUERY, 20))
+    return _r(rank.search_simple(_indexed(s, d), _QUERY, 20))
 
 
 @query("search_candidates", f"WITH d AS (SELECT doc_id, {_TOKENS} AS w FROM documents) SELECT doc_id::VARCHAR AS id FROM d WHERE list_has_any(w, ['idiot', 'license', 'filter'])")
 def _candidates(s: SparkSession, d: str) -> DataFrame:
-    docs = _docs(s, d).select("id", F.col("words").alias("intent"), F.array().cast("array<string>").alias("grams"))
-    return rank.candidates(docs, ["idiot", "license", "filter"], [])
+    return _indexed(s, d).candidates([("w", "idiot"), ("w", "license"), ("w", "filter")])
+
+
+_FUSED = (["idiot", "filter", "license", "table"], ["the", "eager.then", "idiot"], ["table", "spike"])
+
+
+def _listed(words: list[str]) -> str:
+    return "[" + ", ".join(repr(w) for w in words) + "]"
+
+
+@query(
+    "search_signals",
+    f"WITH d AS (SELECT doc_id::VARCHAR AS id, {_TOKENS} AS w FROM documents), e AS (SELECT id, w, list_filter(w, lambda x: NOT list_contains({_listed(list(text.STOPWORDS))}, x) AND len(x) > 1) AS t, w[1:{_CALLS}] AS c FROM d), "
+    f"f AS (SELECT *, list_distinct(c || [c[i] || '||' || c[i + 1] FOR i IN range(1, len(c))] || [c[i] || '||' || c[i + 1] || '||' || c[i + 2] FOR i IN range(1, len(c) - 1)]) AS g, array_to_string(list_filter([{', '.join(_kind_sql(k) for k in text.KIND_HINTS)}], lambda x: x IS NOT NULL), ',') AS kinds FROM e), "
+    "q AS (SELECT ['idiot', 'filter', 'license', 'table'] AS qt, ['the', 'eager.then', 'idiot', 'then', 'the||eager.then', 'eager.then||idiot', 'the||eager.then||idiot'] AS qg, ['the', 'then', 'idiot'] AS ql), "
+    "n AS (SELECT count(*) AS n FROM d), tf AS (SELECT id, term, count(*) / any_value(len(t)) AS tf FROM (SELECT id, t, unnest(t) AS term FROM e) GROUP BY id, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), "
+    "qw AS (SELECT term, 0.25 * ln((n + 1) / (coalesce(df, 0) + 1)) AS qw FROM (SELECT unnest(qt) AS term FROM q) LEFT JOIN df USING (term), n), "
+    "c AS (SELECT id, sum(tf * ln((n + 1) / (df + 1)) * qw) / (sqrt(sum((tf * ln((n + 1) / (df + 1))) ** 2)) * (SELECT sqrt(sum(qw * qw)) FROM qw)) AS cosine FROM tf JOIN df USING (term) LEFT JOIN qw USING (term), n GROUP BY id) "
+    "SELECT id, len(list_intersect(list_distinct(t), qt)) / 4 AS coverage, round(coalesce(cosine, 0), 6) AS cosine, "
+    "round(CASE WHEN len(list_intersect(list_distinct(c), ql)) > 0 THEN 2 * len(list_intersect(list_distinct(c), ql)) / (len(list_distinct(c)) + len(ql)) ELSE coalesce(len(list_intersect(g, qg)) / nullif(len(list_distinct(g || qg)), 0), 0) END, 6) AS leaf, "
+    "len(list_intersect(string_split(kinds, ','), ['table', 'spike'])) / 2 AS kind FROM f LEFT JOIN c USING (id), q WHERE list_has_any(t, qt) OR list_has_any(g, qg)",
+)
+def _signals(s: SparkSession, d: str) -> DataFrame:
+    return _r(rank.index_signals(_indexed(s, d), *_FUSED).select("id", "coverage", "cosine", "leaf", "kind"))
 
 
 @query("search_fused")
 def _fused(s: SparkSession, d: str) -> DataFrame:
-    docs = _docs(s, d).select("id", text.intent_tokens(F.col("text")).alias("intent"), F.array(F.lit("signal.butter"), F.lit("np.mean")).alias("calls"), text.data_kinds(F.col("words")).alias("kinds"), "starred")
-    return _r(rank.rank_fused(docs, "idiot filter", ["idiot", "filter"], rank.expand("bandpass filter"), [], 20))
+    return _r(rank.search_fused(_indexed(s, d), *_FUSED, 20))
 
 
 @query(

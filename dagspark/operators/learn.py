@@ -3,17 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.storage import checkpointed
+from .density import dbscan
 from .tabular import ROW, clean, numeric, with_row_id
-
-#: hierarchical clustering holds all pairs of distances
-MAX_HIERARCHICAL_ROWS = 5_000
+from .ward import hierarchical
 
 
 def kmeans(df: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
@@ -23,100 +20,6 @@ def kmeans(df: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
     return KMeans(k=k, seed=seed, featuresCol="_x", predictionCol="label").fit(rows).transform(rows).select(ROW, "label")
 
 
-def _neighbours(points: DataFrame, cols: list[str], eps: float) -> DataFrame:
-    """(a, b) of all points within eps, each with itself: joined by grid cell with the cells around."""
-    cell = [F.floor(F.col(c) / F.lit(eps)) for c in cols]
-    left = points.select(F.col(ROW).alias("a"), *(F.col(c).alias(f"a_{c}") for c in cols), *(x.alias(f"g{i}") for i, x in enumerate(cell)))
-    right = points.select(F.col(ROW).alias("b"), *(F.col(c).alias(f"b_{c}") for c in cols), *(x.alias(f"g{i}") for i, x in enumerate(cell)))
-    for i in range(len(cols)):
-        right = right.withColumn(f"g{i}", F.explode(F.sequence(F.col(f"g{i}") - 1, F.col(f"g{i}") + 1)))
-    d2 = sum(((F.col(f"a_{c}") - F.col(f"b_{c}")) ** 2 for c in cols), F.lit(0.0))
-    return left.join(right, [f"g{i}" for i in range(len(cols))]).where(d2 <= F.lit(eps * eps)).select("a", "b")
-
-
-def dbscan(df: DataFrame, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
-    """Clusters are numbered by their first core row, noise is -1; a border row goes to the first cluster that reaches it."""
-    df = with_row_id(df)
-    cols = numeric(df)
-    points = clean(df).select(ROW, *cols).na.drop("any")
-    pairs = checkpointed(_neighbours(points, cols, eps))
-    core = checkpointed(pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select(F.col("a").alias("c")))
-    links = pairs.join(core, pairs["b"] == core["c"], "left_semi")  # b is a core row
-    between = links.join(core, links["a"] == core["c"], "left_semi")
-    parent = checkpointed(between.groupBy("a").agg(F.min("b").alias("p")))
-    while True:
-        near = between.join(parent.select(F.col("a").alias("b"), F.col("p").alias("q")), "b").groupBy("a").agg(F.min("q").alias("q"))
-        up = parent.select(F.col("a").alias("p"), F.col("p").alias("r"))
-        new = checkpointed(parent.join(near, "a").join(up, "p").select("a", F.least("p", "q", "r").alias("p")))
-        if not new.join(parent.withColumnRenamed("p", "old"), "a").where("p <> old").limit(1).count():
-            break
-        parent = new
-    reached = links.join(new.select(F.col("a").alias("b"), "p"), "b").groupBy("a").agg(F.min("p").alias("p"))
-    own = new.select("a", F.col("p").alias("own"))
-    roots = new.select("p").distinct()
-    number = roots.select("p", (F.row_number().over(Window.orderBy("p")) - 1).alias("label"))  # a row for each cluster
-    found = reached.join(own, "a", "left").select("a", F.coalesce("own", "p").alias("p")).join(number, "p").select(F.col("a").alias(ROW), "label")
-    return df.select(ROW).join(found, ROW, "left").select(ROW, F.coalesce("label", F.lit(-1)).alias("label"))
-
-
-def ward(x: np.ndarray, k: int) -> np.ndarray:
-    """Labels of k clusters, merged by the least increase of variance; nearest-neighbour chain."""
-    n = len(x)
-    d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1)
-    np.fill_diagonal(d, np.inf)
-    size = np.ones(n)
-    merges: list[tuple[float, int, int]] = []
-    chain: list[int] = []
-    alive = np.ones(n, bool)
-    while len(merges) < n - 1:
-        if not chain:
-            chain = [int(np.flatnonzero(alive)[0])]
-        a = chain[-1]
-        b = int(np.argmin(d[a]))
-        if len(chain) > 1 and d[a, chain[-2]] <= d[a, b]:
-            b = chain[-2]
-        if len(chain) > 1 and b == chain[-2]:
-            chain = chain[:-2]
-            merges.append((d[a, b], min(a, b), max(a, b)))
-            a, b = min(a, b), max(a, b)
-            total = size[a] + size[b] + size
-            d[a] = ((size[a] + size) * d[a] + (size[b] + size) * d[b] - size * d[a, b]) / total
-            d[:, a] = d[a]
-            d[a, a] = np.inf
-            d[b] = d[:, b] = np.inf
-            size[a] += size[b]
-            alive[b] = False
-        else:
-            chain.append(b)
-    root = list(range(n))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for _, a, b in sorted(merges)[: max(n - k, 0)]:
-        a, b = find(a), find(b)
-        root[max(a, b)] = min(a, b)
-    return np.unique([find(i) for i in range(n)], return_inverse=True)[1]
-
-
-def hierarchical(df: DataFrame, k: int = 3) -> DataFrame:
-    """Ward clustering of at most MAX_HIERARCHICAL_ROWS rows; more are an error, as all pairs are compared in one task."""
-    df = with_row_id(df)
-    cols = numeric(df)
-    rows = clean(df).select(ROW, *cols).na.drop("any")
-    if rows.limit(MAX_HIERARCHICAL_ROWS + 1).count() > MAX_HIERARCHICAL_ROWS:
-        raise ValueError(f"hierarchical clustering takes {MAX_HIERARCHICAL_ROWS} rows at most; use kmeans or dbscan")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ROW)
-        return pd.DataFrame({ROW: pdf[ROW], "label": ward(pdf[cols].to_numpy(float), k).astype("int32")})
-
-    return rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, f"{ROW} long, label int")
-
-
 def _solve(df: DataFrame, terms: list[Column], y: Column, ridge: float) -> Column:
     """Least squares on centred terms from two aggregates; only sums reach the driver."""
     names = [f"_t{i}" for i in range(len(terms))]

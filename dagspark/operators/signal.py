@@ -1,15 +1,16 @@
-"""Recordings: filters, power spectra, epochs, montage, ICA. Kernels work on (channel, position, idx, v)."""
+"""Recordings: filters, power spectra, epochs, montage, ICA."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tabular import ROW, as_numeric, clean, long_form, numeric, wide_form, with_row_id
+from .spectral import band, dense, filtered, segment_power
+from .tabular import ROW, as_numeric, clean, long_form, numeric, with_row_id
 
 # Electrode positions of the 10-20 system on the unit sphere, as (azimuth, elevation) in degrees.
 STANDARD_1020 = {
@@ -18,68 +19,40 @@ STANDARD_1020 = {
 }
 
 
-def per_channel(df: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """Apply a kernel to each whole channel, one task a channel; a channel must fit in a task's memory."""
-    df = with_row_id(as_numeric(df))
-    cols = numeric(df)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        return pdf.assign(v=kernel(pdf["v"].fillna(0.0).to_numpy(float)))
-
-    long = long_form(df, cols).groupBy("channel").applyInPandas(run, "channel string, position int, idx long, v double")
-    return wide_form(long, cols)
+# Names of montages that a recording may be given.
+MONTAGES = (
+    "standard_1005", "standard_1020", "standard_alphabetic", "standard_postfixed", "standard_prefixed", "standard_primed", "biosemi16", "biosemi32", "biosemi64", "biosemi128", "biosemi160", "biosemi256",
+    "easycap-M1", "easycap-M10", "easycap-M43", "EGI_256", "GSN-HydroCel-32", "GSN-HydroCel-64_1.0", "GSN-HydroCel-65_1.0", "GSN-HydroCel-128", "GSN-HydroCel-129", "GSN-HydroCel-256", "GSN-HydroCel-257",
+    "mgh60", "mgh70", "artinis-octamon", "artinis-brite23", "brainproducts-RNP-BA-128",
+)
 
 
-def fft_filter(x: np.ndarray, rate: float, keep: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    spectrum = np.fft.rfft(x)
-    return np.fft.irfft(np.where(keep(np.fft.rfftfreq(len(x), 1 / rate)), spectrum, 0), len(x))
+def known_montage(name: str) -> str:
+    if name not in MONTAGES:
+        raise ValueError(f"there is no montage {name!r}")
+    return name
 
 
 def bandpass(df: DataFrame, rate: float = 250.0, low: float = 1.0, high: float = 40.0, notch: float = 0.0) -> DataFrame:
     """Frequencies from low to high stay; with notch > 0, those within 1 Hz of it go. Channels of one sample stay as they are."""
     if rate <= 0 or not 0 <= low < high:
         raise ValueError("need 0 <= low < high and a positive rate")
-    top = min(high, rate / 2)
-
-    def kernel(x: np.ndarray) -> np.ndarray:
-        if len(x) < 2:
-            return x
-        return fft_filter(x, rate, lambda f: (f >= low) & (f <= top) & ((notch <= 0) | (np.abs(f - notch) > 1)))
-
-    return per_channel(df, kernel)
+    return filtered(df, lambda n, cols: [band(n, rate, low, min(high, rate / 2), notch if notch > 0 else None)] * len(cols))
 
 
 def welch(df: DataFrame, rate: float = 250.0, nperseg: int = 256) -> DataFrame:
     """frequency and the mean power of the half-overlapping Hann segments of each channel.
 
-    Each sample goes to the segments that hold it, so recordings of any length
-    are transformed segment by segment. All but the first and the last
-    frequency are doubled.
+    All but the first and the last frequency are doubled.
     """
-    df = with_row_id(as_numeric(df))
-    cols = numeric(df)
-    n = df.count()
+    df, n = dense(as_numeric(df))
     if n < 2 or rate <= 0:
         raise ValueError("need two samples and a positive rate")
     size = min(max(int(nperseg), 2), n)
-    hop = max(size // 2, 1)
-    last = (n - size) // hop
-    first_of = F.greatest(F.lit(0), F.ceil((F.col("idx") - size + 1) / hop)).cast("long")
-    last_of = F.least(F.lit(last), F.floor(F.col("idx") / hop)).cast("long")
-    parts = long_form(df, cols).where(first_of <= last_of).select("channel", F.explode(F.sequence(first_of, last_of)).alias("segment"), "idx", F.coalesce("v", F.lit(0.0)).alias("v"))
     window = np.hanning(size)
-    scale = rate * (window**2).sum()
-    frequency = np.fft.rfftfreq(size, 1 / rate)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        power = np.abs(np.fft.rfft(pdf.sort_values("idx")["v"].to_numpy() * window)) ** 2 / scale
-        if len(power) > 2:
-            power[1:-1] *= 2
-        return pd.DataFrame({"channel": pdf["channel"].iloc[0], "frequency": frequency, "power": power})
-
-    spectra = parts.groupBy("channel", "segment").applyInPandas(run, "channel string, frequency double, power double")
-    return spectra.groupBy("frequency").pivot("channel", cols).agg(F.avg("power"))
+    power = segment_power(df, size, max(size // 2, 1), window, rate * (window**2).sum())
+    frequency = F.array(*(F.lit(float(f)) for f in np.fft.rfftfreq(size, 1 / rate)))
+    return power.select("channel", F.get(frequency, F.col("bin").cast("int")).alias("frequency"), "power").groupBy("frequency").pivot("channel", numeric(df)).agg(F.first("power"))
 
 
 def erp(df: DataFrame, rate: float = 250.0, tmin: float = -0.2, tmax: float = 0.5, event_column: str = "") -> DataFrame:
