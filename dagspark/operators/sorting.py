@@ -14,7 +14,11 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .signal import fft_filter, moments, per_channel
+from . import isolation
+from .matching import noises, sort_templates
+from .motion import correct_motion
+from .signal import moments
+from .spectral import Filter, band, filtered
 from .tabular import ROW, clean, conjunction, long_form, numeric, with_row_id
 
 
@@ -25,12 +29,11 @@ class AdapterMissing(RuntimeError):
 def preprocess(df: DataFrame, method: str = "bandpass_filter", rate: float = 30000.0, freq_min: float = 300.0, freq_max: float = 6000.0, notch_freq: float = 3000.0, notch_q: float = 30.0, reference: str = "global", threshold: float = float("inf"), shifts: list[float] | None = None) -> DataFrame:
     method = {"motion": "correct_motion", "motion_correction": "correct_motion"}.get(method, method)
     if method == "bandpass_filter":
-        return per_channel(df, lambda x: fft_filter(x, rate, lambda f: (f >= freq_min) & (f <= freq_max)))
+        return filtered(df, lambda n, cols: [band(n, rate, freq_min, freq_max)] * len(cols))
     if method == "highpass_filter":
-        return per_channel(df, lambda x: fft_filter(x, rate, lambda f: f >= freq_min))
+        return filtered(df, lambda n, cols: [band(n, rate, freq_min)] * len(cols))
     if method == "notch_filter":
-        half = notch_freq / notch_q / 2
-        return per_channel(df, lambda x: fft_filter(x, rate, lambda f: np.abs(f - notch_freq) > half))
+        return filtered(df, lambda n, cols: [band(n, rate, without=notch_freq, half=notch_freq / notch_q / 2)] * len(cols))
     if method == "common_reference":
         return common_reference(df, reference)
     if method == "whiten":
@@ -40,6 +43,8 @@ def preprocess(df: DataFrame, method: str = "bandpass_filter", rate: float = 300
         return clean(df).withColumns({c: F.when(F.abs(c) >= threshold, 0.0).otherwise(F.col(c)) for c in cols})
     if method == "phase_shift":
         return phase_shift(df, shifts)
+    if method == "correct_motion":
+        return correct_motion(df, rate)
     raise AdapterMissing(f"{method} needs a spike-sorting package, which isn't installed")
 
 
@@ -70,24 +75,12 @@ def whiten(df: DataFrame) -> DataFrame:
 
 def phase_shift(df: DataFrame, shifts: list[float] | None) -> DataFrame:
     """Channels moved by fractions of a sample; without given shifts channel i of n by i / n."""
-    cols = numeric(df)
-    shift = dict(zip(cols, shifts or [i / len(cols) for i in range(len(cols))], strict=True))
-
-    def kernel(c: str):
-        return lambda x: np.fft.irfft(np.fft.rfft(x) * np.exp(-2j * np.pi * np.fft.rfftfreq(len(x)) * shift[c]), len(x))
-
-    out = with_row_id(df)
-    for c in cols:
-        moved = per_channel(out.select(ROW, c), kernel(c)).withColumnRenamed(c, f"_{c}")
-        out = out.join(moved, ROW).drop(c).withColumnRenamed(f"_{c}", c)
-    return out.select(ROW, *cols)
+    return filtered(df, lambda n, cols: [Filter(((0, n // 2),), x) for x in shifts or [i / len(cols) for i in range(len(cols))]])
 
 
 def noise_levels(df: DataFrame) -> DataFrame:
     """(channel, noise): median absolute deviation over 0.6745."""
-    long = long_form(df)
-    mid = long.groupBy("channel").agg(F.median("v").alias("mid"))
-    return long.join(F.broadcast(mid), "channel").groupBy("channel").agg((F.median(F.abs(F.col("v") - F.col("mid"))) / 0.6745).alias("noise"))
+    return df.sparkSession.createDataFrame(list(noises(df).items()), "channel string, noise double")
 
 
 def sort_simple(df: DataFrame, threshold: float = 5.0) -> DataFrame:
@@ -99,8 +92,11 @@ def sort_simple(df: DataFrame, threshold: float = 5.0) -> DataFrame:
 
 
 def sort_spikes(df: DataFrame, sorter: str = "simple") -> DataFrame:
+    """simple: a unit for each channel; template: matching of learned shapes. Other sorters are packages of their own."""
+    if sorter == "template":
+        return sort_templates(df)
     if sorter != "simple":
-        raise AdapterMissing(f"the sorter {sorter} isn't installed; simple is built in")
+        raise AdapterMissing(f"the sorter {sorter} isn't installed; simple and template are built in")
     return sort_simple(df)
 
 
@@ -116,7 +112,8 @@ def templates(recording: DataFrame, sorting: DataFrame, before: int = 20, after:
 
 #: spikes of a unit that waveforms are cut for
 SPIKES_PER_UNIT = 500
-EXTENSIONS = ("random_spikes", "waveforms", "templates", "noise_levels")
+DEFAULT_EXTENSIONS = ("random_spikes", "waveforms", "templates", "noise_levels")
+EXTENSIONS = (*DEFAULT_EXTENSIONS, "principal_components")
 METRICS = ("snr", "isi_violation", "presence_ratio", "firing_rate", "isolation_distance")
 
 
@@ -161,16 +158,18 @@ class Analyzer:
 
 def analyze(recording: DataFrame, sorting: DataFrame, extensions: str | Iterable[str] | None = None) -> Analyzer:
     """The analyzer of a sorting, with the extensions and what they need."""
-    names = names_of(extensions, EXTENSIONS)
+    names = names_of(extensions, DEFAULT_EXTENSIONS)
     if unknown := [n for n in names if n not in EXTENSIONS]:
         raise AdapterMissing(f"the extensions {', '.join(unknown)} need a spike-sorting package, which isn't installed")
     made: dict[str, DataFrame] = {}
-    if {"random_spikes", "waveforms", "templates"} & set(names):
+    if {"random_spikes", "waveforms", "templates", "principal_components"} & set(names):
         made["random_spikes"] = random_spikes(sorting)
     if {"waveforms", "templates"} & set(names):
         made["waveforms"] = waveforms(recording, made["random_spikes"])
     if "templates" in names:
         made["templates"] = made["waveforms"].groupBy("unit_id", "channel", "offset").agg(F.avg("v").alias("v"))
+    if "principal_components" in names:
+        made["principal_components"] = isolation.principal_components(recording, made["random_spikes"])
     if "noise_levels" in names:
         made["noise_levels"] = noise_levels(recording)
     return Analyzer(sorting, recording, made)
@@ -180,7 +179,7 @@ def isolation_distance(recording: DataFrame, sorting: DataFrame) -> DataFrame:
     """(unit_id, isolation_distance): for a unit of n spikes, the n-th smallest squared Mahalanobis distance of the others' spikes from it.
 
     A spike's features are its amplitudes on all channels; random_spikes are
-    used. Null where the unit's spikes span no volume or the others have fewer.
+    used. With principal components as an extension those count instead. Null where the unit's spikes span no volume or the others have fewer.
     The units' means and covariances (a few numbers each) go over the driver.
     """
     at = waveforms(recording, random_spikes(sorting), 0, 1)
@@ -214,7 +213,8 @@ def analyzer_metrics(analyzer: Analyzer, rate: float, metric_names: str | Iterab
         samples = (analyzer.sorting.agg(F.max("sample_index")).first()[0] or 0) + 1
     table = quality_metrics(analyzer.sorting, rate, max(samples / rate, 1 / rate), analyzer.recording if "snr" in names else None)
     if "isolation_distance" in names and analyzer.recording is not None and numeric(analyzer.recording):
-        table = table.join(isolation_distance(analyzer.recording, analyzer.sorting), "unit_id", "left")
+        pcs = analyzer.extensions.get("principal_components")
+        table = table.join(isolation_distance(analyzer.recording, analyzer.sorting) if pcs is None else isolation.isolation_distance(pcs), "unit_id", "left")
     columns = {"isi_violation": "isi_violations_ratio", "isi_violations": "isi_violations_ratio"}
     wanted = [c for n in names if (c := columns.get(n, n)) in table.columns]
     return replace(analyzer, metrics=table.select("unit_id", *dict.fromkeys(wanted)))
@@ -287,8 +287,17 @@ def best_matches(agreement: DataFrame, match_score: float = 0.5) -> DataFrame:
     return agreement.where(F.col("agreement") >= match_score).withColumn("a", one).withColumn("b", two).where("a = 1 and b = 1").drop("a", "b")
 
 
+EXPORTS = ("phy", "report")
+
+
+def known_export(method: str) -> None:
+    if method not in EXPORTS:
+        raise AdapterMissing(f"export to {method} needs a package that isn't installed")
+
+
 def export(sorting: DataFrame | Analyzer, path: str, method: str = "phy", rate: float = 30000.0) -> str:
     """Write a sorting: phy as CSV of spike times and clusters (an analyzer's metrics and templates beside it), report as counts; other formats need their packages."""
+    known_export(method)
     if method == "phy":
         if isinstance(sorting, Analyzer):
             for name, df in (("cluster_metrics", sorting.metrics), ("templates", sorting.extensions.get("templates"))):
@@ -298,8 +307,6 @@ def export(sorting: DataFrame | Analyzer, path: str, method: str = "phy", rate:
         else:
             path_of_spikes = path
         sorting.select("sample_index", F.col("unit_id").alias("cluster")).orderBy("sample_index").write.mode("overwrite").option("header", True).csv(path_of_spikes)
-    elif method == "report":
-        sorting.groupBy("unit_id").agg(F.count("*").alias("n_spikes"), (F.min("sample_index") / rate).alias("first_s"), (F.max("sample_index") / rate).alias("last_s")).write.mode("overwrite").option("header", True).csv(path)
     else:
-        raise AdapterMissing(f"export to {method} needs a package that isn't installed")
+        sorting.groupBy("unit_id").agg(F.count("*").alias("n_spikes"), (F.min("sample_index") / rate).alias("first_s"), (F.max("sample_index") / rate).alias("last_s")).write.mode("overwrite").option("header", True).csv(path)
     return path
