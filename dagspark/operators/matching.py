@@ -28,8 +28,8 @@ BEFORE, AFTER = 12, 20
 RADIUS, REFRACTORY = 2, 8
 #: peaks of a channel that templates are learned from, and clusters of a channel at most
 LEARNED, CLUSTERS = 2_000, 16
-#: principal components, the reach of a neighbour in them (in noises), the least share and number of a cluster's peaks
-COMPONENTS, REACH, LEAST_SHARE, LEAST = 4, 1.6, 0.02, 12
+#: principal components, the reach of a neighbour in them (in noises, or by how much the usual squared distance of the last neighbour that makes a core is exceeded), the least share and number of a cluster's peaks
+COMPONENTS, REACH, WIDER, LEAST_SHARE, LEAST = 4, 1.6, 1.5, 0.02, 12
 #: samples of a block, rounds of subtraction, amplitudes of a match relative to its template
 BLOCK, ROUNDS, AMPLITUDES = 30_000, 6, (0.6, 1.6)
 #: templates that are alike by this much of their energy are one
@@ -72,8 +72,11 @@ def clusters(x: np.ndarray) -> list[np.ndarray]:
     centred = x - x.mean(0)
     _, _, axes = np.linalg.svd(centred, full_matrices=False)
     y = centred @ axes[:COMPONENTS].T
-    near = ((y[:, None, :] - y[None, :, :]) ** 2).sum(-1) <= REACH**2
-    least = max(LEAST // 2, int(LEAST_SHARE * len(x)))
+    apart = ((y[:, None, :] - y[None, :, :]) ** 2).sum(-1)
+    least = min(max(LEAST // 2, int(LEAST_SHARE * len(x))), len(x) - 1)
+    # spikes vary by more than noise where they overlap others or are a sample off; the usual distance allows for that
+    usual = np.median(np.partition(apart, least, axis=1)[:, least])
+    near = apart <= max(REACH**2, WIDER * usual)
     core = near.sum(1) >= least
     label = np.full(len(x), -1)
     for i in np.flatnonzero(core):
