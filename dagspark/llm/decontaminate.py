@@ -15,9 +15,11 @@ An exact phrase match is a window that stands in a document word by word; its
 two rarest terms stand at their exact offset. A proximity match needs the text alone: a
 window and an alignment at which at least `near` of its words stand at as many
 places, each word at the place nearest to its own and no further than window -
-near from it. At most window - near words are missing then, so of the FEW rarest
-terms two stand, and their lists, intersected with that much slack, hold a
-place no further away than that from every such alignment. So all windows are
+near from it. At most window - near words are missing then, so of one pair more
+than that, made of the window's rarest terms, one is whole; its lists,
+intersected with that much slack, hold a place no further away than that from
+every such alignment. The rarest term is paired with the least rare of them, and
+so on, so each pair is looked up by a rare one. So all windows are
 found in which two words were replaced, put in or left out, or neighbours
 swapped. Ties of counts go to the earlier word. Proximity is reported for items
 without an exact match in the document; items of `near` words and fewer can lack
@@ -38,8 +40,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, documents, numbered, padded_words, stored
 
 WINDOW, NEAR = 10, 8
-#: of a window's terms, the rarest of which two stand in any proximity match
-FEW = WINDOW - NEAR + 2
+#: a window's rarest terms, in so many pairs that one is whole in any proximity match
+FEW = 2 * (WINDOW - NEAR + 1)
 #: the benchmark's distinct terms are broadcast only up to this many (of at most _TERM_BYTES), and its pairs of terms; else they are joined by a shuffle
 BROADCAST_TERMS, _TERM_BYTES = 200_000, 64
 #: the pseudo term at which a document's number of words is stored
@@ -78,19 +80,18 @@ def index(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def rarest(items: DataFrame, window: int, few: int, least: int = 0) -> DataFrame:
-    """(iid, start, wide, first, r, o, shift), stored: for each window of the items of more than `least` words, pairs of its `few` rarest terms.
+    """(iid, start, wide, first, r, o, shift), stored: for each window of the items of more than `least` words its `few` rarest terms in disjoint pairs.
 
     The rarer term r stands at position `first` of the item, the other term o
-    `shift` further on. A window of one word has its term twice. Pairs of terms
-    that no document has are left out.
+    `shift` further on. A window of one word has its term twice. Pairs with a
+    term that no document has are left out.
     """
     wide = F.least(F.size("terms"), F.lit(window))
     starts = items.where((F.size("terms") > least) & (F.size("terms") > 0)).select("iid", wide.alias("wide"), "terms", F.explode(F.sequence(F.lit(0), F.size("terms") - wide)).alias("start"))
     ranked = starts.select("iid", "start", "wide", F.slice(F.array_sort(F.slice("terms", F.col("start") + 1, F.col("wide"))), 1, few).alias("x"))
-    pairs = [F.struct(F.col("x")[i].alias("a"), F.get("x", F.lit(j)).alias("b")) for i in range(few) for j in range(i + 1, few)]
-    alone = F.array(F.struct(F.col("x")[0].alias("a"), F.col("x")[0].alias("b")))
-    both = F.filter(F.array(*(F.when(F.size("x") > j, p) for p, j in zip(pairs, [j for i in range(few) for j in range(i + 1, few)], strict=True))), lambda p: p.isNotNull())
-    pair = ranked.select("iid", "start", "wide", F.explode(F.when(F.size("x") == 1, alone).otherwise(both)).alias("p")).where("p.a.n > 0 and p.b.n > 0")
+    last = F.size("x") - 1
+    pairs = F.transform(F.sequence(F.lit(0), F.floor(last / 2).cast("int")), lambda i: F.struct(F.get("x", i).alias("a"), F.get("x", last - i).alias("b")))
+    pair = ranked.select("iid", "start", "wide", F.explode(pairs).alias("p")).where("p.a.n > 0 and p.b.n > 0")
     return stored(pair.select("iid", "start", "wide", F.col("p.a.pos").alias("first"), F.col("p.a.term").alias("r"), F.col("p.b.term").alias("o"), (F.col("p.b.pos") - F.col("p.a.pos")).alias("shift")), "rarest_terms")
 
 
@@ -168,7 +169,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, n
     seeds = rarest(items, window, 2)
     wanted = seeds
     if near is not None:
-        few = rarest(items, window, window - near + 2, near)
+        few = rarest(items, window, 2 * (window - near + 1), near)
         wanted = seeds.unionByName(few)
     held = lists(postings, wanted.select("r", "o"))
     matched = exact(docs, alignments(held, seeds, 0), items)

@@ -402,7 +402,7 @@ def test_a_stock_phrase_makes_few_rows(spark):
     docs = table(spark, [f"{words(20, i, 300)} {stem} {words(20, 900 + i, 300)}" for i in range(120)], extra=False).withColumn("rid", F.col("doc_id"))
     postings, items = decontaminate.index(docs, bench)
     seeds = decontaminate.rarest(items, 10, 2)
-    few = decontaminate.rarest(items, 10, 4, 8)
+    few = decontaminate.rarest(items, 10, 6, 8)
     held = decontaminate.lists(postings, seeds.unionByName(few).select("r", "o"))
     assert decontaminate.alignments(held, seeds, 0).count() == 0
     assert decontaminate.alignments(held, few, 2).count() < 60 * 120
