@@ -70,7 +70,6 @@ def index(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     terms = stored(words.select("word", F.monotonically_increasing_id().alias("term")).union(end), "benchmark_terms")
     n, size = terms.agg(F.count("*"), F.coalesce(F.max(F.octet_length("word")), F.lit(0))).first()
     small = n <= BROADCAST_TERMS and n * size <= BROADCAST_TERMS * _TERM_BYTES
-    # in a step of its own, where what the words' expression repeats is computed once
     split = docs.select("rid", "doc_id", F.concat(_split(F.col("text")), F.array(F.lit(""))).alias("w")).select("rid", "doc_id", F.posexplode("w").alias("pos", "word"))
     postings = stored(split.join(F.broadcast(terms) if small else terms, "word").select("rid", "doc_id", "pos", "term"), "postings")
     counts = postings.groupBy("term").agg(F.count("*").alias("n"))
