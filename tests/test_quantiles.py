@@ -47,3 +47,42 @@ def test_statistics_of_columns(spark):
     assert spikes.dff(df.select("x", "empty"), 0).collect()[1].x == 1.0
     noise = {r.channel: r.noise for r in sorting.noise_levels(spark.createDataFrame([(float(i), 3.0) for i in range(101)], "a double, b double")).collect()}
     assert noise == {"a": pytest.approx(25 / 0.6745), "b": 0.0}
+
+
+def test_counting_tasks_hand_on_bounded_counters(monkeypatch):
+    import pyarrow as pa
+
+    from dagspark.operators import quantiles as q
+
+    monkeypatch.setattr(q, "HELD", 100)
+    x = np.random.default_rng(3).normal(size=5_000)
+    batches = [pa.RecordBatch.from_arrays([pa.array(x[i : i + 500])], names=["c0"]) for i in range(0, len(x), 500)]
+    parts = list(q._digits(iter(batches), q._of_columns, 48, None))
+    # counted in the task: far fewer rows than values, in several parts
+    assert 1 < len(parts) < 60
+    assert sum(p.num_rows for p in parts) < len(x) / 2
+    total = {}
+    for p in parts:
+        for d, n in zip(p["digit"].to_pylist(), p["n"].to_pylist(), strict=True):
+            total[d] = total.get(d, 0) + n
+    assert total == {int(d): int(n) for d, n in zip(*np.unique(q.bit_keys(x) >> np.uint64(48), return_counts=True), strict=True)}
+
+
+def test_quantiles_are_counted_before_the_shuffle_of_values(spark):
+    """Keys used to be made by an expression that every use repeated; now a pass is one Arrow function over the columns."""
+    df = spark.range(0, 50_000, 1, 3).selectExpr("cast(id % 977 as double) as x", "cast(-id as double) as y")
+    assert column_quantiles(df, ["x", "y"], (0.25, 0.5)) == {"x": [241.0, 486.0], "y": [-37499.25, -24999.5]}
+    assert [float(np.quantile(np.arange(50_000) % 977, f)) for f in (0.25, 0.5)] == [241.0, 486.0]
+
+
+def test_rows_are_numbered_in_an_order_without_one_task_for_all(spark):
+    df = spark.range(0, 10_000, 1, 7).selectExpr("(id * 7919) % 10007 as k", "id as v")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = tabular.ordered(df, "k")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got.rdd.getNumPartitions() > 1
+    rows = sorted((r[tabular.ROW], r.v) for r in got.collect())
+    want = [v for _, v in sorted(((i * 7919) % 10007, i) for i in range(10_000))]
+    assert rows == list(enumerate(want))
