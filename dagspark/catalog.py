@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text
@@ -428,8 +428,8 @@ def _curate(s: SparkSession, d: str) -> DataFrame:
 def recorded_items(df: DataFrame) -> DataFrame:
     """Two channels with rare large troughs, in the order of the rows' keys."""
     trough = lambda c, top: -F.pow((F.col(c).cast("double") - F.lit(0.0)) / F.lit(float(top)), F.lit(15.0))
-    order = Window.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount")
-    return df.select((F.row_number().over(order) - 1).cast("bigint").alias(ROW), trough("l_quantity", 50).alias("c0"), trough("l_discount", 0.1).alias("c1"))
+    order = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount")
+    return tabular.ordered(df.select(*order, trough("l_quantity", 50).alias("c0"), trough("l_discount", 0.1).alias("c1")), *order)
 
 
 _CHAIN = (
@@ -529,10 +529,12 @@ _CALLS = 12
 
 def _indexed(s: SparkSession, d: str) -> SearchIndex:
     """The stored index of the documents; each document is a file of its own, and its first words stand for calls."""
-    words = text.tokens(F.col("text"))
-    docs = _table(s, d, "documents").select(
-        F.col("doc_id").cast("string").alias("id"), F.col("doc_id").cast("string").alias("file"), F.md5(F.concat_ws(" ", "source", "text").cast("binary")).alias("digest"), words.alias("words"),
-        text.tokens(F.col("source")).alias("name_words"), text.intent_tokens(F.col("text")).alias("intent"), F.slice(words, 1, _CALLS).alias("calls"), text.data_kinds(words).alias("kinds"), text.tags(words).alias("tags"),
+    digest = F.md5(F.concat_ws(" ", "source", "text").cast("binary"))
+    split = _table(s, d, "documents").select(F.col("doc_id").cast("string").alias("id"), digest.alias("digest"), text.tokens(F.col("source")).alias("name_words"), text.tokens(F.col("text")).alias("words"))
+    words = F.col("words")
+    docs = split.select(
+        "id", F.col("id").alias("file"), "digest", "words", "name_words", text.intent(words).alias("intent"), F.slice(words, 1, _CALLS).alias("calls"),
+        text.data_kinds(words).alias("kinds"), text.tags(words).alias("tags"),
     )
     index = SearchIndex(s, f"{shared_folder(s)}/search-{hashlib.md5(d.encode(), usedforsecurity=False).hexdigest()}")
     index.update(docs)

@@ -15,12 +15,14 @@ go to all tasks.
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .quantiles import quantiles
+from .quantiles import column_quantiles
 from .spectral import dense
 from .tabular import long_form, numeric
 
@@ -36,12 +38,18 @@ BLOCK, ROUNDS, AMPLITUDES = 30_000, 6, (0.6, 1.6)
 ALIKE = 0.9
 
 
+#: the noises of recordings that are in use; the nodes of a chain ask for the same ones
+_NOISES: WeakKeyDictionary[DataFrame, dict[str, float]] = WeakKeyDictionary()
+
+
 def noises(df: DataFrame) -> dict[str, float]:
     """The noise of each channel that has values: median absolute deviation over 0.6745."""
-    long = long_form(df).select(F.col("channel").alias("g"), "v")
-    middle = df.sparkSession.createDataFrame([(g, q) for g, (q,) in quantiles(long, (0.5,)).items()], "g string, middle double")
-    away = quantiles(long.join(F.broadcast(middle), "g").select("g", F.abs(F.col("v") - F.col("middle")).alias("v")), (0.5,))
-    return {g: q / 0.6745 for g, (q,) in away.items()}
+    if df not in _NOISES:
+        cols = numeric(df)
+        middle = {c: q for c, (q,) in column_quantiles(df, cols, (0.5,)).items() if q is not None}
+        away = df.select(*(F.abs(F.col(f"`{c}`").cast("double") - F.lit(m)).alias(c) for c, m in middle.items()))
+        _NOISES[df] = {c: q / 0.6745 for c, (q,) in column_quantiles(away, list(middle), (0.5,)).items()}
+    return dict(_NOISES[df])
 
 
 def scaled(df: DataFrame, noise: dict[str, float]) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from ..functions.storage import checkpointed
 from .quantiles import column_quantiles
 
 ROW = "_row_id"
@@ -25,13 +26,23 @@ def with_row_id(df: DataFrame) -> DataFrame:
     """df with dense row numbers in the order of its partitions; left alone if it has them."""
     if ROW in df.columns:
         return df
-    numbered = df.withColumn("_at", F.monotonically_increasing_id())
+    return _dense(df.withColumn("_at", F.monotonically_increasing_id()), df.columns)
+
+
+def ordered(df: DataFrame, *order: str) -> DataFrame:
+    """The other columns of df with dense row numbers in the order of some, sorted by ranges of them; stored, as ranges differ from one evaluation to the next."""
+    others = [c for c in df.columns if c not in order]
+    return _dense(checkpointed(df.orderBy(*order).select(*others, F.monotonically_increasing_id().alias("_at"))), others)
+
+
+def _dense(numbered: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns after a row number without gaps, made of the monotonic ids `_at`."""
     part = F.shiftright("_at", 33)
     counts = numbered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
     starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     joined = numbered.withColumn("_part", part).join(F.broadcast(starts), "_part")
-    return joined.withColumn(ROW, F.col("_at").bitwiseAND((1 << 33) - 1) + F.col("_start")).select(ROW, *df.columns)
+    return joined.withColumn(ROW, F.col("_at").bitwiseAND((1 << 33) - 1) + F.col("_start")).select(ROW, *columns)
 
 
 def numeric(df: DataFrame) -> list[str]:
