@@ -32,6 +32,11 @@ KIND_HINTS = {
 WINNOW_WINDOW = 4
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once for each row, however often the body uses it (an expression would be repeated, in lambdas for each element)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def tokens(c: Column) -> Column:
     """Lower-cased runs of a-z and 0-9, split at underscores and before each capital letter but a leading one."""
     spaced = F.regexp_replace(F.regexp_replace(c, "_", " "), "(?<!^)(?=[A-Z])", " ")
@@ -40,19 +45,22 @@ def tokens(c: Column) -> Column:
 
 def intent_tokens(c: Column) -> Column:
     """Tokens that are no stopwords and longer than one letter."""
-    stop = F.array(*(F.lit(w) for w in STOPWORDS))
-    return F.filter(tokens(c), lambda x: ~F.array_contains(stop, x) & (F.length(x) > 1))
+    return intent(tokens(c))
+
+
+def intent(words: Column) -> Column:
+    """The same of tokens."""
+    return F.filter(words, lambda x: ~x.isin(*STOPWORDS) & (F.length(x) > 1))
 
 
 def kgrams(calls: Column) -> Column:
     """Distinct calls, last parts of their names, and pairs and triples of calls joined by '||'."""
-    leaves = F.transform(calls, lambda x: F.substring_index(x, ".", -1))
 
-    def runs(k: int) -> Column:
-        starts = F.when(F.size(calls) >= k, F.sequence(F.lit(1), F.size(calls) - (k - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(calls, i, k), "||"))
+    def runs(c: Column, k: int) -> Column:
+        starts = F.when(F.size(c) >= k, F.sequence(F.lit(1), F.size(c) - (k - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(c, i, k), "||"))
 
-    return F.array_distinct(F.concat(calls, leaves, runs(2), runs(3)))
+    return bound(calls, lambda c: F.array_distinct(F.concat(c, F.transform(c, lambda x: F.substring_index(x, ".", -1)), runs(c, 2), runs(c, 3))))
 
 
 def winnowed(hashes: Column, window: int = WINNOW_WINDOW) -> Column:
@@ -61,23 +69,23 @@ def winnowed(hashes: Column, window: int = WINNOW_WINDOW) -> Column:
     The hashes are sorted before the window slides, so the minima are all but
     the window - 1 largest; a set no larger than the window keeps its least.
     """
-    distinct = F.array_sort(F.array_distinct(hashes))
-    return F.slice(distinct, 1, F.greatest(F.size(distinct) - (window - 1), F.lit(1)))
-
-
-def _holds(part: str) -> Callable[[Column], Column]:
-    return lambda x: F.contains(x, F.lit(part))
+    return bound(F.array_sort(F.array_distinct(hashes)), lambda d: F.slice(d, 1, F.greatest(F.size(d) - (window - 1), F.lit(1))))
 
 
 def data_kinds(words: Column) -> Column:
     """Kinds whose hints the tokens hold, in the order of KIND_HINTS."""
-    found = []
-    for kind, hints in KIND_HINTS.items():
-        hit = F.arrays_overlap(words, F.array(*(F.lit(h) for h in hints)))
-        for h in (h for h in hints if len(h) > 3):
-            hit = hit | F.exists(words, _holds(h))
-        found.append(F.when(F.coalesce(hit, F.lit(False)), F.lit(kind)))
-    return F.array_compact(F.array(*found))
+
+    def found(w: Column, joined: Column) -> Column:
+        kinds = []
+        for kind, hints in KIND_HINTS.items():
+            hit = F.arrays_overlap(w, F.array(*(F.lit(h) for h in hints if len(h) <= 3))) if any(len(h) <= 3 for h in hints) else F.lit(False)
+            for h in (h for h in hints if len(h) > 3):
+                # hints have no blanks, so what holds one is a single token
+                hit = hit | F.contains(joined, F.lit(h))
+            kinds.append(F.when(F.coalesce(hit, F.lit(False)), F.lit(kind)))
+        return F.array_compact(F.array(*kinds))
+
+    return bound(words, lambda w: bound(F.array_join(w, " "), lambda joined: found(w, joined)))
 
 
 def tags(words: Column) -> Column:
