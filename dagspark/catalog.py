@@ -336,7 +336,7 @@ def _band_bins(s: SparkSession, d: str) -> DataFrame:
     """The events' band of some bins, in four steps however few the samples are."""
     events = _events(s, d).select(ROW, "full")
     n = events.count()
-    return _r(spectral.filtered(events, lambda _, cols: [spectral.Filter((_BINS,))] * len(cols), max(n // 64, 1)))
+    return _r(spectral.filtered(events, lambda _, cols: [spectral.Filter((_BINS,))] * len(cols), min(max(n // 64, 1), spectral.UNIT)))
 
 
 @query("ica")

@@ -232,6 +232,8 @@ def filtered(df: DataFrame, filters: Callable[[int, list[str]], list[Filter]], u
             pieces = pieces.unionByName(every.repartition("channel", "strip").mapInArrow(lambda x: steps.responses(x), _PIECES))
         back = pieces.groupBy("channel", "to").applyInArrow(lambda k, t: steps.filtered(k, t), _PIECES)
         done = back.groupBy("channel", "to").applyInArrow(lambda k, t: steps.samples_again(k, t), flat)
+    if len(cols) == 1:  # nothing to put side by side, so no table of all rows is grouped
+        return done.select(F.col("idx").alias(ROW), F.col("v").alias(cols[0]))
     names = F.array(*(F.lit(c) for c in cols))
     return wide_form(done.select(F.get(names, F.col("channel")).alias("channel"), "idx", "v"), cols)
 

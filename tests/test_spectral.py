@@ -81,3 +81,15 @@ def test_power_of_blocks_equals_power_of_segments(spark, n, size, unit):
     p[1:-1] *= 2
     got = {r.bin: r.power for r in spectral.segment_power(frame(spark, a=x), size, hop, w, 3.0, unit).collect()}
     assert [got[i] for i in range(len(p))] == pytest.approx(p.tolist(), rel=1e-9)
+
+
+def test_one_channel_is_not_grouped_again(spark):
+    from pyspark.sql import functions as F
+
+    from dagspark.operators.spectral import Filter, filtered
+
+    df = spark.range(0, 300, 1, 3).select(F.col("id").alias("_row_id"), F.sin(F.col("id") * 0.3).alias("v"))
+    got = filtered(df, lambda n, cols: [Filter(((0, n // 2),))] * len(cols), 50)
+    assert "PivotFirst" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert "pivot" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert max(abs(r.v - w) for r, w in zip(sorted(got.collect()), [r.v for r in sorted(df.collect())], strict=True)) < 1e-9
