@@ -14,7 +14,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each round hooks a node's parent to the smallest parent among its
     neighbours and then halves every path, so rounds grow with the logarithm of
     the longest path. Minima are aggregated before the shuffle; every join is
-    between two stored tables, so that a hub's rows can be split. Each round's
+    between two stored tables, so that a hub's rows can be split, and by merging,
+    as tables to broadcast would all go over the driver. Each round's
     parents are written to the shared folder, which cuts the lineage. Self
     links and repeated links are fine, an empty table gives an empty result.
     """
@@ -24,12 +25,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         pu = parent.select(F.col("u"), F.col("p").alias("pu"))
         pv = parent.select(F.col("u").alias("v"), F.col("p").alias("pv"))
-        crossing = both.join(pu, "u").join(pv, "v").where("pu <> pv")
+        crossing = both.join(pu.hint("merge"), "u").join(pv.hint("merge"), "v").where("pu <> pv")
         hooks = crossing.select(F.explode(F.array(F.struct(F.col("pu").alias("u"), F.col("pv").alias("p")), F.struct("u", F.col("pv").alias("p")))).alias("h")).select("h.*")
         hooked = stored(parent.select("u", "p").unionByName(hooks).groupBy("u").agg(F.min("p").alias("p")), "hooked")
         up = hooked.select(F.col("u").alias("p"), F.col("p").alias("g"))
-        jumped = stored(hooked.join(up, "p").select("u", F.least("p", "g").alias("p")), "parents")
-        moved = jumped.join(parent.withColumnRenamed("p", "old"), "u").where("p <> old").limit(1).count()
+        jumped = stored(hooked.join(up.hint("merge"), "p").select("u", F.least("p", "g").alias("p")), "parents")
+        moved = jumped.join(parent.withColumnRenamed("p", "old").hint("merge"), "u").where("p <> old").limit(1).count()
         forget(hooked, parent)
         parent = jumped
         if not moved:

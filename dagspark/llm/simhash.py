@@ -124,7 +124,7 @@ def golay_links(fps: DataFrame) -> DataFrame:
 
     close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
     one, many = side(False, "a"), side(True, "b")
-    return one.join(many, (one["key"] == many["key"]) & close).select("a", "b").distinct()
+    return one.join(many.hint("merge"), (one["key"] == many["key"]) & close).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -133,10 +133,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     prints = stored(docs.select("doc_id", "text").mapInArrow(_fingerprints, f"doc_id {kind}, fp long"), "fingerprints")
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct_fingerprints")
     found = components(stored(golay_links(distinct), "fingerprint_links"))
-    rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.join(found.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    owner = stored(rooted.join(least, "root").select("fp", "component_id"), "components")
-    return prints.join(owner, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    owner = stored(rooted.join(least.hint("merge"), "root").select("fp", "component_id"), "components")
+    return prints.join(owner.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
