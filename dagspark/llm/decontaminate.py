@@ -37,7 +37,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, documents, numbered, padded_words, stored
+from .common import BETWEEN_WORDS, LOWER, UPPER, ascii_lower, documents, numbered, stored
 
 WINDOW, NEAR = 10, 8
 #: a window's rarest terms, in so many pairs that one is whole in any proximity match
@@ -49,9 +49,8 @@ _END = -1
 
 
 def _split(text: Column) -> Column:
-    """The text's words; none of a null or empty text."""
-    padded = padded_words(text)
-    return F.when(padded == " ", F.array().cast("array<string>")).otherwise(F.split(F.substring(padded, 2, F.length(padded) - 2), " "))
+    """The text's words; none of a null or empty text. The text is split once: a generator's or a filter's repeated expressions would be computed again each time."""
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN_WORDS), "")
 
 
 def _bounded(df: DataFrame) -> DataFrame:
@@ -70,7 +69,8 @@ def index(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     terms = stored(words.select("word", F.monotonically_increasing_id().alias("term")).union(end), "benchmark_terms")
     n, size = terms.agg(F.count("*"), F.coalesce(F.max(F.octet_length("word")), F.lit(0))).first()
     small = n <= BROADCAST_TERMS and n * size <= BROADCAST_TERMS * _TERM_BYTES
-    split = docs.select("rid", "doc_id", F.concat(_split(F.col("text")), F.array(F.lit(""))).alias("w")).select("rid", "doc_id", F.posexplode("w").alias("pos", "word"))
+    # exploded where it is made: of a column's array Spark would infer a filter on its size and compute the array for that too
+    split = docs.select("rid", "doc_id", F.posexplode(F.concat(_split(F.col("text")), F.array(F.lit("")))).alias("pos", "word"))
     postings = stored(split.join(F.broadcast(terms) if small else terms, "word").select("rid", "doc_id", "pos", "term"), "postings")
     counts = postings.groupBy("term").agg(F.count("*").alias("n"))
     placed = items.select("iid", F.posexplode("words").alias("pos", "word")).join(terms, "word").join(counts, "term", "left")
