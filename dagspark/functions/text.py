@@ -39,7 +39,8 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def tokens(c: Column) -> Column:
     """Lower-cased runs of a-z and 0-9, split at underscores and before each capital letter but a leading one."""
-    spaced = F.regexp_replace(F.regexp_replace(c, "_", " "), "(?<!^)(?=[A-Z])", " ")
+    # an underscore is no letter of a token and empty tokens go, so neither it nor a leading capital needs a look
+    spaced = F.regexp_replace(c, "([A-Z])", " $1")
     return F.filter(F.split(F.lower(spaced), "[^a-z0-9]+"), lambda x: x != "")
 
 

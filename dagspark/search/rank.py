@@ -86,7 +86,8 @@ PHRASES = {
 
 
 def _terms(docs: DataFrame, words: Column) -> DataFrame:
-    return docs.select("id", F.size(words).alias("length"), F.explode(words).alias("term")).groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
+    """(id, length, term, tf). Lists of words are dealt by id, so counting terms and summing up by id shuffle no term."""
+    return docs.repartition("id").select("id", F.size(words).alias("length"), F.explode(words).alias("term")).groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
 
 
 #: how many documents have each term (term, df), and how many documents there are
@@ -125,8 +126,10 @@ def rank_simple(docs: DataFrame, query: list[str], limit: int = 20, corpus: Corp
     q = _list(list(dict.fromkeys(query)))
     shared = lambda c: F.size(F.array_intersect(F.array_distinct(F.col(c)), q)).cast("double")
     union = F.size(F.array_union(F.col("words"), q)).cast("double")
-    joined = docs.join(tfidf_cosine(docs.select("id", "words"), query, corpus), "id", "left")
-    score = SIMPLE_COSINE * F.coalesce("cosine", F.lit(0.0)) + SIMPLE_JACCARD * F.coalesce(F.try_divide(shared("words"), union), F.lit(0.0)) + NAME_HIT * shared("name_words") + TAG_HIT * shared("tags")
+    # what the score needs of the words is made before the join, which would shuffle and sort them
+    parts = docs.select("id", "starred", F.coalesce(F.try_divide(shared("words"), union), F.lit(0.0)).alias("jaccard"), shared("name_words").alias("names"), shared("tags").alias("tagged"))
+    joined = parts.join(tfidf_cosine(docs.select("id", "words"), query, corpus), "id", "left")
+    score = SIMPLE_COSINE * F.coalesce("cosine", F.lit(0.0)) + SIMPLE_JACCARD * F.col("jaccard") + NAME_HIT * F.col("names") + TAG_HIT * F.col("tagged")
     score = F.when(score > 0, score + F.when(F.col("starred"), STAR).otherwise(0.0))
     return joined.select("id", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "id").limit(limit)
 
@@ -219,8 +222,10 @@ def fused_signals(chosen: DataFrame, terms: list[str], calls: list[str], kinds:
     leaf = F.when(f1 > 0, f1).when(same_calls > 0, same_calls).otherwise(union(F.col("grams"), _list(grams)))
     coverage = F.size(F.array_intersect(F.array_distinct("intent"), q)) / F.lit(float(max(len(unique), 1)))
     kind = F.size(F.array_intersect(F.array_distinct("kinds"), _list(list(dict.fromkeys(kinds))))) / F.lit(float(len(set(kinds)))) if kinds else F.lit(0.0)
-    signals = chosen.join(cos, "id", "left").join(heavy, "id")
-    return signals.select("id", "starred", coverage.alias("coverage"), F.coalesce("cosine", F.lit(0.0)).alias("cosine"), leaf.alias("leaf"), "minhash", F.coalesce(kind, F.lit(0.0)).alias("kind"), "align")
+    # lists become numbers before the joins, which would shuffle and sort them
+    parts = chosen.select("id", "starred", coverage.alias("coverage"), leaf.alias("leaf"), F.coalesce(kind, F.lit(0.0)).alias("kind"))
+    signals = parts.join(cos, "id", "left").join(heavy, "id")
+    return signals.select("id", "starred", "coverage", F.coalesce("cosine", F.lit(0.0)).alias("cosine"), "leaf", "minhash", "kind", "align")
 
 
 def fused_scores(signals: DataFrame, limit: int = 20) -> DataFrame:

@@ -5,7 +5,8 @@ document in five lists (intent terms, k-grams of calls, fingerprints, words,
 words of names); `frequencies` says how many documents have a term; `features`
 holds what ranking needs of a document; `files` says which segment has a file's
 rows. The first two are dealt to BUCKETS folders by key and sorted by it, so a
-query reads the folders and the row groups of its own keys.
+query reads the folders and the row groups of its own keys. Features are wide
+and lie as they were made; no step sorts or shuffles them.
 
 An update compares digests of files and writes the rows of those that are new
 or changed into a segment of its own; `files` is written last and makes the
@@ -30,6 +31,8 @@ LISTS = {"t": "intent", "g": "grams", "f": "fingerprints", "w": "words", "n": "n
 WEIGHED = ("t", "w")
 BUCKETS = 32
 FEATURES = ("words", "name_words", "intent", "calls", "kinds", "tags")
+#: up to so many candidates are broadcast; more are found by their features' lists, which the posting lists were made of
+FEW = 50_000
 
 Key = tuple[str, str]
 
@@ -117,10 +120,10 @@ class SearchIndex:
     def features(self, ids: DataFrame | None = None) -> DataFrame:
         """The features of the documents of ids(id), or of all."""
         lists = ", ".join(f"{c} array<string>" for c in (*FEATURES, "grams", "fingerprints"))
-        rows = self._current(self._table("features", f"id string, file string, starred boolean, {lists}, segment int, bucket int"))
+        rows = self._current(self._table("features", f"id string, file string, starred boolean, {lists}, segment int"))
         if ids is not None:
-            rows = rows.join(ids.select("id", _bucket(F.col("id")).alias("bucket")).distinct(), ["bucket", "id"], "left_semi")
-        return rows.drop("segment", "bucket")
+            rows = rows.join(ids, "id", "left_semi")
+        return rows.drop("segment")
 
     # --- queries
 
@@ -130,7 +133,14 @@ class SearchIndex:
 
     def chosen(self, keys: Iterable[Key]) -> DataFrame:
         """The features of the candidates."""
-        return self.features(self.candidates(keys))
+        keys = sorted(set(keys))
+        found = self.candidates(keys)
+        if found.limit(FEW + 1).count() <= FEW:
+            return self.features(F.broadcast(found))
+        held = F.lit(False)
+        for name in sorted({x for x, _ in keys}):
+            held = held | F.coalesce(F.arrays_overlap(LISTS[name], F.array(*(F.lit(k) for x, k in keys if x == name))), F.lit(False))
+        return self.features().where(held)
 
     # --- updates
 
@@ -155,12 +165,15 @@ class SearchIndex:
             return 0
         new = featured(docs.join(changed.where("digest is not null").select("file"), "file", "left_semi"))
         columns = ["id", "file", "starred", *FEATURES, "grams", "fingerprints"]
-        self._write("features", segment, new.select(*columns, _bucket(F.col("id")).alias("bucket")), "id")
+        new.select(*columns).write.option("compression", "zstd").mode("overwrite").parquet(f"{self.folder}/features/segment={segment}")
         lists = ", ".join(f"{c} array<string>" for c in (*FEATURES, "grams", "fingerprints"))
         written = self.spark.read.schema(f"id string, file string, starred boolean, {lists}").parquet(f"{self.folder}/features/segment={segment}")
         self._write("postings", segment, _keys(written, LISTS), "key")
-        was = self.features().join(changed.where("old is not null").select("file"), "file", "left_semi")
-        counts = _keys(written, WEIGHED).withColumn("n", F.lit(1)).unionByName(_keys(was, WEIGHED).withColumn("n", F.lit(-1)))
+        listed = self.spark.read.schema("list string, key string, bucket int").parquet(f"{self.folder}/postings/segment={segment}").where(F.col("list").isin(*WEIGHED))
+        counts = listed.withColumn("n", F.lit(1))
+        if self.segments():
+            was = self.features().join(changed.where("old is not null").select("file"), "file", "left_semi")
+            counts = counts.unionByName(_keys(was, WEIGHED).select("list", "key", "bucket", F.lit(-1).alias("n")))
         counts = counts.groupBy("list", "key", "bucket").agg(F.sum("n").alias("n")).where("n <> 0")
         self._write("frequencies", segment, counts.select("list", "key", F.col("n").cast("bigint").alias("n"), "bucket"), "key")
         changed.select("file", "digest", "n").write.mode("overwrite").parquet(f"{self.folder}/files/segment={segment}")
@@ -169,7 +182,7 @@ class SearchIndex:
     def _write(self, table: str, segment: int, rows: DataFrame, order: str) -> None:
         """One segment of a table: each bucket's rows sorted, in files that tasks share by key."""
         dealt = rows.repartition("bucket", order).sortWithinPartitions("bucket", order)
-        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{table}/segment={segment}")
+        dealt.write.option("compression", "zstd").mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{table}/segment={segment}")
 
     def delete(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)

@@ -5,7 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from dagspark.functions import text
-from dagspark.search import index, rank, scan
+from dagspark.search import index, rank, scan, store
 from dagspark.search.store import BUCKETS, SearchIndex, bucket_of
 
 
@@ -108,3 +108,28 @@ def test_similar_keeps_its_index(spark, tmp_path):
     (src / "b.py").write_text('def other(data: list) -> list:\n    """Count theta words."""\n    return len(data)\n')
     assert {h["name"] for h in index.similar(spark, [str(src)], "theta", store=kept)["hits"]} == {"clean", "other"}
     assert SearchIndex(spark, kept).segments() == [1, 2]
+
+
+def test_many_candidates_are_found_without_a_join(spark, tmp_path, monkeypatch):
+    held = SearchIndex(spark, str(tmp_path / "i"))
+    held.update(corpus(spark, TEXTS))
+    keys = [("w", x) for x in QUERY] + [("n", x) for x in QUERY]
+    few = sorted(r.id for r in held.chosen(keys).collect())
+    monkeypatch.setattr(store, "FEW", 1)
+    many = held.chosen(keys)
+    assert sorted(r.id for r in many.collect()) == few == ["d0", "d1", "d4", "d7", "d9"]
+    assert "Join" not in many._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_features_are_neither_shuffled_nor_sorted(spark, tmp_path):
+    held = SearchIndex(spark, str(tmp_path / "i"))
+    held.update(corpus(spark, TEXTS))
+    assert not [f for f in os.listdir(f"{held.folder}/features/segment=1") if f.startswith("bucket=")]
+    ranked_plan = rank.search_simple(held, QUERY)._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in ranked_plan.splitlines() if "Sort [" in line and "words" in line]
+
+
+def test_tokens_split_at_capitals_and_underscores(spark):
+    texts = ["Hello", "helloWorld_again", "_A", "ABc", "Kelvin xY", "", None, "a\nB"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", text.tokens(F.col("t")).alias("w")).orderBy("i").collect()
+    assert [r.w for r in got] == [["hello"], ["hello", "world", "again"], ["a"], ["a", "bc"], ["kelvin", "x", "y"], [], None, ["a", "b"]]
