@@ -11,11 +11,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS, cosine, kgrams
-from .store import SearchIndex, fingerprints
+from .store import ROWS, SearchIndex, fingerprints
 
 # Weights of the fused score and of the simple one.
 INTENT, API, KIND, ALIGN, STAR = 0.34, 0.33, 0.13, 0.20, 0.02
@@ -85,9 +87,25 @@ PHRASES = {
 }
 
 
-def _terms(docs: DataFrame, words: Column) -> DataFrame:
-    """(id, length, term, tf). Lists of words are dealt by id, so counting terms and summing up by id shuffle no term."""
-    return docs.repartition("id").select("id", F.size(words).alias("length"), F.explode(words).alias("term")).groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
+def _terms(docs: DataFrame) -> DataFrame:
+    """(id, length, term, tf) of docs(id, words). A document's terms are counted where it is read, so no words are shuffled."""
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.select("id", "words").mapInArrow(_counted, f"id {kind}, length int, term string, tf bigint")
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, words = batch.columns
+        flat = words.flatten()
+        coded = flat.dictionary_encode()
+        n = max(len(coded.dictionary), 1)
+        there = flat.is_valid().to_numpy(zero_copy_only=False)
+        both = pc.list_parent_indices(words).to_numpy()[there].astype(np.int64) * n + coded.indices.fill_null(0).to_numpy()[there]
+        both, tf = np.unique(both, return_counts=True)
+        for i in range(0, len(both), ROWS):
+            doc, term = pa.array(both[i : i + ROWS] // n), pa.array(both[i : i + ROWS] % n)
+            columns = [ids.take(doc), pc.list_value_length(words).take(doc).cast(pa.int32()), coded.dictionary.take(term), pa.array(tf[i : i + ROWS].astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "length", "term", "tf"])
 
 
 #: how many documents have each term (term, df), and how many documents there are
@@ -105,7 +123,7 @@ def tfidf_cosine(docs: DataFrame, query: list[str], corpus: Corpus | None = None
     else:
         n = docs.agg(F.count("*").alias("n"))
         df = docs.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    terms = _terms(docs.where(F.arrays_overlap("words", _list(list(dict.fromkeys(query))))), F.col("words")) if query else _terms(docs.where("false"), F.col("words"))
+    terms = _terms(docs.where(F.arrays_overlap("words", _list(list(dict.fromkeys(query)))) if query else F.lit(False)))
     counts = {w: query.count(w) for w in dict.fromkeys(query)}
     spark = docs.sparkSession
     q = spark.createDataFrame([(w, c / len(query)) for w, c in counts.items()], "term string, qtf double")

@@ -1,12 +1,14 @@
 """A stored search index: posting lists, frequencies and features of documents, written in segments.
 
 An index is a folder of four tables. `postings` has a row for each key of each
-document in five lists (intent terms, k-grams of calls, fingerprints, words,
-words of names); `frequencies` says how many documents have a term; `features`
-holds what ranking needs of a document; `files` says which segment has a file's
-rows. The first two are dealt to BUCKETS folders by key and sorted by it, so a
-query reads the folders and the row groups of its own keys. Features are wide
-and lie as they were made; no step sorts or shuffles them.
+document, with the letters of those of five lists (intent terms, k-grams of
+calls, fingerprints, words, words of names) in which it stands; `frequencies`
+says how many documents have a term; `features` holds what ranking needs of a
+document, but for k-grams and fingerprints, which are made of its calls; `files`
+says which segment has a file's rows. The first two are dealt to BUCKETS folders
+by key and each of their files is sorted by it, so a query reads the folders and
+the pages of its own keys. Postings are written by the tasks that read their
+features, so no step shuffles features or postings, and none sorts features.
 
 An update compares digests of files and writes the rows of those that are new
 or changed into a segment of its own; `files` is written last and makes the
@@ -18,8 +20,11 @@ that was cut short is no part of the index and is written over.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +36,10 @@ LISTS = {"t": "intent", "g": "grams", "f": "fingerprints", "w": "words", "n": "n
 WEIGHED = ("t", "w")
 BUCKETS = 32
 FEATURES = ("words", "name_words", "intent", "calls", "kinds", "tags")
-#: up to so many candidates are broadcast; more are found by their features' lists, which the posting lists were made of
+_STORED = "id string, file string, starred boolean, " + ", ".join(f"{c} array<string>" for c in FEATURES)
+#: keys that are sorted at once, and posting rows that are handed on at once
+PIECE, ROWS = 2_000_000, 100_000
+#: up to so many candidates, or changed files, are broadcast; more candidates are found by their features' lists, which the posting lists were made of
 FEW = 50_000
 
 Key = tuple[str, str]
@@ -41,10 +49,6 @@ def bucket_of(key: str) -> int:
     return zlib.crc32(key.encode()) % BUCKETS
 
 
-def _bucket(key: Column) -> Column:
-    return (F.crc32(key.cast("binary")) % BUCKETS).cast("int")
-
-
 def fingerprints(grams: Column) -> Column:
     """The winnowed hashes of a chunk's k-grams."""
     return winnowed(F.transform(grams, lambda g: F.md5(g.cast("binary"))))
@@ -107,8 +111,8 @@ class SearchIndex:
         wanted = F.lit(False)
         for name in sorted({x for x, _ in keys}):
             wanted = wanted | ((F.col("list") == name) & F.col("key").isin([k for x, k in keys if x == name]))
-        rows = rows.where(F.col("bucket").isin(sorted({bucket_of(k) for _, k in keys})) & wanted)
-        return self._current(rows).select("list", "key", "id")
+        rows = rows.where(F.col("bucket").isin(sorted({bucket_of(k) for _, k in keys})) & F.col("key").isin(sorted({k for _, k in keys})))
+        return _each_list(self._current(rows), LISTS).where(wanted).select("list", "key", "id")
 
     def frequencies(self, name: str) -> DataFrame:
         """(term, df): in how many documents each term of a list stands."""
@@ -119,11 +123,10 @@ class SearchIndex:
 
     def features(self, ids: DataFrame | None = None) -> DataFrame:
         """The features of the documents of ids(id), or of all."""
-        lists = ", ".join(f"{c} array<string>" for c in (*FEATURES, "grams", "fingerprints"))
-        rows = self._current(self._table("features", f"id string, file string, starred boolean, {lists}, segment int"))
+        rows = self._current(self._table("features", f"{_STORED}, segment int"))
         if ids is not None:
             rows = rows.join(ids, "id", "left_semi")
-        return rows.drop("segment")
+        return featured(rows.drop("segment"))
 
     # --- queries
 
@@ -163,26 +166,32 @@ class SearchIndex:
         n = changed.count()
         if not n:
             return 0
-        new = featured(docs.join(changed.where("digest is not null").select("file"), "file", "left_semi"))
-        columns = ["id", "file", "starred", *FEATURES, "grams", "fingerprints"]
-        new.select(*columns).write.option("compression", "zstd").mode("overwrite").parquet(f"{self.folder}/features/segment={segment}")
-        lists = ", ".join(f"{c} array<string>" for c in (*FEATURES, "grams", "fingerprints"))
-        written = self.spark.read.schema(f"id string, file string, starred boolean, {lists}").parquet(f"{self.folder}/features/segment={segment}")
-        self._write("postings", segment, _keys(written, LISTS), "key")
-        listed = self.spark.read.schema("list string, key string, bucket int").parquet(f"{self.folder}/postings/segment={segment}").where(F.col("list").isin(*WEIGHED))
+        # of a first segment every file is new; a join would shuffle whole documents
+        new = self._of_files(docs, changed.where("digest is not null")) if self.segments() else docs.where("file is not null")
+        new = featured(new).select("id", "file", "starred", *FEATURES)
+        new.write.option("compression", "zstd").mode("overwrite").parquet(f"{self.folder}/features/segment={segment}")
+        written = self.spark.read.schema(_STORED).parquet(f"{self.folder}/features/segment={segment}")
+        self._write("postings", segment, _keys(featured(written), LISTS))
+        listed = self.spark.read.schema("list string, key string, bucket int").parquet(f"{self.folder}/postings/segment={segment}")
         counts = listed.withColumn("n", F.lit(1))
         if self.segments():
-            was = self.features().join(changed.where("old is not null").select("file"), "file", "left_semi")
+            was = self._of_files(self.features(), changed.where("old is not null"))
             counts = counts.unionByName(_keys(was, WEIGHED).select("list", "key", "bucket", F.lit(-1).alias("n")))
-        counts = counts.groupBy("list", "key", "bucket").agg(F.sum("n").alias("n")).where("n <> 0")
-        self._write("frequencies", segment, counts.select("list", "key", F.col("n").cast("bigint").alias("n"), "bucket"), "key")
+        within = {x: F.contains("list", F.lit(x)) for x in WEIGHED}
+        summed = counts.where(" or ".join(f"contains(list, '{x}')" for x in WEIGHED)).groupBy("key", "bucket").agg(*(F.sum(F.when(c, F.col("n")).otherwise(0)).alias(x) for x, c in within.items()))
+        counts = summed.select("key", "bucket", F.inline(F.array(*(F.struct(F.lit(x).alias("list"), F.col(x).alias("n")) for x in WEIGHED)))).where("n <> 0")
+        self._write("frequencies", segment, counts.select("list", "key", "n", "bucket"))
         changed.select("file", "digest", "n").write.mode("overwrite").parquet(f"{self.folder}/files/segment={segment}")
         return n
 
-    def _write(self, table: str, segment: int, rows: DataFrame, order: str) -> None:
-        """One segment of a table: each bucket's rows sorted, in files that tasks share by key."""
-        dealt = rows.repartition("bucket", order).sortWithinPartitions("bucket", order)
-        dealt.write.option("compression", "zstd").mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{table}/segment={segment}")
+    def _of_files(self, rows: DataFrame, files: DataFrame) -> DataFrame:
+        """rows of the files(file)."""
+        files = files.select("file")
+        return rows.join(F.broadcast(files) if files.count() <= FEW else files, "file", "left_semi")
+
+    def _write(self, table: str, segment: int, rows: DataFrame) -> None:
+        """One segment of a table: a file for each bucket of each task, sorted by key."""
+        rows.sortWithinPartitions("bucket", "key").write.option("compression", "zstd").mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{table}/segment={segment}")
 
     def delete(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
@@ -196,13 +205,49 @@ class SearchIndex:
         return out
 
 
-def _keys(rows: DataFrame, lists: Iterable[str]) -> DataFrame:
-    """(list, key, id, file, bucket): each key once for each document."""
+def _each_list(rows: DataFrame, lists: Iterable[str]) -> DataFrame:
+    """rows(list, ...) with a row for each of the lists that `list` names."""
+    named = F.filter(F.array(*(F.lit(x) for x in lists)), lambda x: F.contains("list", x))
+    return rows.withColumn("list", F.explode(named))
 
-    def listed(name: str) -> Column:
-        keys = F.array_distinct(F.coalesce(LISTS[name], F.array().cast("array<string>")))
-        return F.transform(keys, lambda k: F.struct(F.lit(name).alias("list"), k.alias("key")))
 
-    each = [listed(x) for x in lists]
-    flat = rows.select("id", "file", F.inline(F.concat(*each))).where("key is not null")
-    return flat.withColumn("bucket", _bucket(F.col("key")))
+def _keys(rows: DataFrame, lists: Iterable[str]) -> DataFrame:
+    """(list, key, id, file, bucket): each key once for each document, with the lists in which it stands."""
+    lists = tuple(lists)
+    wide = rows.select("id", "file", *(F.col(LISTS[x]) for x in lists))
+    return wide.mapInArrow(lambda x: _posted(x, lists), "list string, key string, id string, file string, bucket int")
+
+
+def _posted(batches: Iterator[pa.RecordBatch], lists: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """The postings of batches(id, file, lists), in runs sorted by bucket, key and document."""
+    names = pa.array(["".join(x for i, x in enumerate(lists) if m >> i & 1) for m in range(1 << len(lists))])
+    for batch in batches:
+        sizes = sum(pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[2:])
+        piece = (np.cumsum(sizes) - sizes) // PIECE
+        cuts = [*np.flatnonzero(np.diff(piece, prepend=-1)).tolist(), batch.num_rows]
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            part = batch.slice(low, high - low)
+            ids, files, columns = part.column(0), part.column(1), part.columns[2:]
+            flat = pa.concat_arrays([c.flatten() for c in columns])
+            doc = np.concatenate([pc.list_parent_indices(c).to_numpy().astype(np.int64) for c in columns])
+            mark = np.repeat(1 << np.arange(len(columns)), [len(c.flatten()) for c in columns])
+            coded = flat.dictionary_encode()
+            there = flat.is_valid().to_numpy(zero_copy_only=False)
+            code = coded.indices.fill_null(0).to_numpy()[there].astype(np.int64)
+            if not len(code):
+                continue
+            bucket = np.fromiter((zlib.crc32(k.as_buffer()) % BUCKETS for k in coded.dictionary), np.int32, len(coded.dictionary))
+            order = pc.sort_indices(pa.table({"b": bucket, "k": coded.dictionary}), sort_keys=[("b", "ascending"), ("k", "ascending")]).to_numpy()
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            # a document's key is one number, by which the lists that hold it meet
+            both = rank[code] * part.num_rows + doc[there]
+            by = np.argsort(both, kind="stable")
+            both = both[by]
+            starts = np.flatnonzero(np.diff(both, prepend=-1))
+            mark = np.bitwise_or.reduceat(mark[there][by], starts)
+            key, at = order[both[starts] // part.num_rows], both[starts] % part.num_rows
+            for i in range(0, len(key), ROWS):
+                k, d = key[i : i + ROWS], at[i : i + ROWS]
+                columns = [names.take(pa.array(mark[i : i + ROWS])), coded.dictionary.take(pa.array(k)), ids.take(pa.array(d)), files.take(pa.array(d)), pa.array(bucket[k])]
+                yield pa.RecordBatch.from_arrays(columns, ["list", "key", "id", "file", "bucket"])

@@ -1,7 +1,9 @@
 """The stored search index: what it holds, what queries read, what updates write."""
 
 import os
+from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from dagspark.functions import text
@@ -133,3 +135,74 @@ def test_tokens_split_at_capitals_and_underscores(spark):
     texts = ["Hello", "helloWorld_again", "_A", "ABc", "Kelvin xY", "", None, "a\nB"]
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", text.tokens(F.col("t")).alias("w")).orderBy("i").collect()
     assert [r.w for r in got] == [["hello"], ["hello", "world", "again"], ["a"], ["a", "bc"], ["kelvin", "x", "y"], [], None, ["a", "b"]]
+
+
+def shuffled(spark):
+    """Bytes that the session's stages have written to shuffles so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    nothing = sc._jvm.java.util.ArrayList()
+    stages = sc._jsc.sc().statusStore().stageList(nothing, False, False, sc._gateway.new_array(sc._gateway.jvm.double, 0), nothing)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+LONG = [" ".join(f"w{(i * 7919 + j * j * 31) % 3000}" for j in range(400)) + " filter" for i in range(300)]
+
+
+def test_an_index_is_made_without_shuffling_words_or_postings(spark, tmp_path):
+    docs = corpus(spark, LONG).persist()
+    docs.count()
+    held, before = SearchIndex(spark, str(tmp_path / "i")), shuffled(spark)
+    held.update(docs)
+    # 120,000 postings; some 3,000 terms are counted in four tasks
+    assert shuffled(spark) - before < 400_000
+    docs.unpersist()
+
+
+def test_a_document_s_terms_are_counted_where_it_is_read(spark):
+    plan = rank._terms(corpus(spark, TEXTS))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    lists = [["a", "b", "a"], None, [], [None, "b"], ["c", "c"]]
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(["0", "1", "2", "3", "4"]), "words": pa.array(lists, pa.list_(pa.string()))})
+    for given in (batch, batch.slice(1), batch.slice(1, 2)):
+        got = {(r["id"], r["length"], r["term"]): r["tf"] for out in rank._counted(iter([given])) for r in out.to_pylist()}
+        assert got == {(i, len(x), w): n for i, x in zip(*given.to_pydict().values(), strict=True) for w, n in Counter(x or []).items() if w is not None}
+
+
+def test_a_key_is_posted_once_with_its_lists_in_order(monkeypatch):
+    ids = [f"d{i}" for i in range(6)]
+    w = [["b", "a", "b"], None, ["\u00e9", "z"], [], ["a", None], ["q"] * 9]
+    t = [["a"], ["x"], None, [], ["b", "a"], ["r", "q"]]
+    kind = pa.list_(pa.string())
+    batch = pa.RecordBatch.from_pydict({"id": ids, "file": [i * 2 for i in ids], "w": pa.array(w, kind), "t": pa.array(t, kind)})
+    wanted = {(k, i, i * 2, bucket_of(k)): {x for x, c in (("w", a), ("t", b)) if k in (c or [])} for i, a, b in zip(ids, w, t, strict=True) for k in {*(a or []), *(b or [])} - {None}}
+    for piece, rows in ((2_000_000, 100_000), (4, 2)):
+        monkeypatch.setattr(store, "PIECE", piece)
+        monkeypatch.setattr(store, "ROWS", rows)
+        got = [tuple(r.values()) for out in store._posted(iter([batch]), ("w", "t")) for r in out.to_pylist()]
+        assert {x[1:]: set(x[0]) for x in got} == wanted
+        assert len(got) == len(wanted)
+    monkeypatch.undo()
+    got = [r for out in store._posted(iter([batch]), ("w", "t")) for r in out.to_pylist()]
+    assert got == sorted(got, key=lambda r: (r["bucket"], r["key"].encode(), r["id"]))
+
+
+def test_an_update_counts_terms_of_either_list(spark, tmp_path):
+    held, docs = SearchIndex(spark, str(tmp_path / "i")), corpus(spark, TEXTS)
+    for texts in (TEXTS, ["the eeg", *TEXTS[1:]]):
+        docs = corpus(spark, texts)
+        held.update(docs)
+        for name in ("w", "t"):
+            lists = [r[0] or [] for r in docs.select(store.LISTS[name]).collect()]
+            assert {r.term: r.df for r in held.frequencies(name).collect()} == Counter(k for x in lists for k in set(x))
+    assert {tuple(r) for r in held.postings([("w", "the"), ("t", "the"), ("w", "eeg"), ("t", "eeg"), ("n", "src0")]).where("id = 'd0'").collect()} == {("w", "the", "d0"), ("w", "eeg", "d0"), ("t", "eeg", "d0"), ("n", "src0", "d0")}
+
+
+def test_grams_and_fingerprints_are_made_of_stored_calls(spark, tmp_path):
+    held, docs = SearchIndex(spark, str(tmp_path / "i")), corpus(spark, TEXTS)
+    held.update(docs)
+    assert not {"grams", "fingerprints"} & set(spark.read.parquet(f"{held.folder}/features/segment=1").columns)
+    made = lambda df: {r.id: (r.grams, r.fingerprints) for r in df.select("id", "grams", "fingerprints").collect()}
+    assert made(held.features()) == made(store.featured(docs))
+    prints = next(x for x in made(docs.transform(store.featured)).values() if x[1])[1]
+    assert held.candidates([("f", prints[0])]).count()
