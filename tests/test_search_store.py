@@ -206,3 +206,17 @@ def test_grams_and_fingerprints_are_made_of_stored_calls(spark, tmp_path):
     assert made(held.features()) == made(store.featured(docs))
     prints = next(x for x in made(docs.transform(store.featured)).values() if x[1])[1]
     assert held.candidates([("f", prints[0])]).count()
+
+
+def test_a_fused_search_of_many_candidates_shuffles_numbers_only(spark, tmp_path, monkeypatch):
+    docs = corpus(spark, LONG)
+    held = SearchIndex(spark, str(tmp_path / "i"))
+    held.update(docs)
+    monkeypatch.setattr(store, "FEW", 1)
+    before = shuffled(spark)
+    found = ranked(rank.search_fused(held, ["filter", "w31"], ["w31", "w7919", "w62"], ["eeg"]))
+    # 300 candidates of 401 terms each
+    assert shuffled(spark) - before < 150_000
+    plain = docs.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("intent", "calls", "kinds")})
+    assert found == ranked(rank.rank_fused(plain, "", ["filter", "w31"], ["w31", "w7919", "w62"], ["eeg"]))
+    assert len(found) == 20
