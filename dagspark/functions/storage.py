@@ -7,6 +7,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: bytes of an Arrow batch; rows hold whole texts or their words and say little of a batch's size
+BATCH_BYTES = 4 << 20
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """The session, with the Arrow batches that its tasks exchange with Python bounded in bytes, and shuffle files removed when their query has ended."""
+    for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES)), ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")):
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of the session, which driver and executors share; a folder of our own is set only where none is, on a single machine."""
     sc = spark.sparkContext

@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import bounded
 from ..functions.text import STOPWORDS, cosine, kgrams
 from .store import ROWS, SearchIndex, fingerprints
 
@@ -89,6 +90,7 @@ PHRASES = {
 
 def _terms(docs: DataFrame) -> DataFrame:
     """(id, length, term, tf) of docs(id, words). A document's terms are counted where it is read, so no words are shuffled."""
+    bounded(docs.sparkSession)
     kind = docs.schema["id"].dataType.simpleString()
     return docs.select("id", "words").mapInArrow(_counted, f"id {kind}, length int, term string, tf bigint")
 

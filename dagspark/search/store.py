@@ -28,6 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import bounded
 from ..functions.text import kgrams, winnowed
 
 #: posting lists and the feature that each is made of
@@ -38,7 +39,7 @@ BUCKETS = 32
 FEATURES = ("words", "name_words", "intent", "calls", "kinds", "tags")
 _STORED = "id string, file string, starred boolean, " + ", ".join(f"{c} array<string>" for c in FEATURES)
 #: keys that are sorted at once, and posting rows that are handed on at once
-PIECE, ROWS = 2_000_000, 100_000
+PIECE, ROWS = 1_000_000, 100_000
 #: up to so many candidates, or changed files, are broadcast; more candidates are found by their features' lists, which the posting lists were made of
 FEW = 50_000
 
@@ -67,7 +68,7 @@ class SearchIndex:
     """The index in a folder that driver and executors share; an empty folder is an empty index."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder.rstrip("/")
+        self.spark, self.folder = bounded(spark), folder.rstrip("/")
 
     # --- tables
 
@@ -218,36 +219,46 @@ def _keys(rows: DataFrame, lists: Iterable[str]) -> DataFrame:
     return wide.mapInArrow(lambda x: _posted(x, lists), "list string, key string, id string, file string, bucket int")
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """batches(id, file, lists) dealt anew: each piece holds PIECE keys and documents, and of its last document the rest."""
+    held, total = [], 0
+    for batch in batches:
+        sizes = 1 + sum(pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[2:])
+        ends, low = total + np.cumsum(sizes), 0
+        while low < batch.num_rows and ends[-1] >= PIECE:
+            high = int(np.searchsorted(ends, PIECE)) + 1
+            yield pa.concat_batches([*held, batch.slice(low, high - low)])
+            ends, held, low = ends - ends[high - 1], [], high
+        held, total = [*held, batch.slice(low)], int(ends[-1]) if len(ends) else total
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _posted(batches: Iterator[pa.RecordBatch], lists: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     """The postings of batches(id, file, lists), in runs sorted by bucket, key and document."""
     names = pa.array(["".join(x for i, x in enumerate(lists) if m >> i & 1) for m in range(1 << len(lists))])
-    for batch in batches:
-        sizes = sum(pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[2:])
-        piece = (np.cumsum(sizes) - sizes) // PIECE
-        cuts = [*np.flatnonzero(np.diff(piece, prepend=-1)).tolist(), batch.num_rows]
-        for low, high in zip(cuts, cuts[1:], strict=False):
-            part = batch.slice(low, high - low)
-            ids, files, columns = part.column(0), part.column(1), part.columns[2:]
-            flat = pa.concat_arrays([c.flatten() for c in columns])
-            doc = np.concatenate([pc.list_parent_indices(c).to_numpy().astype(np.int64) for c in columns])
-            mark = np.repeat(1 << np.arange(len(columns)), [len(c.flatten()) for c in columns])
-            coded = flat.dictionary_encode()
-            there = flat.is_valid().to_numpy(zero_copy_only=False)
-            code = coded.indices.fill_null(0).to_numpy()[there].astype(np.int64)
-            if not len(code):
-                continue
-            bucket = np.fromiter((zlib.crc32(k.as_buffer()) % BUCKETS for k in coded.dictionary), np.int32, len(coded.dictionary))
-            order = pc.sort_indices(pa.table({"b": bucket, "k": coded.dictionary}), sort_keys=[("b", "ascending"), ("k", "ascending")]).to_numpy()
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            # a document's key is one number, by which the lists that hold it meet
-            both = rank[code] * part.num_rows + doc[there]
-            by = np.argsort(both, kind="stable")
-            both = both[by]
-            starts = np.flatnonzero(np.diff(both, prepend=-1))
-            mark = np.bitwise_or.reduceat(mark[there][by], starts)
-            key, at = order[both[starts] // part.num_rows], both[starts] % part.num_rows
-            for i in range(0, len(key), ROWS):
-                k, d = key[i : i + ROWS], at[i : i + ROWS]
-                columns = [names.take(pa.array(mark[i : i + ROWS])), coded.dictionary.take(pa.array(k)), ids.take(pa.array(d)), files.take(pa.array(d)), pa.array(bucket[k])]
-                yield pa.RecordBatch.from_arrays(columns, ["list", "key", "id", "file", "bucket"])
+    for part in _pieces(batches):
+        ids, files, columns = part.column(0), part.column(1), part.columns[2:]
+        flat = pa.concat_arrays([c.flatten() for c in columns])
+        doc = np.concatenate([pc.list_parent_indices(c).to_numpy().astype(np.int64) for c in columns])
+        mark = np.repeat(1 << np.arange(len(columns)), [len(c.flatten()) for c in columns])
+        coded = flat.dictionary_encode()
+        there = flat.is_valid().to_numpy(zero_copy_only=False)
+        code = coded.indices.fill_null(0).to_numpy()[there].astype(np.int64)
+        if not len(code):
+            continue
+        bucket = np.fromiter((zlib.crc32(k.as_buffer()) % BUCKETS for k in coded.dictionary), np.int32, len(coded.dictionary))
+        order = pc.sort_indices(pa.table({"b": bucket, "k": coded.dictionary}), sort_keys=[("b", "ascending"), ("k", "ascending")]).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        # a document's key is one number, by which the lists that hold it meet
+        both = rank[code] * part.num_rows + doc[there]
+        by = np.argsort(both, kind="stable")
+        both = both[by]
+        starts = np.flatnonzero(np.diff(both, prepend=-1))
+        mark = np.bitwise_or.reduceat(mark[there][by], starts)
+        key, at = order[both[starts] // part.num_rows], both[starts] % part.num_rows
+        for i in range(0, len(key), ROWS):
+            k, d = key[i : i + ROWS], at[i : i + ROWS]
+            columns = [names.take(pa.array(mark[i : i + ROWS])), coded.dictionary.take(pa.array(k)), ids.take(pa.array(d)), files.take(pa.array(d)), pa.array(bucket[k])]
+            yield pa.RecordBatch.from_arrays(columns, ["list", "key", "id", "file", "bucket"])

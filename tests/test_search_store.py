@@ -220,3 +220,17 @@ def test_a_fused_search_of_many_candidates_shuffles_numbers_only(spark, tmp_path
     plain = docs.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("intent", "calls", "kinds")})
     assert found == ranked(rank.rank_fused(plain, "", ["filter", "w31"], ["w31", "w7919", "w62"], ["eeg"]))
     assert len(found) == 20
+
+
+def test_pieces_are_bounded_by_keys_and_batches_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "PIECE", 10)
+    sizes = [0, 3, 25, 0, 4, 4, 4, 0, 0, 1, 30]
+    kind = pa.list_(pa.string())
+    batch = pa.RecordBatch.from_pydict({"id": [str(i) for i in range(len(sizes))], "file": ["f"] * len(sizes), "w": pa.array([["x"] * n for n in sizes], kind)})
+    for given in ([batch], [batch.slice(0, 4), batch.slice(4, 0), batch.slice(4, 2), batch.slice(6)]):
+        pieces = [p for p in store._pieces(iter(given)) if p.num_rows]
+        assert [r for p in pieces for r in p.to_pylist()] == batch.to_pylist()
+        assert all(sum(1 + len(w) for w in p.column("w").to_pylist()[:-1]) < 10 for p in pieces)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    held = SearchIndex(spark, str(tmp_path / "i"))
+    assert int(held.spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
